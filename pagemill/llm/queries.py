@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmltext, mixing, quality, shared, sharding, toxicity
+from . import bpe, htmltext, jaccard, mixing, quality, shared, sharding, toxicity
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,3 +97,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op6_quality": op6_quality, "op8_toxicity": op8_toxicity, "op10_html": op10_html}
+
+
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(shared.table(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_jaccard"] = op3_jaccard
