@@ -140,15 +140,16 @@ def train_and_score(docs: DataFrame, labels: DataFrame, train: Column, label: st
     del rows, found, judged, model
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     keep = [row_id, *[c for c in also if c != row_id]]
+    place = keep.index(text) if text in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(1 << BITS)
         own[used] = values
         scorer = Model(own, bias)
         for batch in batches:
-            odds = scorer.odds(word_slots(*shared.utf8(batch.column(0))))
+            odds = scorer.odds(word_slots(*shared.utf8(batch.column(place))))
             score = pa.array(1 / (1 + np.exp(-np.clip(odds, -30, 30))), pa.float64())
-            yield pa.RecordBatch.from_pydict({c: batch.column(i + 1) for i, c in enumerate(keep)} | {"score": score})
+            yield pa.RecordBatch.from_pydict({c: batch.column(i) for i, c in enumerate(keep)} | {"score": score})
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double"
-    return docs.select(F.col(text).alias("_text"), *keep).mapInArrow(run, schema)
+    return docs.select(*keep, *[text] * (text not in keep)).mapInArrow(run, schema)
