@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import snippets
-from ..functions import text as T
 from ..functions.variants import index_terms
 from . import relational
 
@@ -127,4 +126,4 @@ def plain_prefix(texts: DataFrame, query: str, column: str = "text") -> DataFram
     return texts
 
 
-__all__ = ["build", "clear", "fold", "match", "plain_prefix", "stem", "tokens", "T"]
+
