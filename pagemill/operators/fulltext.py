@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import snippets
 from ..functions.variants import index_terms
@@ -82,7 +83,7 @@ def fold(text: str) -> list[str]:
     return [stem(t) for t in re.findall(r"[^\W_]+", bare)]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _tokens(s: pd.Series) -> pd.Series:
     return s.map(fold)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from . import cards
@@ -13,8 +14,6 @@ HEADER_WORDS = (
     "name no number date phone email class section roll id gender age address city status type department dept grade marks score total rank father mother dob "
     "s.no sr serial sl remark remarks mobile contact district state page नाम क्रमांक अनुक्रमांक पिता माता पता ग्राम उम्र आयु लिंग वर्ग श्रेणी विषय प्राप्तांक पूर्णांक खाता सदस्यता"
 ).split()
-_TABLE = "array<struct<headers:array<string>,rows:array<array<string>>,confidence:double>>"
-_ROWS = "array<array<string>>"
 
 
 def _trim(c: Column) -> Column:
@@ -37,102 +36,110 @@ def is_header(row: Column) -> Column:
     return (n >= 2) & ~label & (F.size(worded) >= 2) & ~F.exists(cells, lambda c: F.length(c) > 50) & (F.exists(cells, keyed) | (score >= n)) & (score > n * 0.5)
 
 
-def _fit(rows: Column, width: Column) -> Column:
-    """Rows padded with '' (or cut) to a width."""
-    return F.transform(rows, lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), F.greatest(width - F.size(r), F.lit(0)))), 1, width))
-
-
-def _named(rows: Column, width: Column, confidence: float, plain: float | None, least: int = 3) -> Column:
-    """One table: the first row as headers if it reads like that; else, with enough rows, numbered columns."""
-    numbered = F.transform(F.sequence(F.lit(1), width), lambda i: F.concat(F.lit("Column_"), i.cast("string")))
-    made = lambda h, r, c: F.array(F.struct(h.alias("headers"), r.alias("rows"), F.lit(c).alias("confidence")))
-    with_header = made(F.element_at(rows, 1), F.slice(rows, 2, F.size(rows)), confidence)
-    if plain is None:
-        return with_header
-    return F.when(is_header(F.element_at(rows, 1)), with_header).when(F.size(rows) >= least, made(numbered, rows, plain))
-
-
-def delimited(text: Column) -> Column:
-    """Rows of three or more cells parted by tabs or by three spaces; a blank line starts anew, or ends a table of three rows."""
-    lines = F.transform(F.split(text, "\n"), _trim)
-
-    def cells(line: Column) -> Column:
-        tabs = _cells(line, "\t")
-        return F.when(line.contains("\t") & (F.size(tabs) >= 3), tabs).otherwise(_cells(line, r"(?U)\s{3,}"))
-
-    start = F.struct(F.array().cast(_ROWS).alias("rows"), F.lit(False).alias("done"))
-
-    def step(acc: Column, line: Column) -> Column:
-        enough, own = F.size(acc["rows"]) >= 3, cells(line)
-        blank = F.struct(F.when(enough, acc["rows"]).otherwise(F.array().cast(_ROWS)).alias("rows"), enough.alias("done"))
-        more = F.struct(F.when(F.size(own) >= 3, F.concat(acc["rows"], F.array(own))).otherwise(acc["rows"]).alias("rows"), F.lit(False).alias("done"))
-        return F.when(acc["done"], acc).when(line == "", blank).otherwise(more)
-
-    rows = F.aggregate(lines, start, step)["rows"]
-    width = F.array_max(F.transform(rows, F.size))
-    return F.coalesce(F.when(F.size(rows) >= 2, _named(_fit(rows, width), width, 0.7, 0.5)), F.array().cast(_TABLE))
-
-
-def piped(text: Column) -> Column:
-    """All lines with two or more cells between bars, but separator lines; the first is the header."""
-    rows = F.transform(F.filter(F.split(text, "\n"), lambda x: x.contains("|")), lambda x: _cells(x, r"\|"))
-    rows = F.filter(rows, lambda r: (F.size(r) >= 2) & ~F.forall(r, lambda c: c.rlike("^[-:]+$")))
-    width = F.array_max(F.transform(rows, F.size))
-    return F.coalesce(F.when(F.size(rows) >= 2, _named(_fit(rows, width), width, 0.8, None)), F.array().cast(_TABLE))
-
-
-def aligned(text: Column) -> Column:
-    """Runs of three or more lines with three or more parts; rows within one cell of the commonest width."""
-    lines = F.transform(F.split(text, "\n"), _trim)
-    start = F.struct(F.array().cast("array<array<string>>").alias("groups"), F.array().cast("array<string>").alias("open"))
-
-    def closed(acc: Column) -> Column:
-        return F.struct(F.when(F.size(acc["open"]) >= 3, F.concat(acc["groups"], F.array(acc["open"]))).otherwise(acc["groups"]).alias("groups"), F.array().cast("array<string>").alias("open"))
-
-    def step(acc: Column, line: Column) -> Column:
-        wide = (line != "") & (F.size(F.split(line, r"(?U)\s{2,}")) >= 3)
-        return F.when(wide, F.struct(acc["groups"].alias("groups"), F.concat(acc["open"], F.array(line)).alias("open"))).otherwise(closed(acc))
-
-    groups = closed(F.aggregate(lines, start, step))["groups"]
-
-    def table(group: Column) -> Column:
-        rows = F.filter(F.transform(group, lambda x: _cells(x, r"(?U)\s{2,}")), lambda r: F.size(r) >= 2)
-        sizes = F.transform(rows, F.size)
-        votes = F.transform(F.array_distinct(sizes), lambda s: F.struct(F.size(F.filter(sizes, lambda x: x == s)).alias("n"), (-s).alias("s")))
-        mode = -F.array_max(votes)["s"]
-        near = F.filter(rows, lambda r: F.abs(F.size(r) - mode) <= 1)
-        return F.when(F.size(near) >= 2, _named(_fit(near, mode), mode, 0.6, 0.6))
-
-    return F.flatten(F.filter(F.transform(groups, table), lambda t: t.isNotNull()))
-
-
-def all_tables(text: Column) -> Column:
-    both = F.concat(delimited(text), piped(text))
-    found = F.when(F.size(both) > 0, both).otherwise(aligned(text))
-    return F.when((F.coalesce(F.trim(text), F.lit("")) == "") | cards.is_card_page(text), F.array().cast(_TABLE)).otherwise(found)
-
-
-def detect(pages: DataFrame, finder=all_tables, text: str = "raw_text") -> DataFrame:
-    """document_id, page_number, table_no and the table's columns, for every table of every page."""
-    found = pages.select("document_id", "page_number", F.posexplode(finder(F.col(text))).alias("table_no", "t"))
-    return found.select("document_id", "page_number", "table_no", "t.headers", "t.rows", "t.confidence")
-
-
-def from_raw(rows: Column, confidence: float = 0.85) -> Column:
-    """A table as a PDF library gives it: null cells, untrimmed text."""
-    clean = F.transform(rows, lambda r: F.transform(r, lambda c: T.squeeze(F.coalesce(c, F.lit("")))))
-    return F.when(F.size(clean) >= 2, _named(clean, F.size(F.element_at(clean, 1)), confidence, confidence, 2))
+def _lines(text: Column) -> Column:
+    return F.transform(F.split(text, "\n"), _trim)
+
+
+def _delimited_cells(line: Column) -> Column:
+    tabs = _cells(line, "\t")
+    return F.when(line == "", F.lit(None)).when(line.contains("\t") & (F.size(tabs) >= 3), tabs).otherwise(_cells(line, r"(?U)\s{3,}"))
+
+
+def _step(df: DataFrame) -> DataFrame:
+    """df, whose columns later filters and columns use as they are: a generator stops the optimizer from working them out again."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_s")).select("_s.*")
+
+
+def _runs(df: DataFrame, flag: Column, name: str) -> DataFrame:
+    """df with name: the stretches of lines between the places (from 1) that flag, an array of places, holds."""
+    df = _step(df.withColumn("_ends", F.concat(flag, F.array(F.size("_lines") + 1))))
+    return df.withColumn(name, F.transform("_ends", lambda e, i: F.struct((F.when(i > 0, F.element_at("_ends", i)).otherwise(0) + 1).alias("at"), e.alias("end"))))
+
+
+def _places(array: Column, test) -> Column:
+    return F.filter(F.transform(array, lambda x, i: F.when(test(x), i + 1)), lambda i: i.isNotNull())
+
+
+def candidates(pages: DataFrame, kinds: tuple[str, ...], text: str) -> DataFrame:
+    """document_id, page_number, kind, part and rows (cells) of what may be tables. Steps are columns of their own, so nothing is worked out twice.
+
+    delimited: rows of three or more cells parted by tabs or three spaces; a blank line starts anew, or ends a table of
+    three rows. piped: all lines with two or more cells between bars, but separators. aligned: runs of three or more
+    lines with three or more parts.
+    """
+    base = _step(pages.select("document_id", "page_number", _lines(F.col(text)).alias("_lines")))
+    found = []
+    if "delimited" in kinds:
+        df = _runs(base, _places(F.col("_lines"), lambda x: x == ""), "_parts").withColumn("_cells", F.transform("_lines", _delimited_cells))
+        df = _step(df)
+        groups = F.transform("_parts", lambda p: F.filter(F.slice("_cells", p["at"], p["end"] - p["at"]), lambda r: F.size(r) >= 3))
+        df = _step(df.withColumn("_groups", groups)).withColumn("_full", F.filter("_groups", lambda g: F.size(g) >= 3))
+        found.append(df.select("document_id", "page_number", F.lit("delimited").alias("kind"), F.lit(0).alias("part"), F.coalesce(F.get("_full", F.lit(0)), F.element_at("_groups", -1)).alias("rows")))
+    if "piped" in kinds:
+        rows = F.transform(F.filter("_lines", lambda x: x.contains("|")), lambda x: _cells(x, r"\|"))
+        df = base.withColumn("rows", F.filter(rows, lambda r: (F.size(r) >= 2) & ~F.forall(r, lambda c: c.rlike("^[-:]+$"))))
+        found.append(df.select("document_id", "page_number", F.lit("piped").alias("kind"), F.lit(0).alias("part"), "rows"))
+    if "aligned" in kinds:
+        df = _runs(base, _places(F.col("_lines"), lambda x: (x == "") | (F.size(F.split(x, r"(?U)\s{2,}")) < 3)), "_parts")
+        each = df.select("document_id", "page_number", "_lines", F.posexplode(F.filter("_parts", lambda p: p["end"] - p["at"] >= 3)).alias("part", "p"))
+        rows = F.filter(F.transform(F.slice("_lines", F.col("p.at"), F.col("p.end") - F.col("p.at")), lambda x: _cells(x, r"(?U)\s{2,}")), lambda r: F.size(r) >= 2)
+        each = _step(_step(each.withColumn("rows", rows)).withColumn("_sizes", F.transform("rows", lambda r: F.size(r))))
+        votes = F.transform(F.array_distinct("_sizes"), lambda n: F.struct(F.size(F.filter("_sizes", lambda x: x == n)).alias("n"), (-n).alias("s")))
+        each = _step(each.withColumn("_mode", -F.array_max(votes)["s"]))
+        found.append(each.select("document_id", "page_number", F.lit("aligned").alias("kind"), "part", F.filter("rows", lambda r: F.abs(F.size(r) - F.col("_mode")) <= 1).alias("rows"), F.col("_mode").alias("width")))
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    if "width" not in out.columns:
+        out = out.withColumn("width", F.lit(None).cast("int"))
+    out = _step(out).where(F.size("rows") >= 2)
+    return out.withColumn("width", F.coalesce("width", F.array_max(F.transform("rows", lambda r: F.size(r)))))
+
+
+def _finished(found: DataFrame, sure: Column, plain: Column, least: int = 3) -> DataFrame:
+    """Tables from candidates: rows fitted to the width; the first is the header if it reads like one (always with bars);
+    else, with enough rows, columns are numbered."""
+    fit = lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), F.greatest(F.col("width") - F.size(r), F.lit(0)))), F.lit(1), F.col("width"))
+    df = _step(_step(found).withColumn("rows", F.transform("rows", fit)).withColumn("_first", F.get("rows", F.lit(0))))
+    df = _step(df.withColumn("_header", (F.col("kind") == "piped") | is_header(F.col("_first")))).where(F.col("_header") | (F.size("rows") >= least))
+    numbered = F.transform(F.sequence(F.lit(1), F.col("width")), lambda i: F.concat(F.lit("Column_"), i.cast("string")))
+    return df.select(
+        "document_id", "page_number", "kind", "part", F.when(F.col("_header"), F.col("_first")).otherwise(numbered).alias("headers"),
+        F.when(F.col("_header"), F.slice("rows", F.lit(2), F.size("rows"))).otherwise(F.col("rows")).alias("rows"), F.when(F.col("_header"), sure).otherwise(plain).alias("confidence"),
+    )
+
+
+def detect(pages: DataFrame, kinds: tuple[str, ...] = ("delimited", "piped", "aligned"), text: str = "raw_text") -> DataFrame:
+    """document_id, page_number, table_no, headers, rows and confidence of every table of every page.
+
+    Card pages have none. Aligned columns count only on pages without a delimited or a piped table.
+    """
+    live = pages.where(~cards.is_card_page(F.col(text)) & (F.trim(F.coalesce(text, F.lit(""))) != ""))
+    kind = F.col("kind")
+    out = _finished(candidates(live, kinds, text), F.when(kind == "delimited", 0.7).when(kind == "piped", 0.8).otherwise(0.6), F.when(kind == "delimited", 0.5).otherwise(0.6))
+    page = Window.partitionBy("document_id", "page_number")
+    out = out.withColumn("_plain", F.max(F.col("kind") != "aligned").over(page)).where((F.col("kind") != "aligned") | ~F.col("_plain"))
+    order = F.when(kind == "delimited", 0).when(kind == "piped", 1).otherwise(2)
+    return out.withColumn("table_no", F.row_number().over(page.orderBy(order, "part")) - 1).select("document_id", "page_number", "table_no", "headers", "rows", "confidence")
+
+
+def from_raw(found: DataFrame, confidence: float = 0.85) -> DataFrame:
+    """Tables as a PDF library gives them (document_id, page_number, part, rows with null cells): cleaned, with headers or numbered columns."""
+    clean = F.transform("rows", lambda r: F.transform(r, lambda c: T.squeeze(F.coalesce(c, F.lit("")))))
+    df = found.withColumn("rows", clean).where(F.size("rows") >= 2).withColumns({"kind": F.lit("raw"), "width": F.size(F.get("rows", F.lit(0)))})
+    return _finished(df, F.lit(confidence), F.lit(confidence), 2)
 
 
 def records(tables: DataFrame) -> DataFrame:
     """One record for each row: headers as keys, blank cells left out, the last of equal headers wins."""
     keys = F.transform("headers", lambda h: T.field_name(h))
     live = tables.where(F.exists("headers", lambda h: F.trim(h) != ""))
-    each = live.select("document_id", "page_number", "table_no", keys.alias("keys"), F.posexplode("rows").alias("row_no", "row"))
+    each = _step(live.withColumn("keys", keys)).select("document_id", "page_number", "table_no", "keys", F.posexplode("rows").alias("row_no", "row"))
     pairs = F.filter(F.zip_with(F.col("keys"), F.transform("row", lambda c: T.normalize(c)), lambda k, v: F.struct(k.alias("k"), v.alias("v"))), lambda p: (F.coalesce(p["k"], F.lit("")) != "") & (F.coalesce(p["v"], F.lit("")) != ""))
+    each = _step(each.withColumn("pairs", pairs))
     source = T.normalize(F.array_join(F.filter("row", lambda c: F.trim(c) != ""), " | "))
-    out = each.select("document_id", "page_number", "table_no", "row_no", last_wins(pairs).alias("data"), source.alias("source_text"))
-    return out.where(F.size("data") > 0)
+    out = each.select("document_id", "page_number", "table_no", "row_no", last_wins(F.col("pairs")).alias("data"), source.alias("source_text"))
+    return _step(out).where(F.size("data") > 0)
 
 
 def last_wins(pairs: Column) -> Column:

@@ -1,5 +1 @@
 """Exports of records: distributed rows, and single files written from them in a stream."""
-
-from .export import FORMATS, export, fields, scoped, shaped
-
-__all__ = ["FORMATS", "export", "fields", "scoped", "shaped"]
