@@ -1,0 +1,223 @@
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from pagemill.llm import ann, bpe, htmltext, jaccard, mixing, pii, quality, sharding, topk, toxicity
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, rank int, size string, bucket string"
+
+
+def docs(spark, rows):
+    """Rows (doc_id, text, source), with columns whose names clash with the operators' own."""
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), 1, "x", "y") for i, t, s in rows], DOCS)
+
+
+ODD = [(1, None, "a"), (2, "", "a"), (3, "one two", None), (3, "one two", None), (None, "three words here", "b"), (5, "word " * 30_000, "b"), (6, "one two", "c")]
+
+
+def test_sharding(spark):
+    rows = [(i, f"text {i}", "hot" if i % 3 else f"s{i % 5}") for i in range(500)]
+    out = sharding.interleave(docs(spark, rows), 7).collect()
+    sizes = collections.Counter(r.shard for r in out)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    for s in range(7):
+        own = [r for r in out if r.shard == s]
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        assert abs(sum(r.source == "hot" for r in own) - len(own) * 333 / 500) <= 2
+    odd = sharding.interleave(docs(spark, ODD), 3).collect()
+    assert len(odd) == len(ODD) and all(r.size == 16 and r.text_crc32 == 0 for r in odd if r.doc_id in (1, 2))
+    assert sharding.interleave(docs(spark, ODD).where("false"), 3).count() == 0
+    assert {r.text_crc32 for r in odd if r.doc_id == 6} == {zlib.crc32(b"one two")}
+
+
+def test_mixing(spark):
+    rows = [(i, "w " * (i % 9), f"s{i % 4}" if i % 2 else None) for i in range(300)]
+    out, quotas = mixing.mix(docs(spark, rows), block_words=4)
+    out = out.collect()
+    total = sum(r.size for r in out)
+    targets = {r.source: r.target for r in out}
+    assert abs(sum(targets.values()) - total) < 1e-6
+    for s, t in targets.items():
+        assert abs(sum(r.taken for r in out if r.source == s) - t) <= 4
+    assert all(r.taken <= 3 * r.size for r in out)
+    assert quotas.count() == len(targets) * 16
+    odd, _ = mixing.mix(docs(spark, ODD))
+    assert {r.doc_id: r.taken for r in odd.collect()}[1] == 0
+    assert mixing.mix(docs(spark, ODD).where("false"))[0].count() == 0
+
+
+def brute_components(rows):
+    sets = [(i, re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for i, t in rows]
+    sets = [(i, frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])) for i, w in sets]
+    up = {i: i for i, _ in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, (i, x) in enumerate(sets):
+        for j, y in sets[:a]:
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                p, q = sorted((top(i), top(j)))
+                up[q] = p
+    return {i: (len(s), top(i)) for i, s in sets}
+
+
+@pytest.mark.parametrize("edits", [1, 3, 6])
+def test_jaccard_against_brute_force(spark, edits):
+    """A large group of near copies of a template, so that long lists and their remainder are used, and other texts."""
+    rng = random.Random(edits)
+    base = [f"w{rng.randrange(900)}" for _ in range(90)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 70):
+        own = list(base)
+        for _ in range(rng.randrange(edits + 1)):
+            own[rng.randrange(90)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    rows += [(i, " ".join(f"y{rng.randrange(50)}" for _ in range(rng.randrange(12)))) for i in range(100, 140)]
+    rows += [(200, None), (201, ""), (202, " \t "), (203, "a b"), (204, "A  b"), (205, "É b"), (206, "é b")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert got == brute_components(rows)
+
+
+def test_jaccard_odd_rows(spark):
+    got = jaccard.join(docs(spark, ODD)).collect()
+    assert len(got) == len(ODD)
+    assert {r.component_id for r in got if r.doc_id in (3, 6)} == {3}
+    assert jaccard.join(docs(spark, ODD).where("false")).count() == 0
+
+
+def vectors(spark, n, d=8):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=d)]) for i in range(n)]
+    return rows + [(n, None), (n + 1, []), (n + 2, [float("nan")] * d), (n + 3, [None] * d), (n + 4, rows[0][1]), (n + 5, rows[0][1])]
+
+
+def test_exact_search(spark):
+    rows = vectors(spark, 300)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("score", F.lit("x"))
+    live = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
+    want = {(q, r + 1, i, s) for q, x in live if q % 50 == 0 for r, (s, i) in enumerate([(-a, b) for a, b in sorted((-int(x @ y), j) for j, y in live if j != q)[:5]])}
+    assert {tuple(r) for r in topk.search(df, 50, 5).collect()} == want
+    assert topk.search(df.where("false"), 50, 5).count() == 0
+    assert topk.search(df.where("vec_id < 2"), 50, 5).count() == 1
+
+
+def test_approximate_search(spark):
+    rows = vectors(spark, 3000)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in ann.search(df, 20, 20).collect():
+        got[r.query_id].add(r.vec_id)
+    live = [(i, np.array(v)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
+    ids, x = np.array([i for i, _ in live]), np.stack([v for _, v in live])
+    recalls = []
+    for q in ids[ids % 20 == 0]:
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        recalls.append(len(got[q] & set(ids[np.argsort(-s)[:20]])) / 20)
+    assert np.mean(recalls) >= 0.9
+    assert ann.search(df.where("false"), 20, 20).count() == 0
+
+
+def test_surrogates(spark):
+    texts = ["Mail bob.smith@corp.example.org, +1 (017) 555-7713 or 017-555-7713.", "Mr. John Smith and Mrs. Anna Smith, card 4111 1111 1111 1111, 10.2.3.4, 999.1.2.3", None, "", 'key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" BOB.SMITH@CORP.EXAMPLE.ORG 1234567812345678', "clean text, nothing here", "4111111111111111"]
+    df = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    out = {r.doc_id: r.text for r in pii.replace(df).collect()}
+    assert out == {r.doc_id: r.text for r in pii.replace(df).collect()}
+    assert out[2] is None and out[3] == "" and out[5] == texts[5]
+    mail = re.search(r"\S+@\S+\.org", out[0])[0]
+    assert mail != "bob.smith@corp.example.org" and mail.upper() in out[4] and "1234567812345678" in out[4]
+    a, b = re.search(r"\+1 \((\d{3})\) (\d{3})-(\d{4}) or (\d{3}-\d{3}-\d{4})", out[0]).groups()[:3], out[0].rstrip(".").split()[-1]
+    assert "-".join(a) == b != "017-555-7713"
+    m = re.match(r"Mr\. (\S+) (\S+) and Mrs\. (\S+) (\S+), card (.{19}), (10\.\S+), 999\.1\.2\.3$", out[1])
+    assert m and m[2] == m[4] != "Smith" and m[1] != "John" and m[5].replace(" ", "") == out[6]
+    d = [int(x) for x in out[6]][::-1]
+    assert (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+    assert pii.replace(df.where("false")).count() == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    values = [(f"{a}.{b}.0.{c}",) for a in (10,) for b in range(20) for c in range(100)]
+    table = pii.surrogates(spark.createDataFrame(values, "value string").select(F.lit("address").alias("kind"), "value"), "k").collect()
+    assert len({r.surrogate for r in table}) == len(values) and not {r.surrogate for r in table} & {v[0] for v in values}
+
+
+def test_quality_and_toxicity(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aeiounrst") for _ in range(rng.randrange(2, 9)))
+    rows, labels = [], []
+    for i in range(400):
+        bad, toxic = i % 4 == 0, i % 5 == 0
+        words = [word() for _ in range(60)]
+        if bad:
+            words = [w + "###" for w in words]
+        if toxic:
+            words[7] = words[19] = rng.choice(["idiotic", "worthless", "moronic"])
+        rows.append((i, " ".join(words), "s"))
+        labels.append((i, int(not bad), int(toxic)))
+    rows += [(1000, None, "s"), (1001, "", None), (1002, "x " * 20_000, "s")]
+    lab = spark.createDataFrame([*labels, (None, 1, 1), (3, None, None)], "doc_id bigint, quality int, toxic int")
+    train = F.col("doc_id") % 3 != 1
+    for module, column, cut in ((quality, 1, 0.5), (toxicity, 2, toxicity.CUT)):
+        got = {r.doc_id: r.score for r in module.train_and_score(docs(spark, rows), lab, train).collect()}
+        assert len(got) == len(rows) and all(0 <= s <= 1 for s in got.values())
+        held = [r for r in labels if r[0] % 3 == 1]
+        assert np.mean([(got[r[0]] >= cut) == r[column] for r in held]) > 0.95
+        empty = module.train_and_score(docs(spark, rows).where("false"), lab.where("false"), train)
+        assert empty.count() == 0
+
+
+def test_bpe_against_library(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.load_ranks(path)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.Codec(path, public_tokenizers.PATTERN)
+    rng = random.Random(1)
+    pool = "abcdefgh  \n\t\x1c\x85 '’éößñ中文🙂12٣½्का‍.,!?#$\xa0　"
+    for _ in range(400):
+        s = "".join(rng.choice(pool) for _ in range(rng.randrange(60)))
+        assert codec.encode(s) == own.encode_ordinary(s) and codec.decode(codec.encode(s)) == s.encode()
+    for s in ("thetheredandea" * 40, "a" * 3000, "<|endoftext|>", "!?" * 500):
+        assert codec.encode(s) == own.encode_ordinary(s)
+    got = {r.doc_id: r for r in bpe.encode(docs(spark, [(1, None, "s"), (2, "hello world", "s")]), path, public_tokenizers.PATTERN).collect()}
+    assert got[1].n_tokens == 0 and got[1].ids_sha256 == hashlib.sha256(b"").hexdigest()
+    assert got[2].ids == own.encode_ordinary("hello world") and got[2].decoded_sha256 == hashlib.sha256(b"hello world").hexdigest()
+
+
+PAGE = """<html><head><title>no</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=x>Home</a></ul></nav>
+<div class="cookie-notice">We use cookies.</div><main><article><h2>Title &amp; more</h2><p>First <b>bo</b>ld&nbsp;text.<p>Second, with
+ white   space.<div class="advert">Buy now</div><aside>See also</aside></article></main><div class="sidebar"><p>Popular things to read today and tomorrow</p></div>
+<section id="comments"><p>I think this is a fine article and everybody should read it.</p></section><form>Name <input></form><script>var x = "<p>no</p>";</script><footer>&copy; us</footer>"""
+
+
+def test_html(spark):
+    assert htmltext.main_text(PAGE) == "Title & more First bold text. Second, with white space."
+    assert htmltext.main_text(None) == htmltext.main_text("") == htmltext.main_text("<!-- x") == ""
+    assert htmltext.main_text("<p>plain body of a page with some words in it</p>").startswith("plain body")
+    df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None)], "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))
+    assert sorted((r.page_id, r.n_chars) for r in htmltext.extract(df).collect()) == [(1, 55), (2, 0), (2, 0)]
+    assert htmltext.extract(df.where("false")).count() == 0
+
+
+def test_minimum_cut_against_brute_force():
+    rng = random.Random(2)
+    for _ in range(200):
+        n = rng.randrange(1, 8)
+        odds = [rng.uniform(-2, 2) for _ in range(n)]
+        links = [(a, b, rng.uniform(0, 2)) for a in range(n) for b in range(a) if rng.random() < 0.5]
+
+        def cost(side):
+            return sum(max(0, o) if not s else max(0, -o) for o, s in zip(odds, side)) + sum(w for a, b, w in links if side[a] != side[b])
+
+        best = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
+        assert abs(cost(htmltext.label(odds, links)) - best) < 1e-6
