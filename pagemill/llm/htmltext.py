@@ -35,7 +35,7 @@ SECTION = frozenset("article main section div td aside nav header footer form ul
 
 #: Costs (log odds of content); parameters of the model.
 WEIGHTS = {
-    "bias": -0.5, "article": 4.0, "main": 3.0, "content_name": 2.0, "boiler_tag": -7.0, "boiler_name": -6.0, "comment": -9.0,
+    "bias": -0.5, "article": 4.0, "main": 3.0, "content_name": 2.0, "boiler_tag": -10.0, "boiler_name": -9.0, "comment": -12.0,
     "links": -4.0, "paragraph": 1.0, "heading": 1.0, "item": -0.5, "log_words": 0.6,
 }
 #: Smoothness: neighbours in page order, and blocks under the same parent and grandparent.
