@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from . import shared, vectors
 
 #: Rows that the tree is fit on; branches of a node; rows in a leaf, about; most leaves; rows in a local task.
-SAMPLE, BRANCHES, LEAF_ROWS, MOST_LEAVES, TASK_VECTORS = 20_000, 8, 512, 1_024, 2_048
+SAMPLE, BRANCHES, LEAF_ROWS, MOST_LEAVES, TASK_VECTORS = 20_000, 8, 512, 1_024, 4_096
 #: Queries to calibrate with, and the mean recall that they have to reach.
 CALIBRATION, RECALL = 128, 0.96
 
@@ -86,9 +86,11 @@ def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * y).sum(axis=1)
 
 
-def _local(ids: np.ndarray, x: np.ndarray, asks: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of the query, place of the vector, score) of each query's k best, ties to smaller ids. ids have to rise."""
+def _local(ids: np.ndarray, x: np.ndarray, asks: np.ndarray, y: np.ndarray, k: int, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, place of the vector, score) of each query's k best, ties to smaller ids. ids have to rise; seen: which pairs count."""
     s = y @ x.T
+    if seen is not None:
+        s[~seen] = -np.inf
     s[asks[:, None] == ids[None, :]] = -np.inf
     more = min(k + 8, len(ids))
     top = np.argpartition(-s, more - 1, axis=1)[:, :more] if more < len(ids) else np.tile(np.arange(len(ids)), (len(asks), 1))
@@ -180,27 +182,39 @@ def search(rows: DataFrame, every: int, k: int, row_id: str = "vec_id", column:
         while visits < tree.leaves and np.mean([(m < visits).mean() for m in met]) < recall:
             visits += 1
 
-    sizes = indexed.groupBy("leaf").agg(F.ceil(F.count("*") / TASK_VECTORS).cast("int").alias("parts")).collect()  # a row for each leaf, MOST_LEAVES or so
-    parts = np.ones(tree.leaves, np.int64)
-    for leaf, m in sizes:
-        parts[leaf] = m
+    counts = np.zeros(tree.leaves, np.int64)
+    for leaf, m in indexed.groupBy("leaf").count().collect():  # a row for each leaf; the sample bounds their number
+        counts[leaf] = m
+    # Neighbouring leaves share a task up to its size; a larger leaf is dealt to several. A query's partial
+    # results then follow the number of tasks that it visits, not that of leaves.
+    bundle, parts, held = np.zeros(tree.leaves, np.int64), [1], 0
+    for leaf, m in enumerate(counts):
+        if held and held + m > TASK_VECTORS:
+            parts.append(1)
+            held = 0
+        bundle[leaf] = len(parts) - 1
+        held += m
+        parts[-1] = max(1, -(-held // TASK_VECTORS))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y = wide(batch.column(1).to_pylist())
-            leaf, part, at = [], [], []
+            to, part, at, lists = [], [], [], []
             for i, v in enumerate(y):
-                for node in tree.visit(v, visits):
-                    for p in range(parts[node]):
-                        leaf.append(node)
+                nodes = np.array(tree.visit(v, visits), np.int32)
+                for b in np.unique(bundle[nodes]).tolist():
+                    own = nodes[bundle[nodes] == b].tobytes()
+                    for p in range(parts[b]):
+                        to.append(b)
                         part.append(p)
                         at.append(i)
+                        lists.append(own)
             at = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_pydict({"leaf2": pa.array(leaf, pa.int32()), "part2": pa.array(part, pa.int32()), "query_id": batch.column(0).take(at), "y": batch.column(1).take(at)})
+            yield pa.RecordBatch.from_pydict({"bundle2": pa.array(to, pa.int32()), "part2": pa.array(part, pa.int32()), "query_id": batch.column(0).take(at), "y": batch.column(1).take(at), "leaves": pa.array(lists, pa.binary())})
 
-    many = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("leaf") + 1)
-    data = indexed.withColumn("part", F.pmod(F.xxhash64("id"), many).cast("int"))
-    routed = ask.select("id", "v").mapInArrow(route, "leaf2 int, part2 int, query_id bigint, y binary")
+    place = lambda values, key: F.element_at(F.array(*[F.lit(int(v)) for v in values]), key + 1)
+    data = indexed.withColumn("bundle", place(bundle, F.col("leaf"))).withColumn("part", F.pmod(F.xxhash64("id"), place(parts, F.col("bundle"))).cast("int"))
+    routed = ask.select("id", "v").mapInArrow(route, "bundle2 int, part2 int, query_id bigint, y binary, leaves binary")
 
     def solve(one, two):
         import pandas as pd
@@ -209,11 +223,14 @@ def search(rows: DataFrame, every: int, k: int, row_id: str = "vec_id", column:
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "ids": [], "scores": []})
         one, two = one.sort_values("id", kind="stable").drop_duplicates(["id"]), two.drop_duplicates(["query_id"])
         ids, asks = one["id"].to_numpy(), two["query_id"].to_numpy()
-        who, at, score = _local(ids, wide(list(one["v"])), asks, wide(list(two["y"])), k)
+        seen = np.zeros((len(asks), tree.leaves), bool)
+        for i, own in enumerate(two["leaves"]):
+            seen[i, np.frombuffer(own, np.int32)] = True
+        who, at, score = _local(ids, wide(list(one["v"])), asks, wide(list(two["y"])), k, seen[:, one["leaf"].to_numpy()])
         edges = np.searchsorted(who, np.arange(len(asks) + 1))
         return pd.DataFrame({"query_id": asks, "ids": [ids[at[a:b]] for a, b in zip(edges, edges[1:])], "scores": [score[a:b] for a, b in zip(edges, edges[1:])]})
 
-    local = data.groupBy("leaf", "part").cogroup(routed.groupBy("leaf2", "part2")).applyInPandas(solve, "query_id bigint, ids array<bigint>, scores array<double>")
+    local = data.groupBy("bundle", "part").cogroup(routed.groupBy("bundle2", "part2")).applyInPandas(solve, "query_id bigint, ids array<bigint>, scores array<double>")
     flat = local.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("id"), F.col("x.scores").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
     return flat.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(row_id), "score")
