@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: A word character as the extraction rules mean it: letters, numbers, underscore; combining marks are not.
 W = r"[\p{L}\p{N}_]"
@@ -27,7 +28,7 @@ LABELS = [
 ]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
