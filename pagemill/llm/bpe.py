@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding.
 
-Vocabulary bytes are mapped to Latin-1 characters, so that an Aho-Corasick automaton over strings finds every
-token in a piece in one pass. A piece is then encoded by backtracking: take the longest token at each place whose
-pairing with the token before it is compatible (merging the two tokens' bytes gives back just these two tokens);
-where none is, step back and try a shorter one. A sequence whose neighbours are all compatible is the sequence
-that the merges give, so the result is exact; places once left are not entered again, so the time is linear.
+Vocabulary bytes are mapped to Latin-1 characters, so that the trie of an Aho-Corasick automaton over strings finds
+the longest token at a place; the shorter ones there are its prefixes, linked beforehand. A piece is encoded by
+backtracking: take the longest token at each place whose pairing with the token before it is compatible (merging
+the two tokens' bytes gives back just these two tokens); where none is, step back and try a shorter one. A
+sequence whose neighbours are all compatible is the sequence that the merges give, so the result is exact; places
+once left are not entered again, so the time is linear.
 Compatibility is memoised.
 """
 
@@ -18,7 +19,8 @@ from pyspark.sql import DataFrame
 
 from . import shared
 
-#: Entries kept in a worker's memory of pieces and of pairs; beyond it the memory is emptied and fills again.
+#: Entries kept in a worker's memory of pieces and of pairs. Full, the pairs are emptied; the pieces become the
+#: older of two generations, from which those met again are taken over.
 PIECES, PAIRS = 200_000, 1_000_000
 #: Pieces longer than this (characters) are encoded but not remembered.
 LONG = 64
@@ -41,11 +43,16 @@ class Codec:
         self.text = {i: str(i) for i in self.bytes}
         self.split = regex.compile(pattern).findall
         self.find = ahocorasick.Automaton()
-        for b, i in self.ranks.items():
-            self.find.add_word(b.decode("latin-1"), (len(b), i))
-        self.find.make_automaton()
+        self.tokens = {b.decode("latin-1"): i for b, i in self.ranks.items()}
+        for chars, i in self.tokens.items():
+            self.find.add_word(chars, i)
+        self.size = {i: len(b) for b, i in self.ranks.items()}
+        self.widest = max(self.size.values(), default=1)
+        # For each token, the longest token that it begins with.
+        self.shorter = {i: next((t for n in range(len(c) - 1, 0, -1) if (t := self.tokens.get(c[:n])) is not None), None) for c, i in self.tokens.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merged(self, piece: bytes) -> list[int]:
         """Plain merging, for the few bytes of two neighbouring tokens."""
@@ -65,49 +72,61 @@ class Codec:
             known = self.pairs[a, b] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
         return known
 
+    def longest(self, chars: str, p: int) -> int:
+        """The longest token at place p: the trie gives the longest path, whose end is a token or lies close after one."""
+        path = chars[p : p + self.widest]
+        token = None
+        n = self.find.longest_prefix(path)
+        while n and (token := self.tokens.get(path[:n])) is None:
+            n -= 1
+        if token is None:
+            raise ValueError("the vocabulary lacks a byte")
+        return token
+
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         if (whole := self.ranks.get(piece)) is not None:
             return (whole,)
-        n = len(piece)
-        at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, found in self.find.iter(piece.decode("latin-1")):
-            at[end + 1 - found[0]].append(found)  # by rising end, so by rising length
+        chars, n = piece.decode("latin-1"), len(piece)
+        size, shorter, pairs, longest = self.size, self.shorter, self.pairs, self.longest
         open_ = bytearray(b"\x01") * (n + 1)  # places not yet given up
         out: list[int] = []
-        tried = [len(at[0]) - 1]  # for each place on the path, the next token to try there
-        places = [0]
-        while places[-1] < n:
-            p, k = places[-1], tried[-1]
-            while k >= 0:
-                size, token = at[p][k]
-                k -= 1
-                if open_[p + size] and (not out or self.compatible(out[-1], token)):
-                    tried[-1] = k
-                    out.append(token)
-                    places.append(p + size)
-                    tried.append(len(at[p + size]) - 1 if p + size < n else -1)
-                    break
+        p, token = 0, longest(chars, 0)
+        while True:
+            # token: the next to try at p, None once all of them have been.
+            while token is not None:
+                end = p + size[token]
+                if open_[end]:
+                    fits = not out or pairs.get((out[-1], token))
+                    if fits is None:
+                        fits = self.compatible(out[-1], token)
+                    if fits:
+                        break
+                token = shorter[token]
+            if token is not None:
+                out.append(token)
+                if end == n:
+                    return tuple(out)
+                p, token = end, longest(chars, end)
             else:
                 if not out:
                     raise ValueError("the vocabulary lacks a byte")
                 open_[p] = 0
-                out.pop()
-                places.pop()
-                tried.pop()
-        return tuple(out)
+                last = out.pop()
+                p, token = p - size[last], shorter[last]
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        known, get = self.pieces, self.pieces.get
+        known, get, extend = self.pieces, self.pieces.get, out.extend
         for piece in self.split(text):
             ids = get(piece)
             if ids is None:
-                ids = self.encode_piece(piece.encode("utf-8"))
+                ids = self.older.get(piece) or self.encode_piece(piece.encode("utf-8"))
                 if len(piece) <= LONG:
                     if len(known) >= PIECES:
-                        known.clear()
+                        self.older, self.pieces = known, {}
+                        known, get = self.pieces, self.pieces.get
                     known[piece] = ids
-            out.extend(ids)
+            extend(ids)
         return out
 
     def decode(self, ids: list[int]) -> bytes:
