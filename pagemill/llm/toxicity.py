@@ -57,13 +57,21 @@ class _Rows:
         return np.bincount(self.ids, g[self.of], minlength=size)
 
 
+def _counts(rows: list[np.ndarray], size: int) -> np.ndarray:
+    """Rows that have each slot, one row at a time: no second copy of the rows is made."""
+    out = np.zeros(size, np.int32)
+    for r in rows:
+        out[r] += 1  # a row has a slot once
+    return out
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 200, rate: float = 0.05, decay: float = 1e-4) -> Model:
     """Gradient descent (Adam) from the smoothed log ratio of word frequencies, over words commoner among the positives."""
     size = 1 << BITS
     weights = np.zeros(size)
     if not positive or not unlabelled:
         return Model(weights, -10.0)
-    seen = [np.bincount(np.concatenate(rows), minlength=size) for rows in (positive, unlabelled)]
+    seen = [_counts(rows, size) for rows in (positive, unlabelled)]
     ratio = (seen[0] + 0.5) / (len(positive) + 1) / ((seen[1] + 0.5) / (len(unlabelled) + 1))
     keep = np.flatnonzero((seen[0] >= max(3, 0.005 * len(positive))) & (ratio >= 2))
     if not len(keep):
@@ -129,8 +137,8 @@ def train_and_score(docs: DataFrame, labels: DataFrame, train: Column, label: st
             yield pa.RecordBatch.from_pydict({"y": batch.column(1), "unlabelled": batch.column(2), "slots": pa.array([r.tobytes() for r in rows], pa.binary())})
 
     found = picked.mapInArrow(slots, "y int, unlabelled boolean, slots binary").collect()
+    found.sort()  # the same model on every run
     rows = [(y, u, np.frombuffer(s, np.uint32)) for y, u, s in found]
-    rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))  # the same model on every run
     model = fit([s for y, _, s in rows if y == 1], [s for _, u, s in rows if u], prior)
     judged = [(y, s) for y, _, s in rows if y >= 0]
     shift = threshold(model.odds([s for _, s in judged]), np.array([y == 1 for y, _ in judged], bool))
