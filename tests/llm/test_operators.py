@@ -72,9 +72,11 @@ def brute_components(rows):
     return {i: (len(s), top(i)) for i, s in sets}
 
 
-@pytest.mark.parametrize("edits", [1, 3, 6])
-def test_jaccard_against_brute_force(spark, edits):
+@pytest.mark.parametrize(("edits", "block"), [(1, 256), (3, 256), (6, 8)])
+def test_jaccard_against_brute_force(spark, edits, block, monkeypatch):
     """A large group of near copies of a template, so that long lists and their remainder are used, and other texts."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "MOST_BLOCK", block)
     rng = random.Random(edits)
     base = [f"w{rng.randrange(900)}" for _ in range(90)]
     rows = [(0, " ".join(base))]
@@ -89,6 +91,23 @@ def test_jaccard_against_brute_force(spark, edits):
     assert got == brute_components(rows)
 
 
+def test_jaccard_blocks(spark, monkeypatch):
+    """Every pair of a list that passes the filters comes from exactly one pair of blocks."""
+    rng = np.random.default_rng(1)
+    n = rng.integers(5, 60, 200)
+    p = np.array([rng.integers(0, jaccard.prefix_size(int(x))) for x in n])
+    component = rng.integers(0, 4, 200)
+    rows = [(h, int(n[i]), int(p[i]), i, int(component[i]) if h else 7) for h in (0, 1) for i in range(200)]
+    entries = spark.createDataFrame(rows, "h bigint, n bigint, p bigint, node bigint, component bigint")
+    i, j = np.triu_indices(200, 1)
+    good = (component[i] != component[j]) & jaccard._close(n[i], p[i], n[j], p[j])
+    for block in (7, 256):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "MOST_BLOCK", block)
+        got = sorted((r.a, r.b) for r in jaccard._across(entries).collect())
+        assert got == sorted(zip(i[good].tolist(), j[good].tolist(), strict=True)) and got
+
+
 def test_jaccard_odd_rows(spark):
     got = jaccard.join(docs(spark, ODD)).collect()
     assert len(got) == len(ODD)
