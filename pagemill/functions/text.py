@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -33,6 +34,11 @@ def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value bound to a variable: a lambda's body, and the columns named in it, is worked out for each element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def squeeze(c: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
     return F.trim(F.regexp_replace(c, r"(?U)[\s\x1C-\x1F]+", " "))

@@ -46,8 +46,9 @@ def pairs(text: Column) -> Column:
 
 
 def form_records(pages: DataFrame, text: str = "raw_text") -> DataFrame:
-    out = pages.select("document_id", "page_number", pairs(F.col(text)).alias("data"), T.normalize(F.substr(F.col(text), F.lit(1), F.lit(150))).alias("source_text"))
-    return out.where(F.size("data") > 0)
+    # Exploded, not filtered afterwards: a filter on the map would work it out a second time.
+    data = F.filter(F.array(pairs(F.col(text))), lambda m: F.size(m) > 0)
+    return pages.select("document_id", "page_number", F.explode(data).alias("data"), T.normalize(F.substr(F.col(text), F.lit(1), F.lit(150))).alias("source_text"))
 
 
 def card_fields(chunk: Column) -> Column:
@@ -75,8 +76,6 @@ def chunks(text: Column) -> Column:
     """Texts of single cards: a card starts at a serial and id line, a name label (unless such a line is before it) or a serial label."""
     lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r]"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
     head = lambda x: x.rlike(HEAD)
-    # A lambda's body is worked out for each element, columns named in it too: bound to a variable, they are worked out once.
-    once = lambda value, f: F.transform(F.array(value), f)[0]
 
     def places(ls: Column) -> Column:
         starts = F.transform(ls, lambda x, i: F.when(head(x), True).when(x.rlike(f"(?iuU)^{_NAME}"), (i == 0) | ~head(F.element_at(ls, F.greatest(i, F.lit(1))))).otherwise(x.rlike(f"(?iuU)^{_SERIAL}" + r"\d+")))
@@ -86,7 +85,7 @@ def chunks(text: Column) -> Column:
         cut = F.transform(at, lambda a, i: F.array_join(F.slice(ls, a, F.coalesce(F.get(at, i + 1), F.size(ls) + 1) - a), "\n"))
         return F.when(F.size(at) > 0, cut).otherwise(F.array(text))
 
-    return once(lines, lambda ls: once(places(ls), lambda at: parts(ls, at)))
+    return T.once(lines, lambda ls: T.once(places(ls), lambda at: parts(ls, at)))
 
 
 def sequential(pages: DataFrame, text: str = "raw_text", keep: tuple[str, ...] = ("document_id", "page_number")) -> DataFrame:

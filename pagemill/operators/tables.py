@@ -144,5 +144,6 @@ def records(tables: DataFrame) -> DataFrame:
 
 def last_wins(pairs: Column) -> Column:
     """A map from pairs (k, v) in which the last value of a key counts, at its first place."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
+    value = lambda ps, k: F.element_at(F.filter(ps, lambda p: p["k"] == k), -1)["v"]
+    of = lambda ps, keys: F.map_from_arrays(keys, F.transform(keys, lambda k: value(ps, k)))
+    return T.once(pairs, lambda ps: T.once(F.array_distinct(F.transform(ps, lambda p: p["k"])), lambda keys: of(ps, keys)))
