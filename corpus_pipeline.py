@@ -21,7 +21,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Ids are keys here: rows that repeat an id stay or go together.
     """
-    found = jaccard.join(docs)
+    found = jaccard.join(docs, links_too=False)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(shared.cut(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
 

@@ -7,7 +7,9 @@
 3. Groups that share a prefix shingle are filtered by size and position. A short list of groups gives all its
    pairs; a long one first gives pairs with its most central group only. Pairs are verified on whole sets.
 4. After connected components are known, what long lists and groups of several nodes leave over (pairs in
-   different components) is expanded and verified. Pairs inside a component cannot change the result.
+   different components) is expanded and verified. Pairs inside a component cannot change the components.
+5. Every link lies inside a component. So that all are counted, all pairs of a component of more than two nodes are
+   compared, in blocks; only each node's number of links leaves a task.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ BLOCK, MOST_BLOCK = 256, 4096
 BAND = 1.26
 #: Shingles held by a task before it passes them on; most slots of the level table (bytes of memory); partners in a verifying task.
 FLUSH, MOST_BITS, PARTNERS = 3_000_000, 26, 256
+#: Shingles in a block of a component, about.
+BLOCK_SHINGLES = 1 << 20
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _K = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -169,14 +173,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, row_id: str, text: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough."""
+def _sets(docs: DataFrame, needed: DataFrame, row_id: str, text: str) -> DataFrame:
+    """node and hashes (its set, packed) of the needed nodes (node, least_id)."""
     import pyarrow as pa
 
     spark = docs.sparkSession
-    pairs = shared.cut(pairs.distinct(), "pairs")
-    slices = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("slices"))
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "least_id"), "node")
     # A bitmap of fixed size says which rows can be needed, so that only their sets are moved.
     width = 1 << 16
     slot = F.pmod(F.xxhash64(F.col("least_id")), F.lit(1 << 25)).cast("int")
@@ -204,7 +205,15 @@ def _verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, row_id: str, te
 
     slot = F.pmod(F.xxhash64(F.col(row_id)), F.lit(1 << 25)).cast("int")
     own = docs.where(F.col(row_id).isNotNull()).select(text, slot.alias("slot")).mapInArrow(sets, "node bigint, hashes binary")
-    own = shared.cut(own.join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    return shared.cut(own.join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+
+def _verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, row_id: str, text: str) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough."""
+    pairs = shared.cut(pairs.distinct(), "pairs")
+    slices = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("slices"))
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "least_id"), "node")
+    own = _sets(docs, needed, row_id, text)
     left = slices.join(own.toDF("a", "hashes"), "a").select(F.col("a").alias("one"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice1"), "hashes")
     right = pairs.join(slices, "a").select(F.col("a").alias("many"), "b", F.pmod(F.hash("b"), F.col("slices")).alias("slice2"))
     right = right.join(own.toDF("b", "hashes"), "b").select("many", "slice2", "b", "hashes")
@@ -228,6 +237,49 @@ def _verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, row_id: str, te
     return shared.cut(left.groupBy("one", "slice1").cogroup(right.groupBy("many", "slice2")).applyInPandas(check, "a bigint, b bigint"), "links")
 
 
+def _all_links(docs: DataFrame, comps: DataFrame, nodes: DataFrame, row_id: str, text: str) -> DataFrame:
+    """node and n_links (how many other nodes it links with) of every node of comps.
+
+    The two nodes of a pair have one link. A larger component is cut into blocks and each pair of blocks is a group of
+    its own, which compares all its pairs that pass the size filter; no group holds a whole component.
+    """
+    inside = shared.cut(comps.join(nodes.select("node", "n", "least_id"), "node"), "inside")
+    sizes = inside.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    block = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(BLOCK), F.ceil(F.col("members") / 16)))
+    blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    inside = shared.cut(inside.join(shared.cut(sizes.select("component", "members", blocks.alias("blocks")), "sizes"), "component"), "inside")
+    more = inside.where("members > 2")
+    own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = more.join(_sets(docs, more.select("node", "least_id"), row_id, text), "node").select("component", "node", "hashes", own.alias("own"), other.alias("other"))
+    dealt = dealt.select("component", "node", "hashes", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+
+    def count(key, frame):
+        import pandas as pd
+
+        sets = [_widen(d, 6) for d in frame["hashes"]]
+        n = np.array([len(x) for x in sets])
+        order = np.argsort(n, kind="stable")
+        n, sets, home = n[order], [sets[i] for i in order], frame["own"].to_numpy()[order]
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        at = np.concatenate([[0], np.cumsum(n)])
+        there, times = np.zeros(int(ids.max()) + 1, np.int32), np.zeros(len(n), np.int64)
+        for i in range(len(n) - 1):
+            # Rising sizes: beyond this row no set is small enough to link with this one.
+            end = int(np.searchsorted(PERCENT * n, 100 * n[i], "right"))
+            if end > i + 1:
+                there[ids[at[i] : at[i + 1]]] = 1
+                both = np.add.reduceat(there[ids[at[i + 1] : at[end]]], at[i + 1 : end] - at[i + 1])
+                there[ids[at[i] : at[i + 1]]] = 0
+                good = (100 * both >= PERCENT * (n[i] + n[i + 1 : end] - both)) & ((home[i + 1 : end] != home[i]) | (key[1] == key[2]))
+                times[i] += np.count_nonzero(good)
+                times[i + 1 : end] += good
+        return pd.DataFrame({"node": frame["node"].to_numpy()[order], "n_links": times})
+
+    counted = dealt.groupBy("component", "one", "two").applyInPandas(count, "node bigint, n_links bigint")
+    counted = counted.union(inside.where("members = 2").select("node", F.lit(1).cast("long").alias("n_links")))
+    return counted.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
+
 def _close(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray) -> np.ndarray:
     """Size and position filters on a shared shingle; n: sizes, p: its places in the two prefixes."""
     small, large = np.minimum(n1, n2), np.maximum(n1, n2)
@@ -235,10 +287,10 @@ def _close(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray) -> np
     return (100 * small >= PERCENT * large) & (place < index_size(small)) & (np.minimum(n1 - p1, n2 - p2) >= overlap_needed(n1, n2))
 
 
-def join(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+def join(docs: DataFrame, row_id: str = "doc_id", text: str = "text", links_too: bool = True) -> DataFrame:
     """row_id, n_shingles, component_id (smallest row_id reachable by links, its own included) and n_links of every row.
 
-    n_links counts what was verified for the row's set (enough to connect its component), not all its partners.
+    n_links is the number of other sets that the row's set links with; it is left out where links_too is not set.
     Null, empty and blank texts have no shingles and link with nothing. Rows with equal sets are one node, so
     copies cost nothing. Repeated ids are rows of their own. A row with a null id has no component unless a row
     with an id has the same set. row_id has to be an integer. Other columns are ignored; empty tables give empty results.
@@ -346,13 +398,14 @@ def join(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFra
         comps = components(links)
     ids = nodes.join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least_id")
     least = ids.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = _all_links(docs, comps, nodes, row_id, text) if links_too else nodes.select("node", F.lit(0).alias("n_links"))
     # Written out, so that the join below has fresh sides and a node with many rows can be split.
     final = shared.cut(ids.join(least, "component").join(degree, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "final")
     named = all_rows.where("n > 0").join(final, "node", "left")
     out = [F.col(row_id), F.col("n").alias("n_shingles"), F.col("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
     none = all_rows.where("n = 0").select(row_id, F.col("n").alias("n_shingles"), F.col(row_id).cast("long").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return named.select(*out).unionByName(none)
+    result = named.select(*out).unionByName(none)
+    return result if links_too else result.drop("n_links")
 
 
 def _across(entries: DataFrame) -> DataFrame:

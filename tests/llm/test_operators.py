@@ -91,6 +91,27 @@ def test_jaccard_against_brute_force(spark, edits, block, monkeypatch):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("block", [8, 256])
+def test_jaccard_counts_all_links(spark, block, monkeypatch):
+    """Groups below and above the length of a short list, some members of which do not link with each other, and copies."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "MOST_BLOCK", block)
+    rng = random.Random(9)
+    rows = []
+    for size, edits in ((2, 1), (3, 1), (16, 1), (17, 1), (60, 2)):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+        for _ in range(size):
+            own = list(base)
+            for _ in range(rng.randrange(edits + 1)):
+                own[rng.randrange(90)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own[rng.randrange(3) :])))
+    rows += [(1000, rows[-1][1]), (1001, rows[5][1]), (1002, "alone it stands"), (1003, None)]
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []) for i, w in ((i, (t or "").split()) for i, t in rows)}
+    want = {i: sum(x != y and bool(x) and bool(y) and 100 * len(x & y) >= 80 * len(x | y) for y in set(sets.values())) for i, x in sets.items()}
+    found = jaccard.join(docs(spark, [(i, t, "s") for i, t in rows]))
+    assert {r.doc_id: r.n_links for r in found.collect()} == want and max(want.values()) > 16
+
+
 def test_jaccard_blocks(spark, monkeypatch):
     """Every pair of a list that passes the filters comes from exactly one pair of blocks."""
     rng = np.random.default_rng(1)
