@@ -21,6 +21,8 @@ from . import shared, vectors
 SAMPLE, BRANCHES, LEAF_ROWS, MOST_LEAVES, TASK_VECTORS = 20_000, 8, 512, 1_024, 4_096
 #: Queries to calibrate with, and the mean recall that they have to reach.
 CALIBRATION, RECALL = 128, 0.96
+#: Candidates scored exactly at once, about.
+SCORED = 1 << 15
 
 
 class Tree:
@@ -92,18 +94,26 @@ def _local(ids: np.ndarray, x: np.ndarray, asks: np.ndarray, y: np.ndarray, k: i
     if seen is not None:
         s[~seen] = -np.inf
     s[asks[:, None] == ids[None, :]] = -np.inf
-    more = min(k + 8, len(ids))
-    top = np.argpartition(-s, more - 1, axis=1)[:, :more] if more < len(ids) else np.tile(np.arange(len(ids)), (len(asks), 1))
-    who = np.repeat(np.arange(len(asks)), more)
-    at = top.ravel()
-    ok = np.isfinite(s[who, at])
-    who, at = who[ok], at[ok]
-    score = _exact(x[at], y[who])
-    order = np.lexsort((ids[at], -score, who))
-    who, at, score = who[order], at[order], score[order]
-    place = np.arange(len(who)) - np.searchsorted(who, who)
-    keep = place < k
-    return who[keep], at[keep], score[keep]
+    # All candidates that can be among the k best: any number of vectors can share the score at the cut.
+    live = np.isfinite(s)
+    if k < len(ids):
+        least = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+        size = np.sqrt((x * x).sum(axis=1).max(initial=0.0) * (y * y).sum(axis=1))
+        live &= s >= (least - 4 * x.shape[1] * np.finfo(float).eps * size)[:, None]
+    out, first = [], 0
+    upto = np.cumsum(live.sum(axis=1))
+    while first < len(asks):
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + SCORED, "right")))
+        who, at = np.nonzero(live[first:last])
+        who += first
+        score = _exact(x[at], y[who])
+        order = np.lexsort((ids[at], -score, who))
+        who, at, score = who[order], at[order], score[order]
+        keep = np.arange(len(who)) - np.searchsorted(who, who) < k
+        out.append((who[keep], at[keep], score[keep]))
+        first = last
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(c) for c in zip(none, *out))
 
 
 def search(rows: DataFrame, every: int, k: int, row_id: str = "vec_id", column: str = "embedding", recall: float = RECALL) -> DataFrame:
@@ -164,7 +174,7 @@ def search(rows: DataFrame, every: int, k: int, row_id: str = "vec_id", column:
                 new = np.stack([who, leaf[at], ids[at]]), score
                 if held is not None:
                     new = np.concatenate([held[0], new[0]], axis=1), np.concatenate([held[1], new[1]])
-                    o = np.lexsort((-new[1], new[0][0]))
+                    o = np.lexsort((new[0][2], -new[1], new[0][0]))
                     new = new[0][:, o], new[1][o]
                     keep = np.arange(len(o)) - np.searchsorted(new[0][0], new[0][0]) < k
                     new = new[0][:, keep], new[1][keep]

@@ -169,6 +169,24 @@ def test_approximate_search(spark):
     assert ann.search(df.where("false"), 20, 20).count() == 0
 
 
+def test_approximate_search_ties(spark):
+    """Of 100 equal vectors, those with the smallest ids are the nearest ones."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 8))
+    x[100:200] = x[100] * 3
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.search(df, 20, 20).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    tied = 0
+    for q in range(0, 300, 20):
+        s = (x * x[q]).sum(axis=1)
+        want = [i for i in np.lexsort((np.arange(300), -s)).tolist() if i != q][:20]
+        tied += len(set(want) & set(range(100, 200))) > 1
+        assert got[q] == want
+    assert tied
+
+
 def test_surrogates(spark):
     texts = ["Mail bob.smith@corp.example.org, +1 (017) 555-7713 or 017-555-7713.", "Mr. John Smith and Mrs. Anna Smith, card 4111 1111 1111 1111, 10.2.3.4, 999.1.2.3", None, "", 'key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" BOB.SMITH@CORP.EXAMPLE.ORG 1234567812345678', "clean text, nothing here", "4111111111111111"]
     df = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
