@@ -38,6 +38,8 @@ SYLLABLES = {
 #: Ends of surrogate names: male and female given names, given names of either, family names.
 ENDS = {"latin": ["n", "lia", "r", "ski"], "devanagari": ["न", "वती", "र", "कर"], "cyrillic": ["н", "лия", "р", "ский"]}
 ROUNDS = 64
+#: Attempts in the form of the entity alone; after them its surrogates grow with the attempt.
+PLAIN = 3
 
 
 def _kind(hit: Column) -> Column:
@@ -113,14 +115,23 @@ def _draw(secret: str) -> Column:
     labels = F.split(host, r"\.")
     # All labels but the last two are swapped; then a reserved domain and the same top level.
     inner = F.array_join(F.transform(F.slice(labels, 1, F.greatest(F.size(labels) - 2, F.lit(0))), lambda x: swapped(x, 9)), ".")
-    email = F.concat(swapped(F.substr(value, F.lit(1), at - 1), 1), F.lit("@"), F.when(F.length(inner) > 0, F.concat(inner, F.lit("."))).otherwise(""), F.lit("example."), F.element_at(labels, -1))
+    # A local part can be short: later attempts have one more label, of as many letters as it takes.
+    grown = F.greatest(F.col("attempt") - (PLAIN - 1), F.lit(0))
+    label = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.least(grown, F.lit(16)), F.lit(1))), lambda i: F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), _number(h, 120 + 6 * i, 26) + 1, F.lit(1))), "")
+    label = F.when(grown > 0, F.concat(label, F.lit("."))).otherwise("")
+    email = F.concat(swapped(F.substr(value, F.lit(1), at - 1), 1), F.lit("@"), label, F.when(F.length(inner) > 0, F.concat(inner, F.lit("."))).otherwise(""), F.lit("example."), F.element_at(labels, -1))
     first = F.when(value.rlike("^4"), F.substr(value, F.lit(1), F.lit(1))).otherwise(F.substr(value, F.lit(1), F.lit(2)))
-    body = F.concat(first, F.substr(decimal, F.lit(1), n - F.length(first) - 1))
+    # Numbers get more digits; a card has 19 at most.
+    more = F.least(grown, F.lit(16))
+    body = F.concat(first, F.substr(decimal, F.lit(1), n - F.length(first) - 1 + F.greatest(F.least(more, 19 - n), F.lit(0))))
     card = F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
-    phone = F.concat((2 + _number(h, F.lit(100), 8)).cast("string"), F.substr(decimal, F.lit(1), n - 1))
+    phone = F.concat((2 + _number(h, F.lit(100), 8)).cast("string"), F.substr(decimal, F.lit(1), n - 1 + more))
     octet = lambda i: _number(h, F.lit(1 + 6 * i), 256).cast("string")
+    # The small private range gives way to a larger one, and every range to the reserved one in the end.
     address = (
-        F.when(value.startswith("10."), F.concat_ws(".", F.lit("10"), octet(1), octet(2), octet(3)))
+        F.when(grown > 3, F.concat_ws(".", (240 + _number(h, F.lit(1), 15)).cast("string"), octet(1), octet(2), octet(3)))
+        .when(value.startswith("192.168.") & (grown > 0), F.concat_ws(".", F.lit("172"), (16 + _number(h, F.lit(7), 16)).cast("string"), octet(2), octet(3)))
+        .when(value.startswith("10."), F.concat_ws(".", F.lit("10"), octet(1), octet(2), octet(3)))
         .when(value.startswith("192.168."), F.concat_ws(".", F.lit("192"), F.lit("168"), octet(2), octet(3)))
         .otherwise(F.concat_ws(".", (11 + _number(h, F.lit(1), 112)).cast("string"), octet(1), octet(2), octet(3)))
     )
@@ -138,7 +149,7 @@ def _draw(secret: str) -> Column:
         .when(kind == "secret", F.substr(h, F.lit(1), n))
         .when(kind == "address", address)
         .when(kind == "phone", phone)
-        .when(kind == "social", F.concat(F.lit("9"), F.substr(decimal, F.lit(1), n - 1)))
+        .when(kind == "social", F.concat(F.lit("9"), F.substr(decimal, F.lit(1), n - 1 + more)))
         .when(kind == "card", card)
         .otherwise(names)
     )
@@ -169,9 +180,10 @@ def surrogates(entities: DataFrame, secret: str) -> DataFrame:
 def _written(kind: Column, form: Column, surrogate: Column) -> Column:
     """The surrogate in the form of the entity it stands for: its punctuation, country code and case."""
     digits = F.regexp_replace(form, r"\D", "")
-    new = F.concat(F.substr(digits, F.lit(1), F.length(digits) - F.length(surrogate)), surrogate)
+    new = F.concat(F.substr(digits, F.lit(1), F.greatest(F.length(digits) - F.length(surrogate), F.lit(0))), surrogate)
     gaps = F.split(form, r"\d", -1)
-    placed = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.substr(new, i + 1, F.lit(1)))), "")
+    # A surrogate with more digits than the entity has the rest of them at its end.
+    placed = F.concat(F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.substr(new, i + 1, F.lit(1)))), ""), F.substr(new, F.size(gaps) + 1))
     upper = (form == F.upper(form)) & (form != F.lower(form))
     titled = F.concat(F.upper(F.substr(surrogate, F.lit(1), F.lit(1))), F.substr(surrogate, F.lit(2)))
     return (

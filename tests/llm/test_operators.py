@@ -210,6 +210,27 @@ def test_surrogates_stay_distinct(spark):
     assert len({r.surrogate for r in table}) == len(values) and not {r.surrogate for r in table} & {v[0] for v in values}
 
 
+@pytest.mark.parametrize(("kind", "values"), [("email", [f"{'abcdefghij'[i % 10]}@d{i}.com" for i in range(1000)]), ("address", [f"192.168.{i // 256}.{i % 256}" for i in range(50_000)])])
+def test_surrogates_of_short_entities(spark, kind, values):
+    """More distinct entities than there are surrogates of their length, or in their range."""
+    table = pii.surrogates(spark.createDataFrame([(v,) for v in values], "value string").select(F.lit(kind).alias("kind"), "value"), "k").collect()
+    new = {r.surrogate for r in table}
+    assert len(table) == len(new) == len(values) and not new & set(values)
+    form = {"email": r"[a-z]@([a-z]+\.)?example\.com", "address": r"(192\.168|172\.(1[6-9]|2\d|3[01])|2(4\d|5[0-4])\.\d+)\.\d+\.\d+"}
+    assert all(re.fullmatch(form[kind], x) for x in new)
+
+
+def test_longer_numbers(spark):
+    """Digits beyond the entity's own come at its end; one of its own length takes its places."""
+    rows = [("phone", "+1 017-555-7713", "2345678901"), ("phone", "017-555-7713", "234567890199"), ("social", "123-45-6789", "9876543210")]
+    got = spark.createDataFrame(rows, "kind string, form string, new string").select(pii._written(F.col("kind"), F.col("form"), F.col("new")))
+    assert [r[0] for r in got.collect()] == ["+1 234-567-8901", "234-567-890199", "987-65-43210"]
+    attempts = spark.createDataFrame([("card", "4111111111111111", i) for i in range(30)], "kind string, value string, attempt int")
+    for (x,) in attempts.select(pii._draw("k")).collect():
+        d = [int(c) for c in x][::-1]
+        assert len(d) <= 19 and (sum(d[::2]) + sum(sum(divmod(2 * c, 10)) for c in d[1::2])) % 10 == 0
+
+
 def test_quality_and_toxicity(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("aeiounrst") for _ in range(rng.randrange(2, 9)))
