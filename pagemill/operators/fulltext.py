@@ -103,7 +103,8 @@ def tokens(index: DataFrame) -> DataFrame:
     return index.withColumn("tokens", _tokens("text"))
 
 
-def match(index: DataFrame, query: str, limit: int = 500) -> DataFrame:
+def match(index: DataFrame, query: str) -> DataFrame:
+    """All hits; search.ordered() puts them in the order in which a limit cuts."""
     if "tokens" not in index.columns:
         index = tokens(index)
     terms = [t for word in index_terms(query.rstrip("*")) for t in fold(word)]
@@ -112,7 +113,7 @@ def match(index: DataFrame, query: str, limit: int = 500) -> DataFrame:
     for t in terms:
         index = index.where(F.exists("tokens", lambda x: x.startswith(t)))  # noqa: B023
     snippet = snippets.window(F.col("text"), F.lit(terms[0]))
-    return index.select(snippet.alias("text"), "page_number", "category_name", snippet.alias("context_snippet"), "record_id", F.lit(50.0).alias("rank"), F.lit("Full Text").alias("match_field"), "document_id").limit(limit)
+    return index.select(snippet.alias("text"), "page_number", "category_name", snippet.alias("context_snippet"), "record_id", F.lit(50.0).alias("rank"), F.lit("Full Text").alias("match_field"), "document_id")
 
 
 def clear(index: DataFrame, document_id: int) -> DataFrame:

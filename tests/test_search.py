@@ -55,6 +55,21 @@ def test_full_text_is_the_fallback(spark):
     assert search.search(rows, empty, cats, "walks", index=index).count() == 0
 
 
+def test_full_text_gives_all_hits(spark):
+    """Against brute force, with more hits than a search returns; the search returns the first of them by page."""
+    texts = ["they were running there", "the runs", "a run alone", "nothing"]
+    rows = records(spark, [(1 + i * 7 % 1000, {}, texts[i % 4]) for i in range(2000)]).repartition(7)
+    pages = spark.createDataFrame([(2, i, texts[i % 4], None) for i in range(200)], "document_id bigint, page_number int, raw_text string, processed_text string")
+    cats = spark.createDataFrame([], CATEGORY)
+    index = fulltext.build(rows, pages, cats)
+    want = [r for r in index.collect() if all(any(t.startswith(p) for t in fulltext.fold(r.text)) for p in ("run", "the"))]
+    key = lambda r: (r.page_number, r.record_id or 0, r.document_id)
+    got = fulltext.match(index, "runs the").collect()
+    assert sorted(map(key, got)) == sorted(map(key, want)) and len(got) == 1100
+    found = search.search(rows, pages, cats, "runned the", index=index)
+    assert [key(r) for r in found.collect()] == sorted(map(key, want))[:500]
+
+
 def test_query_side():
     assert variants("12") == ["12", "१२"] and variants("") == []
     assert scope_of("Voter ID") == "voter_id" and scope_of("Name") == "name" and scope_of("Exact") == "exact" and scope_of("All Fields") == "all"
