@@ -19,15 +19,24 @@ FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|Doñ
 NEUTRAL = "Dr|Prof"
 _WORD = r"[\p{Lu}\p{Lo}][\p{L}\p{M}'’-]*+"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]{0,63}+@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,62})\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])"
+#: Key blocks, tokens by the prefixes that their issuers document, bare hexadecimal keys.
+BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----[A-Za-z0-9+/=\s:,.-]{1,16384}?-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+_ISSUED = r"(?:sk-|rk-|(?:sk|pk|rk)_(?:live|test)_|gh[oprsu]_|github_pat_|glpat-|xox[abeprs]-|AKIA|ASIA|AIza|eyJ)"
+TOKEN = rf"(?<![A-Za-z0-9_-]){_ISSUED}[A-Za-z0-9_-]{{16,512}}(?:\.[A-Za-z0-9_-]{{4,2048}}){{0,2}}+(?![A-Za-z0-9_-])"
 SECRET = r"(?<![A-Za-z0-9])(?=[a-f0-9]*[0-9])(?:[a-f0-9]{32,128}|[A-F0-9]{32,128})(?![A-Za-z0-9])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+_HEX = "[0-9A-Fa-f]{1,4}"
+LONG_ADDRESS = rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|{_HEX}(?::{_HEX}){{0,5}}::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![\w:])"
 ADDRESS = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"
-PHONE = r"(?<![\p{L}\d+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<![\d+])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\d.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])"
+_CALL = r"(?<=(?:tel|phone|mobile|cell|call|fax|Tel|Phone|Mobile|Cell|Call|Fax|TEL)[.:]{0,2} {0,2})"
+PHONE = rf"(?<![\p{{L}}\d+])\+\d{{1,3}}[ .-]?\(?\d{{1,4}}\)?[ .-]?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,3}}(?!\d)|(?<![\d+])\(\d{{3}}\) ?\d{{3}}[-. ]\d{{4}}(?!\d)|(?<![\d.-])\d{{3}}[-.]\d{{3}}[-.]\d{{4}}(?![\d-])|{_CALL}\d{{10}}(?!\d)"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"
+#: In one piece or in the groups that cards have, so that a number before a card is not taken for its beginning.
+CARD = r"(?<![\d.-])(?:\d{13,19}|\d{4}(?<gap>[ -])\d{4}\k<gap>\d{4}\k<gap>\d{1,4}|\d{4}(?<wide>[ -])\d{6}\k<wide>\d{4,5})(?![\d-])"
 NAME = rf"(?<![\p{{L}}\p{{M}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.?+ {_WORD}(?: {_WORD}){{0,2}}"
-PATTERN = "|".join((EMAIL, SECRET, ADDRESS, PHONE, SOCIAL, CARD, NAME))
-#: Every entity has a digit, an at sign or a title; other texts are passed on at once.
-QUICK = rf"[0-9\p{{Nd}}@]|(?:{MALE}|{FEMALE}|{NEUTRAL})\.? "
+PATTERN = "|".join((EMAIL, BLOCK, TOKEN, SECRET, IBAN, LONG_ADDRESS, ADDRESS, PHONE, SOCIAL, CARD, NAME))
+#: Every entity has a digit, an at sign, a colon twice, an issuer's prefix or a title; other texts are passed on at once.
+QUICK = rf"[0-9\p{{Nd}}@]|::|{_ISSUED}|PRIVATE KEY|(?:{MALE}|{FEMALE}|{NEUTRAL})\.? "
 
 #: Syllables of surrogate names, by script (fixed values, to be read in step: equal places sound alike).
 SYLLABLES = {
@@ -49,17 +58,32 @@ def _kind(hit: Column) -> Column:
     return (
         F.when(hit.contains("@"), "email")
         .when(hit.rlike(rf"^(?:{MALE}|{FEMALE}|{NEUTRAL})[. ]"), "name")
+        .when(hit.startswith("-----"), "block")
+        .when(hit.rlike(f"^{_ISSUED}"), "token")
         .when(hit.rlike("^[0-9a-fA-F]{32,128}$"), "secret")
+        .when(hit.rlike("^[A-Z]{2}[0-9]"), F.when((F.length(_bare(hit)) >= 15) & (_mod97(_bare(hit)) == 1), "iban"))
+        .when(hit.contains(":"), F.when(hit.rlike("[0-9]"), "long_address"))
         .when(hit.rlike(rf"^{ADDRESS}$"), F.when(F.forall(octets, lambda x: x <= 255), "address"))
         .when(hit.rlike(rf"^(?:{SOCIAL})$"), "social")
-        .when(hit.rlike(r"^[+(]|^\d{3}[-.]\d{3}[-.]\d{4}$"), F.when(F.length(digits).between(9, 15), "phone"))
+        .when(hit.rlike(r"^[+(]|^\d{3}[-.]\d{3}[-.]\d{4}$|^\d{10}$"), F.when(F.length(digits).between(9, 15), "phone"))
         .when(F.length(digits).between(13, 19) & issuer & (_luhn(digits) == 0), "card")
     )
 
 
+def _bare(form: Column) -> Column:
+    return F.replace(form, F.lit(" "), F.lit(""))
+
+
+def _mod97(account: Column) -> Column:
+    """The remainder that is 1 for a valid account number: its first four characters go last, letters count from 10."""
+    turned = F.concat(F.substr(account, F.lit(5)), F.substr(account, F.lit(1), F.lit(4)))
+    place = F.transform(F.split(turned, r"(?!^)(?!\z)"), lambda c: F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1)
+    return F.aggregate(place, F.lit(0), lambda a, v: (a * F.when(v > 9, 100).otherwise(10) + v) % 97)
+
+
 def _luhn(digits: Column) -> Column:
     """The Luhn sum modulo 10, the last digit counting once."""
-    d = F.transform(F.split(F.reverse(digits), "(?!^)(?!$)"), lambda x, i: F.when(i % 2 == 0, x.cast("int")).otherwise(x.cast("int") * 2 - F.when(x.cast("int") > 4, 9).otherwise(0)))
+    d = F.transform(F.split(F.reverse(digits), r"(?!^)(?!\z)"), lambda x, i: F.when(i % 2 == 0, x.cast("int")).otherwise(x.cast("int") * 2 - F.when(x.cast("int") > 4, 9).otherwise(0)))
     return F.aggregate(d, F.lit(0), lambda a, x: a + x) % 10
 
 
@@ -78,7 +102,7 @@ def _parts(hit: Column, kind: Column) -> Column:
     given = F.when(title.rlike(f"^(?:{MALE})$"), "male").when(title.rlike(f"^(?:{FEMALE})$"), "female").otherwise("given")
     part = lambda k, v, form: F.struct(k.alias("kind"), v.alias("value"), form.alias("form"))
     names = F.transform(words, lambda w, i: part(F.when(i == 0, "title").when((i == 1) & (F.size(words) > 2), given).otherwise("family"), F.when(i == 0, w).otherwise(F.lower(w)), w))
-    value = F.when(kind.isin("email", "secret"), F.lower(hit)).when(kind == "phone", F.right(digits, F.lit(10))).when(kind.isin("card", "social"), digits).otherwise(hit)
+    value = F.when(kind.isin("email", "secret", "long_address"), F.lower(hit)).when(kind == "iban", _bare(hit)).when(kind == "phone", F.right(digits, F.lit(10))).when(kind.isin("card", "social"), digits).otherwise(hit)
     return F.when(kind == "name", names).otherwise(F.array(part(kind, value, hit)))
 
 
@@ -100,9 +124,10 @@ def _draw(secret: str) -> Column:
     n = F.length(value)
     swapped = lambda text, salt: F.array_join(
         F.transform(
-            F.split(text, "(?!^)(?!$)"),
+            F.split(text, r"(?!^)(?!\z)"),
             lambda c, i: F.when(c.rlike("[0-9]"), F.substr(decimal, i % 240 + salt, F.lit(1)))
             .when(c.rlike("[a-z]"), F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), _number(h, i % 240 + salt, 26) + 1, F.lit(1)))
+            .when(c.rlike("[A-Z]"), F.substr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _number(h, i % 240 + salt, 26) + 1, F.lit(1)))
             .when(c.rlike(r"\p{IsCyrillic}"), F.substr(F.lit("абвгдежзиклмнопрстуфхцчшщэюя"), _number(h, i % 240 + salt, 28) + 1, F.lit(1)))
             .when(c.rlike(r"\p{IsDevanagari}"), F.substr(F.lit("कखगघचछजझटठडढणतथदधनपफबभमयरलवशसह"), _number(h, i % 240 + salt, 31) + 1, F.lit(1)))
             .when(c.rlike(r"\p{L}"), F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), _number(h, i % 240 + salt, 26) + 1, F.lit(1)))
@@ -128,14 +153,24 @@ def _draw(secret: str) -> Column:
     phone = F.concat((2 + _number(h, F.lit(100), 8)).cast("string"), F.substr(decimal, F.lit(1), n - 1 + more))
     octet = lambda i: _number(h, F.lit(1 + 6 * i), 256).cast("string")
     # The small private range gives way to a larger one, and every range to the reserved one in the end.
+    # More distinct addresses than the short form has are written in the long form's documentation range.
+    group = lambda i: F.substr(h, F.lit(1 + 4 * i), F.lit(4))
+    long_address = F.concat_ws(":", F.lit("2001:db8"), *[group(i) for i in range(6)])
     address = (
-        F.when(grown > 3, F.concat_ws(".", (240 + _number(h, F.lit(1), 15)).cast("string"), octet(1), octet(2), octet(3)))
+        F.when(grown > 8, long_address)
+        .when(grown > 3, F.concat_ws(".", (240 + _number(h, F.lit(1), 15)).cast("string"), octet(1), octet(2), octet(3)))
         .when(value.startswith("192.168.") & (grown > 0), F.concat_ws(".", F.lit("172"), (16 + _number(h, F.lit(7), 16)).cast("string"), octet(2), octet(3)))
         .when(value.startswith("10."), F.concat_ws(".", F.lit("10"), octet(1), octet(2), octet(3)))
         .when(value.startswith("192.168."), F.concat_ws(".", F.lit("192"), F.lit("168"), octet(2), octet(3)))
         .otherwise(F.concat_ws(".", (11 + _number(h, F.lit(1), 112)).cast("string"), octet(1), octet(2), octet(3)))
     )
     script = _script(value)
+    issued = F.regexp_extract(value, rf"^{_ISSUED}", 0)
+    token = F.concat(issued, swapped(F.substr(value, F.length(issued) + 1), 1))
+    head, tail = F.regexp_extract(value, "^-----[^-]*-----", 0), F.regexp_extract(value, "-----[^-]*-----$", 0)
+    block = F.concat(head, swapped(F.substr(value, F.length(head) + 1, n - F.length(head) - F.length(tail)), 1), tail)
+    country, account = F.substr(value, F.lit(1), F.lit(2)), swapped(F.substr(value, F.lit(5)), 1)
+    iban = F.concat(country, F.lpad((98 - _mod97(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0"), account)
 
     def name(script_: str) -> Column:
         syllables, ends = F.array(*[F.lit(x) for x in SYLLABLES[script_]]), F.array(*[F.lit(x) for x in ENDS[script_]])
@@ -147,7 +182,11 @@ def _draw(secret: str) -> Column:
     return (
         F.when(kind == "email", email)
         .when(kind == "secret", F.substr(h, F.lit(1), n))
+        .when(kind == "token", token)
+        .when(kind == "block", block)
+        .when(kind == "iban", iban)
         .when(kind == "address", address)
+        .when(kind == "long_address", long_address)
         .when(kind == "phone", phone)
         .when(kind == "social", F.concat(F.lit("9"), F.substr(decimal, F.lit(1), n - 1 + more)))
         .when(kind == "card", card)
@@ -156,11 +195,15 @@ def _draw(secret: str) -> Column:
 
 
 #: Kinds whose surrogates must differ from each other.
-_SPACE = "CASE WHEN kind IN ('male', 'female', 'given', 'family') THEN 'name' ELSE kind END"
+_SPACE = "CASE WHEN kind IN ('male', 'female', 'given', 'family') THEN 'name' WHEN kind = 'long_address' THEN 'address' ELSE kind END"
 
 
 def surrogates(entities: DataFrame, secret: str) -> DataFrame:
-    """entities (kind, value; distinct) with surrogate, no two of which are equal and none of which is a value."""
+    """entities (kind, value; distinct) with surrogate, no two of which are equal and none of which is a value.
+
+    What collides is drawn again; after some attempts in the entity's own form the surrogates grow with the attempt,
+    so there are more of them than entities.
+    """
     drawn = shared.cut(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", _draw(secret)).withColumn("space", F.expr(_SPACE)), "drawn")
     for _ in range(ROUNDS):
         order = F.struct("attempt", "value", "kind")
@@ -170,11 +213,13 @@ def surrogates(entities: DataFrame, secret: str) -> DataFrame:
         again = F.coalesce("real", F.lit(False)) | (F.col("keeps").isNotNull() & (F.col("keeps") != order))
         marked = shared.cut(marked.select("kind", "value", "attempt", "surrogate", "space", again.alias("again")), "drawn")
         if not marked.where("again").limit(1).count():
+            shared.forget(marked)
             return drawn.select("kind", "value", "surrogate")
         redrawn = marked.withColumn("attempt", F.col("attempt") + F.col("again").cast("int")).withColumn("new", _draw(secret))
-        drawn = redrawn.select("kind", "value", "attempt", F.when(F.col("again"), F.col("new")).otherwise(F.col("surrogate")).alias("surrogate"), "space")
-        drawn = shared.cut(drawn, "drawn")
-    raise RuntimeError("more distinct entities of a kind than it has surrogates")
+        redrawn = redrawn.select("kind", "value", "attempt", F.when(F.col("again"), F.col("new")).otherwise(F.col("surrogate")).alias("surrogate"), "space")
+        before, drawn = drawn, shared.cut(redrawn, "drawn")
+        shared.forget(before, marked)
+    raise RuntimeError("surrogates still collide after the last round")
 
 
 def _written(kind: Column, form: Column, surrogate: Column) -> Column:
@@ -185,45 +230,76 @@ def _written(kind: Column, form: Column, surrogate: Column) -> Column:
     # A surrogate with more digits than the entity has the rest of them at its end.
     placed = F.concat(F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.substr(new, i + 1, F.lit(1)))), ""), F.substr(new, F.size(gaps) + 1))
     upper = (form == F.upper(form)) & (form != F.lower(form))
+    spaced = F.array_join(F.transform(F.split(form, r"(?!^)(?!\z)"), lambda c, i: F.when(c == " ", c).otherwise(F.substr(surrogate, i + 1 - F.length(F.regexp_replace(F.substr(form, F.lit(1), i), "[^ ]", "")), F.lit(1)))), "")
     titled = F.concat(F.upper(F.substr(surrogate, F.lit(1), F.lit(1))), F.substr(surrogate, F.lit(2)))
     return (
         F.when(kind.isin("phone", "card", "social"), placed)
         .when(kind.isin("male", "female", "given", "family"), F.when(upper & (F.length(form) > 1), F.upper(surrogate)).otherwise(titled))
-        .when(upper & kind.isin("email", "secret"), F.upper(surrogate))
+        .when(upper & kind.isin("email", "secret", "long_address"), F.upper(surrogate))
+        .when(kind == "iban", spaced)
         .otherwise(surrogate)
     )
 
 
+#: Bits of the filter that says which texts may hold entities: at least, at most (32 MB), and for each text that does.
+LEAST_BITS, MOST_BITS, BITS_EACH = 16, 28, 16
+
+
+def _filter(hashes: DataFrame, n: int) -> tuple[DataFrame, Column, Column]:
+    """A filter of fixed size over hashes (h): its table (slice, words), the slice of __pii_h, and the test of it."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (n * BITS_EACH).bit_length()))
+    slot = lambda h: F.shiftrightunsigned(h, 64 - bits)
+    at = lambda h: F.shiftright(slot(h), 10).cast("int")
+    word = lambda h: F.shiftright(slot(h), 6).bitwiseAND(15).cast("int")
+    bit = lambda h: F.expr(f"shiftleft(1L, CAST(shiftrightunsigned({h}, {64 - bits}) & 63 AS INT))")
+    words = hashes.groupBy(at(F.col("h")).alias("__pii_slice"), word(F.col("h")).alias("word")).agg(F.bit_or(bit("h")).alias("bits"))
+    table = words.groupBy("__pii_slice").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("__pii_words"))
+    own = F.col("__pii_h")
+    return table, at(own), F.coalesce(F.element_at("__pii_words", word(own)).bitwiseAND(bit("__pii_h")) != 0, F.lit(False))
+
+
 def replace(docs: DataFrame, secret: str = "corpus-key", text: str = "text", counts: bool = False) -> DataFrame:
     """docs with the personal data in text replaced (and n_entities, if counts is set); its other columns as they were.
 
     secret is the key that surrogates follow from. Rows keep their number; equal texts get equal results; null
-    texts stay null and empty ones empty; tables without entities, or rows, come back as they are. Numbers that no
-    card can have (issuer or Luhn digit wrong) and addresses with parts above 255 are left alone.
+    texts stay null and empty ones empty; tables without entities, or rows, come back as they are; very long texts
+    are worked through whole; other columns can have any names (but those that begin with __pii_). Numbers that no
+    card or account can have (issuer or check digits wrong) and addresses with parts above 255 are left alone.
+
+    Texts meet the entities' table only if they hold entities: a filter of fixed size over their hashes is sent to
+    all tasks, and the other texts are neither moved nor searched a second time.
     """
-    columns = docs.columns
-    # Internal columns have names that docs cannot well have; the text's own hash joins what belongs to it.
-    may = docs.where(F.col(text).rlike(QUICK)).withColumn("__key", F.md5(text))
-    rest = docs.where(~F.coalesce(F.col(text).rlike(QUICK), F.lit(False)))
-    hits = may.select(F.col("__key").alias("key"), F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)).alias("hits")).where(F.size("hits") > 0)
-    hits = hits.groupBy("key").agg(F.first("hits").alias("hits"))
-    parts = hits.select("key", F.posexplode("hits").alias("i", "hit")).withColumn("kind", _kind(F.col("hit")))
-    parts = parts.select("key", "i", F.when(F.col("kind").isNotNull(), _parts(F.col("hit"), F.col("kind"))).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.col("hit").alias("value"), F.col("hit").alias("form")))).alias("parts"))
-    parts = shared.cut(parts.select("key", "i", F.posexplode("parts").alias("j", "part")).select("key", "i", "j", "part.*"), "pii")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    body = F.col(f"`{text}`")
+    may = docs.where(body.rlike(QUICK)).select(F.md5(body).alias("key"), F.xxhash64(body).alias("h"), F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0)).alias("hits"))
+    hits = may.where(F.size("hits") > 0).groupBy("key").agg(F.first("hits").alias("hits"), F.first("h").alias("h"))
+    parts = hits.select("key", "h", F.posexplode("hits").alias("i", "hit")).withColumn("kind", _kind(F.col("hit")))
+    left = F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.col("hit").alias("value"), F.col("hit").alias("form")))
+    parts = parts.select("key", "h", "i", F.when(F.col("kind").isNotNull(), _parts(F.col("hit"), F.col("kind"))).otherwise(left).alias("parts"))
+    parts = shared.cut(parts.select("key", "h", "i", F.posexplode("parts").alias("j", "part")).select("key", "h", "i", "j", "part.*"), "pii")
     live = F.col("kind").isNotNull() & (F.col("kind") != "title")
     table = surrogates(parts.where(live).select("kind", "value").distinct(), secret)
     named = parts.join(table, ["kind", "value"], "left")
     new = F.when(F.col("surrogate").isNull(), F.col("form")).otherwise(_written(F.col("kind"), F.col("form"), F.col("surrogate")))
-    words = named.select("key", "i", "j", new.alias("new"), F.col("kind").isNotNull().alias("found"))
+    words = named.select("key", "h", "i", "j", new.alias("new"), F.col("kind").isNotNull().alias("found"))
     listed = F.array_sort(F.collect_list(F.struct("i", "j", "new", "found")))
-    joined = words.groupBy("key").agg(listed.alias("all"))
+    joined = words.groupBy("key").agg(F.first("h").alias("h"), listed.alias("all"))
     last = F.element_at(F.col("all"), -1)["i"]
     back = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.transform(F.filter("all", lambda x: x["i"] == i), lambda x: x["new"]), " "))
     found = F.size(F.filter("all", lambda x: x["found"] & (x["j"] == 0)))
-    news = shared.cut(joined.select("key", back.alias("news"), found.alias("found")), "pii-news")
-    placed = may.join(news, may["__key"] == news["key"], "left")
-    pieces = F.split(F.col(text), PATTERN, -1)
-    rebuilt = F.array_join(F.flatten(F.zip_with(pieces, F.col("news"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    out = placed.select(*[F.when(F.col("news").isNull(), F.col(c)).otherwise(rebuilt).alias(c) if c == text else F.col(f"`{c}`") for c in columns], F.coalesce("found", F.lit(0)).alias("__found"))
-    out = out.unionByName(rest.withColumn("__found", F.lit(0)))
-    return out.withColumnRenamed("__found", "n_entities") if counts else out.drop("__found")
+    news = shared.cut(joined.select(F.col("key").alias("__pii_key"), "h", back.alias("__pii_news"), found.alias("__pii_found")).where("__pii_found > 0"), "pii-news")
+    shared.forget(parts)
+    n = news.count()
+    if not n:
+        return docs.withColumn("n_entities", F.lit(0)) if counts else docs
+    filter_, slice_, holds = _filter(news.select("h"), n)
+    marked = docs.select(*columns, F.xxhash64(body).alias("__pii_h")).withColumn("__pii_slice", slice_)
+    # At most 2 ** (MOST_BITS - 10) rows of 16 words: its size does not follow the corpus.
+    marked = marked.join(F.broadcast(shared.cut(filter_, "pii-filter")), "__pii_slice", "left")
+    rest = marked.where(~holds).select(*columns, F.lit(0).alias("__pii_found"))
+    placed = marked.where(holds).select(*columns, F.md5(body).alias("__pii_key")).join(news.drop("h"), "__pii_key", "left")
+    pieces = F.split(body, PATTERN, -1)
+    rebuilt = F.array_join(F.flatten(F.zip_with(pieces, F.col("__pii_news"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    out = placed.select(*[F.when(F.col("__pii_news").isNull(), body).otherwise(rebuilt).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns], F.coalesce("__pii_found", F.lit(0)).alias("__pii_found"))
+    out = out.unionByName(rest)
+    return out.withColumnRenamed("__pii_found", "n_entities") if counts else out.drop("__pii_found")

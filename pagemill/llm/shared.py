@@ -11,15 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Separates words, as the contracts define them: space, tab, line feed, vertical tab, form feed, return.
-SPACE = r"[\x20\x09-\x0D]+"
+#: A word, as the contracts define it; space, tab, line feed, vertical tab, form feed and return separate words.
+WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of text given to a Python worker at once; documents can be long.
-ARROW_ROWS = 512
+ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches, because one row can hold a very long text."""
+    """Small Arrow batches, in rows and bytes, because one row can hold a very long text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or a temporary one where that is unset (tests, one machine)."""
+    """The folder in spark.checkpoint.dir; a temporary one where that is unset and the session is one process (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pagemill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,17 +42,27 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing.
 
-    The files go when the driver's process ends.
+    The files go with forget(), or when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagemill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = out, path
+    return out
 
 
-def remove(df_path: str, spark: SparkSession) -> None:
-    _remove(spark, df_path)
+#: What cut() gave and forget() has not yet removed, by identity.
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
+
+def forget(*dfs: DataFrame) -> None:
+    """Removes the files of what cut() gave; nothing that is still to be worked out may read them."""
+    for df in dfs:
+        if id(df) in _paths:
+            _, path = _paths.pop(id(df))
+            _remove(df.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -61,10 +75,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def words_of(text: Column) -> Column:
     """Number of words; 0 for null and empty texts."""
-    parts = F.split(F.coalesce(text, F.lit("")), SPACE)
-    # An empty first or last part comes from white space at that end (or from an empty text).
-    ends = (F.element_at(parts, 1) == "").cast("int") + ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")
-    return (F.size(parts) - ends).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 def seeded_key(seed: str, *cols: Column) -> Column:
