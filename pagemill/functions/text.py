@@ -79,7 +79,7 @@ def field_type(c: Column) -> Column:
 
 def title(c: Column) -> Column:
     """Capital after every character that is not a letter, as in str.title."""
-    chars = F.split(F.lower(c), "(?!^)(?!$)")
+    chars = F.split(F.lower(c), r"(?!^)(?!\z)")
     up = F.transform(chars, lambda x, i: F.when((i == 0) | ~F.element_at(chars, F.greatest(i, F.lit(1))).rlike(r"^\p{L}$"), F.upper(x)).otherwise(x))
     return F.array_join(up, "")
 
