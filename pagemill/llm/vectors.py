@@ -1,4 +1,4 @@
-"""Reading vectors out of Arrow batches, and exact local top-k, for the two searches."""
+"""Reading vectors out of Arrow batches, nearest centres and exact local top-k, for the two searches."""
 
 from __future__ import annotations
 
@@ -29,16 +29,23 @@ def dense(column) -> tuple[np.ndarray, np.ndarray]:
     return there[good], out[good]
 
 
-def pad(rows: np.ndarray, width: int) -> np.ndarray:
-    return rows if rows.shape[1] == width else np.pad(rows, ((0, 0), (0, width - rows.shape[1])))
+def wide(data: list, width: int, kind: str, to: type = np.float64) -> np.ndarray:
+    """A matrix from packed rows, which can be shorter than width."""
+    if data and all(len(d) == width * 8 for d in data):
+        return np.frombuffer(b"".join(data), kind).reshape(len(data), width).astype(to)
+    out = np.zeros((len(data), width), to)
+    for i, d in enumerate(data):
+        v = np.frombuffer(d, kind)
+        out[i, : len(v)] = v
+    return out
 
 
-def stack(series, width: int, kind: str = "<f8") -> np.ndarray:
-    """A matrix from packed rows."""
-    return np.frombuffer(b"".join(series), kind).reshape(len(series), -1)[:, :width] if len(series) else np.zeros((0, width))
+def nearest(x: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, distance) of the nearest row of to for each row of x."""
+    at = ((to * to).sum(1) - 2 * x @ to.T).argmin(1)
+    return at, np.sqrt(((x - to[at]) ** 2).sum(1))
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """For each row of scores the places of its k highest, ties to smaller ids. ids have to rise."""
-    k = min(k, scores.shape[1])
-    return np.argsort(-scores, axis=1, kind="stable")[:, :k]
+def best(scores: np.ndarray, k: int) -> np.ndarray:
+    """For each row of scores the places of its k highest, ties to smaller places."""
+    return np.argsort(-scores, axis=1, kind="stable")[:, : min(k, scores.shape[1])]

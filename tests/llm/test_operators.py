@@ -169,14 +169,65 @@ def test_approximate_search(spark):
     assert ann.search(df.where("false"), 20, 20).count() == 0
 
 
+def clustered(spark, n, clusters=40, d=16, spread=0.05):
+    """Vectors about some centres, ids dealt at random, of unequal lengths, with a null, a zero vector, copies and a clashing column."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(clusters, d))
+    x = (centres[rng.integers(clusters, size=n)] + spread * rng.normal(size=(n, d))) * rng.uniform(0.9, 1.1, size=(n, 1))
+    x[5:40] = x[5]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(None, [1.0] * d), (n + 20, [0.0] * d)]
+    return spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumns({c: F.lit("x") for c in ("score", "rank", "leaf", "cell")}), x
+
+
+def test_searches_prune_clustered_vectors(spark):
+    """Both searches go by their methods at small sizes, and leave out most pairs where the vectors have clusters."""
+    df, x = clustered(spark, 4000)
+    n, report, exact = len(x), {}, {}
+    got = collections.defaultdict(list)
+    for r in ann.search(df, 20, 20, report=report).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    recalls = []
+    for q in range(0, n, 20):
+        s = (x * x[q]).sum(axis=1)
+        assert all(abs(s[i] - v) < 1e-12 for i, v in got[q])
+        near = [i for i in np.lexsort((np.arange(n), -s)).tolist() if i != q][:20]
+        recalls.append(len({i for i, _ in got[q]} & set(near)) / 20)
+    assert np.mean(recalls) >= 0.9 and report["leaves"] > 100 and report["share"] < 0.3
+    y = np.floor(256 * x).astype(np.int64)
+    want = set()
+    for q in range(0, n, 50):
+        s = y @ y[q]
+        want |= {(q, r + 1, i, int(s[i])) for r, i in enumerate([i for i in np.lexsort((np.arange(n), -s)).tolist() if i != q][:5])}
+    assert {tuple(r) for r in topk.search(df, 50, 5, report=exact).collect()} == want
+    assert exact["groups"] > 1 and exact["share"] < 0.3
+
+
+def test_exact_search_of_large_numbers(spark):
+    """Scores beyond what a double holds exactly are still whole numbers, ranked and tied as such; repeated ids are returned once."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(-(2**29), 2**29, size=(60, 4))
+    x[30] = x[31]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(7, [float(v) for v in x[8]])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {tuple(r) for r in topk.search(df, 50, 5, scale=1.0).collect()}
+    want = set()
+    for q in (0, 50):
+        best = {}
+        for i, v in [*enumerate(x.tolist()), (7, x[8].tolist())]:
+            s = sum(a * b for a, b in zip(v, x[q].tolist()))
+            best[i] = max(s, best.get(i, s))
+        want |= {(q, r + 1, i, s) for r, (s, i) in enumerate([(-a, i) for a, i in sorted((-s, i) for i, s in best.items() if i != q)[:5]])}
+    assert got == want and max(abs(t[3]) for t in got) > 2**53
+
+
 def test_approximate_search_ties(spark):
-    """Of 100 equal vectors, those with the smallest ids are the nearest ones."""
+    """Of 100 equal vectors, those with the smallest ids are the nearest ones. With a recall of 1 all queries are exact here."""
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 8))
     x[100:200] = x[100] * 3
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
     got = collections.defaultdict(list)
-    for r in ann.search(df, 20, 20).orderBy("query_id", "rank").collect():
+    for r in ann.search(df, 20, 20, recall=1.0).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.vec_id)
     tied = 0
     for q in range(0, 300, 20):
