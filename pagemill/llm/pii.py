@@ -22,7 +22,7 @@ EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]{0,63}+@(?:[\p{
 #: Key blocks, tokens by the prefixes that their issuers document, bare hexadecimal keys.
 BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----[A-Za-z0-9+/=\s:,.-]{1,16384}?-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
 _ISSUED = r"(?:sk-|rk-|(?:sk|pk|rk)_(?:live|test)_|gh[oprsu]_|github_pat_|glpat-|xox[abeprs]-|AKIA|ASIA|AIza|eyJ)"
-TOKEN = rf"(?<![A-Za-z0-9_-]){_ISSUED}[A-Za-z0-9_-]{{16,512}}(?:\.[A-Za-z0-9_-]{{4,2048}}){{0,2}}+(?![A-Za-z0-9_-])"
+TOKEN = rf"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{{16}}|{_ISSUED}(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{{16,512}}(?:\.[A-Za-z0-9_-]{{4,2048}}){{0,2}}+)(?![A-Za-z0-9_-])"
 SECRET = r"(?<![A-Za-z0-9])(?=[a-f0-9]*[0-9])(?:[a-f0-9]{32,128}|[A-F0-9]{32,128})(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _HEX = "[0-9A-Fa-f]{1,4}"
@@ -34,9 +34,9 @@ SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 #: In one piece or in the groups that cards have, so that a number before a card is not taken for its beginning.
 CARD = r"(?<![\d.-])(?:\d{13,19}|\d{4}(?<gap>[ -])\d{4}\k<gap>\d{4}\k<gap>\d{1,4}|\d{4}(?<wide>[ -])\d{6}\k<wide>\d{4,5})(?![\d-])"
 NAME = rf"(?<![\p{{L}}\p{{M}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.?+ {_WORD}(?: {_WORD}){{0,2}}"
-PATTERN = "|".join((EMAIL, BLOCK, TOKEN, SECRET, IBAN, LONG_ADDRESS, ADDRESS, PHONE, SOCIAL, CARD, NAME))
-#: Every entity has a digit, an at sign, a colon twice, an issuer's prefix or a title; other texts are passed on at once.
-QUICK = rf"[0-9\p{{Nd}}@]|::|{_ISSUED}|PRIVATE KEY|(?:{MALE}|{FEMALE}|{NEUTRAL})\.? "
+#: What begins a word, then what begins with a digit or a sign: one look at the characters around a place rules out most places.
+PATTERN = rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{'|'.join((EMAIL, TOKEN, SECRET, IBAN, LONG_ADDRESS, NAME))})|(?=[0-9+(-])(?:{'|'.join((ADDRESS, PHONE, SOCIAL, CARD, BLOCK))})"
+_TITLED = rf"(?=[A-Zशस])(?<![\p{{L}}\p{{M}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? "
 
 #: Syllables of surrogate names, by script (fixed values, to be read in step: equal places sound alike).
 SYLLABLES = {
@@ -51,6 +51,11 @@ ROUNDS = 64
 PLAIN = 3
 
 
+def _may(text: Column) -> Column:
+    """Every entity has a digit, an at sign or a title, or is a key block or a token; other texts are passed on at once."""
+    return text.rlike("[0-9@]") | text.contains("PRIVATE KEY") | text.contains("AKIA") | text.contains("ASIA") | text.rlike(_TITLED)
+
+
 def _kind(hit: Column) -> Column:
     digits = F.regexp_replace(hit, r"\D", "")
     octets = F.transform(F.split(hit, r"\."), lambda x: x.cast("int"))
@@ -271,7 +276,7 @@ def replace(docs: DataFrame, secret: str = "corpus-key", text: str = "text", cou
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     body = F.col(f"`{text}`")
-    may = docs.where(body.rlike(QUICK)).select(F.md5(body).alias("key"), F.xxhash64(body).alias("h"), F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0)).alias("hits"))
+    may = docs.where(_may(body)).select(F.md5(body).alias("key"), F.xxhash64(body).alias("h"), F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0)).alias("hits"))
     hits = may.where(F.size("hits") > 0).groupBy("key").agg(F.first("hits").alias("hits"), F.first("h").alias("h"))
     parts = hits.select("key", "h", F.posexplode("hits").alias("i", "hit")).withColumn("kind", _kind(F.col("hit")))
     left = F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.col("hit").alias("value"), F.col("hit").alias("form")))
