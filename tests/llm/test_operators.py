@@ -366,6 +366,44 @@ def test_quality_and_toxicity(spark):
         assert empty.count() == 0
 
 
+def test_toxicity_gradient():
+    """The direction is the risk's gradient where its negative part counts, and that part's ascent where it is below 0."""
+    rng, size = np.random.default_rng(2), 12
+    pack = lambda n, share: [np.packbits(r).tobytes() for r in (rng.random((n, 16)) < share) * (np.arange(16) < size)]
+    positive, unlabelled = toxicity._Rows(pack(30, 0.6), rng.integers(1, 5, 30).astype(float), size), toxicity._Rows(pack(80, 0.3), rng.integers(1, 5, 80).astype(float), size)
+    signs = set()
+    for turn in range(6):
+        w, b, prior = rng.normal(size=size) + turn % 2, rng.normal() - 4 * (turn % 2), (0.05, 0.95)[turn % 2]
+        negative, _ = toxicity.risk(positive, unlabelled, prior, w, b)
+        signs.add(negative >= 0)
+        part = (lambda w, b: toxicity.risk(positive, unlabelled, prior, w, b)[1]) if negative >= 0 else (lambda w, b: -toxicity.risk(positive, unlabelled, prior, w, b)[0])  # noqa: B023
+        e = 1e-6 * np.eye(size)
+        want = [(part(w + d, b) - part(w - d, b)) / 2e-6 for d in e] + [(part(w, b + 1e-6) - part(w, b - 1e-6)) / 2e-6]
+        assert np.allclose(toxicity.slope(positive, unlabelled, prior, w, b), want, atol=1e-7)
+    assert signs == {True, False}
+
+
+def test_toxicity_threshold():
+    rng = np.random.default_rng(5)
+    bins, texts, held = np.arange(-20.0, 20), rng.integers(1, 50, 40).astype(float), np.append(np.zeros(25), rng.integers(0, 9, 15)).astype(float)
+    f1 = [2 * 0.1 * (r := held[i:].sum() / held.sum()) / (0.1 + texts[i:].sum() / texts.sum()) for i in range(40)]
+    assert toxicity.threshold(bins, texts, held, 0.1) == bins[int(np.argmax(f1))] and r == held[-1] / held.sum()
+
+
+def test_toxicity_odd_tables(spark):
+    """Clashing names, repeated rows and ids, null ids, and no positives at all."""
+    rows = [(i, f"text {i} is plain and about thing {i % 7}" if i % 4 else f"you worthless idiot number {i}", "s") for i in range(80)]
+    rows += [(0, rows[0][1], "s"), (None, rows[0][1], "s"), (None, None, None), (200, "", "s"), (4, "plain text with a repeated id", "s")]
+    df = docs(spark, rows).withColumns({c: F.lit(c) for c in ("score", "y", "t", "i", "fold", "bits")})
+    lab = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(80)], "doc_id bigint, quality int, toxic int")
+    out = toxicity.train_and_score(df, lab, F.lit(True), also=("text", "score"), score="odds")
+    assert out.columns == ["doc_id", "text", "score", "odds"]
+    got = out.collect()
+    assert len(got) == len(rows) and len({r.odds for r in got if r.text == rows[0][1]}) == 1
+    assert all((r.odds >= toxicity.CUT) == ("idiot" in (r.text or "")) for r in got)
+    assert max(r.score for r in toxicity.train_and_score(docs(spark, rows), lab.where("toxic = 0"), F.lit(True)).collect()) < 0.1
+
+
 def test_bpe_against_library(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = bpe.load_ranks(path)
