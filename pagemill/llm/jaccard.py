@@ -5,9 +5,10 @@
 2. A document's set, in that order, has a prefix that it must share with every document it links with. Documents
    with equal sets are one node; nodes with equal prefix and size are one group, and only groups are joined.
 3. Groups that share a prefix shingle are filtered by size and position. A short list of groups gives all its
-   pairs; a long one first gives pairs with its most central group only. Pairs are verified on whole sets.
+   pairs; a long one first gives pairs with its most central group only, and the lists of very frequent shingles are
+   never gathered in one place. Pairs are verified on whole sets.
 4. After connected components are known, what long lists and groups of several nodes leave over (pairs in
-   different components) is expanded and verified. Pairs inside a component cannot change the components.
+   different components) is compared in blocks and verified. Pairs inside a component cannot change the components.
 5. Every link lies inside a component. So that all are counted, all pairs of a component of more than two nodes are
    compared, in blocks; only each node's number of links leaves a task.
 """
@@ -31,7 +32,13 @@ BLOCK, MOST_BLOCK = 256, 4096
 #: Ratio of sizes of a band: more than two linked sets can have (100 / PERCENT).
 BAND = 1.26
 #: Shingles held by a task before it passes them on; most slots of the level table (bytes of memory); partners in a verifying task.
-FLUSH, MOST_BITS, PARTNERS = 3_000_000, 26, 256
+FLUSH, MOST_BITS, PARTNERS = 3_000_000, 26, 48
+#: Text in a bucket of shingles, and most buckets (at 100 TB a bucket stands for 0.4 GB of text); level from which on a shingle's list is dealt to slices.
+BUCKET_BYTES, MOST_BUCKETS, HOT_LEVEL = 24 << 20, 18, 12
+#: A text is frequent with more copies than one in so many rows (there are no more than so many of them), and at least so many.
+FREQUENT, LEAST_FREQUENT = 10_000, 64
+#: Bits of the filter of needed rows: at least, at most (32 MB), and for each of them.
+LEAST_FILTER, MOST_FILTER, FILTER_EACH = 16, 28, 16
 #: Shingles in a block of a component, about.
 BLOCK_SHINGLES = 1 << 20
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -118,10 +125,15 @@ def _levels(docs: DataFrame, text: str, buckets: int, bits: int) -> np.ndarray:
     step = buckets.bit_length() - 1
 
     def sent(found: list[np.ndarray]) -> pa.RecordBatch:
-        h = np.sort(np.concatenate(found) >> np.uint64(low))
-        edges = np.searchsorted(h, np.arange(1, buckets, dtype=np.uint64) << np.uint64(40 - step))
-        parts = [(k, p) for k, p in enumerate(np.split(h, edges)) if len(p)]
-        return pa.RecordBatch.from_pydict({"bucket": pa.array([k for k, _ in parts], pa.int32()), "n": pa.array([len(p) for _, p in parts], pa.int32()), "packed": pa.array([_pack(p) for _, p in parts], pa.binary())})
+        # A shingle is sent once with its count, however many documents here hold it.
+        h, times = np.unique(np.concatenate(found) >> np.uint64(low), return_counts=True)
+        cuts = [0, *np.searchsorted(h, np.arange(1, buckets, dtype=np.uint64) << np.uint64(40 - step)).tolist(), len(h)]
+        parts = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+        wide = (max(1, int(times.max())).bit_length() + 7) // 8
+        return pa.RecordBatch.from_pydict(
+            {"bucket": pa.array([k for k, _, _ in parts], pa.int32()), "n": pa.array([b - a for _, a, b in parts], pa.int32()), "packed": pa.array([_pack(h[a:b]) for _, a, b in parts], pa.binary())}
+            | {"times": pa.array([_narrow(times[a:b].astype(np.uint64), wide) for _, a, b in parts], pa.binary())}
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -140,15 +152,18 @@ def _levels(docs: DataFrame, text: str, buckets: int, bits: int) -> np.ndarray:
     def count(key, frame):
         import pandas as pd
 
-        h = np.sort(np.concatenate([_unpack(p, n) for n, p in zip(frame["n"], frame["packed"], strict=True)]))
+        h = np.concatenate([_unpack(p, n) for n, p in zip(frame["n"], frame["packed"], strict=True)])
+        times = np.concatenate([_widen(t, len(t) // n) for n, t in zip(frame["n"], frame["times"], strict=True)])
+        order = np.argsort(h, kind="stable")
+        h, times = h[order], times[order]
         at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        times = np.diff(np.append(at, len(h)))
+        times = np.add.reduceat(times, at)
         out = np.zeros(1 << own_bits, np.uint8)
         slot = ((h[at] >> np.uint64(40 - bits)) & np.uint64((1 << own_bits) - 1)).astype(np.int64)
         np.maximum.at(out, slot, np.minimum(255, np.floor(np.log2(times))).astype(np.uint8))
         return pd.DataFrame({"bucket": [key[0]], "part": [out.tobytes()]})
 
-    packed = docs.select(text).mapInArrow(run, "bucket int, n int, packed binary")
+    packed = docs.select(text).mapInArrow(run, "bucket int, n int, packed binary, times binary")
     table = np.zeros((buckets, 1 << own_bits), np.uint8)
     # The table has a fixed size; only its parts come to the driver.
     for k, part in packed.groupBy("bucket").applyInPandas(count, "bucket int, part binary").toLocalIterator():
@@ -161,6 +176,7 @@ def components(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     edges = shared.cut(both, "edges")
     labels = shared.cut(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component")), "labels")
+    held = labels
     while True:
         heard = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("component").alias("heard"))
         new = labels.join(heard, labels.node == heard.a, "left").select("node", F.least("component", F.coalesce("heard", "component")).alias("next"), "component")
@@ -168,8 +184,10 @@ def components(links: DataFrame) -> DataFrame:
         new = new.join(jump, F.col("next") == F.col("n2"), "left").select("node", F.least("next", F.coalesce("c2", "next")).alias("next"), F.col("component").alias("old"))
         new = shared.cut(new, "labels")
         moved = new.where("next <> old").limit(1).count()
-        labels = new.select("node", F.col("next").alias("component"))
+        shared.forget(held)
+        held, labels = new, new.select("node", F.col("next").alias("component"))
         if not moved:
+            shared.forget(edges)
             return labels
 
 
@@ -178,9 +196,11 @@ def _sets(docs: DataFrame, needed: DataFrame, row_id: str, text: str) -> DataFra
     import pyarrow as pa
 
     spark = docs.sparkSession
-    # A bitmap of fixed size says which rows can be needed, so that only their sets are moved.
+    # A bitmap says which rows can be needed, so that only their sets are moved; its size is bounded.
+    needed = shared.cut(needed, "needed")
+    bits = min(MOST_FILTER, max(LEAST_FILTER, (needed.count() * FILTER_EACH).bit_length()))
     width = 1 << 16
-    slot = F.pmod(F.xxhash64(F.col("least_id")), F.lit(1 << 25)).cast("int")
+    slot = F.pmod(F.xxhash64(F.col("least_id")), F.lit(1 << bits)).cast("int")
     slots = needed.select(slot.alias("slot")).distinct().withColumn("part", F.floor(F.col("slot") / width).cast("int"))
 
     def bitmap(key, frame):
@@ -190,7 +210,7 @@ def _sets(docs: DataFrame, needed: DataFrame, row_id: str, text: str) -> DataFra
         bits[frame["slot"].to_numpy() % width] = 1
         return pd.DataFrame({"part": [key[0]], "bits": [np.packbits(bits).tobytes()]})
 
-    there = np.zeros(((1 << 25) // width, width // 8), np.uint8)
+    there = np.zeros(((1 << bits) // width, width // 8), np.uint8)
     for k, b in slots.groupBy("part").applyInPandas(bitmap, "part int, bits binary").toLocalIterator():
         there[k] = np.frombuffer(b, np.uint8)
     sent = spark.sparkContext.broadcast(there.ravel())
@@ -203,7 +223,7 @@ def _sets(docs: DataFrame, needed: DataFrame, row_id: str, text: str) -> DataFra
             keys = [set_key(h) for h in found]
             yield pa.RecordBatch.from_pydict({"node": pa.array([k[0] for k in keys], pa.int64()), "hashes": pa.array([_narrow(h >> np.uint64(16), 6) for h in found], pa.binary())})
 
-    slot = F.pmod(F.xxhash64(F.col(row_id)), F.lit(1 << 25)).cast("int")
+    slot = F.pmod(F.xxhash64(F.col(row_id).cast("long")), F.lit(1 << bits)).cast("int")
     own = docs.where(F.col(row_id).isNotNull()).select(text, slot.alias("slot")).mapInArrow(sets, "node bigint, hashes binary")
     return shared.cut(own.join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
@@ -211,7 +231,8 @@ def _sets(docs: DataFrame, needed: DataFrame, row_id: str, text: str) -> DataFra
 def _verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, row_id: str, text: str) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough."""
     pairs = shared.cut(pairs.distinct(), "pairs")
-    slices = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("slices"))
+    sized = pairs.join(nodes.select(F.col("node").alias("b"), "n"), "b")
+    slices = shared.cut(sized.groupBy("a").agg(F.ceil(F.greatest(F.count("*") / PARTNERS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("slices")), "slices")
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "least_id"), "node")
     own = _sets(docs, needed, row_id, text)
     left = slices.join(own.toDF("a", "hashes"), "a").select(F.col("a").alias("one"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice1"), "hashes")
@@ -287,10 +308,12 @@ def _close(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray) -> np
     return (100 * small >= PERCENT * large) & (place < index_size(small)) & (np.minimum(n1 - p1, n2 - p2) >= overlap_needed(n1, n2))
 
 
-def join(docs: DataFrame, row_id: str = "doc_id", text: str = "text", links_too: bool = True) -> DataFrame:
+def join(docs: DataFrame, row_id: str = "doc_id", text: str = "text", links_too: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
     """row_id, n_shingles, component_id (smallest row_id reachable by links, its own included) and n_links of every row.
 
     n_links is the number of other sets that the row's set links with; it is left out where links_too is not set.
+    The columns in also come after them, with component: a number of the component that no other has, though their
+    rows may share ids (null for rows without shingles and for those with null ids that have no component).
     Null, empty and blank texts have no shingles and link with nothing. Rows with equal sets are one node, so
     copies cost nothing. Repeated ids are rows of their own. A row with a null id has no component unless a row
     with an id has the same set. row_id has to be an integer. Other columns are ignored; empty tables give empty results.
@@ -299,10 +322,13 @@ def join(docs: DataFrame, row_id: str = "doc_id", text: str = "text", links_too:
 
     spark = docs.sparkSession
     shared.prepare(spark)
-    docs = docs.select(row_id, text)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    more = [f"__also_{c}" for c in also]
+    docs = docs.select(F.col(f"`{row_id}`"), F.col(f"`{text}`"), *[F.col(f"`{c}`").alias(m) for c, m in zip(also, more, strict=True)])
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     bits = min(MOST_BITS, max(16, int(size / 48).bit_length()))
-    buckets = 1 << max(8, min(14, int(size / (24 << 20)).bit_length()))
+    buckets = 1 << max(8, min(MOST_BUCKETS, int(size / BUCKET_BYTES).bit_length()))
+    hot_slices = max(16, buckets >> 4)
     levels = spark.sparkContext.broadcast(_levels(docs, text, buckets, bits))
     shift = 64 - bits
 
@@ -311,11 +337,12 @@ def join(docs: DataFrame, row_id: str = "doc_id", text: str = "text", links_too:
             found = shingle_sets(batch.column(1))
             keys = [(*set_key(h), prefix(h, levels.value, shift)[2]) if len(h) else (None, None, None) for h in found]
             own = {name: pa.array([k[i] for k in keys], pa.int64()) for i, name in enumerate(("node", "check", "group"))}
-            yield pa.RecordBatch.from_pydict({row_id: batch.column(0), "n": pa.array([len(h) for h in found], pa.int64())} | own)
+            yield pa.RecordBatch.from_pydict({row_id: batch.column(0), "n": pa.array([len(h) for h in found], pa.int64())} | own | {m: batch.column(2 + i) for i, m in enumerate(more)})
 
     kind = docs.schema[row_id].dataType.simpleString()
-    all_rows = shared.cut(docs.mapInArrow(rows, f"`{row_id}` {kind}, n bigint, node bigint, check bigint, group bigint"), "rows")
-    nodes = all_rows.where("n > 0").groupBy("node").agg(F.min(row_id).cast("long").alias("least_id"), F.first("n").alias("n"), F.first("group").alias("group"))
+    schema = f"`{row_id}` {kind}, n bigint, node bigint, check bigint, group bigint" + "".join(f", `{m}` {kinds[c]}" for c, m in zip(also, more, strict=True))
+    all_rows = shared.cut(docs.mapInArrow(rows, schema), "rows")
+    nodes = all_rows.where("n > 0").groupBy("node").agg(F.min(row_id).cast("long").alias("least_id"), F.first("n").alias("n"), F.first("group").alias("group"), F.count("*").alias("copies"))
     nodes = shared.cut(nodes.where("least_id IS NOT NULL"), "nodes")
     groups = shared.cut(nodes.groupBy("group").agg(F.min("node").alias("lead"), F.count("*").alias("members")), "groups")
 
@@ -324,14 +351,16 @@ def join(docs: DataFrame, row_id: str = "doc_id", text: str = "text", links_too:
         table = levels.value
 
         def sent() -> pa.RecordBatch:
-            h, g, n, p = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(h)
-            h, g, n, p = h[order], g[order], n[order], p[order]
-            edges = np.searchsorted(h, np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - (buckets.bit_length() - 1)))
-            cuts = [0, *edges.tolist(), len(h)]
-            parts = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            h, g, n, p, hot = (np.concatenate(x) for x in zip(*held, strict=True))
+            # Lists of very frequent shingles are dealt to slices by their groups.
+            bucket = (h >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.int64)
+            slice_ = np.where(hot, 1 + (shared.mix(g.view(np.uint64)) % np.uint64(hot_slices)).astype(np.int64), 0)
+            order = np.lexsort((h, slice_, bucket))
+            h, g, n, p, bucket, slice_ = h[order], g[order], n[order], p[order], bucket[order], slice_[order]
+            cuts = [*np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(slice_, prepend=-1) != 0)).tolist(), len(h)]
+            parts = [(0, a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
             return pa.RecordBatch.from_pydict(
-                {"bucket": pa.array([k for k, _, _ in parts], pa.int32()), "count": pa.array([b - a for _, a, b in parts], pa.int32())}
+                {"bucket": pa.array([bucket[a] for _, a, _ in parts], pa.int32()), "slice": pa.array([slice_[a] for _, a, _ in parts], pa.int32()), "count": pa.array([b - a for _, a, b in parts], pa.int32())}
                 | {"h": pa.array([_pack(h[a:b]) for _, a, b in parts], pa.binary()), "g": pa.array([g[a:b].tobytes() for _, a, b in parts], pa.binary())}
                 | {"n": pa.array([_narrow(n[a:b], 4) for _, a, b in parts], pa.binary()), "p": pa.array([_narrow(p[a:b], 4) for _, a, b in parts], pa.binary())}
             )
@@ -342,7 +371,7 @@ def join(docs: DataFrame, row_id: str = "doc_id", text: str = "text", links_too:
                     own, level, key = prefix(h, table, shift)
                     p = np.flatnonzero(level > 0)  # level 0: no other document has it
                     if len(p):
-                        held.append((own[p], np.full(len(p), key, np.int64), np.full(len(p), len(h), np.uint64), p.astype(np.uint64)))
+                        held.append((own[p], np.full(len(p), key, np.int64), np.full(len(p), len(h), np.uint64), p.astype(np.uint64), level[p] >= HOT_LEVEL))
                         count += len(p)
                         if count >= FLUSH // 3:
                             yield sent()
@@ -361,6 +390,8 @@ def join(docs: DataFrame, row_id: str = "doc_id", text: str = "text", links_too:
         # One entry for each (shingle, group): equal prefixes have equal places, so repeats are neighbours.
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
         h, g, n, p = h[new], g[new], n[new], p[new]
+        if key[1]:  # a slice of the lists of very frequent shingles: their first pairs follow below
+            return pd.DataFrame({"long": True, "hot": True, "a": h.view(np.int64), "b": g, "n": n, "p": p})
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         length = np.diff(np.append(first, len(h)))
         start, run = np.repeat(first, length), np.repeat(length, length)
@@ -377,13 +408,14 @@ def join(docs: DataFrame, row_id: str = "doc_id", text: str = "text", links_too:
         b.append(g[i])
         pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
         long_ = np.flatnonzero(run > SHORT)
-        out = pd.DataFrame({"long": False, "a": pairs[0], "b": pairs[1], "n": 0, "p": 0})
-        more = pd.DataFrame({"long": True, "a": h[long_].view(np.int64), "b": g[long_], "n": n[long_], "p": p[long_]})
+        out = pd.DataFrame({"long": False, "hot": False, "a": pairs[0], "b": pairs[1], "n": 0, "p": 0})
+        more = pd.DataFrame({"long": True, "hot": False, "a": h[long_].view(np.int64), "b": g[long_], "n": n[long_], "p": p[long_]})
         return pd.concat([out, more], ignore_index=True) if len(more) else out
 
-    packed = docs.select(text).mapInArrow(tokens, "bucket int, count int, h binary, g binary, n binary, p binary")
-    found = shared.cut(packed.groupBy("bucket").applyInPandas(lists, "long boolean, a bigint, b bigint, n bigint, p bigint"), "lists")
-    pairs = found.where("NOT long").select(F.col("a").alias("g1"), F.col("b").alias("g2")).distinct()
+    packed = docs.select(text).mapInArrow(tokens, "bucket int, slice int, count int, h binary, g binary, n binary, p binary")
+    found = shared.cut(packed.groupBy("bucket", "slice").applyInPandas(lists, "long boolean, hot boolean, a bigint, b bigint, n bigint, p bigint"), "lists")
+    pairs = found.where("NOT long").select(F.col("a").alias("g1"), F.col("b").alias("g2"))
+    pairs = shared.cut(pairs.union(_first_of_hot(found.where("hot"))).distinct(), "group-pairs")
     lead = groups.select(F.col("group"), F.col("lead"))
     first = pairs.join(lead.toDF("g1", "a"), "g1").join(lead.toDF("g2", "b"), "g2").select("a", "b")
     several = groups.where("members > 1")
@@ -391,7 +423,7 @@ def join(docs: DataFrame, row_id: str = "doc_id", text: str = "text", links_too:
     links = _verify(docs, first.union(inside), nodes, row_id, text)
     comps = components(links)
 
-    where = nodes.select("node", "group").join(comps, "node", "left").select("node", "group", F.coalesce("component", "node").alias("component"))
+    where = shared.cut(nodes.select("node", "n", "group").join(comps, "node", "left").select("node", "n", "group", F.coalesce("component", "node").alias("component")), "where")
     rest = _left_over(found, pairs, where, several)
     if rest is not None:
         links = links.union(_verify(docs, rest, nodes, row_id, text))
@@ -399,13 +431,32 @@ def join(docs: DataFrame, row_id: str = "doc_id", text: str = "text", links_too:
     ids = nodes.join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least_id")
     least = ids.groupBy("component").agg(F.min("least_id").alias("component_id"))
     degree = _all_links(docs, comps, nodes, row_id, text) if links_too else nodes.select("node", F.lit(0).alias("n_links"))
-    # Written out, so that the join below has fresh sides and a node with many rows can be split.
-    final = shared.cut(ids.join(least, "component").join(degree, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "final")
-    named = all_rows.where("n > 0").join(final, "node", "left")
-    out = [F.col(row_id), F.col("n").alias("n_shingles"), F.col("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
-    none = all_rows.where("n = 0").select(row_id, F.col("n").alias("n_shingles"), F.col(row_id).cast("long").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    result = named.select(*out).unionByName(none)
-    return result if links_too else result.drop("n_links")
+    final = shared.cut(ids.join(least, "component").join(degree, "node", "left").select("node", "component", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "final")
+    # The rows of a text with very many copies are dealt to several tasks; FREQUENT bounds the number of such texts.
+    most = max(LEAST_FREQUENT, all_rows.count() // FREQUENT)
+    hot = shared.cut(nodes.where(F.col("copies") > most).select("node", F.ceil(F.col("copies") / most).cast("int").alias("slices")), "frequent")
+    part = F.when(F.col("slices").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.col(f"`{row_id}`")), F.col("slices")).cast("int"))
+    some = all_rows.where("n > 0").join(F.broadcast(hot), "node", "left").withColumn("part", part)
+    each = final.join(F.broadcast(hot), "node", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)))
+    named = some.join(each.drop("slices"), ["node", "part"], "left")
+    extra = [F.col(f"`{m}`").alias(c) for c, m in zip(also, more, strict=True)]
+    out = [F.col(f"`{row_id}`"), F.col("n").alias("n_shingles"), F.col("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *extra, "component"]
+    lone = [F.col(f"`{row_id}`"), F.col("n").alias("n_shingles"), F.col(f"`{row_id}`").cast("long").alias("component_id"), F.lit(0).cast("long").alias("n_links"), *extra, F.lit(None).cast("long").alias("component")]
+    shared.forget(found, groups, pairs, where)
+    result = named.select(*out).unionByName(all_rows.where("n = 0").select(*lone))
+    return result.drop(*["n_links"] * (not links_too), *["component"] * (not also))
+
+
+def _first_of_hot(entries: DataFrame) -> DataFrame:
+    """Group pairs (g1, g2) of each entry (a: shingle, b: group, n, p) with its list's most central entry, if they pass the filters."""
+    lead = entries.groupBy("a").agg(F.min(F.struct("p", "b", "n")).alias("lead"))
+    both = entries.join(lead, "a").where("b <> lead.b").withColumns({"n2": F.col("lead.n"), "p2": F.col("lead.p")})
+    small, large = F.least("n", "n2"), F.greatest("n", "n2")
+    place = F.when((F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("p") <= F.col("p2"))), F.col("p")).otherwise(F.col("p2"))
+    index = small - F.floor((2 * PERCENT * small + 99 + PERCENT) / (100 + PERCENT)) + 1
+    needed = F.floor((PERCENT * (F.col("n") + F.col("n2")) + 99 + PERCENT) / (100 + PERCENT))
+    close = (100 * small >= PERCENT * large) & (place < index) & (F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2")) >= needed)
+    return both.where(close).select(F.least("b", "lead.b").alias("g1"), F.greatest("b", "lead.b").alias("g2"))
 
 
 def _across(entries: DataFrame) -> DataFrame:
@@ -457,20 +508,20 @@ def _across(entries: DataFrame) -> DataFrame:
 def _left_over(found: DataFrame, pairs: DataFrame, where: DataFrame, several: DataFrame) -> DataFrame | None:
     """Pairs of nodes in different components that long lists and groups of several nodes have not yet given."""
     rest = []
-    long_ = found.where("long").select(F.col("a").alias("h"), F.col("b").alias("group"), "n", "p")
+    long_ = found.where("long").select(F.col("a").alias("h"), F.col("b").alias("group"), "p")
     if long_.limit(1).count():
-        entries = long_.join(where, "group").select("h", "n", "p", "node", "component")
-        rest.append(_across(entries))
+        rest.append(_across(long_.join(where, "group").select("h", "n", "p", "node", "component")))
     if several.limit(1).count():
-        one, two = (where.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("group").alias(f"g{x}")) for x in "ab")
         of_several = several.select("group")
         both = pairs.join(of_several.toDF("g1"), "g1", "left_semi").union(pairs.join(of_several.toDF("g2"), "g2", "left_semi")).union(of_several.select(F.col("group").alias("g1"), F.col("group").alias("g2"))).distinct()
         # Only groups whose nodes are not yet all in one component can give pairs.
         split = where.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
         at = split.toDF("g1", "lo1", "hi1"), split.toDF("g2", "lo2", "hi2")
         both = both.join(at[0], "g1").join(at[1], "g2").where("lo1 <> hi1 OR lo2 <> hi2 OR lo1 <> lo2").select("g1", "g2")
-        wide = both.join(one, F.col("g1") == F.col("ga")).join(two, F.col("g2") == F.col("gb")).where("ca <> cb AND a <> b")
-        rest.append(wide.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        # The members of two groups are a list of their own, compared in blocks like any other.
+        both = shared.cut(both.select(F.xxhash64("g1", "g2").alias("h"), "g1", "g2"), "both")
+        members = both.select("h", F.explode(F.array_distinct(F.array("g1", "g2"))).alias("group")).join(where, "group")
+        rest.append(_across(members.select("h", "n", F.lit(0).cast("long").alias("p"), "node", "component")))
     if not rest:
         return None
     out = shared.cut(rest[0] if len(rest) == 1 else rest[0].union(rest[1]), "rest")

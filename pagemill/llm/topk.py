@@ -22,8 +22,8 @@ from . import shared, vectors
 LEAST_PIVOTS, MOST_PIVOTS, SEEDS, MOST_GROUPS = 16, 1_024, 4_096, 64
 #: Queries and vectors in one local task, about, and scores worked out at once.
 TASK_QUERIES, TASK_VECTORS, SCORES = 2_048, 8_192, 1 << 21
-#: A group gets so many queries at least, where there are enough of them; no table is too small for groups.
-GROUP_QUERIES = 16
+#: Beyond LEAST_GROUPS a group has so many queries at least, as every group can need a copy of the data.
+LEAST_GROUPS, GROUP_QUERIES = 4, 2_048
 
 
 def _centres(x: np.ndarray, most: int) -> np.ndarray:
@@ -77,7 +77,7 @@ def search(rows: DataFrame, every: int, k: int, scale: float = 256.0, row_id: st
     once = np.sort(np.unique(seed_ids, return_index=True)[1])
     seed_ids, seed = seed_ids[once], seed[once]
     pivots = _centres(seed, int(min(MOST_PIVOTS, max(LEAST_PIVOTS, n**0.5))))
-    group_of = vectors.nearest(pivots, _centres(pivots, int(min(MOST_GROUPS, max(2, asked // GROUP_QUERIES)))))[0]
+    group_of = vectors.nearest(pivots, _centres(pivots, int(min(MOST_GROUPS, max(LEAST_GROUPS, asked // GROUP_QUERIES)))))[0]
     groups, cells, long_ = int(group_of.max()) + 1, len(pivots), np.linalg.norm(pivots, axis=1)
 
     def floor_of(ids: np.ndarray, x: np.ndarray) -> np.ndarray:

@@ -72,9 +72,11 @@ def brute_components(rows):
     return {i: (len(s), top(i)) for i, s in sets}
 
 
-@pytest.mark.parametrize(("edits", "block"), [(1, 256), (3, 256), (6, 8)])
-def test_jaccard_against_brute_force(spark, edits, block, monkeypatch):
-    """A large group of near copies of a template, so that long lists and their remainder are used, and other texts."""
+@pytest.mark.parametrize(("edits", "block", "hot"), [(1, 256, 12), (3, 256, 2), (6, 8, 3)])
+def test_jaccard_against_brute_force(spark, edits, block, hot, monkeypatch):
+    """A large group of near copies of a template, so that long lists, dealt or not, and their remainder are used, and other texts."""
+    monkeypatch.setattr(jaccard, "HOT_LEVEL", hot)
+    monkeypatch.setattr(jaccard, "LEAST_FREQUENT", hot)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "MOST_BLOCK", block)
     rng = random.Random(edits)
