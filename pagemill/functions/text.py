@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -55,6 +55,32 @@ def normalize(c: Column, nfc: bool = False) -> Column:
     return squeeze(F.regexp_replace(F.regexp_replace(c, _INVISIBLE, ""), "[।॥]", " "))
 
 
+def composed(df: DataFrame, texts: tuple[str, ...] = (), maps: tuple[str, ...] = ()) -> DataFrame:
+    """df with the text columns, and the values of the map columns, in composed form; absent columns are passed over.
+
+    Only values with characters that composition can change are given to Python.
+    """
+    for name in texts:
+        if name in df.columns:
+            c = F.col(name)
+            df = df.withColumn(name, F.coalesce(_nfc(F.when(c.rlike(_UNSTABLE), c)), c))
+    for name in maps:
+        if name in df.columns:
+            # One string for all values, parted by control characters, which nothing composes with.
+            joined = F.array_join(F.transform(F.map_values(name), lambda v: F.coalesce(v, F.lit("\x1e"))), "\x1f")
+            df = df.withColumn("_composed", _nfc(F.when(joined.rlike(_UNSTABLE), joined)))
+            values = F.transform(F.split("_composed", "\x1f", -1), lambda v: F.nullif(v, F.lit("\x1e")))
+            df = df.withColumn(name, F.when(F.size(values) == F.size(name), F.map_from_arrays(F.map_keys(name), values)).otherwise(F.col(name))).drop("_composed")
+    return df
+
+
+def contains(raw: Column, term: str) -> Column:
+    """Whether the normalised text holds a normalised term, in any case. Texts are normalised only where that can matter."""
+    rough = _INVISIBLE if " " not in term else rf"(?U){_INVISIBLE}|[।॥]|\s\s|[\s&&[^ ]]"
+    t = term.lower()
+    return F.lower(raw).contains(t) | (raw.rlike(rough) & F.lower(normalize(raw)).contains(t))
+
+
 def strip_labels(c: Column) -> Column:
     for p in LABELS:
         c = F.regexp_replace(c, f"(?iuU){p}", " ")

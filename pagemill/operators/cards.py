@@ -90,7 +90,7 @@ def chunks(text: Column) -> Column:
 
 def sequential(pages: DataFrame, text: str = "raw_text", keep: tuple[str, ...] = ("document_id", "page_number")) -> DataFrame:
     """One record for each card of each text."""
-    each = pages.select(*keep, F.posexplode(chunks(F.col(text))).alias("card_no", "chunk"), F.size(chunks(F.col(text))).alias("cards"))
+    each = pages.select(*keep, chunks(F.col(text)).alias("_chunks")).select(*keep, F.posexplode(F.transform("_chunks", lambda c: F.struct(c.alias("chunk"), F.size("_chunks").alias("cards")))).alias("card_no", "_c")).select(*keep, "card_no", "_c.*")
     out = each.withColumn("data", card_fields(F.col("chunk")))
     found = F.col("data")["name"].isNotNull() | F.col("data")["voter_id"].isNotNull() | ((F.col("cards") > 1) & F.col("data")["serial_no"].isNotNull())
     return out.where(found).select(*keep, "card_no", "data", T.normalize(F.substr(F.col("chunk"), F.lit(1), F.lit(200))).alias("source_text"))

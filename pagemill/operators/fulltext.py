@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 
@@ -103,17 +104,41 @@ def tokens(index: DataFrame) -> DataFrame:
     return index.withColumn("tokens", _tokens("text"))
 
 
-def match(index: DataFrame, query: str) -> DataFrame:
-    """All hits; search.ordered() puts them in the order in which a limit cuts."""
+#: Parameters of the rank (fixed values: those of the usual implementation).
+K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+
+
+def match(index: DataFrame, query: str, category: str | None = None, label: str = "FTS") -> DataFrame:
+    """All hits, with bm25 (lower is better): the order in which first() cuts the hits of a page.
+
+    A term counts as often as tokens begin with it; the statistics are those of the whole index.
+    """
     if "tokens" not in index.columns:
         index = tokens(index)
-    terms = [t for word in index_terms(query.rstrip("*")) for t in fold(word)]
+    terms = list(dict.fromkeys(t for word in index_terms(query.rstrip("*")) for t in fold(word)))
     if not terms:
         return index.limit(0)
-    for t in terms:
-        index = index.where(F.exists("tokens", lambda x: x.startswith(t)))  # noqa: B023
+    times = [F.size(F.filter("tokens", lambda x: x.startswith(t))) for t in terms]  # noqa: B023
+    stats = index.select(F.size("tokens").alias("n"), *[c.alias(f"t{i}") for i, c in enumerate(times)])
+    stats = stats.agg(F.count("*"), F.avg("n"), *[F.count_if(F.col(f"t{i}") > 0) for i in range(len(terms))]).first()
+    total, mean, held = stats[0], stats[1] or 1.0, stats[2:]
+    rank = F.lit(0.0)
+    for c, n in zip(times, held, strict=True):
+        idf = max(math.log((total - n + 0.5) / (n + 0.5)), LEAST_IDF)
+        rank = rank - idf * c * (K1 + 1) / (c + K1 * (1 - B + B * F.size("tokens") / mean))
+    hits = index if category is None else index.where(F.col("category_name") == category)
+    for c in times:
+        hits = hits.where(c > 0)
     snippet = snippets.window(F.col("text"), F.lit(terms[0]))
-    return index.select(snippet.alias("text"), "page_number", "category_name", snippet.alias("context_snippet"), "record_id", F.lit(50.0).alias("rank"), F.lit("Full Text").alias("match_field"), "document_id")
+    return hits.select(snippet.alias("text"), "page_number", "category_name", snippet.alias("context_snippet"), "record_id", F.lit(50.0).alias("rank"), F.lit(label).alias("match_field"), "document_id", rank.alias("bm25"))
+
+
+def first(index: DataFrame, query: str, limit: int, category: str | None = None) -> DataFrame:
+    """The first hits by page and rank, in the columns of a search's result."""
+    found = match(index, query, category, "FTS" if category is None else "Category FTS")
+    if "bm25" not in found.columns:
+        return found.sparkSession.createDataFrame([], "text string, page_number int, category_name string, context_snippet string, record_id bigint, rank double, match_field string, document_id bigint")
+    return found.orderBy("page_number", "bm25", F.coalesce("record_id", F.lit(0)), "document_id").limit(limit).drop("bm25")
 
 
 def clear(index: DataFrame, document_id: int) -> DataFrame:

@@ -7,18 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SORTS = ("page_number", "created_at", "updated_at")
-#: A table of categories is broadcast up to so many rows; beyond, Spark picks the join.
-MOST_BROADCAST = 100_000
-
-
-def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """df with a broadcast hint if it is shown to be small."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+#: Columns that a grid can have beside the standard ones.
+MOST_COLUMNS = 2_000
 
 
 def with_category(records: DataFrame, categories: DataFrame, default: str = "") -> DataFrame:
     names = categories.select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
-    return records.join(small(names), "category_id", "left").withColumn("category_name", F.coalesce("category_name", F.lit(default)))
+    return records.join(names, "category_id", "left").withColumn("category_name", F.coalesce("category_name", F.lit(default)))
 
 
 def by_id(df: DataFrame, key, column: str = "id") -> DataFrame:
@@ -104,7 +99,10 @@ def first_seen_groups(records: DataFrame, order: str = "id") -> DataFrame:
 
 def grid(records: DataFrame, categories: DataFrame, standard: list[str]) -> DataFrame:
     """Standard columns, then all other keys in order (but those that begin with _); missing values are ''."""
-    keys = [r[0] for r in field_names(records).where(~F.col("field").startswith("_") & ~F.col("field").isin(*standard)).collect()]
+    found = field_names(records).where(~F.col("field").startswith("_") & ~F.col("field").isin(*standard))
+    keys = [r[0] for r in found.limit(MOST_COLUMNS + 1).collect()]
+    if len(keys) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} different keys: these are data, not columns")
     cells = [F.coalesce(F.col("data")[k], F.lit("")).alias(k) for k in [*standard, *keys]]
     return with_category(records, categories).select("id", "page_number", "category_name", *cells)
 
@@ -118,11 +116,90 @@ def grid_order(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("sort_key", key).orderBy("sort_key")
 
 
+def grid_text_order(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """The plain order of a small screen's grid: cells as texts, missing ones as ''."""
+    key = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return df.withColumn("sort_key", key).orderBy(F.col("sort_key").desc() if descending else F.col("sort_key").asc())
+
+
 def statistics(documents: DataFrame, pages: DataFrame, records: DataFrame) -> DataFrame:
     parts = [d.agg(F.lit(n).alias("what"), F.count("*").alias("n")) for n, d in (("documents", documents), ("pages", pages), ("records", records))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def text_size(pages: DataFrame, text: str = "raw_text") -> DataFrame:
+    """words and characters of all pages."""
+    c = F.coalesce(F.col(text), F.lit(""))
+    return pages.agg(F.coalesce(F.sum(F.regexp_count(c, F.lit(r"(?U)\S+"))), F.lit(0)).alias("words"), F.coalesce(F.sum(F.length(c)), F.lit(0)).alias("characters"))
+
+
+def counts_by_document(records: DataFrame, category_id=None) -> DataFrame:
+    own = records if category_id is None else records.where(F.col("category_id") == category_id)
+    return own.groupBy("document_id").agg(F.count("*").alias("n"))
+
+
+def documents_of(rows: DataFrame) -> DataFrame:
+    return rows.select("document_id").distinct()
+
+
+def page_outcomes(pages: DataFrame) -> DataFrame:
+    """document_id, total, failed, success and the message of a finished import; a page with an error has failed."""
+    out = pages.groupBy("document_id").agg(F.count("*").alias("total"), F.count("error").alias("failed")).withColumn("success", F.col("total") - F.col("failed"))
+    shown = F.format_string("Complete - %d/%d pages processed", "success", "total")
+    return out.withColumn("message", F.when(F.col("failed") > 0, F.concat(shown, F.format_string(" (%d failed)", "failed"))).otherwise(shown))
+
+
+def of_parent(rows: DataFrame, parent: str, key, newest: str | None = None) -> DataFrame:
+    """Boxes, tables or corrections of one parent: by id, or the newest first."""
+    own = rows.where(F.col(parent) == key)
+    return own.orderBy(F.col(newest).desc(), F.col("id").desc()) if newest else own.orderBy("id")
+
+
+def stored_order(rows: DataFrame, kind: str) -> DataFrame:
+    """documents: last changed first; categories: by place and name; pages: by document and number."""
+    orders = {"documents": [F.col("updated_at").desc(), F.col("id")], "categories": [F.col("sort_order"), F.col("name")], "pages": [F.col("document_id"), F.col("page_number")]}
+    return rows.orderBy(*orders[kind])
+
+
+def box_for_text(boxes: DataFrame, page_id, text: str) -> DataFrame:
+    """The first box of a page whose text is LIKE %text%, ASCII letters in either case."""
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return boxes.where((F.col("page_id") == page_id) & low.like(f"%{_ascii_lower(text)}%")).orderBy("id").limit(1)
+
+
+def panel_filters(categories: DataFrame, panel: dict) -> dict:
+    """filtered()'s conditions from a panel's: a category by name, a page range with open ends."""
+    out = {k: v for k, v in panel.items() if k not in ("category", "page_from", "page_to")}
+    if panel.get("category"):
+        row = categories.where(F.col("name") == panel["category"]).orderBy("id").select("id").first()
+        out["category_id"] = row[0] if row else -1
+    if panel.get("page_from") is not None or panel.get("page_to") is not None:
+        out["page_range"] = (panel.get("page_from"), panel.get("page_to"))
+    return out
+
+
+def editor_view(records: DataFrame, confidence: str = "confidence", sure: float = 0.8) -> DataFrame:
+    """id, place, field, value and low_confidence of each field that an editor shows: no id, no key that begins with _.
+
+    confidence names a map column (field to a number from 0 to 1); fields without a number count as certain.
+    """
+    each = records.select("id", confidence, F.posexplode("data").alias("place", "field", "value"))
+    own = F.coalesce(F.col(confidence)[F.col("field")], F.lit(1.0))
+    return each.where((F.col("field") != "id") & ~F.col("field").startswith("_")).select("id", "place", "field", "value", (own < sure).alias("low_confidence"))
+
+
+def first_occurrence(hits: DataFrame, keys: tuple[str, ...] = ("document_id", "page_number", "record_id"), order: str = "result_no") -> DataFrame:
+    """The first hit of each place (a null record is a place of its own)."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    return hits.withColumn("_n", n).where("_n = 1").drop("_n")
+
+
+def neighbours(hits: DataFrame, order: str = "result_no") -> DataFrame:
+    """Hits with the numbers of the next and the previous one; the last is followed by the first."""
+    n = F.count("*").over(Window.partitionBy())
+    return hits.withColumn("_n", n).withColumns({"next_no": (F.col(order) % F.col("_n") + 1).cast("int"), "previous_no": ((F.col(order) + F.col("_n") - 2) % F.col("_n") + 1).cast("int")}).drop("_n")
+
+
 def update(df: DataFrame, ids: list, changes: dict[str, object], stamp: Column | None = None) -> DataFrame:
     hit = F.col("id").isin(*ids)
     out = df.withColumns({k: F.when(hit, v if isinstance(v, Column) else F.lit(v)).otherwise(F.col(k)).cast(df.schema[k].dataType) for k, v in changes.items()})
@@ -134,6 +211,12 @@ def delete(df: DataFrame, gone: DataFrame, on: str) -> DataFrame:
     return df.join(gone, on, "left_anti")
 
 
+def detach(df: DataFrame, gone: DataFrame, on: str) -> DataFrame:
+    """All rows; a reference to a row of gone becomes null."""
+    lost = gone.select(F.col(on)).distinct().withColumn("_gone", F.lit(True))
+    return df.join(lost, on, "left").withColumn(on, F.when(F.col("_gone").isNull(), F.col(on))).select(*df.columns)
+
+
 def move(records: DataFrame, ids: list, category_id) -> DataFrame:
     return records.withColumn("category_id", F.when(F.col("id").isin(*ids), F.lit(category_id)).otherwise(F.col("category_id")))
 
@@ -155,6 +238,30 @@ def corrections(old: DataFrame, new: DataFrame) -> DataFrame:
     return out.where(a != b).select(F.col("id").alias("record_id"), "field_name", a.alias("original_value"), b.alias("corrected_value"))
 
 
+def apply_edits(records: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, log) after an editor's changes (id, data, category_id): values are trimmed, every field that differs is
+    logged, and the record gets the new data and category and is marked as edited."""
+    trimmed = edits.select("id", F.transform_values("data", lambda k, v: F.trim(F.coalesce(v, F.lit("")))).alias("_data"), F.col("category_id").alias("_category"))
+    log = corrections(records, trimmed.select("id", F.col("_data").alias("data")))
+    hit = F.col("_data").isNotNull()
+    out = records.join(trimmed, "id", "left").withColumns({"data": F.when(hit, F.col("_data")).otherwise(F.col("data")), "category_id": F.when(hit, F.col("_category")).otherwise(F.col("category_id"))})
+    edited = F.when(hit, 1).otherwise(F.col("is_edited") if "is_edited" in records.columns else F.lit(0))
+    return out.withColumn("is_edited", edited.cast("int")).drop("_data", "_category"), log
+
+
+def blank_row(records: DataFrame, document_id: int, page_number: int, category_id=None) -> DataFrame:
+    """A record to append by hand: all of the document's keys with '' (name, roll_no and class if it has none), id after the last."""
+    own = records.where(F.col("document_id") == document_id)
+    keys = own.select(F.explode(F.map_keys("data")).alias("k")).agg(F.array_sort(F.collect_set("k")).alias("keys"))
+    last = records.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    names = F.when(F.size("keys") > 0, F.col("keys")).otherwise(F.array(*[F.lit(k) for k in ("name", "roll_no", "class")]))
+    row = keys.select(names.alias("keys")).withColumn("one", F.lit(1)).join(last.withColumn("one", F.lit(1)), "one")
+    return row.select(
+        (F.col("last") + 1).cast("long").alias("id"), F.lit(document_id).cast("long").alias("document_id"), F.lit(page_number).cast("int").alias("page_number"), F.lit(category_id).cast("long").alias("category_id"),
+        F.map_from_arrays("keys", F.transform("keys", lambda k: F.lit(""))).alias("data"), F.lit("Manually added record").alias("source_text"),
+    )
+
+
 def overlay(records: DataFrame, payload: DataFrame) -> DataFrame:
     """Records with the payload's keys put over theirs; standard columns cannot be overlaid."""
     safe = F.map_filter("payload", lambda k, v: ~k.isin("id", "page_number", "category_id", "is_edited"))
@@ -167,12 +274,16 @@ def upsert(meta: DataFrame, news: DataFrame) -> DataFrame:
 
 
 def assign_categories(records: DataFrame, found: DataFrame) -> DataFrame:
-    """category_id from found (id, ord, name, pages): the first whose pages hold the record's, else the last whose name is in a value."""
-    by_page = found.select(F.explode("pages").alias("page_number"), "id", "ord").groupBy("page_number").agg(F.min_by("id", "ord").alias("by_page"))
-    names = found.select("id", "ord", F.lower("name").alias("name"))
-    values = records.select(F.col("id").alias("record"), F.lower(F.array_join(F.map_values("data"), "\n")).alias("values"))
-    by_text = values.join(small(names, 1_000), F.contains("values", "name")).groupBy("record").agg(F.max_by("id", "ord").alias("by_text"))
-    out = records.join(by_page, "page_number", "left").join(by_text, F.col("id") == F.col("record"), "left")
+    """category_id from found (document_id, id, ord, name, pages): of the record's document, the first in the order of
+    detection whose pages hold the record's, else the last whose name is in a value."""
+    keys = ["document_id", "page_number"]
+    by_page = found.select("document_id", F.explode("pages").alias("page_number"), "id", "ord").groupBy(*keys).agg(F.min_by("id", "ord").alias("by_page"))
+    out = records.join(by_page, keys, "left")
+    # Only records that no page decides are compared with names, those of their own document.
+    names = found.select("document_id", F.col("id").alias("category"), "ord", F.lower("name").alias("name"))
+    values = out.where("by_page IS NULL").select("document_id", F.col("id").alias("record"), F.lower(F.array_join(F.map_values("data"), "\n")).alias("values"))
+    by_text = values.join(names, "document_id").where(F.contains("values", "name")).groupBy("record").agg(F.max_by("category", "ord").alias("by_text"))
+    out = out.join(by_text, F.col("id") == F.col("record"), "left")
     return out.withColumn("category_id", F.coalesce("by_page", "by_text")).drop("by_page", "by_text", "record")
 
 

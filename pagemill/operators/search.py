@@ -38,7 +38,6 @@ def score(data: Column, source: Column, query: str, scope: str = "all") -> Colum
     terms, key = variants(query), scope_of(scope)
     name, relation = T.normalize(_field(data, "name")), T.normalize(_field(data, "relation_name", "relative_name"))
     voter, house = _field(data, "voter_id", "epic_no"), T.normalize(_field(data, "house_no"))
-    bare = T.strip_labels(T.normalize(source))
     rules: list[Column] = []
 
     def rule(points: Column, label: Column | str, term: str) -> None:
@@ -62,6 +61,7 @@ def score(data: Column, source: Column, query: str, scope: str = "all") -> Colum
         hits = F.filter(F.array(*rules), lambda x: x.isNotNull())
         return F.get(hits, F.lit(0))
     if key == "exact":
+        bare = T.strip_labels(T.normalize(source))
         for v in terms:
             for c, n, label in ((name, 950, "Name (सटीक शब्द)"), (voter, 850, "Voter ID (सटीक EPIC)"), (relation, 750, "Relative (सटीक शब्द)")):
                 rule(F.when((c != "") & whole_word(c, v), n), label, v)
@@ -91,23 +91,33 @@ def score(data: Column, source: Column, query: str, scope: str = "all") -> Colum
 
     others = F.transform(F.filter(F.map_entries(data), lambda e: ~e["key"].isin(*CHECKED) & e["value"].isNotNull()), entry)
     best = F.array_max(F.concat(F.array(*rules), F.coalesce(others, F.array().cast("array<struct<score:double,at:int,label:string,term:string>>"))))
-    text, found = F.lower(bare), None
-    raw = F.lower(T.normalize(source))
-    for v in terms:
-        for c, n, label in ((text, 250.0, "Content (विवरण)"), (raw, 200.0, "Template / Label")):
-            if n == 200.0 and len(clean(query)) <= 3:
-                continue
-            hit = c.contains(v.lower())
-            value = F.struct(F.lit(n).alias("score"), F.lit(0).alias("at"), F.lit(label).alias("label"), F.lit(v).alias("term"))
-            found = F.when(hit, value) if found is None else found.when(hit, value)
-    return F.coalesce(best, found)
-
-
-def record_hits(records: DataFrame, categories: DataFrame, query: str, scope: str = "all") -> DataFrame:
-    query = clean(query.strip().rstrip("*"))
-    if not query:
-        return records.sparkSession.createDataFrame([], ", ".join(f"{c} string" for c in COLUMNS)).limit(0)
-    hit = records.withColumn("hit", score(F.col("data"), F.col("source_text"), query, scope)).where(F.col("hit").isNotNull())
+    # Labels are taken out only of texts that hold all words of a variant, and once.
+    rough = _or([_and([T.contains(source, w) for w in v.split()]) for v in terms])
+
+    def content(raw: Column) -> Column:
+        def first(text: Column) -> Column:
+            found = None
+            for v in terms:
+                for c, n, label in ((text, 250.0, "Content (विवरण)"), (raw, 200.0, "Template / Label")):
+                    if n == 200.0 and len(clean(query)) <= 3:
+                        continue
+                    hit = F.lower(c).contains(v.lower())
+                    value = F.struct(F.lit(n).alias("score"), F.lit(0).alias("at"), F.lit(label).alias("label"), F.lit(v).alias("term"))
+                    found = F.when(hit, value) if found is None else found.when(hit, value)
+            return found
+
+        return T.once(T.strip_labels(raw), first)
+
+    return F.coalesce(best, F.when(F.coalesce(rough, F.lit(False)), T.once(T.normalize(source), content)))
+
+
+def _scored(records: DataFrame, query: str, scope: str) -> DataFrame:
+    """Records with a hit; query is clean and not empty."""
+    records = T.composed(records, ("source_text",), ("data",))
+    return records.withColumn("hit", score(F.col("data"), F.col("source_text"), query, scope)).where(F.col("hit").isNotNull())
+
+
+def _shown(hit: DataFrame, categories: DataFrame, query: str) -> DataFrame:
     named = relational.with_category(hit, categories)
     snippet = snippets.record(F.col("data"), F.col("source_text"), F.col("hit.term"), variants(query))
     return named.select(
@@ -115,17 +125,44 @@ def record_hits(records: DataFrame, categories: DataFrame, query: str, scope: st
     )
 
 
-def page_hits(pages: DataFrame, query: str, scope: str = "all") -> DataFrame:
-    """Pages that hold a variant: 150 for a whole word in exact scope, else 100; short queries ignore labels."""
-    query, key = clean(query.strip().rstrip("*")), scope_of(scope)
-    text = T.normalize(F.coalesce(F.nullif(F.col("processed_text"), F.lit("")), F.col("raw_text")))
-    bare = T.strip_labels(text)
-    own = bare if key == "exact" or len(query) <= 3 else text
+def _first(hit: DataFrame, limit: int) -> DataFrame:
+    """The hits that a result of so many rows begins with, before anything is worked out for showing them."""
+    return hit.orderBy("page_number", F.col("hit.score").desc(), F.coalesce(F.col("id").cast("long"), F.lit(0)), "document_id").limit(limit)
+
+
+def _none(spark) -> DataFrame:
+    return spark.createDataFrame([], "text string, page_number int, category_name string, context_snippet string, record_id bigint, rank double, match_field string, document_id bigint")
+
+
+def _asked(query: str) -> str:
+    return clean(query.strip().rstrip("*"))
+
+
+def record_hits(records: DataFrame, categories: DataFrame, query: str, scope: str = "all", limit: int | None = None) -> DataFrame:
+    """All hits, or the first in result order."""
+    query = _asked(query)
+    if not query:
+        return _none(records.sparkSession)
+    hit = _scored(records, query, scope)
+    return _shown(hit if limit is None else _first(hit, limit), categories, query)
+
+
+def _page_terms(pages: DataFrame, query: str, key: str) -> DataFrame:
+    """Pages with own (the text that is searched) and term (the first variant in it)."""
+    raw = F.coalesce(F.nullif(F.col("processed_text"), F.lit("")), F.col("raw_text"))
+    pages = T.composed(pages.withColumn("_raw", raw).drop("raw_text", "processed_text"), ("_raw",))
+    bare = key == "exact" or len(query) <= 3
+    # Labels are taken out only of texts that hold the words of a variant.
+    pages = pages.where(_or([_and([T.contains(F.col("_raw"), w) for w in v.split()]) for v in variants(query)]))
     term = None
     for v in variants(query):
-        test = whole_word(own, v) if key == "exact" else F.lower(own).contains(v.lower())
+        test = whole_word(F.col("own"), v) if key == "exact" else F.lower("own").contains(v.lower())
         term = F.when(test, F.lit(v)) if term is None else term.when(test, F.lit(v))
-    hit = pages.withColumn("own", own).withColumn("term", term).where(F.col("term").isNotNull())
+    own = T.normalize(F.col("_raw"))
+    return pages.withColumn("own", T.strip_labels(own) if bare else own).withColumn("term", term).where(F.col("term").isNotNull()).drop("_raw")
+
+
+def _shown_pages(hit: DataFrame, key: str) -> DataFrame:
     snippet = snippets.window(F.col("own"), F.col("term"))
     return hit.select(
         snippet.alias("text"), "page_number", F.lit("").alias("category_name"), snippet.alias("context_snippet"), F.lit(None).cast("long").alias("record_id"), F.lit(150.0 if key == "exact" else 100.0).alias("rank"),
@@ -133,27 +170,63 @@ def page_hits(pages: DataFrame, query: str, scope: str = "all") -> DataFrame:
     )
 
 
+def page_hits(pages: DataFrame, query: str, scope: str = "all") -> DataFrame:
+    """Pages that hold a variant: 150 for a whole word in exact scope, else 100; short queries ignore labels."""
+    query, key = _asked(query), scope_of(scope)
+    return _shown_pages(_page_terms(pages, query, key), key) if query else _none(pages.sparkSession)
+
+
 def ordered(hits: DataFrame, limit: int) -> DataFrame:
     return hits.orderBy("page_number", F.col("rank").desc(), F.coalesce("record_id", F.lit(0)), "document_id").limit(limit)
 
 
 def search(records: DataFrame, pages: DataFrame, categories: DataFrame, query: str, scope: str = "all", limit: int = 500, document_id: int | None = None, index: DataFrame | None = None) -> DataFrame:
-    """Record hits, then hits of pages without one (scopes all and exact), then full-text hits if there are none at all."""
+    """Record hits; if there are fewer than limit, hits of pages without one (scopes all and exact); full-text hits if there are none at all.
+
+    Records are scored once: the first limit hits come to the driver as keys, and are joined with their records again
+    to be shown.
+    """
+    spark, key, asked = records.sparkSession, scope_of(scope), _asked(query)
+    if not asked:
+        return _none(spark)
     if document_id is not None:
         records, pages = (x.where(F.col("document_id") == document_id) for x in (records, pages))
-    hits = record_hits(records, categories, query, scope)
-    if scope_of(scope) in ("all", "exact"):
-        fresh = page_hits(pages, query, scope).join(hits.select("document_id", "page_number").distinct(), ["document_id", "page_number"], "left_anti")
-        hits = hits.unionByName(fresh)
-    if index is not None and scope_of(scope) == "all" and len(clean(query)) >= 2 and not hits.limit(1).count():
+    top = _first(_scored(records, asked, scope), limit).select("id", "document_id", "page_number", "hit")
+    schema, top = top.schema, top.collect()  # limit rows at most
+    hits = None
+    if top:
+        known = spark.createDataFrame(top, schema)
+        hits = _shown(T.composed(records, ("source_text",), ("data",)).join(F.broadcast(known.select("id", "hit")), "id"), categories, asked)
+    if key in ("all", "exact") and len(top) < limit:
+        # Fewer hits than limit: these are all of them.
+        fresh = pages.join(F.broadcast(known.select("document_id", "page_number").distinct()), ["document_id", "page_number"], "left_anti") if top else pages
+        fresh = _shown_pages(_page_terms(fresh, asked, key).orderBy("page_number", "document_id").limit(limit), key)
+        hits = fresh if hits is None else hits.unionByName(fresh)
+    if not top and index is not None and key == "all" and len(asked) >= 2 and not hits.limit(1).count():
         from . import fulltext
 
-        hits = fulltext.match(index, query)
+        hits = fulltext.first(index, query, limit)
+    return _none(spark) if hits is None else ordered(hits, limit)
+
+
+def search_in_category(records: DataFrame, categories: DataFrame, query: str, category_id, scope: str = "all", limit: int = 500, index: DataFrame | None = None) -> DataFrame:
+    """Hits among a category's records; if there are none, full-text hits with its name. An unknown category has none."""
+    own = categories.where(F.col("id") == category_id).select("name").first()
+    if own is None:
+        return _none(records.sparkSession)
+    hits = record_hits(records.where(F.col("category_id") == category_id), categories, query, scope, limit)
+    if index is not None and len(_asked(query)) >= 2 and not hits.limit(1).count():
+        from . import fulltext
+
+        hits = fulltext.first(index, query, limit, category=own[0])
     return ordered(hits, limit)
 
 
-def search_in_category(records: DataFrame, categories: DataFrame, query: str, category_id, scope: str = "all", limit: int = 500) -> DataFrame:
-    return ordered(record_hits(records.where(F.col("category_id") == category_id), categories, query, scope), limit)
+def find(records: DataFrame, pages: DataFrame, categories: DataFrame, query: str, document_id: int | None = None, category_id=None, limit: int = 500, scope: str = "all", index: DataFrame | None = None) -> DataFrame:
+    """One search for all callers: a category, where given, wins over a document."""
+    if category_id is not None:
+        return search_in_category(records, categories, query, category_id, scope, limit, index)
+    return search(records, pages, categories, query, scope, limit, document_id, index)
 
 
 def records_matching(records: DataFrame, pages: DataFrame, categories: DataFrame, query: str, document_id: int | None = None) -> DataFrame:
@@ -178,22 +251,41 @@ def numbered(hits: DataFrame) -> DataFrame:
     return hits.withColumn("result_no", F.row_number().over(Window.orderBy("page_number", F.col("rank").desc(), F.coalesce("record_id", F.lit(0)), "document_id")))
 
 
+def envelope(hits: DataFrame, query: str, scope: str = "all") -> dict:
+    """What a search page is given: numbered hits with a label and a snippet each, and the hits of each page."""
+    label = F.coalesce(F.nullif("match_field", F.lit("")), F.nullif("category_name", F.lit("")), F.lit("Text"))
+    shown = F.coalesce(F.nullif("context_snippet", F.lit("")), F.col("text"), F.lit(""))
+    rows = numbered(hits).select(F.col("result_no").alias("id"), "page_number", label.alias("field_name"), shown.alias("snippet"), "record_id").orderBy("id").collect()  # as many as the search's limit
+    counts: dict[str, int] = {}
+    for r in rows:
+        counts[str(r.page_number)] = counts.get(str(r.page_number), 0) + 1
+    return {"query": query, "scope": scope, "total_matches": len(rows), "page_counts": counts, "results": [r.asDict() for r in rows]}
+
+
 def highlight_boxes(boxes: DataFrame, records: DataFrame, query: str) -> DataFrame:
     """Boxes of the first kind that has any: word boxes, all boxes, boxes of single words, boxes of records; per page."""
     terms = variants(query)
-    low = F.lower(T.normalize(F.col("text")))
-    any_of = lambda c, words: F.expr("false") if not words else _or([c.contains(w.lower()) for w in words])
+    boxes, records = T.composed(boxes, ("text",)), T.composed(records, ("source_text",))
+    low = F.col("text")
+    any_of = lambda c, words: F.expr("false") if not words else _or([T.contains(c, w) for w in words])
     words = [w for w in clean(query).split() if len(w) >= 2] if " " in clean(query) else []
     kind = F.when(any_of(low, terms), F.when(F.col("block_type") == "word", 1).otherwise(2)).when(any_of(low, words), 3)
     own = boxes.withColumn("kind", kind).where("kind IS NOT NULL").select("document_id", "page_number", "kind", "x0", "y0", "x1", "y1")
     spread = own.where("kind = 1").withColumn("kind", F.lit(2)).unionByName(own)
-    hold = F.exists(F.map_values("data"), lambda v: any_of(F.lower(T.normalize(v)), terms)) | any_of(F.lower(T.normalize(F.col("source_text"))), terms)
+    hold = F.exists(F.map_values("data"), lambda v: any_of(v, terms)) | any_of(F.col("source_text"), terms)
     b = F.col("bbox")
     cards = records.where(F.coalesce(hold, F.lit(False)) & (b["w"] > 0)).select("document_id", "page_number", F.lit(4).alias("kind"), b["x"].alias("x0"), b["y"].alias("y0"), (b["x"] + b["w"]).alias("x1"), (b["y"] + b["h"]).alias("y1"))
     ranked = spread.unionByName(cards).withColumn("first", F.min("kind").over(Window.partitionBy("document_id", "page_number")))
     return ranked.where("kind = first").select("document_id", "page_number", "x0", "y0", "x1", "y1").distinct()
 
 
+def _and(tests: list[Column]) -> Column:
+    out = tests[0]
+    for t in tests[1:]:
+        out = out & t
+    return out
+
+
 def _or(tests: list[Column]) -> Column:
     out = tests[0]
     for t in tests[1:]:

@@ -10,10 +10,10 @@ from ..functions import text as T
 from . import cards
 
 #: Words that mark a header cell.
-HEADER_WORDS = (
-    "name no number date phone email class section roll id gender age address city status type department dept grade marks score total rank father mother dob "
-    "s.no sr serial sl remark remarks mobile contact district state page नाम क्रमांक अनुक्रमांक पिता माता पता ग्राम उम्र आयु लिंग वर्ग श्रेणी विषय प्राप्तांक पूर्णांक खाता सदस्यता"
-).split()
+HEADER_WORDS = [
+    "name", "no", "number", "date", "phone", "email", "class", "section", "roll", "id", "gender", "age", "address", "city", "status", "type", "department", "dept", "grade", "marks", "score", "total", "rank", "father", "mother", "dob",
+    "s.no", "sr", "serial", "sl", "remark", "remarks", "mobile", "contact", "district", "state", "page", "नाम", "क्रमांक", "अनुक्रमांक", "पिता", "माता", "पता", "ग्राम", "उम्र", "आयु", "लिंग", "वर्ग", "श्रेणी", "विषय", "प्राप्तांक", "पूर्णांक", "खाता", "सदस्यता",
+]
 
 
 def _trim(c: Column) -> Column:
@@ -114,7 +114,10 @@ def detect(pages: DataFrame, kinds: tuple[str, ...] = ("delimited", "piped", "al
 
     Card pages have none. Aligned columns count only on pages without a delimited or a piped table.
     """
-    live = pages.where(~cards.is_card_page(F.col(text)) & (F.trim(F.coalesce(text, F.lit(""))) != ""))
+    live = pages.where(F.trim(F.coalesce(text, F.lit(""))) != "")
+    if tuple(kinds) == ("piped",):
+        live = live.where(F.contains(text, F.lit("|")))  # before anything is matched or split
+    live = live.where(~cards.is_card_page(F.col(text)))
     kind = F.col("kind")
     out = _finished(candidates(live, kinds, text), F.when(kind == "delimited", 0.7).when(kind == "piped", 0.8).otherwise(0.6), F.when(kind == "delimited", 0.5).otherwise(0.6))
     page = Window.partitionBy("document_id", "page_number")

@@ -98,7 +98,7 @@ _MORE = f"CASE WHEN lower(voter_id) = '{WORD}' THEN 950 WHEN contains(lower(vote
 
 
 def _found(spark: SparkSession, sf_dir: str, word: str, scope: str, limit: int = 500) -> DataFrame:
-    hits = search.ordered(search.record_hits(_parts(spark, sf_dir), _groups(spark, sf_dir), word, scope), limit)
+    hits = search.record_hits(_parts(spark, sf_dir), _groups(spark, sf_dir), word, scope, limit)
     return hits.select("record_id", "document_id", "page_number", "category_name", "rank")
 
 
@@ -190,14 +190,15 @@ def index_build(spark, sf_dir):
     return fulltext.build(_talks(spark, sf_dir), _pages(spark, sf_dir), _groups(spark, sf_dir))
 
 
-@query("""WITH w AS (SELECT doc_id AS document_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents)
-SELECT DISTINCT document_id, 1 AS page_number, (i * 10)::DOUBLE AS x0, 0::DOUBLE AS y0, (i * 10 + 8)::DOUBLE AS x1, 10::DOUBLE AS y1 FROM w WHERE contains(lower(word), 'tion')""")
+@query(f"""WITH {_T}, w AS (SELECT doc_id AS document_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),
+b AS (SELECT DISTINCT document_id, 1 AS page_number, (i * 10)::DOUBLE AS x0, 0::DOUBLE AS y0, (i * 10 + 8)::DOUBLE AS x1, 10::DOUBLE AS y1 FROM w WHERE contains(lower(word), 'tion'))
+SELECT * FROM b UNION SELECT document_id, page_number, 5, 7, 25, 37 FROM t WHERE contains(lower(source_text), 'tion') AND NOT EXISTS (SELECT 1 FROM b WHERE b.document_id = t.document_id AND b.page_number = t.page_number)""")
 def highlight_boxes(spark, sf_dir):
     w = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", " ")).alias("i", "text"))
     x = ((F.col("i") + 1) * 10).cast("double")
     boxes = w.select("document_id", F.lit(1).alias("page_number"), "text", x.alias("x0"), F.lit(0.0).alias("y0"), (x + 8).alias("x1"), F.lit(10.0).alias("y1"), F.lit("word").alias("block_type"))
-    box = F.lit(None).cast("struct<x:double,y:double,w:double,h:double>").alias("bbox")
-    return search.highlight_boxes(boxes, _talks(spark, sf_dir).select("*", box).where("false"), "tion")
+    box = F.struct(F.lit(5.0).alias("x"), F.lit(7.0).alias("y"), F.lit(20.0).alias("w"), F.lit(30.0).alias("h"))
+    return search.highlight_boxes(boxes, _talks(spark, sf_dir).withColumn("bbox", box), "tion")
 
 
 # ---------------------------------------------------------------- text functions
@@ -338,8 +339,9 @@ _FOUND = [(1, 0, "tin", [3, 4]), (2, 1, "ring", [4, 5, 6]), (3, 2, "brass", [99]
 @query(f"""WITH {_P}, f(cid, ord, word, lo, hi) AS (VALUES (1, 0, 'tin', 3, 4), (2, 1, 'ring', 4, 6), (3, 2, 'brass', 99, 99))
 SELECT id, coalesce((SELECT arg_min(cid, ord) FROM f WHERE page_number BETWEEN lo AND hi), (SELECT arg_max(cid, ord) FROM f WHERE contains(lower(name), word) OR contains(lower(kind), word)))::BIGINT AS category_id FROM p""")
 def category_assign(spark, sf_dir):
-    found = spark.createDataFrame(_FOUND, "id bigint, ord int, name string, pages array<int>")
-    return relational.assign_categories(_parts(spark, sf_dir).drop("category_id"), found).select("id", "category_id")
+    found = spark.createDataFrame(_FOUND, "id bigint, ord int, name string, pages array<int>").withColumn("document_id", F.lit(1).cast("long"))
+    parts = _parts(spark, sf_dir).drop("category_id").withColumn("document_id", F.lit(1).cast("long"))
+    return relational.assign_categories(parts, found).select("id", "category_id")
 
 
 # ---------------------------------------------------------------- records

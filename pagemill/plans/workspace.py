@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import fulltext
 from . import ingest
 
 
@@ -29,15 +31,52 @@ class Workspace:
         rows.write.mode("append").parquet(f"{self.root}/{name}")
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """Writes the new snapshot beside the old one, then swaps: rows may read the table that they replace."""
-        new, old = f"{self.root}/.{name}-{uuid.uuid4().hex}", f"{self.root}/{name}"
+        """Writes the new snapshot beside the old one, then swaps: rows may read the table that they replace.
+
+        The old snapshot is put aside and goes last; recover() brings it back if a crash came between.
+        """
+        new, old, aside = f"{self.root}/.{name}-{uuid.uuid4().hex}", f"{self.root}/{name}", f"{self.root}/.{name}-old"
         rows.write.parquet(new)
         fs, path = self._fs()
-        fs.delete(path(old), True)
+        if fs.exists(path(old)):
+            fs.delete(path(aside), True)
+            if not fs.rename(path(old), path(aside)):
+                raise OSError(f"cannot put {old} aside")
         if not fs.rename(path(new), path(old)):
+            fs.rename(path(aside), path(old))
             raise OSError(f"cannot put {new} in place of {old}")
+        fs.delete(path(aside), True)
+        self.spark.catalog.refreshByPath(old)
+
+    def recover(self) -> list[str]:
+        """Names of tables whose last replacement did not end, with their old snapshots back in place."""
+        fs, path = self._fs()
+        back = []
+        for f in fs.listStatus(path(self.root)) if fs.exists(path(self.root)) else []:
+            own = f.getPath().getName()
+            if own.startswith(".") and own.endswith("-old"):
+                name = own[1:-4]
+                if not fs.exists(path(f"{self.root}/{name}")):
+                    fs.rename(f.getPath(), path(f"{self.root}/{name}"))
+                    back.append(name)
+                else:
+                    fs.delete(f.getPath(), True)
+        return back
 
     def ingest(self, pages: DataFrame, mode: str = "auto") -> None:
-        self.append("pages", pages)
-        for name, rows in ingest.run(pages, mode).items():
-            self.append(name, rows)
+        """Adds documents; those that are there already are replaced, so a second run changes nothing."""
+        pages = pages.persist(StorageLevel.DISK_ONLY)
+        found = ingest.run(pages, mode)
+        gone = pages.select("document_id").distinct()
+
+        def add(name: str, rows: DataFrame) -> None:
+            if self.exists(name):
+                rows = self.table(name).join(gone, "document_id", "left_anti").unionByName(rows, allowMissingColumns=True)
+            self.replace(name, rows)
+
+        for name, rows in ({"pages": pages} | {k: v for k, v in found.items() if k != "index"}).items():
+            add(name, rows)
+        # From what is stored, so that nothing is extracted twice.
+        own = self.table("records").join(gone, "document_id", "left_semi")
+        add("index", fulltext.build(own, pages, self.table("categories")))
+        pages.unpersist()

@@ -88,6 +88,11 @@ def widths(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.groupBy("category").agg(*[F.greatest(F.max(F.length(c)), F.lit(len(c))).alias(c) for c in [*names, "category", "source_page"] if c != "category"], F.greatest(F.max(F.length("category")), F.lit(8)).alias("category_width"))
 
 
+def source_pages(records: DataFrame, *by: str) -> DataFrame:
+    """Number of different pages that records come from."""
+    return records.groupBy(*by).agg(F.count_distinct("page_number").alias("pages"))
+
+
 def slug(c: Column) -> Column:
     return F.replace(F.lower(c), F.lit(" "), F.lit("-"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +20,11 @@ def from_text_files(spark: SparkSession, path: str, pattern: str = "*.txt") -> D
 
 
 def from_binary(spark: SparkSession, path: str, read: Callable[[bytes], list[str]], pattern: str = "*.pdf") -> DataFrame:
-    """Pages of binary files by a reader of one file's bytes; a file that fails has one page with an error."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).where(F.col("length") <= MOST_BYTES)
+    """Pages of binary files by a reader of one file's bytes; a file that fails, is too large or has no pages has one page with an error."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    # The bytes of files that are too large are not read.
+    large = files.where(F.col("length") > MOST_BYTES).select(F.xxhash64("path").alias("document_id"), F.lit(1).alias("page_number"), F.lit("").alias("raw_text"), F.format_string(f"%d bytes, more than {MOST_BYTES}", "length").alias("error"))
+    files = files.where(F.col("length") <= MOST_BYTES)
 
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
@@ -28,12 +32,22 @@ def from_binary(spark: SparkSession, path: str, read: Callable[[bytes], list[str
         for f in frames:
             for key, content in zip(f["document_id"], f["content"], strict=True):
                 try:
-                    rows = [(key, i + 1, t, None) for i, t in enumerate(read(content))]
+                    rows = [(key, i + 1, t, None) for i, t in enumerate(read(content))] or [(key, 1, "", "no pages")]
                 except Exception as e:  # the page says why; the job goes on
                     rows = [(key, 1, "", repr(e))]
                 yield pd.DataFrame(rows, columns=["document_id", "page_number", "raw_text", "error"])
 
-    return files.select(F.xxhash64("path").alias("document_id"), "content").mapInPandas(run, PAGES)
+    return files.select(F.xxhash64("path").alias("document_id"), "content").mapInPandas(run, PAGES).unionByName(large)
+
+
+def checked(paths: list[str], suffix: str = ".pdf") -> list[tuple[str, str | None]]:
+    """(path, why it is refused or None) of local files offered for import."""
+    out = []
+    for p in paths:
+        f = Path(p)
+        why = "no such file" if not f.is_file() else f"not a {suffix} file" if f.suffix.lower() != suffix else f"larger than {MOST_BYTES} bytes" if f.stat().st_size > MOST_BYTES else None
+        out.append((p, why))
+    return out
 
 
 def from_table(texts: DataFrame, key: str, text: str, by_line: bool = False) -> DataFrame:
