@@ -1,8 +1,12 @@
 """Main text of web pages by minimum cut.
 
-A page becomes a graph of its text blocks. A logistic cost model over structural features gives each block the
+A page becomes a graph of its text blocks. A logistic classifier over structural features gives each block the
 cost of calling it content or boilerplate (terminal capacities); neighbours in page order and blocks under the
 same ancestors are joined by smoothness edges. The minimum cut is the labelling of least total cost.
+
+The classifier is fit to the pages at hand: blocks of pages that say by their elements what is article and what is
+navigation are its examples, once with those elements among the features and once without, so that links, lengths
+and sentences learn to speak for blocks of pages that say nothing. Its prior is a set of default costs.
 """
 
 from __future__ import annotations
@@ -12,7 +16,9 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import shared
 
@@ -25,21 +31,29 @@ _TAG = re.compile(
 )
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: Elements whose contents are never text of the page.
-SILENT = frozenset("script style noscript template svg math head title iframe object canvas audio video select option datalist textarea".split())
+SILENT = frozenset("script style noscript template svg head title iframe object canvas audio video select option datalist textarea".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mi mn mo mrow msup msub mfrac msqrt mtext semantics".split())
+#: Elements that can stand in a head; any other ends it.
+IN_HEAD = frozenset("title meta link style script base noscript template head".split())
 #: Elements that an open paragraph ends before.
 ENDS_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SECTION = frozenset("article main section div td aside nav header footer form ul ol dl table body blockquote figure".split())
 
-#: Costs (log odds of content); parameters of the model.
-WEIGHTS = {
-    "bias": -0.5, "article": 4.0, "main": 3.0, "content_name": 2.0, "boiler_tag": -10.0, "boiler_name": -9.0, "comment": -12.0,
-    "links": -4.0, "paragraph": 1.0, "heading": 1.0, "item": -0.5, "log_words": 0.6,
+#: The features of a block and their default costs (log odds of content), the prior of the fit.
+PRIOR = {
+    "bias": -0.5, "article": 4.0, "main": 3.0, "content_name": 2.0, "boiler_tag": -10.0, "boiler_name": -8.0, "comment": -12.0,
+    "links": -4.0, "paragraph": 1.0, "heading": 1.0, "item": -0.5, "log_words": 0.6, "sentence": 0.5,
 }
+#: Those that say what an element is; hidden in the second copy of each example.
+SAID = ("article", "main", "content_name", "boiler_tag", "boiler_name", "comment")
+#: Pages that are fit on, and blocks of each, at most; weight of the prior in examples; how far a cost can move from it.
+SAMPLE, MOST_BLOCKS, PRIOR_WEIGHT, FARTHEST = 2_000, 200, 20.0, 1.5
 #: Smoothness: neighbours in page order, and blocks under the same parent and grandparent.
-NEXT, PARENT, GRAND = 0.3, 0.5, 0.2
+NEXT, PARENT, GRAND = 0.6, 0.9, 0.3
+#: An element with so much of the page's text, or with less if it holds the article, is a wrapper: its name says nothing.
+WRAPPER, HOLDER = 0.9, 0.3
 BOILER_TAGS = frozenset("nav footer aside form menu dialog button".split())
 _BOILER = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|sidebar|side|footer|header|masthead|banner|ads?|advert\w*|adsense|promo\w*|sponsor\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|"
@@ -48,24 +62,26 @@ _BOILER = re.compile(
 )
 _COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|reply|replies|disqus|discussion|reviews?)(?:$|[\s_-])", re.I)
 _CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text|prose)(?:$|[\s_-])", re.I)
+#: Names of a state and not of a part, as "no-sidebar" or "comments-open".
+_STATE = re.compile(r"(?:^|\s)(?:(?:no|has|with|without|is|hide|show)-\S*|\S*-(?:open|closed|enabled|disabled|active|on|off))(?=\s|$)", re.I)
 
 
 class _Element:
-    __slots__ = ("tag", "up", "score", "silent", "inside", "section", "link", "key")
+    __slots__ = ("tag", "up", "key", "silent", "inside", "link", "block", "section", "said", "name", "size", "holds")
 
     def __init__(self, tag: str, attrs: str, up: _Element | None, key: int) -> None:
-        self.tag, self.up, self.key = tag, up, key
-        self.score, self.silent, self.inside, self.link = (up.score, up.silent, up.inside, up.link) if up else (0.0, False, False, False)
-        self.section = key if tag in SECTION or not up else up.section
-        self.silent |= tag in SILENT
-        self.link |= tag == "a"
-        w = WEIGHTS
+        self.tag, self.up, self.key, self.size, self.holds = tag, up, key, 0, tag in ("article", "main", "h1")
+        self.silent, self.inside, self.link = (up.silent or tag in SILENT, up.inside, up.link or tag == "a") if up else (False, False, False)
+        # The nearest elements that are no inline one, and that blocks are grouped by.
+        self.block = up.block if up and tag in INLINE else self
+        self.section = self if tag in SECTION or not up else up.section
+        self.said, self.name = "", ""
         if tag == "article" and not self.inside:
-            self.inside, self.score = True, self.score + w["article"]
+            self.inside, self.said = True, "article"
         elif tag == "main" and not self.inside:
-            self.score += w["main"]
+            self.said = "main"
         elif tag in BOILER_TAGS or tag == "header" and not self.inside:
-            self.score += w["boiler_tag"]
+            self.said = "boiler_tag"
         if attrs:
             named = ""
             for name, value in _ATTR.findall(attrs):
@@ -75,43 +91,44 @@ class _Element:
                 elif value:
                     named += " " + value.strip("\"'")
             if named and tag not in ("html", "body"):
+                named = _STATE.sub(" ", named)
                 if _COMMENT.search(named):
-                    self.score += w["comment"]
+                    self.name = "comment"
                 elif _BOILER.search(named) or "contentinfo" in named or "complementary" in named:
-                    if tag != "article":
-                        self.score += w["boiler_name"]
+                    self.name = "boiler_name" if tag != "article" else ""
                 elif _CONTENT.search(named) and not self.inside:
-                    self.score += w["content_name"]
+                    self.name = "content_name"
 
 
-def blocks(page: str) -> list[tuple[str, float, int, int]]:
-    """(text, log odds of content, section, section above) of each text block, in page order."""
+def blocks(page: str) -> list[tuple[str, list[float], int, int]]:
+    """(text, features, section, section above) of each text block, in page order. Time and memory follow the page's length."""
     top = _Element("", "", None, 0)
-    here, keys, out = top, 1, []
+    here, every, found = top, [top], []
+    open_: dict[str, int] = {}
     parts: list[str] = []
     linked = total = 0
     owner = top
 
+    def leave(upto: _Element) -> None:
+        """Closes all elements below upto."""
+        nonlocal here
+        while here is not upto:
+            open_[here.tag] -= 1
+            here = here.up
+
     def flush() -> None:
         nonlocal linked, total
         text = " ".join(entities.unescape("".join(parts)).split()) if parts else ""
         parts.clear()
         if text:
-            w, e = WEIGHTS, owner
-            z = w["bias"] + e.score + w["links"] * linked / max(1, total) + w["log_words"] * math.log1p(len(text.split()))
-            tag = e.tag
-            while e.up and tag in INLINE:
-                e = e.up
-                tag = e.tag
-            z += w["paragraph"] if tag in ("p", "pre", "blockquote") else w["heading"] if len(tag) == 2 and tag[0] == "h" else w["item"] if tag == "li" else 0.0
-            above = e
-            while above.up and above.key != e.section:
-                above = above.up
-            out.append((text, z, e.section, above.up.section if above.up else e.section))
+            owner.size += len(text)
+            found.append((text, owner.block, linked / max(1, total)))
         linked = total = 0
 
     def add(text: str) -> None:
         nonlocal linked, total, owner
+        if here.tag == "head" and text.strip():
+            leave(here.up)  # a head that was not closed
         if here.silent or not text:
             return
         if not parts:
@@ -134,34 +151,102 @@ def blocks(page: str) -> list[tuple[str, float, int, int]]:
         if tag not in INLINE and not here.silent:
             flush()
         if close:
-            e = here
-            while e.up and e.tag != tag:
-                e = e.up
-            if e.up:
-                here = e.up
+            # An end tag that nothing is open for costs no walk up the page.
+            if open_.get(tag):
+                e = here
+                while e.tag != tag:
+                    e = e.up
+                leave(e.up)
             continue
-        if tag in ENDS_P:
+        if open_.get("head") and tag not in IN_HEAD:
             e = here
-            while e.up and e.tag in INLINE:
+            while e.tag != "head":
                 e = e.up
-            if e.tag == "p" and e.up:
-                here = e.up
-        elif tag in ("li", "dt", "dd", "tr", "td", "th") and here.tag == tag and here.up:
-            here = here.up
+            leave(e.up)
+        if tag in ENDS_P:
+            e = here.block
+            if e.tag == "p":
+                leave(e.up)
+        elif tag in ("li", "dt", "dd", "tr", "td", "th") and here.tag == tag:
+            leave(here.up)
         if tag in VOID or attrs.endswith("/") and tag in INLINE:
             continue
         if tag == "body" and here.silent:
-            here = top
-        here = _Element(tag, attrs, here, keys)
-        keys += 1
+            leave(top)
+        here = _Element(tag, attrs, here, len(every))
+        every.append(here)
+        open_[tag] = open_.get(tag, 0) + 1
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             at = end.start() if end else len(page)
     add(page[at:])
     flush()
+    # What elements say is summed from the top down, once their shares of the page's text are known.
+    for e in reversed(every[1:]):
+        e.up.size += e.size
+        e.up.holds |= e.holds
+    whole, said = max(1, top.size), [dict.fromkeys(SAID, 0.0)]
+    for e in every[1:]:
+        own = said[e.up.key]
+        if e.said or e.name:
+            own = dict(own)
+            if e.said:
+                own[e.said] = min(2.0, own[e.said] + 1)
+            if e.name == "content_name":
+                own[e.name] = min(2.0, own[e.name] + 1)
+            elif e.name:
+                share = e.size / whole
+                part = 0.0 if share >= WRAPPER or e.holds and share >= HOLDER else min(1.0, (WRAPPER - share) / (WRAPPER - 0.5))
+                own[e.name] = min(2.0, own[e.name] + part)
+        said.append(own)
+    out = []
+    for text, e, links in found:
+        kind = "paragraph" if e.tag in ("p", "pre", "blockquote") else "heading" if len(e.tag) == 2 and e.tag[0] == "h" else "item" if e.tag == "li" else ""
+        own = {"bias": 1.0, "links": links, "log_words": math.log1p(text.count(" ") + 1), "sentence": float(text[-1] in ".!?:;\u0964\u3002\"'\u201d\u2019)")} | said[e.key]
+        if kind:
+            own[kind] = 1.0
+        above = e.section.up.section.key if e.section.up else e.section.key
+        out.append((text, [own.get(f, 0.0) for f in PRIOR], e.section.key, above))
     return out
 
 
+def examples(found: list[tuple[str, list[float], int, int]]) -> np.ndarray:
+    """Rows (1 for content or 0, features) of blocks whose elements say what they are; each also without what they say."""
+    place = {f: i for i, f in enumerate(PRIOR)}
+    own = [f for _, f, _, _ in found]
+    if len(own) > MOST_BLOCKS:
+        own = [own[i * len(own) // MOST_BLOCKS] for i in range(MOST_BLOCKS)]
+    rows = []
+    for f in own:
+        inside, out = f[place["article"]] or f[place["main"]], f[place["boiler_tag"]]
+        if out or inside and not f[place["boiler_name"]] and not f[place["comment"]]:
+            y = 0.0 if out else 1.0
+            rows += [[y, *f], [y, *[0.0 if name in SAID else v for name, v in zip(PRIOR, f, strict=True)]]]
+    return np.array(rows).reshape(-1, len(PRIOR) + 1)
+
+
+def fit(rows: np.ndarray) -> np.ndarray:
+    """The costs: logistic regression about the prior by Newton steps, none moved farther than FARTHEST.
+
+    Both classes weigh alike. Without examples of both classes the prior is the model.
+    """
+    prior = np.array(list(PRIOR.values()))
+    y, x = rows[:, 0], rows[:, 1:]
+    if not len(y) or y.all() or not y.any():
+        return prior
+    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    w = prior.copy()
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (weight * (p - y)) + PRIOR_WEIGHT * (w - prior)
+        curve = x.T @ (x * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]) + PRIOR_WEIGHT * np.eye(len(w))
+        step = np.linalg.solve(curve, slope)
+        w = np.clip(w - step, prior - FARTHEST, prior + FARTHEST)
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
 def _max_flow(n: int, source: list[float], sink: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes are on the source's side of a minimum cut (Dinic's algorithm)."""
     to: list[int] = []
@@ -243,8 +328,12 @@ def label(odds: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
     return [bool(x) for x in settled]
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, costs: np.ndarray | None = None) -> str:
+    """The texts of the blocks on the content side of the minimum cut, by the costs given or the prior's."""
     found = blocks(page or "")
+    if not found:
+        return ""
+    odds = np.array([b[1] for b in found]) @ (np.array(list(PRIOR.values())) if costs is None else costs)
     links: list[tuple[int, int, float]] = [(i, i + 1, NEXT) for i in range(len(found) - 1)]
     for place, weight in ((2, PARENT), (3, GRAND)):
         last: dict[int, int] = {}
@@ -252,7 +341,7 @@ def main_text(page: str | None) -> str:
             if b[place] in last:
                 links.append((last[b[place]], i, weight))
             last[b[place]] = i
-    keep = label([b[1] for b in found], links)
+    keep = label(odds.tolist(), links)
     return " ".join(b[0] for b, k in zip(found, keep, strict=True) if k)
 
 
@@ -260,16 +349,29 @@ def extract(pages: DataFrame, row_id: str = "page_id", url: str = "url", html: s
     """row_id, url, text and n_chars (code points) of each page's main text.
 
     Null and empty pages give an empty text; each row is worked on its own, so repeated rows repeat; other
-    columns are ignored; the whole page is read, whatever its length.
+    columns are ignored; the whole page is read, whatever its length; an empty table gives none. The costs are fit on
+    at most SAMPLE pages, chosen by a hash of the id, and at most MOST_BLOCKS blocks of each.
     """
     import pyarrow as pa
 
     shared.prepare(pages.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
+    own = pages.select(F.col(f"`{row_id}`").alias("i"), F.col(f"`{html}`").alias("h"))
+    n = own.count()
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [examples(blocks(p.as_py() or "")).astype("<f4").tobytes() for p in batch.column(1)]
+            yield pa.RecordBatch.from_pydict({"at": batch.column(0), "rows": pa.array(rows, pa.binary())})
+
+    at = F.xxhash64(F.lit("fit"), "i")
+    some = own.where(F.pmod(at, F.lit(max(1, n // SAMPLE))) == 0).select(at.alias("at"), "h").mapInArrow(learn, "at bigint, rows binary")
+    taught = some.orderBy("at", "rows").limit(SAMPLE).collect()  # bounded by SAMPLE * MOST_BLOCKS
+    costs = fit(np.frombuffer(b"".join(r[1] for r in taught), "<f4").astype(float).reshape(-1, len(PRIOR) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(p.as_py()) for p in batch.column(2)]
+            texts = [main_text(p.as_py(), costs) for p in batch.column(2)]
             yield pa.RecordBatch.from_pydict({row_id: batch.column(0), url: batch.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    return pages.select(row_id, url, html).mapInArrow(run, f"`{row_id}` {kinds[row_id]}, `{url}` {kinds[url]}, text string, n_chars bigint")
+    return pages.select(F.col(f"`{row_id}`"), F.col(f"`{url}`"), F.col(f"`{html}`")).mapInArrow(run, f"`{row_id}` {kinds[row_id]}, `{url}` {kinds[url]}, text string, n_chars bigint")

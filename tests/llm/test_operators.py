@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -438,6 +439,55 @@ def test_html(spark):
     assert htmltext.extract(df.where("false")).count() == 0
 
 
+ARTICLE = "<article><h1>A title</h1><p>First paragraph of the article, with enough words to be one.</p><ul><li>One point of a list.</li><li>Another point.</li></ul><p>The value <math><mi>x</mi><mo>=</mo><mn>2</mn></math> is given.</p></article>"
+TEXT = "A title First paragraph of the article, with enough words to be one. One point of a list. Another point. The value x=2 is given."
+AROUND = '<html><body><nav><a href=x>Home</a> <a href=y>News</a></nav>{}<footer>All rights reserved</footer></body></html>'
+
+
+@pytest.mark.parametrize("name", ["no-sidebar", "content-sidebar", "comments-open", "post tag-legal meta", "share-enabled"])
+def test_html_in_wrappers(name):
+    """A theme's class on a wrapper of the whole page says nothing of the article in it, marked as such or not."""
+    assert htmltext.main_text(AROUND.format(f'<div class="{name}">{ARTICLE}</div>')) == TEXT
+    plain = ARTICLE.replace("<article>", "<div>").replace("</article>", "</div>")
+    assert TEXT.split(" One")[0] in htmltext.main_text(AROUND.format(f'<div class="{name}">{plain}</div>'))
+
+
+def test_html_parts(spark):
+    """Hand-labelled parts: what stands in or beside an article and is not of it, and heads that are not closed."""
+    for part in ('<div class="comments"><p>I think so too, and would like to add many words to it.</p></div>', '<div class="ad">Buy now</div>', "<aside>See also</aside>", '<form>Name <input></form>', '<div class="share-buttons">Share this</div>', "<!-- x --><script>var a = '<p>';</script>"):
+        assert htmltext.main_text(AROUND.format(ARTICLE + part)) == TEXT, part
+        assert htmltext.main_text(AROUND.format(ARTICLE.replace("</article>", part + "</article>"))) == TEXT, part
+    assert htmltext.main_text("<html><head><title>no</title><meta charset=utf-8>" + ARTICLE) == TEXT
+    assert htmltext.main_text("<head><title>no</title>Some plain text that follows an open head and goes on for a while.").startswith("Some plain")
+    long_ = AROUND.format("<article>" + "<p>One more paragraph with some words in it.</p>" * 20_000 + "</article>")
+    df = spark.createDataFrame([(i, "u", AROUND.format(ARTICLE)) for i in range(30)] + [(99, None, long_), (None, None, "")], "page_id bigint, url string, html string").withColumns({c: F.lit("x") for c in ("i", "h", "at", "rows")})
+    got = htmltext.extract(df).collect()
+    assert sum(r.text == TEXT for r in got) == 30 and {r.n_chars for r in got if r.page_id == 99} == {20_000 * 42 - 1} and len(got) == 32
+
+
+def test_html_costs_are_fit():
+    """Costs move towards the examples, within bounds, and find an article that no element names."""
+    page = AROUND.format(ARTICLE)
+    rows = np.concatenate([htmltext.examples(htmltext.blocks(page))] * 50)
+    assert set(rows[:, 0]) == {0.0, 1.0}
+    prior, costs = np.array(list(htmltext.PRIOR.values())), htmltext.fit(rows)
+    loss = lambda w: np.log1p(np.exp(-(2 * rows[:, 0] - 1) * (rows[:, 1:] @ w))).mean()
+    assert loss(costs) < loss(prior) and np.abs(costs - prior).max() <= htmltext.FARTHEST + 1e-9
+    assert (htmltext.fit(rows[rows[:, 0] == 1]) == prior).all()
+
+
+def test_html_takes_linear_time():
+    """Unmatched end tags, unclosed inline elements and deep nesting."""
+    for part in ("</div>", "<b>", "<div>", "<b><div>x</div>", "<p><i>x", "<li>x"):
+        began = time.perf_counter()
+        for _ in range(2):
+            htmltext.blocks(part * 4_000)
+        short = time.perf_counter() - began
+        began = time.perf_counter()
+        htmltext.blocks(part * 32_000)
+        assert time.perf_counter() - began < 16 * short + 0.5, part
+
+
 def test_minimum_cut_against_brute_force():
     rng = random.Random(2)
     for _ in range(200):
