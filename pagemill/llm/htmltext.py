@@ -5,8 +5,8 @@ cost of calling it content or boilerplate (terminal capacities); neighbours in p
 same ancestors are joined by smoothness edges. The minimum cut is the labelling of least total cost.
 
 The classifier is fit to the pages at hand: blocks of pages that say by their elements what is article and what is
-navigation are its examples, once with those elements among the features and once without, so that links, lengths
-and sentences learn to speak for blocks of pages that say nothing. Its prior is a set of default costs.
+navigation are its examples, without what those elements say, so that links, lengths, places and sentences learn to
+speak for blocks of pages that say nothing. Its prior is a set of default costs; what elements say keeps its own.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ PRIOR = {
     "bias": -0.5, "article": 4.0, "main": 3.0, "content_name": 2.0, "boiler_tag": -10.0, "boiler_name": -8.0, "comment": -12.0,
     "links": -4.0, "paragraph": 1.0, "heading": 1.0, "item": -0.5, "log_words": 0.6, "sentence": 0.5,
 }
-#: Those that say what an element is; hidden in the second copy of each example.
+#: Those that say what an element is: they choose the examples, are hidden in them and are not fit.
 SAID = ("article", "main", "content_name", "boiler_tag", "boiler_name", "comment")
 #: Pages that are fit on, and blocks of each, at most; weight of the prior in examples; how far a cost can move from it.
 SAMPLE, MOST_BLOCKS, PRIOR_WEIGHT, FARTHEST = 2_000, 200, 20.0, 1.5
@@ -211,7 +211,7 @@ def blocks(page: str) -> list[tuple[str, list[float], int, int]]:
 
 
 def examples(found: list[tuple[str, list[float], int, int]]) -> np.ndarray:
-    """Rows (1 for content or 0, features) of blocks whose elements say what they are; each also without what they say."""
+    """Rows (1 for content or 0, features) of blocks whose elements say what they are, without what they say."""
     place = {f: i for i, f in enumerate(PRIOR)}
     own = [f for _, f, _, _ in found]
     if len(own) > MOST_BLOCKS:
@@ -221,7 +221,7 @@ def examples(found: list[tuple[str, list[float], int, int]]) -> np.ndarray:
         inside, out = f[place["article"]] or f[place["main"]], f[place["boiler_tag"]]
         if out or inside and not f[place["boiler_name"]] and not f[place["comment"]]:
             y = 0.0 if out else 1.0
-            rows += [[y, *f], [y, *[0.0 if name in SAID else v for name, v in zip(PRIOR, f, strict=True)]]]
+            rows.append([y, *[0.0 if name in SAID else v for name, v in zip(PRIOR, f, strict=True)]])
     return np.array(rows).reshape(-1, len(PRIOR) + 1)
 
 

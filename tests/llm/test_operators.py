@@ -474,6 +474,8 @@ def test_html_costs_are_fit():
     loss = lambda w: np.log1p(np.exp(-(2 * rows[:, 0] - 1) * (rows[:, 1:] @ w))).mean()
     assert loss(costs) < loss(prior) and np.abs(costs - prior).max() <= htmltext.FARTHEST + 1e-9
     assert (htmltext.fit(rows[rows[:, 0] == 1]) == prior).all()
+    listed = AROUND.format("<article><h1>Steps</h1><ul>" + "<li>One more of the steps</li>" * 30 + "</ul></article>")
+    assert htmltext.main_text(listed, costs) == "Steps" + " One more of the steps" * 30
 
 
 def test_html_takes_linear_time():
