@@ -37,7 +37,9 @@ def targets(sources: DataFrame, weights: tuple[float, ...], most: float = 3.0) -
     w = w.withColumn("level", F.when(level * F.col("weight") <= F.col("cap"), level))
     w = w.withColumn("level", F.first("level", ignorenulls=True).over(Window.partitionBy().orderBy(F.col("cap") / F.col("weight"), "place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     share = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("level") * F.col("weight"), F.col("cap")))
-    return w.select("source", "source_size", "place", "weight", F.coalesce(share, F.lit(0.0)).alias("target"))
+    # Whole words in all targets together: a sum of whole numbers, the same in any order.
+    total = F.least(F.col("all"), F.sum(F.floor("cap")).over(Window.partitionBy()))
+    return w.select("source", "source_size", "place", "weight", F.coalesce(share, F.lit(0.0)).alias("target"), total.cast("long").alias("all_words"))
 
 
 def quotas(goals: DataFrame, block_words: int, shards: int) -> DataFrame:
@@ -48,7 +50,7 @@ def quotas(goals: DataFrame, block_words: int, shards: int) -> DataFrame:
     and as many as are missing (or too many) are added (or taken back).
     """
     every = Window.partitionBy()
-    live = goals.where("target > 0").select("place", "target", F.sum("target").over(every).alias("all"), F.count("*").over(every).alias("sources"))
+    live = goals.where("target > 0").select("place", "target", F.col("all_words").alias("all"), F.count("*").over(every).alias("sources"))
     blocks = F.floor(F.col("all") / block_words + 0.5)
     near = live.withColumn("cut", F.explode(F.sequence(F.lit(1), F.lit(shards)))).withColumn("seats", F.floor(blocks * F.col("cut") / shards))
     near = near.withColumn("at", F.floor(F.col("seats") / F.col("all") * F.col("target") + 0.5))
@@ -67,8 +69,8 @@ def quotas(goals: DataFrame, block_words: int, shards: int) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3, block_words: int = 8, shards: int = 16, seed: str = "mix", row_id: str = "doc_id", source: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, quotas): for each row of docs what the mix takes of it, and each shard's quota of blocks from each source.
 
-    rows: row_id, source, size, key, source_size, target, taken (words, repeats counted) and stream_from (where
-    the row begins in its source's stream). Null sources form one source; null, empty and blank texts have size
+    rows: row_id, source, size, key, source_size, target, taken (words, repeats counted), stream_from (where
+    the row begins in its source's stream) and shards (an array: shard, and the words that it takes of the row). Null sources form one source; null, empty and blank texts have size
     0 and nothing is taken; repeated rows are rows of their own; an empty table gives empty results.
     """
     rows = docs.select(F.col(row_id).alias("row_id"), F.col(source).cast("string").alias("source"), shared.words_of(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("content"))
@@ -77,14 +79,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int
     sources = rows.groupBy("s", "none").agg(F.sum("size").alias("source_size")).withColumn("source", F.when(~F.col("none"), F.col("s")))
     goals = shared.cut(targets(sources.select("source", "source_size"), weights, most), "mix-goals")
     shares = quotas(goals, block_words, shards)
-    got = shares.groupBy("place").agg((F.max("total") * block_words).alias("got"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("shard", "total"))), lambda x: x["total"] * block_words)
+    # One number for each shard: an array of fixed length.
+    got = shares.groupBy("place").agg((F.max("total") * block_words).alias("got"), listed.alias("ends"))
     plan = goals.join(got, "place", "left").withColumn("got", F.least(F.coalesce("got", F.lit(0)), most * F.col("source_size")))
-    plan = plan.select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none"), "source_size", "target", "got")
+    plan = plan.select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none"), "source_size", "target", "got", "ends")
     cells = max(256, rows.count() // CELL_ROWS)
     rows = rows.withColumn("bucket", shared.key_bucket(F.col("key"), cells))
     placed = shared.prefix_within(rows, ["s", "none"], "bucket", ["key", "row_id", "size"], "size").join(plan, ["s", "none"])
     turns = F.when(F.col("source_size") > 0, F.floor(F.col("got") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("got") - turns * F.col("source_size")
     taken = turns * F.col("size") + F.greatest(F.least(F.col("before") + F.col("size"), rest) - F.col("before"), F.lit(0))
-    out = placed.select(F.col("row_id").alias(row_id), "source", "size", "key", F.col("source_size").cast("long"), "target", taken.cast("long").alias("taken"), F.col("before").alias("stream_from"))
+    # What shard i takes of a row: the parts of the row's turns that lie between the ends of shards i - 1 and i.
+    first = lambda t: F.col("before") + t * F.col("source_size")
+    part = lambda t, lo, hi: F.greatest(F.least(first(t) + F.col("size"), hi, F.col("got")) - F.greatest(first(t), lo), F.lit(0))
+    words = lambda lo, hi: F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(most).cast("long")), F.lit(0).cast("long"), lambda a, t: a + part(t, lo, hi).cast("long"))
+    each = F.transform("ends", lambda hi, i: F.struct(i.cast("int").alias("shard"), words(F.when(i == 0, F.lit(0).cast("long")).otherwise(F.element_at("ends", F.greatest(i, F.lit(1)))), hi).alias("words")))
+    shards_ = F.when(F.col("size") > 0, F.filter(each, lambda x: x["words"] > 0))
+    out = placed.select(F.col("row_id").alias(row_id), "source", "size", "key", F.col("source_size").cast("long"), "target", taken.cast("long").alias("taken"), F.col("before").alias("stream_from"), F.coalesce(shards_, F.array().cast("array<struct<shard:int,words:bigint>>")).alias("shards"))
     return out, goals.join(shares, "place").select("source", "shard", "total")

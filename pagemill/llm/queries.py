@@ -28,7 +28,7 @@ d AS (
 ), r AS (
   SELECT *, md5('shard:' || coalesce(doc_id::VARCHAR, 'null') || ':' || text_crc32) AS h FROM d
 ), p AS (
-  SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY h, doc_id, size) - 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY source)) AS f FROM r
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, size) - 1 + ('0x' || substr(md5('shard:' || coalesce('source:' || source, 'null')), 1, 8))::UBIGINT::DOUBLE / 4294967296.0) / count(*) OVER (PARTITION BY source) AS f FROM r
 ), q AS (
   SELECT *, row_number() OVER (ORDER BY f, source IS NULL, source, h, doc_id, size) - 1 AS pos, count(*) OVER () AS n FROM p
 ), s AS (SELECT *, (pos * 40 // n)::INT AS shard FROM q)
@@ -38,7 +38,8 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, shard, (pos - ((shard * n + 39)
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = mixing.mix(shared.table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", "taken")
+    # The first of the shards whose quotas the document's words fill.
+    return rows.select("doc_id", "size", "source_size", "target", "taken", F.get("shards", F.lit(0))["shard"].alias("first_shard"))
 
 
 _OP4 = r"""
@@ -53,17 +54,19 @@ WITH d AS (
   FROM s WINDOW w AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), l AS (SELECT arg_min(level, turn) AS level FROM o WHERE level * weight <= cap),
 g AS (SELECT o.source, source_size, place, least(l.level * weight, cap)::DOUBLE AS target FROM o, l),
-b AS (SELECT floor(sum(target) / 8 + 0.5)::BIGINT AS blocks FROM g),
+b AS (SELECT floor(sum(source_size) / 8 + 0.5)::BIGINT AS blocks FROM g),
 a AS (
-  SELECT place, row_number() OVER (ORDER BY (2 * k + 1) / (2 * target), place) AS turn
+  SELECT place, k, row_number() OVER (ORDER BY (2 * k + 1) / (2 * target), place) AS turn
   FROM (SELECT place, target, unnest(range((target / 4)::BIGINT + 100)) AS k FROM g WHERE target > 0)
 ), got AS (SELECT place, count(*) * 8 AS got FROM a, b WHERE turn <= blocks GROUP BY place),
-m AS (SELECT g.source, source_size, target, least(coalesce(got, 0), 3 * source_size) AS got FROM g LEFT JOIN got USING (place)),
+m AS (SELECT g.source, place, source_size, target, least(coalesce(got, 0), 3 * source_size) AS got FROM g LEFT JOIN got USING (place)),
 x AS (
-  SELECT d.doc_id, d.size, m.source_size, m.target, CASE WHEN m.source_size > 0 THEN got // m.source_size ELSE 0 END AS turns, got,
+  SELECT d.doc_id, d.size, m.place, m.source_size, m.target, CASE WHEN m.source_size > 0 THEN got // m.source_size ELSE 0 END AS turns, got,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source)
-SELECT doc_id, size, source_size, target, (turns * size + greatest(least(before + size, got - turns * source_size) - before, 0))::BIGINT AS taken FROM x
+, y AS (SELECT *, (turns * size + greatest(least(before + size, got - turns * source_size) - before, 0))::BIGINT AS taken FROM x)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN len(list_filter(range(1, 17), lambda c: (b.blocks * c) // 16 < a.turn))::INT END AS first_shard
+FROM y CROSS JOIN b LEFT JOIN a ON a.place = y.place AND a.k = before // 8
 """
 
 

@@ -2,7 +2,8 @@
 
 Rows of each source are put in a seeded order; a row's place in its source, as a fraction, places it in the
 whole; the sequence is then cut into shards of equal row counts. Every contiguous cut holds each source in
-its proportion (to within one row of each source).
+its proportion (to within one row of each source). The fractions of a source begin
+at a place that follows from its name: so the many sources of one row or two do not all meet in the same places.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ def interleave(docs: DataFrame, shards: int, seed: str = "shard", source: str =
     rows = rows.withColumns({"bucket": shared.key_bucket(F.col("h"), cells), "s": F.coalesce("source", F.lit("")), "none": F.col("source").isNull(), "one": F.lit(1)})
     tie = ["none", "s", "h", "row_id", "size"]
     ranked = shared.prefix_within(rows, ["s", "none"], "bucket", ["h", "row_id", "size"], "one")
-    placed = ranked.withColumn("f", (2 * F.col("rank") - 1) / (2 * F.col("key_rows"))).withColumn("slice", F.floor(F.col("f") * cells).cast("int"))
+    named = F.md5(F.concat(F.lit(f"{seed}:"), F.when(F.col("none"), F.lit("null")).otherwise(F.concat(F.lit("source:"), "s"))))
+    begin = F.conv(F.substring(named, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+    placed = ranked.withColumn("f", (F.col("rank") - 1 + begin) / F.col("key_rows")).withColumn("slice", F.floor(F.col("f") * cells).cast("int"))
     # The table of slices has at most MOST rows, whatever the input.
     counts = placed.groupBy("slice").agg(F.count("*").alias("n"))
     starts = counts.select("slice", F.coalesce(F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n0"))

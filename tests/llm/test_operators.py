@@ -55,6 +55,42 @@ def test_mixing(spark):
     assert mixing.mix(docs(spark, ODD).where("false"))[0].count() == 0
 
 
+@pytest.mark.parametrize("weights", [(5.0, 2.0, 1.0), (1.0,)])
+def test_mixing_quotas_against_a_plain_loop(spark, weights):
+    """Awards one by one by the highest quotient, cut into shards, give the same quotas; documents fill them exactly."""
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randrange(40), rng.choice(["a", "b", "b", "b", "c", None])) for i in range(400)]
+    out, quotas = mixing.mix(docs(spark, rows), weights, block_words=8, shards=5)
+    out, quotas = out.collect(), {(r.source, r.shard): r.total for r in quotas.collect()}
+    targets, order = {r.source: r.target for r in out}, ["a", "b", "c", None]
+    blocks, had, want = int(sum(r.size for r in out) / 8 + 0.5), collections.Counter(), {}
+    for turn in range(blocks):
+        for shard in range(5):
+            if turn == blocks * shard // 5 and shard:
+                want |= {(s, shard - 1): had[s] for s in order}
+        had[max(order, key=lambda s: (targets[s] / (2 * had[s] + 1), -order.index(s)))] += 1
+    want |= {(s, 4): had[s] for s in order}
+    assert quotas == want
+    filled = collections.Counter()
+    for r in out:
+        assert sum(x.words for x in r.shards) == r.taken and all(x.words > 0 for x in r.shards)
+        for x in r.shards:
+            filled[r.source, x.shard] += x.words
+    sizes = {r.source: r.source_size for r in out}
+    for s in order:
+        for shard in range(5):
+            ends = [min(8 * want.get((s, k), 0), 3 * sizes[s]) if k >= 0 else 0 for k in (shard - 1, shard)]
+            assert filled[s, shard] == ends[1] - ends[0]
+
+
+def test_sharding_spreads_small_sources(spark):
+    """Sources of one row each lie in all shards, and in no one slice."""
+    rows = [(i, f"text {i}", f"only{i}" if i < 300 else "hot") for i in range(600)]
+    out = sharding.interleave(docs(spark, rows), 6).collect()
+    for s in range(6):
+        assert 25 <= sum(r.source != "hot" for r in out if r.shard == s) <= 75
+
+
 def brute_components(rows):
     sets = [(i, re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for i, t in rows]
     sets = [(i, frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])) for i, w in sets]
