@@ -108,7 +108,7 @@ def tokens(index: DataFrame) -> DataFrame:
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
-def match(index: DataFrame, query: str, category: str | None = None, label: str = "FTS") -> DataFrame:
+def match(index: DataFrame, query: str, category: str | None = None, document_id: int | None = None, label: str = "FTS") -> DataFrame:
     """All hits, with bm25 (lower is better): the order in which first() cuts the hits of a page.
 
     A term counts as often as tokens begin with it; the statistics are those of the whole index.
@@ -127,15 +127,16 @@ def match(index: DataFrame, query: str, category: str | None = None, label: str
         idf = max(math.log((total - n + 0.5) / (n + 0.5)), LEAST_IDF)
         rank = rank - idf * c * (K1 + 1) / (c + K1 * (1 - B + B * F.size("tokens") / mean))
     hits = index if category is None else index.where(F.col("category_name") == category)
+    hits = hits if document_id is None else hits.where(F.col("document_id") == document_id)
     for c in times:
         hits = hits.where(c > 0)
     snippet = snippets.window(F.col("text"), F.lit(terms[0]))
     return hits.select(snippet.alias("text"), "page_number", "category_name", snippet.alias("context_snippet"), "record_id", F.lit(50.0).alias("rank"), F.lit(label).alias("match_field"), "document_id", rank.alias("bm25"))
 
 
-def first(index: DataFrame, query: str, limit: int, category: str | None = None) -> DataFrame:
+def first(index: DataFrame, query: str, limit: int, category: str | None = None, document_id: int | None = None) -> DataFrame:
     """The first hits by page and rank, in the columns of a search's result."""
-    found = match(index, query, category, "FTS" if category is None else "Category FTS")
+    found = match(index, query, category, document_id, "FTS" if category is None else "Category FTS")
     if "bm25" not in found.columns:
         return found.sparkSession.createDataFrame([], "text string, page_number int, category_name string, context_snippet string, record_id bigint, rank double, match_field string, document_id bigint")
     return found.orderBy("page_number", "bm25", F.coalesce("record_id", F.lit(0)), "document_id").limit(limit).drop("bm25")

@@ -205,7 +205,7 @@ def search(records: DataFrame, pages: DataFrame, categories: DataFrame, query: s
     if not top and index is not None and key == "all" and len(asked) >= 2 and not hits.limit(1).count():
         from . import fulltext
 
-        hits = fulltext.first(index, query, limit)
+        hits = fulltext.first(index, query, limit, document_id=document_id)
     return _none(spark) if hits is None else ordered(hits, limit)
 
 

@@ -14,7 +14,7 @@ MOST_BYTES = 250 * 1024 * 1024
 
 def from_text_files(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """One document for each file; form feeds part pages."""
-    files = spark.read.option("pathGlobFilter", pattern).option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern).withColumn("file", F.input_file_name())
     each = files.select(F.xxhash64("file").alias("document_id"), "file", F.posexplode(F.split("value", "\f")).alias("n", "raw_text"))
     return each.select("document_id", (F.col("n") + 1).alias("page_number"), "raw_text", F.lit(None).cast("string").alias("error"), "file")
 
