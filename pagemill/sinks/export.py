@@ -7,6 +7,7 @@ import html
 import json
 import zipfile
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Row
@@ -24,20 +25,21 @@ CANONICAL = {
 NONE = "Uncategorized"
 
 
-def field_table(records: DataFrame, order: str = "id") -> DataFrame:
-    """field, n and position of the keys worth a column: counted in one pass, noise and rare keys left out."""
-    keys = records.select(F.col(order).alias("o"), F.posexplode(F.map_keys("data")).alias("k", "field"))
-    seen = keys.groupBy("field").agg(F.count("*").alias("n"), F.min(F.struct("o", "k")).alias("first"))
+def field_table(records: DataFrame, order: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
+    """field, n and position of the keys worth a column, of all records or of each group: counted in one pass, noise and rare keys left out."""
+    keys = records.select(*by, F.col(order).alias("o"), F.posexplode(F.map_keys("data")).alias("k", "field"))
+    seen = keys.groupBy(*by, "field").agg(F.count("*").alias("n"), F.min(F.struct("o", "k")).alias("first"))
     bare = F.trim("field")
     good = (bare != "") & ~bare.rlike(r"(?U)^[\d\s[^\p{L}\p{N}_]_]+$") & ((F.length(bare) > 1) | bare.rlike("[ऀ-ॿ]"))
     place = F.array_position(F.array(*[F.lit(c) for c in CANONICAL]), F.col("field"))
-    total = records.agg(F.count("*").alias("total"))
-    # seen has one row for each key; total has one.
-    out = seen.where(good).withColumn("place", F.when(place > 0, place).otherwise(99)).join(F.broadcast(total))
-    known = F.min("place").over(Window.partitionBy()) < 99
+    total = records.groupBy(*by).agg(F.count("*").alias("total"))
+    # seen has one row for each key (of each group), total one for each group.
+    out = seen.where(good).withColumn("place", F.when(place > 0, place).otherwise(99))
+    out = out.join(total, list(by)) if by else out.join(F.broadcast(total))
+    known = F.min("place").over(Window.partitionBy(*by)) < 99
     enough = (F.col("total") < 10) | ~known | (F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("total") / 10)))
     out = out.withColumn("keep", enough).where("keep")
-    return out.withColumn("position", F.row_number().over(Window.orderBy("place", "first"))).select("field", "n", "position")
+    return out.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy("place", "first"))).select(*by, "field", "n", "position")
 
 
 def fields(records: DataFrame, order: str = "id") -> list[str]:
@@ -100,18 +102,13 @@ def slug(c: Column) -> Column:
 # ---------------------------------------------------------------- single files, streamed from the rows
 
 
-def _grouped(rows: DataFrame) -> Iterator[tuple[str, list[Row]]]:
-    """Categories by first appearance; one category at a time is held."""
-    first = rows.groupBy("category").agg(F.min("id").alias("first"))
-    name, held = None, []
-    for r in rows.join(first, "category").orderBy("first", "id").drop("first").toLocalIterator():
-        if r.category != name and held:
-            yield name, held
-            held = []
-        name = r.category
-        held.append(r)
-    if held:
-        yield name, held
+def _grouped(rows: DataFrame) -> Iterator[tuple[str, int, Iterator[Row]]]:
+    """(category, number of rows, rows) by first appearance; rows stream by, none are held."""
+    facts = rows.groupBy("category").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    counts = {r.category: r.n for r in facts.collect()}  # a row for each category
+    stream = rows.join(facts.drop("n"), "category").orderBy("first", "id").drop("first").toLocalIterator()
+    for name, own in groupby(stream, key=lambda r: r.category):
+        yield name, counts[name], own
 
 
 def _csv(path: Path, rows: DataFrame, names: list[str], title: str, records: DataFrame, categories: DataFrame) -> None:
@@ -138,8 +135,8 @@ def _markdown(path: Path, rows: DataFrame, names: list[str], title: str, records
     with path.open("w", encoding="utf-8") as f:
         f.write(f"# {title}\n\n## Summary\n- **Total Records:** {sum(c.n for c in counts)}\n- **Total Categories:** {len(counts)}\n\n## Table of Contents\n")
         f.writelines(f"- [{c.category}](#{c.category.lower().replace(' ', '-')})\n" for c in counts)
-        for name, own in _grouped(rows):
-            f.write(f"\n## {name}\n_{len(own)} records_\n\n| {' | '.join([*names, 'Category', 'Source Page'])} |\n| {' | '.join(['---'] * len(columns))} |\n")
+        for name, n, own in _grouped(rows):
+            f.write(f"\n## {name}\n_{n} records_\n\n| {' | '.join([*names, 'Category', 'Source Page'])} |\n| {' | '.join(['---'] * len(columns))} |\n")
             f.writelines("| " + " | ".join(r[c].replace("|", "\\|").replace("\n", " ") for c in columns) + " |\n" for r in own)
 
 
@@ -147,23 +144,35 @@ def _txt(path: Path, rows: DataFrame, names: list[str], title: str, records: Dat
     columns, heads = [*names, "category", "source_page"], [*names, "Category", "Source Page"]
     with path.open("w", encoding="utf-8") as f:
         f.write(f"{title}\n{'=' * len(title)}\n\n")
-        for name, own in _grouped(rows):
-            wide = [max(len(h), *(len(r[c]) for r in own)) for c, h in zip(columns, heads, strict=True)]
-            f.write(f"{name} ({len(own)} records)\n{'-' * (len(name) + len(str(len(own))) + 11)}\n\n")
+        longest = rows.groupBy("category").agg(*[F.max(F.length(c)).alias(f"w{i}") for i, c in enumerate(columns)]).collect()  # a row for each category
+        widths_ = {r.category: [max(len(h), r[f"w{i}"] or 0) for i, h in enumerate(heads)] for r in longest}
+        for name, n, own in _grouped(rows):
+            wide = widths_[name]
+            f.write(f"{name} ({n} records)\n{'-' * (len(name) + len(str(n)) + 11)}\n\n")
             f.write(" | ".join(h.ljust(w) for h, w in zip(heads, wide, strict=True)) + "\n" + "-+-".join("-" * w for w in wide) + "\n")
             f.writelines(" | ".join(r[c].ljust(w) for c, w in zip(columns, wide, strict=True)) + "\n" for r in own)
             f.write("\n\n")
 
 
+#: Filters the rows of all tables by what is typed, and sorts a table by the heading that is clicked, numbers as numbers.
+_SCRIPT = """<script>
+function keep(t){t=t.toLowerCase();for(const r of document.querySelectorAll('tbody tr'))r.hidden=!r.textContent.toLowerCase().includes(t)}
+document.addEventListener('click',e=>{const h=e.target.closest('th');if(!h)return;const body=h.closest('table').tBodies[0],i=h.cellIndex,up=h.dataset.up!=='1';
+h.dataset.up=up?'1':'0';const v=r=>r.cells[i].textContent,n=x=>x.trim()!==''&&!isNaN(x);
+const rows=[...body.rows].sort((a,b)=>{const x=v(a),y=v(b);return n(x)&&n(y)?x-y:x.localeCompare(y)});for(const r of up?rows:rows.reverse())body.append(r)})
+</script>"""
+
+
 def _html(path: Path, rows: DataFrame, names: list[str], title: str, records: DataFrame, categories: DataFrame) -> None:
     columns, heads = [*names, "category", "source_page"], [*map(heading, names), "Category", "Source Page"]
     with path.open("w", encoding="utf-8") as f:
         f.write(f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>')
-        for name, own in _grouped(rows):
-            f.write(f"<h2>{html.escape(name)}</h2><table><tr>{''.join(f'<th>{html.escape(h)}</th>' for h in heads)}</tr>")
+        f.write('<input placeholder="Filter" oninput="keep(this.value)">')
+        for name, _, own in _grouped(rows):
+            f.write(f"<h2>{html.escape(name)}</h2><table><thead><tr>{''.join(f'<th>{html.escape(h)}</th>' for h in heads)}</tr></thead><tbody>")
             f.writelines("<tr>" + "".join(f"<td>{html.escape(r[c])}</td>" for c in columns) + "</tr>" for r in own)
-            f.write("</table>")
-        f.write("</body></html>")
+            f.write("</tbody></table>")
+        f.write(_SCRIPT + "</body></html>")
 
 
 def sheet_names(names: list[str]) -> list[str]:
@@ -188,22 +197,34 @@ _NS = "http://schemas.openxmlformats.org"
 
 
 def _xlsx(path: Path, rows: DataFrame, names: list[str], title: str, records: DataFrame, categories: DataFrame) -> None:
-    columns, heads = [*names, "category", "source_page"], [*map(heading, names), "Category", "Source Page"]
-    cats = [c.category for c in rows.groupBy("category").agg(F.min("id").alias("first")).orderBy("first").collect()]
+    """A sheet of all records, then one for each category with the fields that its own records are worth."""
+    named = relational.with_category(records, categories, NONE)
+    own_fields: dict[str, list[str]] = {}
+    for r in field_table(named, by=("category_name",)).orderBy("category_name", "position").collect():  # a row for each category and column
+        own_fields.setdefault(r.category_name, []).append(r.field)
+    every = list(dict.fromkeys([*names, *[n for ns in own_fields.values() for n in ns]]))
+    rows = shaped(records, categories, every, NONE)
+    cats = [c.category for c in rows.groupBy("category").agg(F.min("id").alias("first")).orderBy("first").collect()]  # a row for each category
     sheets = sheet_names(["All Records", *cats])
+
+    def sheet(z: zipfile.ZipFile, number: int, fields_: list[str], own: Iterator[Row]) -> None:
+        columns = [*fields_, "category", "source_page"]
+        with z.open(f"xl/worksheets/sheet{number}.xml", "w") as f:
+            f.write(f'<worksheet xmlns="{_NS}/spreadsheetml/2006/main"><sheetData><row>'.encode() + "".join(map(_cell, [*map(heading, fields_), "Category", "Source Page"])).encode() + b"</row>")
+            for r in own:
+                f.write(("<row>" + "".join(_cell(r[c]) for c in columns) + "</row>").encode())
+            f.write(b"</sheetData></worksheet>")
+
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i + 1}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(len(sheets)))
         z.writestr("[Content_Types].xml", f'<Types xmlns="{_NS}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>')
         z.writestr("_rels/.rels", f'<Relationships xmlns="{_NS}/package/2006/relationships"><Relationship Id="r1" Type="{_NS}/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{_NS}/spreadsheetml/2006/main" xmlns:r="{_NS}/officeDocument/2006/relationships"><sheets>' + "".join(f'<sheet name="{html.escape(s)}" sheetId="{i + 1}" r:id="r{i + 1}"/>' for i, s in enumerate(sheets)) + "</sheets></workbook>")
         z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{_NS}/package/2006/relationships">' + "".join(f'<Relationship Id="r{i + 1}" Type="{_NS}/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{i + 1}.xml"/>' for i in range(len(sheets))) + "</Relationships>")
-        for i in range(len(sheets)):
-            own = rows if i == 0 else rows.where(F.col("category") == cats[i - 1])
-            with z.open(f"xl/worksheets/sheet{i + 1}.xml", "w") as f:
-                f.write(f'<worksheet xmlns="{_NS}/spreadsheetml/2006/main"><sheetData><row>'.encode() + "".join(map(_cell, heads)).encode() + b"</row>")
-                for r in own.orderBy("id").toLocalIterator():
-                    f.write(("<row>" + "".join(_cell(r[c]) for c in columns) + "</row>").encode())
-                f.write(b"</sheetData></worksheet>")
+        sheet(z, 1, names, rows.orderBy("id").toLocalIterator())
+        # One pass for all categories, in the order of their sheets.
+        for i, (name, _, own) in enumerate(_grouped(rows)):
+            sheet(z, i + 2, own_fields.get(name, []), own)
 
 
 def _docx(path: Path, rows: DataFrame, names: list[str], title: str, records: DataFrame, categories: DataFrame) -> None:
@@ -216,8 +237,11 @@ def _docx(path: Path, rows: DataFrame, names: list[str], title: str, records: Da
         z.writestr("_rels/.rels", f'<Relationships xmlns="{_NS}/package/2006/relationships"><Relationship Id="r1" Type="{_NS}/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>')
         with z.open("word/document.xml", "w") as f:
             f.write((f'<w:document xmlns:w="{_NS}/wordprocessingml/2006/main"><w:body>' + para(title)).encode())
-            for name, own in _grouped(rows):
-                f.write((para(name) + "<w:tbl>" + row(heads) + "".join(row([r[c] for c in columns]) for r in own) + "</w:tbl>").encode())
+            for name, _, own in _grouped(rows):
+                f.write((para(name) + "<w:tbl>" + row(heads)).encode())
+                for r in own:
+                    f.write(row([r[c] for c in columns]).encode())
+                f.write(b"</w:tbl>")
             f.write("".join(map(para, (f"Total Records: {facts[0]}", f"Total Categories: {facts[1]}", f"Source Pages: {facts[2]}"))).encode() + b"</w:body></w:document>")
 
 

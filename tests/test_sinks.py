@@ -32,11 +32,22 @@ def test_formats(tables, tmp_path, kind):
     if kind == "csv":
         assert text.startswith("﻿")
     if kind == "html":
-        assert "&lt;Rahul&gt;" in text
+        assert "&lt;Rahul&gt;" in text and text.count("<table>") == 2 and "oninput" in text
+    if kind == "txt":
+        assert "Class 10 (2 records)" in text and "Neha | Kumari | 1042" in text
     if kind == "md":
         assert text.startswith("# All Records") and "Neha \\| Kumari" in text
 
 
+def test_sheets_have_fields_of_their_own(spark, tmp_path):
+    rows = [(1, 1, 1, 10, {"name": "Rahul", "roll_no": "1"}, ""), (2, 1, 1, 9, {"name": "Neha", "village": "Rampur"}, "")]
+    cats = spark.createDataFrame([(10, "Class 10"), (9, "Class 9")], "id bigint, name string")
+    path = export.export(spark.createDataFrame(rows, RECORD), cats, str(tmp_path / "out.xlsx"), "xlsx")
+    with zipfile.ZipFile(path) as z:
+        sheets = [z.read(f"xl/worksheets/sheet{i}.xml").decode() for i in (1, 2, 3)]
+    assert [("Roll No" in s, "Village" in s, s.count("<row>")) for s in sheets] == [(True, True, 3), (True, False, 2), (False, True, 2)]
+
+
 def test_fields_and_scopes(tables):
     records, _ = tables
     assert export.fields(records) == ["name", "roll_no"]
