@@ -429,7 +429,9 @@ def join(docs: DataFrame, row_id: str = "doc_id", text: str = "text", links_too:
         links = links.union(_verify(docs, rest, nodes, row_id, text))
         comps = components(links)
     ids = nodes.join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least_id")
-    least = ids.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    # Written out, so that the nodes of a large component can be split in the join.
+    ids = shared.cut(ids, "ids")
+    least = shared.cut(ids.groupBy("component").agg(F.min("least_id").alias("component_id")), "least")
     degree = _all_links(docs, comps, nodes, row_id, text) if links_too else nodes.select("node", F.lit(0).alias("n_links"))
     final = shared.cut(ids.join(least, "component").join(degree, "node", "left").select("node", "component", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "final")
     # The rows of a text with very many copies are dealt to several tasks; FREQUENT bounds the number of such texts.
