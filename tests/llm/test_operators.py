@@ -405,6 +405,51 @@ def test_quality_and_toxicity(spark):
         assert empty.count() == 0
 
 
+def test_quality_sums_against_a_direct_solve(spark):
+    """The weights from partition sums are those of one ridge system over all rows; the levels are the least-squares rising fit."""
+    rng = np.random.default_rng(9)
+    x, fold = rng.normal(size=(500, len(quality.STATS))), rng.integers(0, 2, 500)
+    y = (x[:, 0] + 0.3 * rng.normal(size=500) > 0).astype(float)
+    rows = [(r.tolist(), float(a), int(f)) for r, a, f in zip(x, y, fold, strict=True)]
+    model = quality.fit(spark.createDataFrame(rows, "stats array<double>, label double, fold int").repartition(5))
+    z = quality.expand(x, x.mean(0), x.std(0), *quality.projection(x.shape[1]))
+    direct = np.linalg.solve(z.T @ z + quality.RIDGE * len(x) / z.shape[1] * np.eye(z.shape[1]), z.T @ y)
+    assert np.allclose(model.raw(x), z @ direct, atol=1e-6)
+    assert ((model.score(x) >= 0.5) == (y > 0)).mean() > 0.85  # the labels' noise leaves about 0.91
+    for _ in range(20):
+        y, w = rng.integers(0, 5, 12).astype(float), rng.integers(1, 4, 12).astype(float)
+        mean = lambda a, b: (y[a:b] * w[a:b]).sum() / w[a:b].sum()  # noqa: B023, E731
+        want = [max(min(mean(a, b) for b in range(i + 1, 13)) for a in range(i + 1)) for i in range(12)]
+        assert np.allclose(quality.isotonic(np.arange(12), y, w), want)
+
+
+def test_quality_and_bpe_with_odd_rows(spark):
+    """Repeated rows and ids, nulls, very long and empty texts, empty tables and columns with the operators' own names."""
+    df = docs(spark, ODD).withColumns({c: F.lit("x") for c in ("stats", "score", "label", "fold", "ids", "n_tokens")})
+    labels = spark.createDataFrame([(3, 1, 0), (3, 0, 0), (5, 0, 0), (6, 1, 1), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    got = quality.train_and_score(df, labels, F.lit(True)).collect()
+    assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got) and len({r.score for r in got if r.doc_id == 3}) == 1
+    assert len({r.score for r in quality.train_and_score(df, labels.where("false"), F.lit(True)).collect()}) == 1
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    rows = bpe.encode(df, path, public_tokenizers.PATTERN).collect()
+    want = sorted((str(i), own.encode_ordinary(t or "")) for i, t, _ in ODD)
+    assert sorted((str(r.doc_id), list(r.ids)) for r in rows) == want
+    assert bpe.encode(df.where("false"), path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_mixing_and_sharding_with_odd_rows(spark):
+    df = docs(spark, ODD).withColumns({c: F.lit("x") for c in ("key", "s", "none", "place", "target", "taken", "h", "f", "slice", "n", "shard")})
+    rows, quotas = mixing.mix(df)
+    got = rows.collect()
+    total = sum(len((t or "").split()) for _, t, _ in ODD)
+    assert len(got) == len(ODD) and sum(r.size for r in got) == total and all(r.taken <= 3 * r.size for r in got)
+    assert {r.source for r in quotas.collect()} <= {"a", "b", "c", None} and all((r.taken == 0) == (r.size == 0) or r.taken == 0 for r in got)
+    assert sorted(map(str, mixing.mix(df)[0].collect())) == sorted(map(str, got))
+    placed = sharding.interleave(df, 3).collect()
+    assert len(placed) == len(ODD) and sorted(collections.Counter(r.shard for r in placed).values()) == [2, 2, 3]
+
+
 def test_toxicity_gradient():
     """The direction is the risk's gradient where its negative part counts, and that part's ascent where it is below 0."""
     rng, size = np.random.default_rng(2), 12
