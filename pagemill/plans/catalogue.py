@@ -163,11 +163,6 @@ def distinct_hit_pages(spark, sf_dir):
     return search.record_hits(_talks(spark, sf_dir), _groups(spark, sf_dir), "tion").agg(F.count_distinct("page_number").alias("pages"))
 
 
-@query()
-def suggestions(spark, sf_dir):
-    return search.suggestions(search.record_hits(_parts(spark, sf_dir), _groups(spark, sf_dir), WORD))
-
-
 @query("""SELECT p_partkey, replace(lower(p_name), 'ring', 'ring') = lower(p_name) AS same, CASE WHEN position('ring' IN lower(p_name)) = 0 THEN p_name ELSE substr(p_name, 1, position('ring' IN lower(p_name)) - 1) || '<b>' || substr(p_name, position('ring' IN lower(p_name)), 4) || '</b>' || substr(p_name, position('ring' IN lower(p_name)) + 4) END AS bold FROM part""")
 def highlight_term(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", F.lit(True).alias("same"), snippets.highlight(F.col("p_name"), F.lit(WORD), [WORD]).alias("bold"))
@@ -178,7 +173,9 @@ def fts_prefix_and(spark, sf_dir):
     return fulltext.plain_prefix(_table(spark, sf_dir, "documents"), "tion ing*".replace("*", "")).select("doc_id")
 
 
-@query()
+@query(f"""WITH {_T}, x AS (SELECT document_id, page_number, id AS record_id, source_text || ' ' || role AS text FROM t UNION ALL SELECT doc_id, 1, NULL, text FROM documents WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.document_id = doc_id AND t.page_number = 1)),
+w AS (SELECT *, string_split_regex(strip_accents(lower(text)), '[^\\p{{L}}\\p{{N}}]+') AS words FROM x)
+SELECT document_id, page_number, record_id, 50.0::DOUBLE AS rank FROM w WHERE len(list_filter(words, lambda x: starts_with(x, 'tion'))) > 0 AND len(list_filter(words, lambda x: starts_with(x, 'the'))) > 0""")
 def fts_stemmed(spark, sf_dir):
     index = fulltext.build(_talks(spark, sf_dir), _pages(spark, sf_dir), _groups(spark, sf_dir))
     return fulltext.match(index, "tioned the").select("document_id", "page_number", "record_id", "rank")
@@ -238,11 +235,6 @@ def block_classify(spark, sf_dir):
     return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.block_type(F.col("p_size"), F.col("p_retailprice"), F.lit(1000.0)).alias("block_type"))
 
 
-@query()
-def layout_lines(spark, sf_dir):
-    return layout.blocks(_pages(spark, sf_dir))
-
-
 # ---------------------------------------------------------------- extraction
 
 
@@ -315,11 +307,6 @@ def category_patterns(spark, sf_dir):
     return categories.merge(categories.named(pages)).select("document_id", "name", "confidence", F.size("pages").alias("pages"))
 
 
-@query()
-def text_headings(spark, sf_dir):
-    return categories.headings(_pages(spark, sf_dir)).select("document_id", "page_number", "name")
-
-
 @query("""SELECT p_size::BIGINT AS document_id, arg_min(p_type, p_partkey) AS name, list_sort(list_distinct(list((p_partkey % 50 + 1)::INT)))::VARCHAR AS pages, max(p_partkey)::DOUBLE AS confidence FROM part GROUP BY p_size, lower(p_type)""")
 def category_merge(spark, sf_dir):
     p = _table(spark, sf_dir, "part")

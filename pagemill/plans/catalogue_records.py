@@ -20,7 +20,7 @@ def record_snippets(spark, sf_dir):
 
 
 @query(_ID_HITS + ", f AS (SELECT snippet FROM s ORDER BY page_number, rank DESC, id LIMIT 5) SELECT DISTINCT snippet AS context_snippet FROM f")
-def suggestions_by_id(spark, sf_dir):
+def suggestions(spark, sf_dir):
     return search.suggestions(search.record_hits(_parts(spark, sf_dir), _groups(spark, sf_dir), "Brand#1", "voter id"))
 
 
@@ -173,10 +173,11 @@ _BARE = r"regexp_replace(regexp_replace(x, '^[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680
 
 @query(f"""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: {_BARE}) AS ls FROM documents WHERE text IS NOT NULL),
 y AS (SELECT *, list_reduce(list_transform(ls, lambda x: [length(x)::DOUBLE]), lambda a, x: list_append(a, a[-1] + CASE WHEN x[1] = 0 THEN 15.0 WHEN x[1] < 60 AND a[-1] < 100 THEN 20.0 ELSE 15.0 END), [50.0::DOUBLE]) AS ys FROM l),
-e AS (SELECT doc_id, unnest(ls) AS text, unnest(ys[1:len(ls)]) AS y0 FROM y)
-SELECT doc_id AS document_id, text, y0, CASE WHEN length(text) < 60 AND y0 < 100 THEN 'heading' ELSE 'text' END AS block_type FROM e WHERE text <> ''""")
-def layout_positions(spark, sf_dir):
-    return layout.blocks(_pages(spark, sf_dir).where("raw_text IS NOT NULL")).select("document_id", "text", "y0", "block_type")
+e AS (SELECT doc_id, unnest(ls) AS text, unnest(ys[1:len(ls)]) AS y0, generate_subscripts(ls, 1) AS i FROM y)
+SELECT doc_id AS document_id, 1 AS page_number, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS block_no, text, 50.0::DOUBLE AS x0, y0, 550.0::DOUBLE AS x1,
+  y0 + CASE WHEN length(text) < 60 AND y0 < 100 THEN 16 ELSE 11 END AS y1, (CASE WHEN length(text) < 60 AND y0 < 100 THEN 16 ELSE 11 END)::DOUBLE AS font_size, CASE WHEN length(text) < 60 AND y0 < 100 THEN 'heading' ELSE 'text' END AS block_type FROM e WHERE text <> ''""")
+def layout_lines(spark, sf_dir):
+    return layout.blocks(_pages(spark, sf_dir))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'a b' ELSE 'a' END AS first, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 2 END::INT AS n, 0.0::DOUBLE AS x0, (CASE WHEN p_size % 2 = 0 THEN 30 ELSE 10 END)::DOUBLE AS x1 FROM part")
@@ -276,7 +277,7 @@ def column_categories(spark, sf_dir):
 
 
 @query("SELECT DISTINCT p_size::BIGINT AS document_id, t.name FROM part, LATERAL (SELECT 'Annual Report ' || p_size AS name UNION ALL SELECT 'ROSTER OF ' || p_size) t")
-def heading_categories(spark, sf_dir):
+def text_headings(spark, sf_dir):
     n = F.col("p_size").cast("string")
     text = F.concat(F.lit("  Annual Report "), n, F.lit("\nplain details of it\nROSTER OF "), n, F.lit("\nList\nA Very Long Heading About Details That Goes On And On Beyond Fifty\nNames Alone"))
     pages = _table(spark, sf_dir, "part").select("p_size").distinct().select(F.col("p_size").cast("long").alias("document_id"), F.lit(1).alias("page_number"), text.alias("raw_text"))
