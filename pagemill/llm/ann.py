@@ -18,8 +18,8 @@ from pyspark.sql.window import Window
 
 from . import shared, vectors
 
-#: Branches of a node; rows in a leaf, about, while there are no more leaves than MOST_LEAVES; rows of the sample for each leaf.
-BRANCHES, LEAF_ROWS, MOST_LEAVES, SAMPLE_EACH = 8, 32, 16_384, 8
+#: Branches of a node; rows in a leaf, about, while there are no more leaves than MOST_LEAVES; most rows that the tree is fit on.
+BRANCHES, LEAF_ROWS, MOST_LEAVES, SAMPLE = 8, 32, 8_192, 65_536
 #: Vectors and queries in a local task, about; queries that go through the tree together.
 TASK_VECTORS, TASK_QUERIES, TOGETHER = 4_096, 4_096, 64
 #: Queries to calibrate with, and the mean recall that they have to reach.
@@ -162,7 +162,7 @@ def search(rows: DataFrame, every: int, k: int, row_id: str = "vec_id", column:
         return spark.createDataFrame([], f"query_id bigint, rank int, `{row_id}` bigint, score double")
     wide = lambda data: vectors.wide(data, width, "<f8")
     leaves = min(MOST_LEAVES, max(1, n // LEAF_ROWS))
-    sample = read_rows.orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(SAMPLE_EACH * leaves).collect()  # bounded by MOST_LEAVES
+    sample = read_rows.orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(SAMPLE).collect()  # bounded by SAMPLE
     sample = wide([r[1] for r in sample])
     tree = Tree(sample, leaves)
     del sample
