@@ -35,8 +35,6 @@ BAND = 1.26
 FLUSH, MOST_BITS, PARTNERS = 3_000_000, 26, 48
 #: Text in a bucket of shingles, and most buckets (at 100 TB a bucket stands for 0.4 GB of text); level from which on a shingle's list is dealt to slices.
 BUCKET_BYTES, MOST_BUCKETS, HOT_LEVEL = 24 << 20, 18, 12
-#: A text is frequent with more copies than one in so many rows (there are no more than so many of them), and at least so many.
-FREQUENT, LEAST_FREQUENT = 10_000, 64
 #: Bits of the filter of needed rows: at least, at most (32 MB), and for each of them.
 LEAST_FILTER, MOST_FILTER, FILTER_EACH = 16, 28, 16
 #: Shingles in a block of a component, about.
@@ -429,13 +427,12 @@ def join(docs: DataFrame, row_id: str = "doc_id", text: str = "text", links_too:
         links = links.union(_verify(docs, rest, nodes, row_id, text))
         comps = components(links)
     ids = nodes.join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least_id")
-    # Written out, so that the nodes of a large component can be split in the join.
     ids = shared.cut(ids, "ids")
-    least = shared.cut(ids.groupBy("component").agg(F.min("least_id").alias("component_id")), "least")
+    least = shared.cut(ids.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("members")), "least")
     degree = _all_links(docs, comps, nodes, row_id, text) if links_too else nodes.select("node", F.lit(0).alias("n_links"))
-    final = shared.cut(ids.join(least, "component").join(degree, "node", "left").select("node", "component", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "final")
-    # The rows of a text with very many copies are dealt to several tasks; FREQUENT bounds the number of such texts.
-    most = max(LEAST_FREQUENT, all_rows.count() // FREQUENT)
+    final = shared.cut(shared.look_up(ids, least, "component", "members", ids.count()).join(degree, "node", "left").select("node", "component", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "final")
+    # The rows of a text with very many copies are dealt to several tasks; the number of such texts is bounded.
+    most = shared.frequent(all_rows.count())
     hot = shared.cut(nodes.where(F.col("copies") > most).select("node", F.ceil(F.col("copies") / most).cast("int").alias("slices")), "frequent")
     part = F.when(F.col("slices").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.col(f"`{row_id}`")), F.col("slices")).cast("int"))
     some = all_rows.where("n > 0").join(F.broadcast(hot), "node", "left").withColumn("part", part)

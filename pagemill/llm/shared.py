@@ -89,6 +89,26 @@ def key_bucket(key: Column, buckets: int) -> Column:
     return F.floor(head * buckets / F.lit(2**32)).cast("int")
 
 
+#: A key is frequent with more rows than one in so many (there are no more than so many such keys), and at least so many.
+FREQUENT, LEAST_FREQUENT = 10_000, 64
+
+
+def frequent(rows: int) -> int:
+    """Rows beyond which a key is frequent, in a table of so many rows."""
+    return max(LEAST_FREQUENT, rows // FREQUENT)
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows (total of them) joined with table, which has one row for each key and, in count, how many rows have it.
+
+    Frequent keys, whose number FREQUENT bounds, are sent to all tasks; so no key's rows are gathered.
+    """
+    hot = table.where(F.col(count) > frequent(total))
+    spread = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(count) <= frequent(total)), key)
+    return spread.unionByName(rest).drop(count)
+
+
 def prefix_within(df: DataFrame, keys: list[str], bucket: str, order: list, weight: str) -> DataFrame:
     """Adds rank (from 1) and before (weight of earlier rows) in each key's order, and the key's key_rows and key_weight.
 

@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from pagemill.llm import ann, bpe, htmltext, jaccard, mixing, pii, quality, sharding, topk, toxicity
+from pagemill.llm import ann, bpe, htmltext, jaccard, mixing, pii, quality, sharding, shared, topk, toxicity
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, rank int, size string, bucket string"
 
@@ -113,7 +113,7 @@ def brute_components(rows):
 def test_jaccard_against_brute_force(spark, edits, block, hot, monkeypatch):
     """A large group of near copies of a template, so that long lists, dealt or not, and their remainder are used, and other texts."""
     monkeypatch.setattr(jaccard, "HOT_LEVEL", hot)
-    monkeypatch.setattr(jaccard, "LEAST_FREQUENT", hot)
+    monkeypatch.setattr(shared, "LEAST_FREQUENT", hot)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "MOST_BLOCK", block)
     rng = random.Random(edits)
@@ -175,6 +175,14 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.join(docs(spark, ODD).where("false")).count() == 0
 
 
+def test_look_up(spark, monkeypatch):
+    monkeypatch.setattr(shared, "LEAST_FREQUENT", 4)
+    rows = spark.createDataFrame([(i, i % 7 if i % 2 else 0) for i in range(60)], "i int, k int")
+    table = rows.groupBy("k").agg(F.min("i").alias("least"), F.count("*").alias("n"))
+    got = shared.look_up(rows, table, "k", "n", 60)
+    assert sorted(map(tuple, got.select("i", "k", "least").collect())) == sorted((i, k, min(j for j in range(60) if (j % 7 if j % 2 else 0) == k)) for i in range(60) for k in [i % 7 if i % 2 else 0])
+
+
 def vectors(spark, n, d=8):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=d)]) for i in range(n)]
