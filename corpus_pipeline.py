@@ -43,10 +43,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     own = [F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias(row), F.md5("text").alias(text)]
     found = shared.cut(jaccard.join(docs.select(*own, "text"), row_id=row, links_too=False, also=(text,)).where("n_shingles > 0"), "classes")
     keys = F.struct(row, text)
-    # Written out, so that the rows of a large component can be split in the join.
-    least = shared.cut(found.groupBy("component").agg(F.min(keys).alias("least")), "least")
+    size = _fresh(docs, "members")
     distinct = shared.cut(found.groupBy("component", row, text).agg(F.count("*").alias(n)), "distinct")
-    marks = distinct.join(least, "component").where((F.col("least") != keys) | (F.col(n) > 1))
+    least = shared.cut(distinct.groupBy("component").agg(F.min(keys).alias("least"), F.count("*").alias(size)), "least")
+    marks = shared.look_up(distinct, least, "component", size, distinct.count()).where((F.col("least") != keys) | (F.col(n) > 1))
     marks = shared.cut(marks.select(row, text, F.when(F.col("least") == keys, F.col(n)).otherwise(0).alias(n)), "marks")
     shared.forget(found, least, distinct)
     marked = docs.select(*_columns(docs), *own).join(marks, [row, text], "left")
