@@ -246,23 +246,6 @@ def _written(kind: Column, form: Column, surrogate: Column) -> Column:
     )
 
 
-#: Bits of the filter that says which texts may hold entities: at least, at most (32 MB), and for each text that does.
-LEAST_BITS, MOST_BITS, BITS_EACH = 16, 28, 16
-
-
-def _filter(hashes: DataFrame, n: int) -> tuple[DataFrame, Column, Column]:
-    """A filter of fixed size over hashes (h): its table (slice, words), the slice of __pii_h, and the test of it."""
-    bits = min(MOST_BITS, max(LEAST_BITS, (n * BITS_EACH).bit_length()))
-    slot = lambda h: F.shiftrightunsigned(h, 64 - bits)
-    at = lambda h: F.shiftright(slot(h), 10).cast("int")
-    word = lambda h: F.shiftright(slot(h), 6).bitwiseAND(15).cast("int")
-    bit = lambda h: F.expr(f"shiftleft(1L, CAST(shiftrightunsigned({h}, {64 - bits}) & 63 AS INT))")
-    words = hashes.groupBy(at(F.col("h")).alias("__pii_slice"), word(F.col("h")).alias("word")).agg(F.bit_or(bit("h")).alias("bits"))
-    table = words.groupBy("__pii_slice").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("__pii_words"))
-    own = F.col("__pii_h")
-    return table, at(own), F.coalesce(F.element_at("__pii_words", word(own)).bitwiseAND(bit("__pii_h")) != 0, F.lit(False))
-
-
 def replace(docs: DataFrame, secret: str = "corpus-key", text: str = "text", counts: bool = False) -> DataFrame:
     """docs with the personal data in text replaced (and n_entities, if counts is set); its other columns as they were.
 
@@ -297,10 +280,7 @@ def replace(docs: DataFrame, secret: str = "corpus-key", text: str = "text", cou
     n = news.count()
     if not n:
         return docs.withColumn("n_entities", F.lit(0)) if counts else docs
-    filter_, slice_, holds = _filter(news.select("h"), n)
-    marked = docs.select(*columns, F.xxhash64(body).alias("__pii_h")).withColumn("__pii_slice", slice_)
-    # At most 2 ** (MOST_BITS - 10) rows of 16 words: its size does not follow the corpus.
-    marked = marked.join(F.broadcast(shared.cut(filter_, "pii-filter")), "__pii_slice", "left")
+    marked, holds = shared.filtered(docs.select(*columns, F.xxhash64(body).alias("__pii_h")), "__pii_h", news.select("h"), n)
     rest = marked.where(~holds).select(*columns, F.lit(0).alias("__pii_found"))
     placed = marked.where(holds).select(*columns, F.md5(body).alias("__pii_key")).join(news.drop("h"), "__pii_key", "left")
     pieces = F.split(body, PATTERN, -1)

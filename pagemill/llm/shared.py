@@ -109,6 +109,28 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, count: str, total: int)
     return spread.unionByName(rest).drop(count)
 
 
+#: Bits of a filter of hashes: at least, at most (32 MB), and for each hash.
+LEAST_BITS, MOST_BITS, BITS_EACH = 16, 28, 16
+
+
+def filtered(rows: DataFrame, column: str, hashes: DataFrame, n: int) -> tuple[DataFrame, Column]:
+    """(rows with helper columns, whether a row's hash in column may be one of the n 64-bit hashes h).
+
+    The filter is sent to all tasks: at most 2 ** (MOST_BITS - 10) rows of 16 words, so its size does not follow the
+    input. A few rows pass that should not, more where n nears 2 ** MOST_BITS; every row that should does.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, (n * BITS_EACH).bit_length()))
+    slot = lambda h: F.shiftrightunsigned(h, 64 - bits)
+    at = lambda h: F.shiftright(slot(h), 10).cast("int")
+    word = lambda h: F.shiftright(slot(h), 6).bitwiseAND(15).cast("int")
+    bit = lambda h: F.expr(f"shiftleft(1L, CAST(shiftrightunsigned({h}, {64 - bits}) & 63 AS INT))")
+    slice_, words_ = f"{column}_slice", f"{column}_words"
+    words = hashes.groupBy(at(F.col("h")).alias(slice_), word(F.col("h")).alias("word")).agg(F.bit_or(bit("h")).alias("bits"))
+    table = cut(words.groupBy(slice_).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias(words_)), "filter")
+    out = rows.withColumn(slice_, at(F.col(column))).join(F.broadcast(table), slice_, "left")
+    return out, F.coalesce(F.element_at(words_, word(F.col(column))).bitwiseAND(bit(column)) != 0, F.lit(False))
+
+
 def prefix_within(df: DataFrame, keys: list[str], bucket: str, order: list, weight: str) -> DataFrame:
     """Adds rank (from 1) and before (weight of earlier rows) in each key's order, and the key's key_rows and key_weight.
 
