@@ -49,8 +49,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     marks = shared.look_up(distinct, least, "component", size, distinct.count()).where((F.col("least") != keys) | (F.col(n) > 1))
     marks = shared.cut(marks.select(row, text, F.when(F.col("least") == keys, F.col(n)).otherwise(0).alias(n)), "marks")
     shared.forget(found, least, distinct)
-    marked = docs.select(*_columns(docs), *own).join(marks, [row, text], "left")
-    out = marked.where(F.col(n).isNull()).select(*_columns(docs))
+    # Only texts that may be marked are moved to meet their marks.
+    h = _fresh(docs, "row_hash")
+    known = F.xxhash64(row, text)
+    all_rows, may = shared.filtered(docs.select(*_columns(docs), *own).withColumn(h, known), h, marks.select(known.alias("h")), marks.count())
+    marked = all_rows.where(may).select(*_columns(docs), row, text).join(marks, [row, text], "left")
+    out = all_rows.where(~may).select(*_columns(docs)).unionByName(marked.where(F.col(n).isNull()).select(*_columns(docs)))
     if marks.where(F.col(n) > 1).limit(1).count():
         out = out.unionByName(marked.where(F.col(n) > 1).dropDuplicates([row, text]).select(*_columns(docs)))
     return out
