@@ -46,12 +46,13 @@ def fts_rank(spark, sf_dir):
     return fulltext.match(index, "rin econ").select("record_id", "page_number", (F.round("bm25", 6) + 0.0).alias("bm25"))
 
 
-@query(f"WITH {_P} SELECT id AS record_id, page_number, 'Category FTS' AS match_field FROM p WHERE category_id = 2 AND contains(lower(kind), 'tin') ORDER BY page_number LIMIT 0")
-def category_without_hits(spark, sf_dir):
-    """Neither a record of the category nor, in the index, a row with its name holds the query."""
+@query(f"""WITH {_P}, d AS (SELECT id, page_number, string_split_regex(lower(name || ' ' || kind || ' ' || voter_id || ' ' || house_no), '[^a-z0-9]+') AS w FROM p WHERE category_id = 2)
+SELECT id AS record_id, page_number, 50.0::DOUBLE AS rank, 'Category FTS' AS match_field FROM d WHERE len(list_filter(w, lambda x: starts_with(x, 'econ'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'small'))) > 0""")
+def category_fallback(spark, sf_dir):
+    """No record of the category holds the words side by side; the index has them in some order."""
     parts, groups = _parts(spark, sf_dir), _groups(spark, sf_dir)
     index = fulltext.build(parts, _pages(spark, sf_dir).where("false"), groups)
-    return search.find(parts, _pages(spark, sf_dir), groups, "zzz qqq", category_id=2, index=index).select("record_id", "page_number", "match_field")
+    return search.find(parts, _pages(spark, sf_dir), groups, "econ small", category_id=2, index=index).select("record_id", "page_number", "rank", "match_field")
 
 
 _SIZES = "d AS (SELECT DISTINCT p_size::BIGINT AS document_id FROM part)"
