@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, htmltext, jaccard, mixing, pii, quality, shared, sharding, topk, toxicity
+from . import ann, bpe, collocations, contamination, htmltext, jaccard, merkle, mixing, pii, quality, shared, sharding, topk, toxicity
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,3 +140,125 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_pii"] = op5_pii
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    altered = merkle.leaf(*fields, F.translate("text", _UPPER, _LOWER))
+    # A null id is no number: its row is not tampered with.
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, altered)
+    found = merkle.manifest(docs, also={"tampered": tampered})
+    root = F.lit(found.root)
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof"))
+    out = found.rows.select("doc_id", "leaf", "subroot", root.alias("root"), merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.coalesce(F.col("folded_root") == root, F.lit(False)))
+
+
+def _op11_sql(levels: int = 6) -> str:
+    """Six levels hold 16 ** 6 rows of a source, and as many sources."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lower = f"translate(text, '{_UPPER}', '{_LOWER}')"
+    parts = [
+        _CRC_TABLE,
+        f"""d AS (
+  SELECT doc_id, source IS NOT NULL AS named, coalesce(source, '') AS s, {leaf("text")} AS leaf,
+    CASE WHEN xor(4294967295::UBIGINT, list_reduce(list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda b: ('0x' || b)::UBIGINT),
+      lambda c, b: xor(t[(xor(c, b) & 255)::BIGINT + 1], c >> 8), 4294967295::UBIGINT)) % 5 = 0 THEN {leaf(lower)} END AS tampered
+  FROM documents, crc
+), n0 AS (SELECT *, row_number() OVER (PARTITION BY named, s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY named, s) AS n, leaf AS h FROM d)""",
+    ]
+
+    def tree(nodes: str, runs: str, key: str) -> str:
+        out = []
+        for k in range(levels):
+            out.append(f"{runs}{k} AS (SELECT {key}, i // 16 AS j, max(n) AS n, list(h ORDER BY i) AS hs FROM {nodes}{k} WHERE n > 1 GROUP BY {key}, i // 16)")
+            out.append(f"{nodes}{k + 1} AS (SELECT {key}, j AS i, (n + 15) // 16 AS n, sha256(array_to_string(hs, '')) AS h FROM {runs}{k})")
+        return ",\n".join(out)
+
+    tops = lambda nodes, key: " UNION ALL ".join(f"SELECT {key}, h FROM {nodes}{k} WHERE n = 1" for k in range(levels + 1))
+    parts.append(tree("n", "r", "named, s"))
+    parts.append(f"tops AS ({tops('n', 'named, s')})")
+    parts.append("g0 AS (SELECT 1 AS one, named, s, h, row_number() OVER (ORDER BY named, s) - 1 AS i, count(*) OVER () AS n FROM tops)")
+    parts.append(tree("g", "q", "one"))
+    parts.append(f"root AS ({tops('g', 'one')})")
+    joins, runs = [], []
+    for k in range(levels):
+        joins.append(f"LEFT JOIN r{k} ON r{k}.named = n0.named AND r{k}.s = n0.s AND r{k}.j = n0.i // {16 ** (k + 1)}")
+        runs.append((f"r{k}.hs", f"(n0.i // {16**k}) % 16"))
+    for k in range(levels):
+        joins.append(f"LEFT JOIN q{k} ON q{k}.j = g0.i // {16 ** (k + 1)}")
+        runs.append((f"q{k}.hs", f"(g0.i // {16**k}) % 16"))
+    sides = ", ".join(f"CASE WHEN {hs} IS NOT NULL THEN [array_to_string({hs}[1:{p}], ''), array_to_string({hs}[{p} + 2:], '')] END" for hs, p in runs)
+    parts.append(f"p AS (SELECT n0.doc_id, n0.leaf, n0.tampered, g0.h AS subroot, root.h AS root, list_filter([{sides}], lambda x: x IS NOT NULL) AS proof FROM n0 JOIN g0 USING (named, s) CROSS JOIN root {' '.join(joins)})")
+    folded = "list_reduce(list_prepend([coalesce(tampered, leaf), ''], proof), lambda a, x: [sha256(x[1] || a[1] || x[2]), ''])[1]"
+    return "WITH RECURSIVE " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(proof, lambda x: x[1] || x[2]), '')) AS proof_sha256, {folded} AS folded_root, folded_root = root AS verified FROM p"""
+
+
+_CRC_TABLE = """step(n, c, k) AS (
+  SELECT n::UBIGINT, n::UBIGINT, 0 FROM range(256) t(n)
+  UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8
+), crc AS (SELECT list(c ORDER BY n) AS t FROM step WHERE k = 8)"""
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(shared.table(spark, sf_dir, "documents"), top=2000, least=30, keep=80)
+
+
+_OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS text FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+w AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+t AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, phrase, size, count(*) AS f FROM (
+    SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase FROM (SELECT *, unnest([1, 2, 3, 4]) AS size FROM w) WHERE i + size - 1 <= len(w))
+  GROUP BY ALL HAVING f >= 30
+), c AS (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+s AS (
+  SELECT c.lang, c.phrase, c.size, c.f AS a, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.f) // (x.f + y.f))::BIGINT AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1 :], ' ')
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+), h AS (
+  SELECT lang, array_to_string(w[place : place + m - 1], ' ') AS phrase, max(f) AS most FROM (
+    SELECT *, unnest(range(1, size - m + 2)) AS place FROM (SELECT lang, f, size, string_split(phrase, ' ') AS w, unnest(range(2, size)) AS m FROM f WHERE size > 2))
+  GROUP BY ALL
+)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank, s.phrase, a, l, r, n, score
+FROM s JOIN t USING (lang) LEFT JOIN h ON h.lang = s.lang AND h.phrase = s.phrase
+WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a
+QUALIFY rank <= 2000
+"""
+
+
+def op13_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.find(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+_OP13 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), v AS (
+  SELECT DISTINCT item, size, array_to_string(w[i : i + size - 1], ' ') AS x FROM (
+    SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM (SELECT *, least(len(w), 10) AS size FROM b WHERE len(w) > 0))
+), g AS (
+  SELECT doc, i, size, array_to_string(w[i : i + size - 1], ' ') AS x FROM (
+    SELECT doc, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT size FROM v) WHERE len(w) >= size)
+), o AS (SELECT DISTINCT doc, i, size, item FROM g JOIN v USING (size, x)),
+h AS (SELECT doc, count(DISTINCT place) AS n_hit FROM (SELECT doc, unnest(range(i, i + size)) AS place FROM (SELECT DISTINCT doc, i, size FROM o)) GROUP BY doc),
+m AS (SELECT doc, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc, item FROM o) GROUP BY doc)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc) LEFT JOIN m USING (doc)
+"""
+
+QUERIES |= {"op11_merkle": op11_merkle, "op12_collocations": op12_collocations, "op13_contamination": op13_contamination}
+ORACLES |= {"op11_merkle": _op11_sql(), "op12_collocations": _OP12, "op13_contamination": _OP13}

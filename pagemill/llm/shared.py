@@ -213,40 +213,40 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray, breaks: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (ASCII letters lower-cased) and, for each row, where its words begin.
+def word_bounds(raw: np.ndarray, at: np.ndarray, breaks: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end in raw; a word ends with its row too. breaks: which bytes separate words."""
+    if not len(raw):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    gap = breaks[raw]
+    edges = at[(at > 0) & (at < len(raw))]
+    begin, over = np.empty(len(raw), bool), np.empty(len(raw), bool)
+    begin[0] = over[-1] = True
+    begin[1:], over[:-1] = gap[:-1], gap[1:]
+    begin[edges] = over[edges - 1] = True
+    return np.flatnonzero(begin & ~gap), np.flatnonzero(over & ~gap) + 1
+
+
+def bound_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words between these bounds (ASCII letters lower-cased).
 
-    breaks: which bytes separate words. The buffer is worked through in windows, so memory follows the
-    window and not the longest text.
+    The buffer is worked through in windows, so memory follows the window and not the longest text.
     """
-    hashes, starts_at = [], []
-    gap_all = breaks[raw] if len(raw) else np.zeros(0, bool)
-    edges = at[(at > 0) & (at < len(raw))]
-    begin = ~gap_all
-    if len(raw):
-        before = np.empty(len(raw), bool)
-        before[0] = True
-        before[1:] = gap_all[:-1]
-        before[edges] = True
-        begin &= before
-    first = np.flatnonzero(begin)
-    if len(first):
-        over = np.empty(len(raw), bool)
-        over[-1] = True
-        over[:-1] = gap_all[1:]
-        over[edges - 1] = True
-        last = np.flatnonzero(over & ~gap_all) + 1
-        i = 0
-        while i < len(first):
-            j = max(i + 1, int(np.searchsorted(last, first[i] + _WINDOW, "right")))
-            lo, hi = int(first[i]), int(last[j - 1])
-            _powers.to(hi - lo)
-            terms = _BYTES[LOWER[raw[lo:hi]]] * _powers.up[: hi - lo]
-            total = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum(terms, out=total[1:])
-            s, e = first[i:j] - lo, last[i:j] - lo
-            h = (total[e] - total[s]) * _powers.down[s]
-            hashes.append(mix(h + (e - s).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
-            i = j
-    words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    return words, np.searchsorted(first, at)
+    hashes, i = [], 0
+    while i < len(first):
+        j = max(i + 1, int(np.searchsorted(last, first[i] + _WINDOW, "right")))
+        lo, hi = int(first[i]), int(last[j - 1])
+        _powers.to(hi - lo)
+        terms = _BYTES[LOWER[raw[lo:hi]]] * _powers.up[: hi - lo]
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(terms, out=total[1:])
+        s, e = first[i:j] - lo, last[i:j] - lo
+        h = (total[e] - total[s]) * _powers.down[s]
+        hashes.append(mix(h + (e - s).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+        i = j
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+
+
+def word_hashes(raw: np.ndarray, at: np.ndarray, breaks: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and, for each row, where its words begin."""
+    first, last = word_bounds(raw, at, breaks)
+    return bound_hashes(raw, first, last), np.searchsorted(first, at)
