@@ -30,10 +30,21 @@ LABELS = [
 
 
 @F.pandas_udf(StringType())
-def _nfc(s: pd.Series) -> pd.Series:
+def _compose(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+#: Not pushed below or repeated above a filter: each value goes to Python once.
+_nfc = _compose.asNondeterministic()
+#: In a column's metadata: all of its values are in composed form. Parquet keeps it.
+COMPOSED = "pagemill.composed"
+
+
+def unstable(c: Column) -> Column:
+    """Whether composition can change the text."""
+    return c.rlike(_UNSTABLE)
+
+
 def once(value: Column, f: Callable[[Column], Column]) -> Column:
     """f(value) with the value bound to a variable: a lambda's body, and the columns named in it, is worked out for each element."""
     return F.transform(F.array(value), f)[0]
@@ -51,26 +62,30 @@ def normalize(c: Column, nfc: bool = False) -> Column:
     """
     c = F.coalesce(c.cast("string"), F.lit(""))
     if nfc:
-        c = F.coalesce(_nfc(F.when(c.rlike(_UNSTABLE), c)), c)
+        c = F.coalesce(_nfc(F.when(unstable(c), c)), c)
     return squeeze(F.regexp_replace(F.regexp_replace(c, _INVISIBLE, ""), "[।॥]", " "))
 
 
-def composed(df: DataFrame, texts: tuple[str, ...] = (), maps: tuple[str, ...] = ()) -> DataFrame:
-    """df with the text columns, and the values of the map columns, in composed form; absent columns are passed over.
+def is_composed(df: DataFrame, name: str) -> bool:
+    return bool(df.schema[name].metadata.get(COMPOSED))
 
-    Only values with characters that composition can change are given to Python.
+
+def composed(df: DataFrame, texts: tuple[str, ...] = (), maps: tuple[str, ...] = ()) -> DataFrame:
+    """df with the text columns, and the values of the map columns, in composed form, and marked so; absent columns, and
+    those that are marked already, are passed over. Only values with characters that composition can change are given to Python.
     """
-    for name in texts:
-        if name in df.columns:
+    mark = {COMPOSED: True}
+    for name in (n for n in (*texts, *maps) if n in df.columns and not is_composed(df, n)):
+        if name in texts:
             c = F.col(name)
-            df = df.withColumn(name, F.coalesce(_nfc(F.when(c.rlike(_UNSTABLE), c)), c))
-    for name in maps:
-        if name in df.columns:
+            df = df.withColumn(name, F.coalesce(_nfc(F.when(unstable(c), c)), c))
+        else:
             # One string for all values, parted by control characters, which nothing composes with.
             joined = F.array_join(F.transform(F.map_values(name), lambda v: F.coalesce(v, F.lit("\x1e"))), "\x1f")
-            df = df.withColumn("_composed", _nfc(F.when(joined.rlike(_UNSTABLE), joined)))
+            df = df.withColumn("_composed", _nfc(F.when(unstable(joined), joined)))
             values = F.transform(F.split("_composed", "\x1f", -1), lambda v: F.nullif(v, F.lit("\x1e")))
             df = df.withColumn(name, F.when(F.size(values) == F.size(name), F.map_from_arrays(F.map_keys(name), values)).otherwise(F.col(name))).drop("_composed")
+        df = df.withMetadata(name, mark)
     return df
 
 
@@ -105,9 +120,12 @@ def field_type(c: Column) -> Column:
 
 def title(c: Column) -> Column:
     """Capital after every character that is not a letter, as in str.title."""
-    chars = F.split(F.lower(c), r"(?!^)(?!\z)")
-    up = F.transform(chars, lambda x, i: F.when((i == 0) | ~F.element_at(chars, F.greatest(i, F.lit(1))).rlike(r"^\p{L}$"), F.upper(x)).otherwise(x))
-    return F.array_join(up, "")
+
+    def raised(chars: Column) -> Column:
+        up = F.transform(chars, lambda x, i: F.when((i == 0) | ~F.element_at(chars, F.greatest(i, F.lit(1))).rlike(r"^\p{L}$"), F.upper(x)).otherwise(x))
+        return F.array_join(up, "")
+
+    return once(F.split(F.lower(c), r"(?!^)(?!\z)"), raised)
 
 
 def is_title(c: Column) -> Column:

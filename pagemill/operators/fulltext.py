@@ -77,11 +77,52 @@ def stem(w: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
 
 
+#: Stems of the tokens that a worker has met, so that each different one is stemmed once; emptied when full.
+_stems: dict[str, str] = {}
+MOST_STEMS = 1_000_000
+_PLAIN_TOKEN, _TOKEN = re.compile("[a-z0-9]+"), re.compile(r"[^\W_]+")
+
+
+def _stem(token: str) -> str:
+    found = _stems.get(token)
+    if found is None:
+        if len(_stems) >= MOST_STEMS:
+            _stems.clear()
+        found = _stems[token] = stem(token)
+    return found
+
+
 def fold(text: str) -> list[str]:
     """Stemmed tokens: runs of letters and digits, without diacritics."""
-    bare = "".join(" " if unicodedata.category(c)[0] == "M" and "ऀ" <= c <= "෿" else c for c in unicodedata.normalize("NFD", (text or "").lower()))
+    low = (text or "").lower()
+    if low.isascii():
+        return [_stem(t) for t in _PLAIN_TOKEN.findall(low)]
+    bare = "".join(" " if unicodedata.category(c)[0] == "M" and "ऀ" <= c <= "෿" else c for c in unicodedata.normalize("NFD", low))
     bare = "".join(c for c in bare if unicodedata.category(c) != "Mn")
-    return [stem(t) for t in re.findall(r"[^\W_]+", bare)]
+    return [_stem(t) for t in _TOKEN.findall(bare)]
+
+
+def spans(text: str) -> list[tuple[int, int]]:
+    """Where the tokens of fold(text) stand in the text."""
+    if text.isascii():
+        return [m.span() for m in re.finditer("[A-Za-z0-9]+", text)]
+    out, begin, end = [], None, 0
+    for i, ch in enumerate(text):
+        if unicodedata.category(ch) == "Mn" and not "ऀ" <= ch <= "෿":
+            end = i + 1 if begin is not None else end
+            continue
+        # What a character folds to, piece by piece: each can end a token.
+        for c in unicodedata.normalize("NFD", ch.lower()):
+            if unicodedata.category(c)[0] == "M" and "ऀ" <= c <= "෿" or not _TOKEN.match(c) and unicodedata.category(c) != "Mn":
+                if begin is not None:
+                    out.append((begin, end))
+                    begin = None
+            elif unicodedata.category(c) != "Mn":
+                begin = i if begin is None else begin
+                end = i + 1
+    if begin is not None:
+        out.append((begin, end))
+    return out
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -135,7 +176,9 @@ def match(index: DataFrame, query: str, category: str | None = None, document_id
 
 
 def first(index: DataFrame, query: str, limit: int, category: str | None = None, document_id: int | None = None) -> DataFrame:
-    """The first hits by page and rank, in the columns of a search's result."""
+    """The first hits by page and rank, in the columns of a search's result; index: entries, or a stored postings.Index."""
+    if not isinstance(index, DataFrame):
+        return index.first(query, limit, category, document_id)
     found = match(index, query, category, document_id, "FTS" if category is None else "Category FTS")
     if "bm25" not in found.columns:
         return found.sparkSession.createDataFrame([], "text string, page_number int, category_name string, context_snippet string, record_id bigint, rank double, match_field string, document_id bigint")
@@ -152,6 +195,3 @@ def plain_prefix(texts: DataFrame, query: str, column: str = "text") -> DataFram
     for t in index_terms(query):
         texts = texts.where(F.exists(words, lambda x: x.startswith(t.lower())))  # noqa: B023
     return texts
-
-
-

@@ -150,10 +150,14 @@ def record_hits(records: DataFrame, categories: DataFrame, query: str, scope: st
 def _page_terms(pages: DataFrame, query: str, key: str) -> DataFrame:
     """Pages with own (the text that is searched) and term (the first variant in it)."""
     raw = F.coalesce(F.nullif(F.col("processed_text"), F.lit("")), F.col("raw_text"))
-    pages = T.composed(pages.withColumn("_raw", raw).drop("raw_text", "processed_text"), ("_raw",))
+    stored = all(T.is_composed(pages, c) or pages.schema[c].dataType.typeName() == "void" for c in ("raw_text", "processed_text"))
     bare = key == "exact" or len(query) <= 3
-    # Labels are taken out only of texts that hold the words of a variant.
-    pages = pages.where(_or([_and([T.contains(F.col("_raw"), w) for w in v.split()]) for v in variants(query)]))
+    # Labels are taken out, and texts composed, only where they hold the words of a variant, or may once they are composed.
+    holds = lambda c: _or([_and([T.contains(c, w) for w in v.split()]) for v in variants(query)])
+    pages = pages.withColumn("_raw", raw).drop("raw_text", "processed_text")
+    if not stored:
+        pages = T.composed(pages.where(holds(F.col("_raw")) | T.unstable(F.col("_raw"))), ("_raw",))
+    pages = pages.where(holds(F.col("_raw")))
     term = None
     for v in variants(query):
         test = whole_word(F.col("own"), v) if key == "exact" else F.lower("own").contains(v.lower())
@@ -247,10 +251,19 @@ def page_counts(hits: DataFrame) -> DataFrame:
 
 
 def numbered(hits: DataFrame) -> DataFrame:
-    """1..n in result order; hits are limited, so one partition is right."""
+    """1..n in result order: of hits that a limit bounds, which are numbered in one task; number_all() is for the others."""
     return hits.withColumn("result_no", F.row_number().over(Window.orderBy("page_number", F.col("rank").desc(), F.coalesce("record_id", F.lit(0)), "document_id")))
 
 
+def number_all(hits: DataFrame) -> DataFrame:
+    """1..n in result order for any number of hits: numbered within each page, after all hits of earlier pages."""
+    order = [F.desc("rank"), F.coalesce("record_id", F.lit(0)), "document_id"]
+    pages = hits.groupBy("page_number").agg(F.count("*").alias("_own"))  # a row for each page number
+    before = F.coalesce(F.sum("_own").over(Window.orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("page_number").orderBy(*order))
+    return hits.withColumn("_n", within).join(pages.select("page_number", before.alias("_before")), "page_number").withColumn("result_no", F.col("_before") + F.col("_n")).drop("_n", "_before")
+
+
 def envelope(hits: DataFrame, query: str, scope: str = "all") -> dict:
     """What a search page is given: numbered hits with a label and a snippet each, and the hits of each page."""
     label = F.coalesce(F.nullif("match_field", F.lit("")), F.nullif("category_name", F.lit("")), F.lit("Text"))
@@ -265,10 +278,12 @@ def envelope(hits: DataFrame, query: str, scope: str = "all") -> dict:
 def highlight_boxes(boxes: DataFrame, records: DataFrame, query: str) -> DataFrame:
     """Boxes of the first kind that has any: word boxes, all boxes, boxes of single words, boxes of records; per page."""
     terms = variants(query)
-    boxes, records = T.composed(boxes, ("text",)), T.composed(records, ("source_text",))
     low = F.col("text")
     any_of = lambda c, words: F.expr("false") if not words else _or([T.contains(c, w) for w in words])
     words = [w for w in clean(query).split() if len(w) >= 2] if " " in clean(query) else []
+    if not T.is_composed(boxes, "text"):
+        boxes = T.composed(boxes.where(any_of(low, [*terms, *words]) | T.unstable(low)), ("text",))
+    records = T.composed(records, ("source_text",))
     kind = F.when(any_of(low, terms), F.when(F.col("block_type") == "word", 1).otherwise(2)).when(any_of(low, words), 3)
     own = boxes.withColumn("kind", kind).where("kind IS NOT NULL").select("document_id", "page_number", "kind", "x0", "y0", "x1", "y1")
     spread = own.where("kind = 1").withColumn("kind", F.lit(2)).unionByName(own)

@@ -32,7 +32,7 @@ def numbered_results(spark, sf_dir):
 
 @query(_ID_HITS + ", f AS (SELECT *, row_number() OVER (ORDER BY page_number, rank DESC, id) AS n FROM s) SELECT document_id, page_number, arg_min(id, n) AS record_id FROM f GROUP BY 1, 2")
 def first_hit_of_a_page(spark, sf_dir):
-    hits = search.numbered(search.record_hits(_parts(spark, sf_dir), _groups(spark, sf_dir), "Brand#1", "voter id"))
+    hits = search.number_all(search.record_hits(_parts(spark, sf_dir), _groups(spark, sf_dir), "Brand#1", "voter id"))
     return relational.first_occurrence(hits, ("document_id", "page_number")).select("document_id", "page_number", "record_id")
 
 
