@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -216,8 +217,6 @@ def remove(docs: DataFrame, found_text: str, spans: str = "spans") -> DataFrame:
 
     docs has the text and its spans in one row; null texts and null or empty spans change nothing.
     """
-    import pandas as pd
-
     word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
     @F.pandas_udf("string")

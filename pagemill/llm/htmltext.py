@@ -4,9 +4,10 @@ A page becomes a graph of its text blocks. A logistic classifier over structural
 cost of calling it content or boilerplate (terminal capacities); neighbours in page order and blocks under the
 same ancestors are joined by smoothness edges. The minimum cut is the labelling of least total cost.
 
-The classifier is fit to the pages at hand: blocks of pages that say by their elements what is article and what is
-navigation are its examples, without what those elements say, so that links, lengths, places and sentences learn to
-speak for blocks of pages that say nothing. Its prior is a set of default costs; what elements say keeps its own.
+Pages that say by their elements what is article are labelled with the default costs. They also teach: what the cut makes
+of them are the examples from which the costs of all that elements do not say are fit, those of class and id
+names among them (hashed). Pages that say nothing are labelled with the fitted costs, if these find more of the examples'
+text than the default ones do, on examples that were not fit on and from which all names and telling elements are taken.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,15 +43,19 @@ IN_HEAD = frozenset("title meta link style script base noscript template head".s
 ENDS_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SECTION = frozenset("article main section div td aside nav header footer form ul ol dl table body blockquote figure".split())
 
-#: The features of a block and their default costs (log odds of content), the prior of the fit.
+#: The features of a block and their default costs (log odds of content), the prior of the fit. mass, mass_above: shares
+#: of the page's text in the block's section and in that around it.
 PRIOR = {
-    "bias": -0.5, "article": 4.0, "main": 3.0, "content_name": 2.0, "boiler_tag": -10.0, "boiler_name": -8.0, "comment": -12.0,
-    "links": -4.0, "paragraph": 1.0, "heading": 1.0, "item": -0.5, "log_words": 0.6, "sentence": 0.5,
+    "bias": -2.5, "article": 4.0, "main": 3.0, "content_name": 2.0, "boiler_tag": -10.0, "boiler_name": -8.0, "comment": -12.0,
+    "links": -4.0, "paragraph": 1.0, "heading": 1.0, "item": -0.5, "log_words": 0.6, "sentence": 0.5, "mass": 2.0, "mass_above": 1.0, "legal": -3.0,
 }
 #: Those that say what an element is: they choose the examples, are hidden in them and are not fit.
 SAID = ("article", "main", "content_name", "boiler_tag", "boiler_name", "comment")
-#: Pages that are fit on, and blocks of each, at most; weight of the prior in examples; how far a cost can move from it.
-SAMPLE, MOST_BLOCKS, PRIOR_WEIGHT, FARTHEST = 2_000, 200, 20.0, 1.5
+#: Buckets of hashed names, whose costs are fit from 0.
+NAMES = 128
+#: Pages that are fit on, and blocks of each, at most; weights of the priors in examples; one page in so many is held back.
+SAMPLE, MOST_BLOCKS, PRIOR_WEIGHT, NAME_WEIGHT, HELD = 500, 100, 20.0, 5.0, 3
+_LEGAL = re.compile(r"^(?:\W*(?:©|\(c\)|copyright)|.{0,80}\ball rights reserved)", re.I)
 #: Smoothness: neighbours in page order, and blocks under the same parent and grandparent.
 NEXT, PARENT, GRAND = 0.6, 0.9, 0.3
 #: An element with so much of the page's text, or with less if it holds the article, is a wrapper: its name says nothing.
@@ -67,7 +73,7 @@ _STATE = re.compile(r"(?:^|\s)(?:(?:no|has|with|without|is|hide|show)-\S*|\S*-(?
 
 
 class _Element:
-    __slots__ = ("tag", "up", "key", "silent", "inside", "link", "block", "section", "said", "name", "size", "holds")
+    __slots__ = ("tag", "up", "key", "silent", "inside", "link", "block", "section", "said", "name", "names", "size", "holds")
 
     def __init__(self, tag: str, attrs: str, up: _Element | None, key: int) -> None:
         self.tag, self.up, self.key, self.size, self.holds = tag, up, key, 0, tag in ("article", "main", "h1")
@@ -75,7 +81,7 @@ class _Element:
         # The nearest elements that are no inline one, and that blocks are grouped by.
         self.block = up.block if up and tag in INLINE else self
         self.section = self if tag in SECTION or not up else up.section
-        self.said, self.name = "", ""
+        self.said, self.name, self.names = "", "", frozenset()
         if tag == "article" and not self.inside:
             self.inside, self.said = True, "article"
         elif tag == "main" and not self.inside:
@@ -91,6 +97,7 @@ class _Element:
                 elif value:
                     named += " " + value.strip("\"'")
             if named and tag not in ("html", "body"):
+                self.names = frozenset(zlib.crc32(x.encode()) % NAMES for x in named.lower().split())
                 named = _STATE.sub(" ", named)
                 if _COMMENT.search(named):
                     self.name = "comment"
@@ -100,8 +107,8 @@ class _Element:
                     self.name = "content_name"
 
 
-def blocks(page: str) -> list[tuple[str, list[float], int, int]]:
-    """(text, features, section, section above) of each text block, in page order. Time and memory follow the page's length."""
+def blocks(page: str) -> list[tuple[str, list[float], int, int, frozenset[int]]]:
+    """(text, features, section, section above, hashed names) of each text block, in page order. Time and memory follow the page's length."""
     top = _Element("", "", None, 0)
     here, every, found = top, [top], []
     open_: dict[str, int] = {}
@@ -185,9 +192,10 @@ def blocks(page: str) -> list[tuple[str, list[float], int, int]]:
     for e in reversed(every[1:]):
         e.up.size += e.size
         e.up.holds |= e.holds
-    whole, said = max(1, top.size), [dict.fromkeys(SAID, 0.0)]
+    whole, said, names = max(1, top.size), [dict.fromkeys(SAID, 0.0)], [frozenset()]
     for e in every[1:]:
         own = said[e.up.key]
+        names.append(names[e.up.key] | e.names if e.names and e.size < WRAPPER * whole else names[e.up.key])
         if e.said or e.name:
             own = dict(own)
             if e.said:
@@ -202,51 +210,79 @@ def blocks(page: str) -> list[tuple[str, list[float], int, int]]:
     out = []
     for text, e, links in found:
         kind = "paragraph" if e.tag in ("p", "pre", "blockquote") else "heading" if len(e.tag) == 2 and e.tag[0] == "h" else "item" if e.tag == "li" else ""
+        above = e.section.up.section if e.section.up else e.section
         own = {"bias": 1.0, "links": links, "log_words": math.log1p(text.count(" ") + 1), "sentence": float(text[-1] in ".!?:;\u0964\u3002\"'\u201d\u2019)")} | said[e.key]
+        own |= {"mass": e.section.size / whole, "mass_above": above.size / whole, "legal": float(_LEGAL.search(text) is not None)}
         if kind:
             own[kind] = 1.0
-        above = e.section.up.section.key if e.section.up else e.section.key
-        out.append((text, [own.get(f, 0.0) for f in PRIOR], e.section.key, above))
+        out.append((text, [own.get(f, 0.0) for f in PRIOR], e.section.key, above.key, names[e.key]))
     return out
 
 
-def examples(found: list[tuple[str, list[float], int, int]]) -> np.ndarray:
-    """Rows (1 for content or 0, features) of blocks whose elements say what they are, without what they say."""
-    place = {f: i for i, f in enumerate(PRIOR)}
-    own = [f for _, f, _, _ in found]
-    if len(own) > MOST_BLOCKS:
-        own = [own[i * len(own) // MOST_BLOCKS] for i in range(MOST_BLOCKS)]
-    rows = []
-    for f in own:
-        inside, out = f[place["article"]] or f[place["main"]], f[place["boiler_tag"]]
-        if out or inside and not f[place["boiler_name"]] and not f[place["comment"]]:
-            y = 0.0 if out else 1.0
-            rows.append([y, *[0.0 if name in SAID else v for name, v in zip(PRIOR, f, strict=True)]])
-    return np.array(rows).reshape(-1, len(PRIOR) + 1)
+_DEFAULT = np.array(list(PRIOR.values()))
+_PLACE = {f: i for i, f in enumerate(PRIOR)}
+_HIDDEN = np.array([f in SAID for f in PRIOR])
+
+
+def says(found: list) -> bool:
+    """Whether elements of the page mark its article."""
+    return any(b[1][_PLACE["article"]] or b[1][_PLACE["main"]] for b in found)
+
+
+def examples(found: list) -> np.ndarray:
+    """Rows (1 for content or 0, features, names) of the blocks of a page that says what it is, without what its elements say."""
+    if not says(found):
+        return np.zeros((0, 1 + len(PRIOR) + NAMES))
+    keep, chosen = content(found), range(len(found))
+    if len(found) > MOST_BLOCKS:
+        chosen = [i * len(found) // MOST_BLOCKS for i in range(MOST_BLOCKS)]
+    rows = np.zeros((len(chosen), 1 + len(PRIOR) + NAMES))
+    for row, i in zip(rows, chosen, strict=True):
+        row[0] = keep[i]
+        row[1 : 1 + len(PRIOR)] = np.where(_HIDDEN, 0.0, found[i][1])
+        row[[1 + len(PRIOR) + k for k in found[i][4]]] = 1.0
+    return rows
 
 
 def fit(rows: np.ndarray) -> np.ndarray:
-    """The costs: logistic regression about the prior by Newton steps, none moved farther than FARTHEST.
+    """Costs of features and names: logistic regression about the prior, whose loss no step raises.
 
     Both classes weigh alike. Without examples of both classes the prior is the model.
     """
-    prior = np.array(list(PRIOR.values()))
+    prior = np.concatenate([_DEFAULT, np.zeros(NAMES)])
     y, x = rows[:, 0], rows[:, 1:]
     if not len(y) or y.all() or not y.any():
         return prior
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    firm = np.where(np.arange(len(prior)) < len(PRIOR), PRIOR_WEIGHT, NAME_WEIGHT)
+    loss = lambda w: weight @ np.logaddexp(0, np.where(y > 0, -1.0, 1.0) * (x @ w)) + (firm * (w - prior) ** 2).sum() / 2
     w = prior.copy()
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (weight * (p - y)) + PRIOR_WEIGHT * (w - prior)
-        curve = x.T @ (x * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]) + PRIOR_WEIGHT * np.eye(len(w))
+        slope = x.T @ (weight * (p - y)) + firm * (w - prior)
+        curve = x.T @ (x * (weight * p * (1 - p))[:, None]) + np.diag(firm)
         step = np.linalg.solve(curve, slope)
-        w = np.clip(w - step, prior - FARTHEST, prior + FARTHEST)
-        if np.abs(step).max() < 1e-6:
+        size = 1.0
+        while size > 1e-4 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(step).max() < 1e-6 or size <= 1e-4:
             break
     return w
 
 
+def stripped(found: list) -> list:
+    """The blocks as of a page whose elements and names say nothing."""
+    return [(t, np.where(_HIDDEN, 0.0, f).tolist(), a, b, frozenset()) for t, f, a, b, _ in found]
+
+
+def words_right(found: list, costs: np.ndarray | None) -> np.ndarray:
+    """Words that the page has as content when it says what it is, those found when it does not, and those in both."""
+    true, got = content(found), content(stripped(found), costs)
+    size = np.array([b[0].count(" ") + 1.0 for b in found])
+    return np.array([size @ true, size @ got, size @ (np.array(true) & np.array(got))])
+
+
 def _max_flow(n: int, source: list[float], sink: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes are on the source's side of a minimum cut (Dinic's algorithm)."""
     to: list[int] = []
@@ -328,12 +364,14 @@ def label(odds: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
     return [bool(x) for x in settled]
 
 
-def main_text(page: str | None, costs: np.ndarray | None = None) -> str:
-    """The texts of the blocks on the content side of the minimum cut, by the costs given or the prior's."""
-    found = blocks(page or "")
+def content(found: list, costs: np.ndarray | None = None) -> list[bool]:
+    """Which blocks are on the content side of the minimum cut, by the costs given or the default ones."""
     if not found:
-        return ""
-    odds = np.array([b[1] for b in found]) @ (np.array(list(PRIOR.values())) if costs is None else costs)
+        return []
+    own = np.array([b[1] for b in found])
+    odds = own @ (_DEFAULT if costs is None else costs[: len(PRIOR)])
+    if costs is not None:
+        odds += [sum(costs[len(PRIOR) + k] for k in b[4]) for b in found]
     links: list[tuple[int, int, float]] = [(i, i + 1, NEXT) for i in range(len(found) - 1)]
     for place, weight in ((2, PARENT), (3, GRAND)):
         last: dict[int, int] = {}
@@ -341,33 +379,69 @@ def main_text(page: str | None, costs: np.ndarray | None = None) -> str:
             if b[place] in last:
                 links.append((last[b[place]], i, weight))
             last[b[place]] = i
-    keep = label(odds.tolist(), links)
+    return label(odds.tolist(), links)
+
+
+def main_text(page: str | None, costs: np.ndarray | None = None) -> str:
+    """The texts of a page's content; costs (fitted ones) are for pages that do not say what they are."""
+    found = blocks(page or "")
+    keep = content(found, None if costs is None or says(found) else costs)
     return " ".join(b[0] for b, k in zip(found, keep, strict=True) if k)
 
 
-def extract(pages: DataFrame, row_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """row_id, url, text and n_chars (code points) of each page's main text.
+#: Pages with such an element mark their article (all but those that have it in a comment or script, or empty).
+_SAYS = r"(?i)<(?:article|main)[\s>]"
 
-    Null and empty pages give an empty text; each row is worked on its own, so repeated rows repeat; other
-    columns are ignored; the whole page is read, whatever its length; an empty table gives none. The costs are fit on
-    at most SAMPLE pages, chosen by a hash of the id, and at most MOST_BLOCKS blocks of each.
+
+def learn(pages: DataFrame, row_id: str, html: str) -> np.ndarray | None:
+    """Costs for pages that say nothing, from at most SAMPLE pages that do; None where the default ones are better.
+
+    The sample follows from a hash of id and page; at most SAMPLE * MOST_BLOCKS rows of examples reach the driver.
     """
     import pyarrow as pa
 
-    shared.prepare(pages.sparkSession)
-    kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
-    own = pages.select(F.col(f"`{row_id}`").alias("i"), F.col(f"`{html}`").alias("h"))
-    n = own.count()
+    at = F.xxhash64(F.lit("fit"), F.col(f"`{row_id}`"), F.col(f"`{html}`"))
+    told = pages.where(F.col(f"`{html}`").rlike(_SAYS)).select(at.alias("at"), F.col(f"`{html}`").alias("page"))
+    n = told.count()
+    # About SAMPLE of them by their hash, then the SAMPLE lowest: the pages that are moved do not follow the table.
+    some = told.where(F.pmod("at", F.lit(1 << 20)) < min(1 << 20, (2 * SAMPLE << 20) // max(1, n) + 1)).orderBy("at", "page").limit(SAMPLE)
+    some = shared.cut(some, "taught")
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [examples(blocks(p.as_py() or "")).astype("<f4").tobytes() for p in batch.column(1)]
             yield pa.RecordBatch.from_pydict({"at": batch.column(0), "rows": pa.array(rows, pa.binary())})
 
-    at = F.xxhash64(F.lit("fit"), "i")
-    some = own.where(F.pmod(at, F.lit(max(1, n // SAMPLE))) == 0).select(at.alias("at"), "h").mapInArrow(learn, "at bigint, rows binary")
-    taught = some.orderBy("at", "rows").limit(SAMPLE).collect()  # bounded by SAMPLE * MOST_BLOCKS
-    costs = fit(np.frombuffer(b"".join(r[1] for r in taught), "<f4").astype(float).reshape(-1, len(PRIOR) + 1))
+    held = F.pmod("at", F.lit(HELD)) == 0
+    rows = some.where(~held).mapInArrow(teach, "at bigint, rows binary").orderBy("at", "rows").collect()
+    costs = fit(np.frombuffer(b"".join(r[1] for r in rows), "<f4").astype(float).reshape(-1, 1 + len(PRIOR) + NAMES))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [f for p in batch.column(1) if says(f := blocks(p.as_py() or ""))]
+            for name, own in (("fit", costs), ("default", None)):
+                total = sum((words_right(f, own) for f in found), np.zeros(3))
+                yield pa.RecordBatch.from_pydict({"name": pa.array([name]), **{k: pa.array([v]) for k, v in zip(("is", "got", "both"), total.tolist(), strict=True)}})
+
+    sums = some.where(held).mapInArrow(judge, "name string, is double, got double, both double").groupBy("name").agg(*[F.sum(c).alias(c) for c in ("is", "got", "both")]).collect()
+    shared.forget(some)
+    right = {r["name"]: 2 * r["both"] / max(1.0, r["is"] + r["got"]) for r in sums}
+    return costs if right.get("fit", 0.0) > right.get("default", 0.0) else None
+
+
+def extract(pages: DataFrame, row_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """row_id, url, text and n_chars (code points) of each page's main text.
+
+    Null and empty pages give an empty text; each row is worked on its own, so repeated rows repeat; other
+    columns are ignored; the whole page is read, whatever its length; an empty table gives none. Costs are fit (see
+    learn) if there is a page that does not mark its article, and used for such pages only.
+    """
+    import pyarrow as pa
+
+    shared.prepare(pages.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
+    silent = pages.where(F.length(f"`{html}`") > 0).where(~F.col(f"`{html}`").rlike(_SAYS))
+    costs = learn(pages, row_id, html) if silent.limit(1).count() else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,10 +17,11 @@ from . import shared
 MALE = "Mr|Sir|Herr|Monsieur|Señor|Sr|Don|Signor|श्री"
 FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|Doña|Signora|श्रीमती|सुश्री"
 NEUTRAL = "Dr|Prof"
-_WORD = r"[\p{Lu}\p{Lo}][\p{L}\p{M}'’-]*+"
+#: A word of a name: parts joined by apostrophes or hyphens, without a genitive's s; nothing that an entity could begin with is joined.
+_WORD = r"[\p{Lu}\p{Lo}][\p{L}\p{M}]*+(?:['’-](?!s(?![\p{L}\p{M}]))[\p{L}\p{M}]++(?![\p{N}@._+%-]))*+"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]{0,63}+@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,62})\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])"
 #: Key blocks, tokens by the prefixes that their issuers document, bare hexadecimal keys.
-BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----[A-Za-z0-9+/=\s:,.-]{1,16384}?-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:[A-Za-z0-9+/=\s:,.]++|-(?!----))*+-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
 _ISSUED = r"(?:sk-|rk-|(?:sk|pk|rk)_(?:live|test)_|gh[oprsu]_|github_pat_|glpat-|xox[abeprs]-|AKIA|ASIA|AIza|eyJ)"
 TOKEN = rf"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{{16}}|{_ISSUED}(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{{16,512}}(?:\.[A-Za-z0-9_-]{{4,2048}}){{0,2}}+)(?![A-Za-z0-9_-])"
 SECRET = r"(?<![A-Za-z0-9])(?=[a-f0-9]*[0-9])(?:[a-f0-9]{32,128}|[A-F0-9]{32,128})(?![A-Za-z0-9])"
@@ -36,6 +37,9 @@ CARD = r"(?<![\d.-])(?:\d{13,19}|\d{4}(?<gap>[ -])\d{4}\k<gap>\d{4}\k<gap>\d{1,4
 NAME = rf"(?<![\p{{L}}\p{{M}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.?+ {_WORD}(?: {_WORD}){{0,2}}"
 #: What begins a word, then what begins with a digit or a sign: one look at the characters around a place rules out most places.
 PATTERN = rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{'|'.join((EMAIL, TOKEN, SECRET, IBAN, LONG_ADDRESS, NAME))})|(?=[0-9+(-])(?:{'|'.join((ADDRESS, PHONE, SOCIAL, CARD, BLOCK))})"
+#: Capitalised words too, which can be names known from elsewhere in a text; and words in lower case.
+WIDE = rf"{PATTERN}|(?<![\p{{L}}\p{{M}}\p{{N}}]){_WORD}(?![\p{{L}}\p{{M}}\p{{N}}])"
+_SMALL = r"(?<![\p{L}\p{M}\p{N}])\p{Ll}[\p{L}\p{M}]*+"
 _TITLED = rf"(?=[A-Zशस])(?<![\p{{L}}\p{{M}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? "
 
 #: Syllables of surrogate names, by script (fixed values, to be read in step: equal places sound alike).
@@ -246,12 +250,20 @@ def _written(kind: Column, form: Column, surrogate: Column) -> Column:
     )
 
 
+def _fresh(name: str, columns: list[str]) -> str:
+    while name.lower() in (c.lower() for c in columns):
+        name += "_"
+    return name
+
+
 def replace(docs: DataFrame, secret: str = "corpus-key", text: str = "text", counts: bool = False) -> DataFrame:
     """docs with the personal data in text replaced (and n_entities, if counts is set); its other columns as they were.
 
-    secret is the key that surrogates follow from. Rows keep their number; equal texts get equal results; null
+    secret is the key that surrogates follow from. A titled name's words are replaced wherever the text has them
+    capitalised, title or not, unless the text has the same word in lower case as well. Rows keep their number; equal texts get equal results; null
     texts stay null and empty ones empty; tables without entities, or rows, come back as they are; very long texts
-    are worked through whole; other columns can have any names (but those that begin with __pii_). Numbers that no
+    are worked through whole, in time that follows their length; other columns can have any names (but those that begin
+    with __pii_); where docs has a column n_entities, the new one has underscores added. Numbers that no
     card or account can have (issuer or check digits wrong) and addresses with parts above 255 are left alone.
 
     Texts meet the entities' table only if they hold entities: a filter of fixed size over their hashes is sent to
@@ -259,32 +271,47 @@ def replace(docs: DataFrame, secret: str = "corpus-key", text: str = "text", cou
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     body = F.col(f"`{text}`")
-    may = docs.where(_may(body)).select(F.md5(body).alias("key"), F.xxhash64(body).alias("h"), F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0)).alias("hits"))
-    hits = may.where(F.size("hits") > 0).groupBy("key").agg(F.first("hits").alias("hits"), F.first("h").alias("h"))
-    parts = hits.select("key", "h", F.posexplode("hits").alias("i", "hit")).withColumn("kind", _kind(F.col("hit")))
-    left = F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.col("hit").alias("value"), F.col("hit").alias("form")))
-    parts = parts.select("key", "h", "i", F.when(F.col("kind").isNotNull(), _parts(F.col("hit"), F.col("kind"))).otherwise(left).alias("parts"))
-    parts = shared.cut(parts.select("key", "h", "i", F.posexplode("parts").alias("j", "part")).select("key", "h", "i", "j", "part.*"), "pii")
+    number = _fresh("n_entities", docs.columns)
+    may = docs.where(_may(body)).select(F.md5(body).alias("key"), F.xxhash64(body).alias("h"), body.alias("body"), F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0)).alias("hits"))
+    # The words of titled names that the text has in capitals only; a text with names is read again, for its capitalised words.
+    titled = F.filter("hits", lambda x: x.rlike(rf"^(?:{MALE}|{FEMALE}|{NEUTRAL})[. ]"))
+    known = F.array_distinct(F.flatten(F.transform(titled, lambda x: F.slice(F.split(F.lower(x), " "), 2, 3))))
+    known = F.when(F.size("hits") > 0, known).otherwise(F.array().cast("array<string>"))
+    may = may.where(F.size("hits") > 0).withColumn("known", known)
+    named = F.size("known") > 0
+    bare = F.when(named, F.array_except("known", F.regexp_extract_all("body", F.lit(_SMALL), F.lit(0)))).otherwise(F.col("known"))
+    may = may.select("key", "h", bare.alias("known"), F.when(named, F.regexp_extract_all("body", F.lit(WIDE), F.lit(0))).otherwise(F.col("hits")).alias("hits"), named.alias("wide"))
+    hits = may.groupBy("key").agg(*[F.first(c).alias(c) for c in ("hits", "h", "known", "wide")])
+    hits = shared.cut(hits, "pii-hits")
+    parts = hits.select("key", "h", "wide", F.posexplode("hits").alias("i", "hit")).withColumn("kind", _kind(F.col("hit")))
+    left = F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.lower("hit").alias("value"), F.col("hit").alias("form")))
+    parts = parts.select("key", "h", "wide", "i", F.when(F.col("kind").isNotNull(), _parts(F.col("hit"), F.col("kind"))).otherwise(left).alias("parts"))
+    parts = shared.cut(parts.select("key", "h", "wide", "i", F.posexplode("parts").alias("j", "part")).select("key", "h", "wide", "i", "j", "part.*"), "pii")
+    # A bare word takes the kind that it has in a titled name of its text; that of family names first.
+    allowed = hits.select("key", F.explode("known").alias("value"))
+    words = parts.where(F.col("kind").isin("family", "female", "male", "given")).groupBy("key", "value").agg(F.min("kind").alias("as_name")).join(allowed, ["key", "value"])
+    met = parts.where(F.col("kind").isNull() & F.col("wide")).drop("kind").join(words.withColumnRenamed("as_name", "kind"), ["key", "value"], "left")
+    parts = shared.cut(parts.where(F.col("kind").isNotNull() | ~F.col("wide")).unionByName(met), "pii-met")
     live = F.col("kind").isNotNull() & (F.col("kind") != "title")
     table = surrogates(parts.where(live).select("kind", "value").distinct(), secret)
-    named = parts.join(table, ["kind", "value"], "left")
+    joined = parts.join(table, ["kind", "value"], "left")
     new = F.when(F.col("surrogate").isNull(), F.col("form")).otherwise(_written(F.col("kind"), F.col("form"), F.col("surrogate")))
-    words = named.select("key", "h", "i", "j", new.alias("new"), F.col("kind").isNotNull().alias("found"))
-    listed = F.array_sort(F.collect_list(F.struct("i", "j", "new", "found")))
-    joined = words.groupBy("key").agg(F.first("h").alias("h"), listed.alias("all"))
-    last = F.element_at(F.col("all"), -1)["i"]
-    back = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.transform(F.filter("all", lambda x: x["i"] == i), lambda x: x["new"]), " "))
-    found = F.size(F.filter("all", lambda x: x["found"] & (x["j"] == 0)))
-    news = shared.cut(joined.select(F.col("key").alias("__pii_key"), "h", back.alias("__pii_news"), found.alias("__pii_found")).where("__pii_found > 0"), "pii-news")
-    shared.forget(parts)
+    pieces = joined.select("key", "h", "wide", "i", "j", new.alias("new"), F.col("kind").isNotNull().alias("found"))
+    # First the parts of each hit, then the hits of each text: each list is sorted once.
+    whole = F.array_join(F.sort_array(F.collect_list(F.struct("j", "new")))["new"], " ")
+    each = pieces.groupBy("key", "i").agg(whole.alias("new"), F.max("found").alias("found"), F.first("h").alias("h"), F.first("wide").alias("wide"))
+    listed = F.sort_array(F.collect_list(F.struct("i", "new")))["new"]
+    news = each.groupBy("key").agg(listed.alias("__pii_news"), F.count_if("found").cast("int").alias("__pii_found"), F.first("h").alias("h"), F.first("wide").alias("__pii_wide"))
+    news = shared.cut(news.withColumnRenamed("key", "__pii_key").where("__pii_found > 0"), "pii-news")
+    shared.forget(parts, hits)
     n = news.count()
     if not n:
-        return docs.withColumn("n_entities", F.lit(0)) if counts else docs
+        return docs.withColumn(number, F.lit(0)) if counts else docs
     marked, holds = shared.filtered(docs.select(*columns, F.xxhash64(body).alias("__pii_h")), "__pii_h", news.select("h"), n)
     rest = marked.where(~holds).select(*columns, F.lit(0).alias("__pii_found"))
     placed = marked.where(holds).select(*columns, F.md5(body).alias("__pii_key")).join(news.drop("h"), "__pii_key", "left")
-    pieces = F.split(body, PATTERN, -1)
-    rebuilt = F.array_join(F.flatten(F.zip_with(pieces, F.col("__pii_news"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    gaps = F.when(F.col("__pii_wide"), F.split(body, WIDE, -1)).otherwise(F.split(body, PATTERN, -1))
+    rebuilt = F.array_join(F.flatten(F.zip_with(gaps, F.col("__pii_news"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     out = placed.select(*[F.when(F.col("__pii_news").isNull(), body).otherwise(rebuilt).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns], F.coalesce("__pii_found", F.lit(0)).alias("__pii_found"))
     out = out.unionByName(rest)
-    return out.withColumnRenamed("__pii_found", "n_entities") if counts else out.drop("__pii_found")
+    return out.withColumnRenamed("__pii_found", number) if counts else out.drop("__pii_found")
