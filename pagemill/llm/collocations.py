@@ -1,18 +1,18 @@
 """Phrase collocation mining: phrases of a few words, scored by how often they occur whole against their parts.
 
-Three readings of the texts. The first adds all runs of one to LONGEST words, hashed with their language, into a sketch
+Two readings of the texts. The first adds all runs of one to LONGEST words, hashed with their language, into a sketch
 (one row of counters, as wide as the input asks for, dealt in slices): a counter is an upper bound of the runs that fall
-on it. The second spells out the runs whose bound reaches the threshold: the candidates, and their parts among them. These
-are compiled into Aho-Corasick automata, one for each language in a block of candidates, in which each known word is one symbol and
-whatever else stands between words, or is no known word, is a delimiter that no candidate holds; the third reading
-counts all matches, overlapping ones too, which are summed before the threshold applies. All counts are exact.
+on it. In the second every shard of the texts, a few million words, spells out those of its runs whose bound reaches the
+threshold, compiles them into Aho-Corasick automata, one for each language, and counts all their matches in the shard,
+overlapping ones too. In the automata a word is a code of a few characters whose first kind stands nowhere else, and whatever
+is no word of a candidate is a delimiter that no candidate holds; so matches are of whole words within a piece. The
+shards' counts are summed before the threshold applies: they are exact, and no list of candidates is collected or sent.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 from itertools import islice
 
@@ -37,8 +37,8 @@ SLICE_BITS, SLICE_BYTES, LEAST_SLICES = 25, 16 << 20, 64
 FLUSH = 6_000_000
 #: Bits of the filter of candidates' counters, and how many of them a counter sets.
 LEAST_BITS, MOST_BITS, BITS_EACH, PROBES, CHUNK = 19, 28, 16, 3, 16
-#: Candidates in a block of automata; tokens read at once.
-BLOCK, TOKENS = 400_000, 1 << 18
+#: Words in a shard, about; tokens read and matches kept at once.
+SHARD, TOKENS, MATCHES = 2_000_000, 1 << 18, 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,9 +72,9 @@ class Batch:
             whole = np.flatnonzero(self.piece[: len(h)] == self.piece[n - 1 :])
             yield n, h[whole], whole
 
-    def phrase(self, first: int, n: int) -> str:
+    def phrase(self, first: int, n: int) -> bytes:
         words = self.raw[self.first[first] : self.last[first + n - 1]].tobytes().translate(_LOWER)
-        return (b" ".join(words.split()) if n > 1 else words).decode()
+        return b" ".join(words.split()) if n > 1 else words
 
 
 # ---------------------------------------------------------------- the sketch
@@ -136,9 +136,12 @@ def _bounds(docs: DataFrame, slices: int, least: int) -> DataFrame:
     return parts.groupBy("slice").applyInArrow(total, "key bigint")
 
 
-def _probes(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    for step in np.arange(1, PROBES + 1, dtype=np.uint64) * _ODD:
-        yield shared.mix(keys + step) >> np.uint64(64 - bits)
+_STEPS = np.arange(1, PROBES + 1, dtype=np.uint64) * _ODD
+
+
+def _probe(keys: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The bit of each key that the k-th probe looks at."""
+    return shared.mix(keys + _STEPS[k]) >> np.uint64(64 - bits)
 
 
 def _filter(bounds: DataFrame, n: int) -> tuple[int, np.ndarray]:
@@ -149,8 +152,9 @@ def _filter(bounds: DataFrame, n: int) -> tuple[int, np.ndarray]:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in _probes(batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64), bits):
-                at = at.astype(np.int64)
+            keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
+            for k in range(PROBES):
+                at = _probe(keys, k, bits).astype(np.int64)
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array(at >> CHUNK, pa.int32()), "bit": pa.array(at & ((1 << CHUNK) - 1), pa.int32())})
 
     def chunk(own: pa.Table) -> pa.Table:
@@ -165,125 +169,111 @@ def _filter(bounds: DataFrame, n: int) -> tuple[int, np.ndarray]:
     return bits, out
 
 
-def _candidates(docs: DataFrame, slices: int, least: int) -> DataFrame:
-    """lang, phrase, words of all runs whose counter reaches the threshold."""
-    import pyarrow as pa
-
-    spark = docs.sparkSession
-    bounds = shared.cut(_bounds(docs, slices, least), "bounds")
-    n = bounds.count()
-    sent = spark.sparkContext.broadcast(_filter(bounds, n))
-    shift = np.uint64(64 - SLICE_BITS - (slices.bit_length() - 1))
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, on = sent.value
-        seen = np.zeros(0, np.uint64)
-        for batch in batches:
-            own = Batch(batch.column(0), batch.column(1))
-            langs, phrases, lengths, keys, met = [], [], [], [], [seen]
-            for n, hashes, firsts in own.runs():
-                k = hashes >> shift
-                may = np.ones(len(k), bool)
-                for at in _probes(k, bits):
-                    may &= (on[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                new, i = np.unique(hashes[may], return_index=True)
-                if len(seen):
-                    near = seen[np.minimum(np.searchsorted(seen, new), len(seen) - 1)]
-                    new, i = new[near != new], i[near != new]
-                firsts = firsts[may][i]
-                langs += [own.langs[r] for r in own.row[firsts].tolist()]
-                phrases += [own.phrase(f, n) for f in firsts.tolist()]
-                lengths.append(np.full(len(new), n, np.int32))
-                keys.append((new >> shift).astype(np.int64))
-                met.append(new)
-            seen = np.unique(np.concatenate(met))
-            yield pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "phrase": pa.array(phrases, pa.string()), "words": pa.array(np.concatenate(lengths), pa.int32()), "key": pa.array(np.concatenate(keys), pa.int64())})
-
-    spelt = docs.mapInArrow(spell, "lang string, phrase string, words int, key bigint")
-    distinct = spelt.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.first("key").alias("key"))
-    # The filter lets a few others through; the counters themselves do not.
-    out = shared.cut(distinct.join(bounds, "key", "left_semi").select("lang", "phrase", "words", F.monotonically_increasing_id().alias("id")), "candidates")
-    shared.forget(bounds)
-    return out
-
-
 # ---------------------------------------------------------------- the automata
 
-#: Symbols: one character for each of the first SINGLES words, then two; neither kind of character occurs in the other.
-_FIRST, SINGLES, _LEAD, _TRAIL, TRAILS = 0x10, 0xC000, 0x20000, 0x30000, 0xD0000
+#: A word's code: one character of the first kind, then as many of the second as the number of words asks for.
+BASE, _LEAD, _REST = 64, 0x40, 0x80
 DELIMITER = "\x01"
 
 
-def symbol(k: int) -> str:
-    if k < SINGLES:
-        return chr(_FIRST + k)
-    lead, trail = divmod(k - SINGLES, TRAILS)
-    return chr(_LEAD + lead) + chr(_TRAIL + trail)
+def _code(k: int, width: int) -> str:
+    digits = []
+    for _ in range(width - 1):
+        k, d = divmod(k, BASE)
+        digits.append(chr(_REST + d))
+    return chr(_LEAD + k) + "".join(reversed(digits))
 
 
-class Automata:
-    """For each language an automaton of its phrases, and its words' symbols."""
+class Automaton:
+    """Phrases of one language (words parted by a space)."""
 
-    def __init__(self, langs: list[str], phrases: list[str]) -> None:
+    def __init__(self, phrases: list[bytes]) -> None:
         import ahocorasick
 
-        self.size, self.words, self.find = len(phrases), {}, {}
-        for i, (lang, phrase) in enumerate(zip(langs, phrases, strict=True)):
-            if lang not in self.find:
-                self.words[lang], self.find[lang] = {}, ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            codes = self.words[lang]
-            chars = [codes.get(w) or codes.setdefault(w, symbol(len(codes))) for w in phrase.encode().split(b" ")]
-            self.find[lang].add_word("".join(chars), i)
-        for a in self.find.values():
-            a.make_automaton()
-
-    def matches(self, lang: str, text: bytes) -> Iterator[list[int]]:
+        parts = [p.split(b" ") for p in phrases]
+        words = list(dict.fromkeys(w for ws in parts for w in ws))
+        width = 1
+        while BASE**width < len(words):
+            width += 1
+        self.codes = {w: _code(k, width) for k, w in enumerate(words)}
+        self.find = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, ws in enumerate(parts):
+            self.find.add_word("".join([self.codes[w] for w in ws]), i)
+        self.find.make_automaton()
+
+    def matches(self, text: bytes) -> Iterator[list[int]]:
         """Numbers of the phrases at all their places in the text, a part of it at a time."""
-        if lang not in self.find:
-            return
-        get, search, tokens = self.words[lang].get, None, _TOKENS.finditer(text.translate(_LOWER))
+        get, search, tokens = self.codes.get, None, _TOKENS.finditer(text.translate(_LOWER))
         while part := "".join([get(m[0], DELIMITER) for m in islice(tokens, TOKENS)]):
             if search is None:
-                search = self.find[lang].iter(part)
+                search = self.find.iter(part)
             else:
                 search.set(part)
             yield [k for _, k in search]
 
 
-_automata: dict[str, Automata] = {}
-
-
-def _counted(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """id and count of the candidates: each block's automata read all texts."""
+def _counted(docs: DataFrame, slices: int, least: int) -> DataFrame:
+    """lang, phrase, words, f of all runs whose counter reaches the threshold."""
     import pyarrow as pa
 
-    spark, n, out = docs.sparkSession, candidates.count(), None
-    blocks = max(1, -(-n // BLOCK))
-    for b in range(blocks):
-        own = candidates.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(blocks)) == b).select("lang", "phrase", "id").toArrow()
-        name, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(own)
-        del own
-
-        def count(batches: Iterator[pa.RecordBatch], name: str = name, sent=sent) -> Iterator[pa.RecordBatch]:
-            if name not in _automata:
-                _automata.clear()
-                _automata[name] = Automata(sent.value["lang"].to_pylist(), sent.value["phrase"].to_pylist())
-            own, held, total = _automata[name], [], np.zeros(sent.value.num_rows, np.int64)
-            for batch in batches:
-                for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    for found in own.matches(lang, (text.as_py() or "").encode()):
+    spark = docs.sparkSession
+    bounds = shared.cut(_bounds(docs, slices, least), "bounds")
+    sent = spark.sparkContext.broadcast(_filter(bounds, bounds.count()))
+    shared.forget(bounds)
+    shift = np.uint64(64 - SLICE_BITS - (slices.bit_length() - 1))
+
+    def spelt(shard: list[Batch]) -> dict[str, tuple[list[bytes], list[int]]]:
+        """For each language its candidates in the shard, and how many words they have."""
+        bits, on = sent.value
+        seen, out = np.zeros(0, np.uint64), {}
+        for own in shard:
+            met = [seen]
+            for n, hashes, firsts in own.runs():
+                left = np.arange(len(hashes))
+                for k in range(PROBES):
+                    at = _probe(hashes[left] >> shift, k, bits)
+                    left = left[(on[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                new, i = np.unique(hashes[left], return_index=True)
+                if len(seen):
+                    fresh = seen[np.minimum(np.searchsorted(seen, new), len(seen) - 1)] != new
+                    new, i = new[fresh], i[fresh]
+                met.append(new)
+                for first in firsts[left[i]].tolist():
+                    phrases, words = out.setdefault(own.langs[own.row[first]], ([], []))
+                    phrases.append(own.phrase(first, n))
+                    words.append(n)
+            seen = np.unique(np.concatenate(met))
+        return out
+
+    def counted(shard: list[Batch]) -> Iterator[pa.RecordBatch]:
+        for lang, (phrases, words) in spelt(shard).items():
+            automaton, held, total = Automaton(phrases), [], np.zeros(len(phrases), np.int64)
+            for own in shard:
+                for row in (r for r, x in enumerate(own.langs) if x == lang):
+                    for found in automaton.matches(own.raw[own.at[row] : own.at[row + 1]].tobytes()):
                         held += found
-                        if len(held) >= 1 << 20:
+                        if len(held) >= MATCHES:
                             total += np.bincount(held, minlength=len(total))
                             held = []
             if held:
                 total += np.bincount(held, minlength=len(total))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({"id": pa.array(sent.value["id"].to_numpy()[some], pa.int64()), "f": pa.array(total[some], pa.int64())})
+            for a in range(0, len(phrases), TOKENS):
+                some = slice(a, a + TOKENS)
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(phrases[some]), pa.string()), "phrase": pa.array(phrases[some], pa.binary()).cast(pa.string()), "words": pa.array(words[some], pa.int32()), "f": pa.array(total[some], pa.int64())})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, n = [], 0
+        for batch in batches:
+            shard.append(Batch(batch.column(0), batch.column(1)))
+            n += len(shard[-1].first)
+            if n >= SHARD:
+                yield from counted(shard)
+                shard, n = [], 0
+        if n:
+            yield from counted(shard)
 
-        part = shared.cut(docs.mapInArrow(count, "id bigint, f bigint").groupBy("id").agg(F.sum("f").alias("f")), "counts")
-        out = part if out is None else out.unionByName(part)
-    return out
+    parts = docs.mapInArrow(count, "lang string, phrase string, words int, f bigint")
+    return parts.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("f").alias("f"))
 
 
 # ---------------------------------------------------------------- scores
@@ -306,8 +296,7 @@ def phrases(docs: DataFrame, least: int = 30, keep: int = 80, lang: str = "lang"
     totals = shared.cut(totals, "totals")
     size = totals.agg(F.sum("bytes")).first()[0] or 0
     slices = 1 << max(LEAST_SLICES - 1, size // SLICE_BYTES).bit_length()
-    candidates = _candidates(own, slices, least)
-    counted = shared.cut(candidates.join(_counted(own, candidates), "id").where(F.col("f") >= least).select("lang", "phrase", "words", "f"), "counted")
+    counted = shared.cut(_counted(own, slices, least).where(F.col("f") >= least), "counted")
     words = F.split("phrase", " ")
     part = lambda at, n: F.concat_ws(" ", F.slice(words, at, n))
     several = counted.where("words > 1")

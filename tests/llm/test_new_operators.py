@@ -164,11 +164,11 @@ def plain_phrases(rows, least, keep, top):
     return [(lang, i + 1, p.decode(), -a, l, r, n[lang], -s) for lang, own in out.items() for i, (s, a, p, l, r) in enumerate(sorted(own)[:top])]
 
 
-@pytest.mark.parametrize(("least", "block", "symbols"), [(3, 400_000, 0xC000), (2, 7, 3), (130, 50, 2)])
-def test_collocations_against_brute_force(spark, least, block, symbols, monkeypatch):
-    """Candidates in one block of automata and in many, words of one symbol's character and of two, a threshold above the cap."""
-    monkeypatch.setattr(collocations, "BLOCK", block)
-    monkeypatch.setattr(collocations, "SINGLES", symbols)
+@pytest.mark.parametrize(("least", "shard", "base"), [(3, 2_000_000, 64), (2, 7, 2), (130, 50, 3)])
+def test_collocations_against_brute_force(spark, least, shard, base, monkeypatch):
+    """One shard and many, codes of one character and of several, a threshold above the cap."""
+    monkeypatch.setattr(collocations, "SHARD", shard)
+    monkeypatch.setattr(collocations, "BASE", base)
     monkeypatch.setattr(collocations, "TOKENS", 5)
     monkeypatch.setattr(collocations, "FLUSH", 300)
     rng = random.Random(least)
