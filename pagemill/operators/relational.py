@@ -98,7 +98,9 @@ def first_seen_groups(records: DataFrame, order: str = "id") -> DataFrame:
 
 
 def grid(records: DataFrame, categories: DataFrame, standard: list[str]) -> DataFrame:
-    """Standard columns, then all other keys in order (but those that begin with _); missing values are ''."""
+    """Standard columns, then all other keys in order (but those that begin with _); missing values are ''.
+
+    As columns: at most MOST_COLUMNS of them, beyond which grid_cells() has the same as rows."""
     found = field_names(records).where(~F.col("field").startswith("_") & ~F.col("field").isin(*standard))
     keys = [r[0] for r in found.limit(MOST_COLUMNS + 1).collect()]
     if len(keys) > MOST_COLUMNS:
@@ -107,6 +109,19 @@ def grid(records: DataFrame, categories: DataFrame, standard: list[str]) -> Data
     return with_category(records, categories).select("id", "page_number", "category_name", *cells)
 
 
+def grid_cells(records: DataFrame, categories: DataFrame, standard: list[str]) -> DataFrame:
+    """The grid in long form, for any number of keys: id, page_number, category_name, place, key and value of each cell.
+
+    The standard keys of every record come first, '' where missing; then its own other keys in order, but those that begin with _.
+    """
+    own = F.coalesce("data", F.create_map().cast("map<string,string>"))
+    extra = F.array_sort(F.filter(F.map_keys(own), lambda k: ~k.startswith("_") & ~k.isin(*standard)))
+    keys = F.concat(F.array(*[F.lit(k) for k in standard]).cast("array<string>"), extra)
+    rows = with_category(records.withColumn("data", own).withColumn("_keys", keys), categories)
+    each = rows.select("id", "page_number", "category_name", "data", F.posexplode("_keys").alias("place", "key"))
+    return each.select("id", "page_number", "category_name", "place", "key", F.coalesce(F.col("data")[F.col("key")], F.lit("")).alias("value"))
+
+
 def grid_order(df: DataFrame, column: str) -> DataFrame:
     """Numeric order if every cell is a number (blank is lowest), else by lower-cased text; adds position."""
     blank = F.trim(F.coalesce(F.col(column).cast("string"), F.lit("")))
@@ -273,6 +288,53 @@ def upsert(meta: DataFrame, news: DataFrame) -> DataFrame:
     return meta.join(news, "key", "left_anti").unionByName(news)
 
 
+#: Characters of values, and names, that one task compares at once, about.
+VALUES_AT_ONCE, NAMES_AT_ONCE = 8 << 20, 20_000
+
+
+def names_within(values: DataFrame, names: DataFrame) -> DataFrame:
+    """record and category: of the names (document_id, category, name, place) of a record's document that its text (document_id,
+    record, values) holds, that with the highest place; records that hold none are left out.
+
+    A document's names make one automaton, which reads a text once, whatever their number. Documents with many records, or
+    names, are dealt to several tasks, each with a part of either.
+    """
+    import pyarrow as pa
+
+    size = values.groupBy("document_id").agg(F.ceil(F.sum(F.length("values") + 1) / VALUES_AT_ONCE).cast("int").alias("value_parts"))
+    number = names.groupBy("document_id").agg(F.ceil(F.count("*") / NAMES_AT_ONCE).cast("int").alias("name_parts"))
+    parts = size.join(number, "document_id")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    left = values.join(parts, "document_id").select("document_id", deal("record", "value_parts").alias("v"), every("name_parts").alias("n"), "record", "values")
+    right = names.join(parts, "document_id").select(F.col("document_id").alias("of"), every("value_parts").alias("with_v"), deal("category", "name_parts").alias("with_n"), "category", "name", "place")
+    record, category = (df.schema[c].dataType.simpleString() for df, c in ((values, "record"), (names, "category")))
+
+    def run(texts: pa.Table, own: pa.Table) -> pa.Table:
+        import ahocorasick
+
+        best: dict[str, int] = {}
+        places = dict(zip(own["place"].to_pylist(), range(own.num_rows), strict=True))
+        for name, place in zip(own["name"].to_pylist(), own["place"].to_pylist(), strict=True):
+            best[name] = max(place, best.get(name, -1))
+        always, find = best.pop("", -1), ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for name, place in best.items():
+            find.add_word(name, place)
+        if best:
+            find.make_automaton()
+        rows, found = [], []
+        for i, text in enumerate(texts["values"].to_pylist()):
+            place = max((p for _, p in find.iter(text)), default=-1) if best else -1
+            if max(place, always) >= 0:
+                rows.append(i)
+                found.append(max(place, always))
+        chosen = own["category"].take(pa.array([places[p] for p in found], pa.int64()))
+        return pa.table({"record": texts["record"].take(pa.array(rows, pa.int64())), "category": chosen, "place": pa.array(found, pa.int64())})
+
+    met = left.groupBy("document_id", "v", "n").cogroup(right.groupBy("of", "with_v", "with_n")).applyInArrow(run, f"record {record}, category {category}, place bigint")
+    return met.groupBy("record").agg(F.max_by("category", "place").alias("category"))
+
+
 def assign_categories(records: DataFrame, found: DataFrame) -> DataFrame:
     """category_id from found (document_id, id, ord, name, pages): of the record's document, the first in the order of
     detection whose pages hold the record's, else the last whose name is in a value."""
@@ -280,9 +342,10 @@ def assign_categories(records: DataFrame, found: DataFrame) -> DataFrame:
     by_page = found.select("document_id", F.explode("pages").alias("page_number"), "id", "ord").groupBy(*keys).agg(F.min_by("id", "ord").alias("by_page"))
     out = records.join(by_page, keys, "left")
     # Only records that no page decides are compared with names, those of their own document.
-    names = found.select("document_id", F.col("id").alias("category"), "ord", F.lower("name").alias("name"))
-    values = out.where("by_page IS NULL").select("document_id", F.col("id").alias("record"), F.lower(F.array_join(F.map_values("data"), "\n")).alias("values"))
-    by_text = values.join(names, "document_id").where(F.contains("values", "name")).groupBy("record").agg(F.max_by("category", "ord").alias("by_text"))
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy("ord", "id")).cast("long")
+    names = found.select("document_id", F.col("id").alias("category"), F.lower("name").alias("name"), place.alias("place")).where(F.col("name").isNotNull())
+    values = out.where("by_page IS NULL").select("document_id", F.col("id").alias("record"), F.lower(F.array_join(F.map_values("data"), "\n")).alias("values")).where(F.col("values").isNotNull())
+    by_text = names_within(values, names).withColumnRenamed("category", "by_text")
     out = out.join(by_text, F.col("id") == F.col("record"), "left")
     return out.withColumn("category_id", F.coalesce("by_page", "by_text")).drop("by_page", "by_text", "record")
 

@@ -18,7 +18,7 @@ from urllib.parse import parse_qs, unquote, urlsplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import relational, search
+from ..operators import postings, relational, search
 from ..sinks import export
 from ..sources import pages as sources
 from .workspace import Workspace
@@ -38,7 +38,7 @@ class Service:
     """Calls over one workspace. reader turns a file's bytes into the texts of its pages; without one only text files are read."""
 
     def __init__(self, workspace: Workspace, reader: Callable[[bytes], list[str]] | None = None) -> None:
-        self.workspace, self.reader, self._job = workspace, reader, None
+        self.workspace, self.reader, self._job, self._imported, self._fields = workspace, reader, None, None, (None, [])
         self.progress = {"state": "idle", "percent": 0, "message": ""}
 
     # ---- the project
@@ -48,6 +48,7 @@ class Service:
         """A new workspace with its marker; one that is there already is opened."""
         w = Workspace(spark, root)
         fs, path = w._fs()
+        w.recover()
         if not fs.exists(path(f"{w.root}/{MARKER}")):
             out = fs.create(path(f"{w.root}/{MARKER}"))
             out.write(bytearray(json.dumps({"version": 1}).encode()))
@@ -77,8 +78,8 @@ class Service:
         return self._table("categories", "id bigint, document_id bigint, name string")
 
     @property
-    def index(self) -> DataFrame | None:
-        return self.workspace.table("index") if self.workspace.exists("index") else None
+    def index(self) -> postings.Index | None:
+        return self.workspace.index if self.workspace.index.generations() else None
 
     # ---- import
 
@@ -94,9 +95,26 @@ class Service:
         spark.sparkContext.setJobGroup("import", path, True)
         self.progress = {"state": "extracting", "percent": 15, "message": path}
         self.workspace.ingest(found, mode)
-        outcome = [r.asDict() for r in relational.page_outcomes(self.pages.join(found.select("document_id").distinct(), "document_id", "left_semi")).limit(MOST_ROWS).collect()]
-        self.progress = {"state": "complete", "percent": 100, "message": "; ".join(o["message"] for o in outcome)}
-        return {"documents": outcome}
+        self._imported = found.select("document_id").distinct()
+        outcome = self.outcomes()
+        self.progress = {"state": "complete", "percent": 100, "message": "; ".join(o["message"] for o in outcome["documents"]) + "; ..." * (outcome["next"] is not None)}
+        return outcome
+
+    def outcomes(self, after: int | None = None) -> dict:
+        """Outcomes of the last import's documents, by id; next is the id to go on after, None at the end."""
+        if self._imported is None:
+            return {"documents": [], "next": None}
+        own = relational.page_outcomes(self.pages.join(self._imported, "document_id", "left_semi"))
+        rows, more = self._after(own, "document_id", after)
+        return {"documents": [r.asDict() for r in rows], "next": more}
+
+    @staticmethod
+    def _after(rows: DataFrame, key: str, after) -> tuple[list, object]:
+        """The next MOST_ROWS rows by a key, and the key to go on after (None at the end)."""
+        if after is not None:
+            rows = rows.where(F.col(key) > after)
+        found = rows.orderBy(key).limit(MOST_ROWS + 1).collect()
+        return found[:MOST_ROWS], found[MOST_ROWS - 1][key] if len(found) > MOST_ROWS else None
 
     def add_later(self, path: str, layout: str = "auto", done: Callable[[dict | None, Exception | None], None] | None = None) -> threading.Thread:
         """add() on a thread of its own; done gets its result or what went wrong."""
@@ -121,7 +139,8 @@ class Service:
     def failed_pages(self, document_id: int) -> list[int]:
         if "error" not in self.pages.columns:
             return []
-        return [r[0] for r in self.pages.where((F.col("document_id") == document_id) & F.col("error").isNotNull()).select("page_number").orderBy("page_number").limit(MOST_ROWS).collect()]
+        # One document's page numbers.
+        return [r[0] for r in self.pages.where((F.col("document_id") == document_id) & F.col("error").isNotNull()).select("page_number").orderBy("page_number").collect()]
 
     # ---- reading
 
@@ -129,13 +148,14 @@ class Service:
         counts = {r.what: r.n for r in relational.statistics(self.pages.select("document_id").distinct(), self.pages, self.records).collect()}
         return counts | {"categories": self.categories.count(), "progress": self.progress}
 
-    def document(self, document_id: int) -> dict:
+    def document(self, document_id: int, after: int | None = None) -> dict:
+        """A document and its pages, MOST_ROWS at a time; next is the page to go on after, None at the end."""
         own = self.pages.where(F.col("document_id") == document_id)
-        rows = own.select("page_number", (F.trim(F.coalesce("raw_text", F.lit(""))) != "").alias("has_text")).orderBy("page_number").limit(MOST_ROWS).collect()
-        if not rows:
+        if not own.limit(1).count():
             raise NotFound(f"no document {document_id}")
+        rows, more = self._after(own.select("page_number", (F.trim(F.coalesce("raw_text", F.lit(""))) != "").alias("has_text")), "page_number", after)
         records = self.records.where(F.col("document_id") == document_id).count()
-        return {"id": document_id, "page_count": own.count(), "record_count": records, "pages": [r.asDict() for r in rows]}
+        return {"id": document_id, "page_count": own.count(), "record_count": records, "pages": [r.asDict() for r in rows], "next": more}
 
     def page_text(self, document_id: int, number: int) -> dict:
         row = relational.page(self.pages, document_id, number).first()
@@ -161,23 +181,25 @@ class Service:
         records = self.records.where(own)
         if "bbox" not in records.columns:
             records = records.withColumn("bbox", F.lit(None).cast("struct<x:double,y:double,w:double,h:double>"))
-        found = search.highlight_boxes(boxes, records, query).orderBy("y0", "x0").limit(MOST_ROWS).collect()
+        found = search.highlight_boxes(boxes, records, query).orderBy("y0", "x0").collect()  # of one page
         return {"boxes": [[r.x0, r.y0, r.x1, r.y1] for r in found]}
 
     def records_of(self, document_id: int | None = None, category_id: int | None = None, offset: int = 0) -> dict:
         rows = relational.of_document(self.records, document_id, category_id, limit=MOST_ROWS, offset=offset)
         named = relational.with_category(rows, self.categories).orderBy("page_number", "id").select("id", "page_number", "category_id", "category_name", "data").collect()
-        return {"records": [r.asDict() for r in named], "fields": export.fields(self.records)}
+        if self._fields[0] != self.workspace.number:  # worked out once for each state of the tables
+            self._fields = self.workspace.number, export.fields(self.records)
+        return {"records": [r.asDict() for r in named], "fields": self._fields[1]}
 
     # ---- changing
 
     def update_record(self, record_id: int, changes: dict) -> dict:
         """Puts the given fields over a record's."""
-        records = self.records
-        if records.where(F.col("id") == record_id).limit(1).count() == 0:
+        found = self.records.where(F.col("id") == record_id).select("document_id").first()
+        if found is None:
             raise NotFound(f"no record {record_id}")
         payload = self.workspace.spark.createDataFrame([(record_id, {k: str(v) for k, v in changes.items()})], "id bigint, payload map<string,string>")
-        self.workspace.replace("records", relational.overlay(records, payload).select(*records.columns))
+        self.workspace.edit([found[0]], records=lambda old: relational.overlay(old, payload).select(*old.columns))
         return {"success": True, "id": record_id}
 
     def export(self, kind: str, path: str | None = None) -> str:
@@ -189,7 +211,7 @@ class Service:
 _ROUTES = [
     ("GET", r"/api/status", lambda s, m, q, body: s.status()),
     ("POST", r"/api/upload", lambda s, m, q, body: s.add(body["path"], body.get("layout", "auto"))),
-    ("GET", r"/api/documents/(-?\d+)", lambda s, m, q, body: s.document(int(m[1]))),
+    ("GET", r"/api/documents/(-?\d+)", lambda s, m, q, body: s.document(int(m[1]), int(q["after"]) if q.get("after") else None)),
     ("GET", r"/api/documents/(-?\d+)/pages/(\d+)/text", lambda s, m, q, body: s.page_text(int(m[1]), int(m[2]))),
     ("GET", r"/api/documents/(-?\d+)/pages/(\d+)/highlights", lambda s, m, q, body: s.highlights(int(m[1]), int(m[2]), q.get("q", ""))),
     ("GET", r"/api/documents/(-?\d+)/search", lambda s, m, q, body: s.search(int(m[1]), q.get("q", "").strip(), q.get("scope", "all"))),
