@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import islice
 
@@ -213,8 +214,9 @@ class Automaton:
 
 
 def _counted(docs: DataFrame, slices: int, least: int) -> DataFrame:
-    """lang, phrase, words, f of all runs whose counter reaches the threshold."""
+    """lang, phrase, words, f of all runs that occur least times."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     spark = docs.sparkSession
     bounds = shared.cut(_bounds(docs, slices, least), "bounds")
@@ -257,9 +259,13 @@ def _counted(docs: DataFrame, slices: int, least: int) -> DataFrame:
                             held = []
             if held:
                 total += np.bincount(held, minlength=len(total))
-            for a in range(0, len(phrases), TOKENS):
-                some = slice(a, a + TOKENS)
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(phrases[some]), pa.string()), "phrase": pa.array(phrases[some], pa.binary()).cast(pa.string()), "words": pa.array(words[some], pa.int32()), "f": pa.array(total[some], pa.int64())})
+            # A row for each bucket: many phrases' counts move as arrays.
+            of = np.fromiter(map(zlib.crc32, phrases), np.int64, len(phrases)) % slices
+            order = np.argsort(of, kind="stable")
+            own, begin = np.unique(of[order], return_index=True)
+            ends = pa.array([*begin, len(order)], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, a.take(pa.array(order))) for a in (pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(words, pa.int32()), pa.array(total, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([lang] * len(own), pa.string()), *lists], names=["bucket", "lang", "phrase", "words", "f"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, n = [], 0
@@ -272,8 +278,16 @@ def _counted(docs: DataFrame, slices: int, least: int) -> DataFrame:
         if n:
             yield from counted(shard)
 
-    parts = docs.mapInArrow(count, "lang string, phrase string, words int, f bigint")
-    return parts.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("f").alias("f"))
+    def summed(own: pa.Table) -> pa.Table:
+        own = own.combine_chunks()
+        sizes = pc.list_value_length(own["f"])
+        langs = own["lang"].take(pa.array(np.repeat(np.arange(own.num_rows), sizes.to_numpy())))
+        flat = pa.table({"lang": langs, **{c: pc.list_flatten(own[c]) for c in ("phrase", "words", "f")}})
+        total = flat.group_by(["lang", "phrase"]).aggregate([("words", "min"), ("f", "sum")]).rename_columns({"words_min": "words", "f_sum": "f"})
+        return total.filter(pc.greater_equal(total["f"], least)).select(["lang", "phrase", "words", "f"])
+
+    parts = docs.mapInArrow(count, "bucket int, lang string, phrase array<string>, words array<int>, f array<bigint>")
+    return parts.groupBy("bucket").applyInArrow(summed, "lang string, phrase string, words int, f bigint")
 
 
 # ---------------------------------------------------------------- scores
@@ -296,7 +310,7 @@ def phrases(docs: DataFrame, least: int = 30, keep: int = 80, lang: str = "lang"
     totals = shared.cut(totals, "totals")
     size = totals.agg(F.sum("bytes")).first()[0] or 0
     slices = 1 << max(LEAST_SLICES - 1, size // SLICE_BYTES).bit_length()
-    counted = shared.cut(_counted(own, slices, least).where(F.col("f") >= least), "counted")
+    counted = shared.cut(_counted(own, slices, least), "counted")
     words = F.split("phrase", " ")
     part = lambda at, n: F.concat_ws(" ", F.slice(words, at, n))
     several = counted.where("words > 1")
