@@ -46,11 +46,11 @@ SECTION = frozenset("article main section div td aside nav header footer form ul
 #: The features of a block and their default costs (log odds of content), the prior of the fit. mass, mass_above: shares
 #: of the page's text in the block's section and in that around it.
 PRIOR = {
-    "bias": -2.5, "article": 4.0, "main": 3.0, "content_name": 2.0, "boiler_tag": -10.0, "boiler_name": -8.0, "comment": -12.0,
+    "bias": -2.5, "article": 4.0, "main": 3.0, "outside": -5.0, "content_name": 2.0, "boiler_tag": -10.0, "boiler_name": -8.0, "comment": -12.0,
     "links": -4.0, "paragraph": 1.0, "heading": 1.0, "item": -0.5, "log_words": 0.6, "sentence": 0.5, "mass": 2.0, "mass_above": 1.0, "legal": -3.0,
 }
 #: Those that say what an element is: they choose the examples, are hidden in them and are not fit.
-SAID = ("article", "main", "content_name", "boiler_tag", "boiler_name", "comment")
+SAID = ("article", "main", "outside", "content_name", "boiler_tag", "boiler_name", "comment")
 #: Buckets of hashed names, whose costs are fit from 0.
 NAMES = 128
 #: Pages that are fit on, and blocks of each, at most; weights of the priors in examples; one page in so many is held back.
@@ -59,6 +59,7 @@ _LEGAL = re.compile(r"^(?:\W*(?:©|\(c\)|copyright)|.{0,80}\ball rights reserved
 #: Smoothness: neighbours in page order, and blocks under the same parent and grandparent.
 NEXT, PARENT, GRAND = 0.6, 0.9, 0.3
 #: An element with so much of the page's text, or with less if it holds the article, is a wrapper: its name says nothing.
+#: Articles with so much of it as the latter say of the rest that it is outside.
 WRAPPER, HOLDER = 0.9, 0.3
 BOILER_TAGS = frozenset("nav footer aside form menu dialog button".split())
 _BOILER = re.compile(
@@ -207,11 +208,14 @@ def blocks(page: str) -> list[tuple[str, list[float], int, int, frozenset[int]]]
                 part = 0.0 if share >= WRAPPER or e.holds and share >= HOLDER else min(1.0, (WRAPPER - share) / (WRAPPER - 0.5))
                 own[e.name] = min(2.0, own[e.name] + part)
         said.append(own)
+    marked = sum(e.size for e in every[1:] if e.said in ("article", "main") and not said[e.up.key]["article"] and not said[e.up.key]["main"])
+    outside = marked >= HOLDER * whole
     out = []
     for text, e, links in found:
         kind = "paragraph" if e.tag in ("p", "pre", "blockquote") else "heading" if len(e.tag) == 2 and e.tag[0] == "h" else "item" if e.tag == "li" else ""
         above = e.section.up.section if e.section.up else e.section
         own = {"bias": 1.0, "links": links, "log_words": math.log1p(text.count(" ") + 1), "sentence": float(text[-1] in ".!?:;\u0964\u3002\"'\u201d\u2019)")} | said[e.key]
+        own["outside"] = float(outside and not own["article"] and not own["main"])
         own |= {"mass": e.section.size / whole, "mass_above": above.size / whole, "legal": float(_LEGAL.search(text) is not None)}
         if kind:
             own[kind] = 1.0

@@ -226,12 +226,13 @@ def word_bounds(raw: np.ndarray, at: np.ndarray, breaks: np.ndarray = SPACES) ->
     return np.flatnonzero(begin & ~gap), np.flatnonzero(over & ~gap) + 1
 
 
-def bound_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+def bound_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray, beginnings: list[np.ndarray] | None = None, sizes: tuple[int, ...] = ()) -> np.ndarray:
     """64-bit hashes of the words between these bounds (ASCII letters lower-cased).
 
+    beginnings receives, for each of sizes (bytes), the hashes of the words' first bytes, 0 for words that have no more.
     The buffer is worked through in windows, so memory follows the window and not the longest text.
     """
-    hashes, i = [], 0
+    hashes, begun, i = [], [[] for _ in sizes], 0
     while i < len(first):
         j = max(i + 1, int(np.searchsorted(last, first[i] + _WINDOW, "right")))
         lo, hi = int(first[i]), int(last[j - 1])
@@ -242,7 +243,12 @@ def bound_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
         s, e = first[i:j] - lo, last[i:j] - lo
         h = (total[e] - total[s]) * _powers.down[s]
         hashes.append(mix(h + (e - s).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+        for own, n in zip(begun, sizes, strict=True):
+            longer = e - s > n
+            own.append(np.where(longer, mix((total[np.minimum(s + n, e)] - total[s]) * _powers.down[s] + np.uint64(2 * n + 1)), np.uint64(0)))
         i = j
+    if beginnings is not None:
+        beginnings += [np.concatenate(own) if own else np.zeros(0, np.uint64) for own in begun]
     return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
 
 

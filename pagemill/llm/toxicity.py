@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; all texts are the unlabelled set. A text is a set of features: the words and
-pairs of neighbouring words that tell most about the positives. Linear classifiers minimise in numpy the risk
+Confirmed toxic texts are the positives; all texts are the unlabelled set. A text is a set of features: the words, pairs of
+neighbouring words and beginnings of words that tell most about the positives. Linear classifiers minimise in numpy the risk
 p E+[l(f)] + max(0, Eu[l(-f)] - p E+[l(-f)]) with the class prior p, each on a part of the unlabelled texts, and their
 weights are averaged. The prior and the threshold come from positives that were held back from learning.
 """
@@ -22,7 +22,7 @@ MOST_POSITIVE, FOLDS = 10_000, 5
 #: Bits of a feature's hash; features that are looked at, and that the model has; different texts to a classifier, about.
 BITS, MOST_CANDIDATES, FEATURES, CHUNK = 22, 1 << 17, 512, 50_000
 #: What a feature has to tell (nats over all positives).
-LEAST_TOLD = 5.0
+LEAST_TOLD = 9.0
 #: The features with the strongest lift, each in at least so large a share of the positives, tell the prior.
 PRIOR_FEATURES, PRIOR_SHARE = 20, 0.02
 #: Words are runs of ASCII letters and of bytes above 127.
@@ -33,16 +33,29 @@ CUT = 0.7
 #: Odds are counted in bins of this width, between these bounds.
 BIN, MOST_ODDS = 1 / 64, 40.0
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a word's beginnings: what words of one stem share, in languages that the labels tell little of.
+BEGINNINGS = (4, 5, 6, 7)
+#: Occurrences from which a feature is another one too: what any text has by chance, few have so often.
+REPEATS = (2, 3)
 
 
 def slots(raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """The hashed features of each text, sorted, each once."""
-    words, word_at = shared.word_hashes(raw, at, BREAKS)
+    """The hashed features of each text, sorted, each once: words, pairs of neighbours, beginnings of longer words, and each of
+    these that occurs several times once more."""
+    first, last = shared.word_bounds(raw, at, BREAKS)
+    begun: list[np.ndarray] = []
+    words, word_at = shared.bound_hashes(raw, first, last, begun, BEGINNINGS), np.searchsorted(first, at)
     out = []
     for i in range(len(at) - 1):
         own = words[word_at[i] : word_at[i + 1]]
         two = shared.mix(own[:-1] * _PAIR + own[1:]) if len(own) > 1 else own[:0]
-        out.append(np.unique((np.concatenate([own, two]) >> np.uint64(64 - BITS)).astype(np.uint32)))
+        parts = [own, two]
+        for b in begun:
+            mine = b[word_at[i] : word_at[i + 1]]
+            parts.append(mine[mine != 0])
+        own, times = np.unique((np.concatenate(parts) >> np.uint64(64 - BITS)).astype(np.uint32), return_counts=True)
+        again = [(shared.mix(own[times >= k].astype(np.uint64) + np.uint64(k << BITS)) >> np.uint64(64 - BITS)).astype(np.uint32) for k in REPEATS]
+        out.append(np.unique(np.concatenate([own, *again])))
     return out
 
 
