@@ -35,6 +35,8 @@ BAND = 1.26
 FLUSH, MOST_BITS, PARTNERS = 3_000_000, 26, 48
 #: Text in a bucket of shingles, and most buckets (at 100 TB a bucket stands for 0.4 GB of text); level from which on a shingle's list is dealt to slices.
 BUCKET_BYTES, MOST_BUCKETS, HOT_LEVEL = 24 << 20, 18, 12
+#: The highest level that a slot has: shingles of a higher one are kept by their hash, so many of the most frequent at most.
+SLOT_LEVEL, MOST_FREQUENT = 11, 1 << 22
 #: Bits of the filter of needed rows: at least, at most (32 MB), and for each of them.
 LEAST_FILTER, MOST_FILTER, FILTER_EACH = 16, 28, 16
 #: Shingles in a block of a component, about.
@@ -79,9 +81,28 @@ def overlap_needed(a, b):
     return (PERCENT * (a + b) + 99 + PERCENT) // (100 + PERCENT)
 
 
-def prefix(h: np.ndarray, levels: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, int]:
+class Levels:
+    """Rarity levels of shingles: those of frequent ones by their hash, those of the others by slot."""
+
+    def __init__(self, table: np.ndarray, bits: int, keep: int, hashes: np.ndarray, levels: np.ndarray) -> None:
+        order = np.argsort(hashes, kind="stable")
+        self.table, self.shift, self.keep, self.top, self.hashes, self.levels = table, np.uint64(64 - bits), np.uint64(64 - keep), SLOT_LEVEL, hashes[order], levels[order]
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        level = self.table[(h >> self.shift).astype(np.int64)]
+        if len(self.hashes):
+            # Only slots of the highest level can have a frequent shingle.
+            at = np.flatnonzero(level >= self.top)
+            own = h[at] >> self.keep
+            place = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+            there = self.hashes[place] == own
+            level[at[there]] = self.levels[place[there]]
+        return level
+
+
+def prefix(h: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray, int]:
     """Prefix hashes, their levels, and the group key of (prefix, size)."""
-    level = levels[(h >> np.uint64(shift)).astype(np.int64)]
+    level = levels.of(h)
     order = np.argsort(level, kind="stable")[: prefix_size(len(h))]
     own = h[order]
     key = shared.mix(shared.mix(own ^ _K[3]).sum(dtype=np.uint64, keepdims=True) + np.array([len(h)], np.uint64) * _K[0])
@@ -115,17 +136,24 @@ def _widen(data: bytes, width: int) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _levels(docs: DataFrame, text: str, buckets: int, bits: int) -> np.ndarray:
-    """For each slot (the first bits of a hash) the highest level of its shingles; level: whole part of log2 of the count of documents."""
+def _levels(docs: DataFrame, text: str, buckets: int, bits: int, size: int) -> Levels:
+    """The level of each shingle: the whole part of log2 of the count of documents that hold it.
+
+    The table of slots (the first bits of a hash) has, of the shingles in a slot, the highest level, or SLOT_LEVEL if that is less. The
+    shingles above are listed; of very many only those above a level that leaves MOST_FREQUENT of them. Where a slot
+    stands for many shingles the rarer ones lose their order, and lists stay as short as those of SLOT_LEVEL all the same.
+    """
     import pyarrow as pa
 
-    low = 24  # counts go by the first 40 bits of a hash
+    # Counts go by the first bits of a hash, more of them for more text, so that few shingles meet in one.
+    keep = min(56, max(40, int(size / 6).bit_length() + 8))
+    low = 64 - keep
     step = buckets.bit_length() - 1
 
     def sent(found: list[np.ndarray]) -> pa.RecordBatch:
         # A shingle is sent once with its count, however many documents here hold it.
         h, times = np.unique(np.concatenate(found) >> np.uint64(low), return_counts=True)
-        cuts = [0, *np.searchsorted(h, np.arange(1, buckets, dtype=np.uint64) << np.uint64(40 - step)).tolist(), len(h)]
+        cuts = [0, *np.searchsorted(h, np.arange(1, buckets, dtype=np.uint64) << np.uint64(keep - step)).tolist(), len(h)]
         parts = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
         wide = (max(1, int(times.max())).bit_length() + 7) // 8
         return pa.RecordBatch.from_pydict(
@@ -157,16 +185,27 @@ def _levels(docs: DataFrame, text: str, buckets: int, bits: int) -> np.ndarray:
         at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         times = np.add.reduceat(times, at)
         out = np.zeros(1 << own_bits, np.uint8)
-        slot = ((h[at] >> np.uint64(40 - bits)) & np.uint64((1 << own_bits) - 1)).astype(np.int64)
-        np.maximum.at(out, slot, np.minimum(255, np.floor(np.log2(times))).astype(np.uint8))
-        return pd.DataFrame({"bucket": [key[0]], "part": [out.tobytes()]})
+        slot = ((h[at] >> np.uint64(keep - bits)) & np.uint64((1 << own_bits) - 1)).astype(np.int64)
+        level = np.minimum(255, np.floor(np.log2(times))).astype(np.uint8)
+        np.maximum.at(out, slot, np.minimum(level, SLOT_LEVEL))
+        above = np.flatnonzero(level > SLOT_LEVEL)
+        return pd.DataFrame({"bucket": [key[0]], "part": [out.tobytes()], "hashes": [h[at][above].astype(np.int64)], "levels": [level[above].astype(np.int32)]})
 
     packed = docs.select(text).mapInArrow(run, "bucket int, n int, packed binary, times binary")
     table = np.zeros((buckets, 1 << own_bits), np.uint8)
+    counted = shared.cut(packed.groupBy("bucket").applyInPandas(count, "bucket int, part binary, hashes array<bigint>, levels array<int>"), "counted")
     # The table has a fixed size; only its parts come to the driver.
-    for k, part in packed.groupBy("bucket").applyInPandas(count, "bucket int, part binary").toLocalIterator():
+    for k, part in counted.select("bucket", "part").toLocalIterator():
         table[k] = np.frombuffer(part, np.uint8)
-    return table.ravel()
+    frequent = counted.select(F.explode(F.arrays_zip("hashes", "levels")).alias("x")).select("x.hashes", "x.levels")
+    least, n = 256, 0
+    for level, m in sorted(frequent.groupBy("levels").count().collect(), reverse=True):  # a row for each level
+        if n + m > MOST_FREQUENT:
+            break
+        least, n = level, n + m
+    own = frequent.where(F.col("levels") >= least).toArrow()
+    shared.forget(counted)
+    return Levels(table.ravel(), bits, keep, own["hashes"].to_numpy().astype(np.uint64), own["levels"].to_numpy().astype(np.uint8))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -189,7 +228,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _sets(docs: DataFrame, needed: DataFrame, row_id: str, text: str) -> DataFrame:
+def _apart(rows: DataFrame, same: DataFrame) -> DataFrame:
+    """rows (node, check) with numbers of their own for nodes whose checks differ; same (node, least) are a few by chance."""
+    met = rows.join(F.broadcast(same.select("node", "least")), "node", "left")
+    return met.withColumn("node", F.when(F.col("check") != F.col("least"), F.xxhash64("node", "check")).otherwise(F.col("node"))).select(*rows.columns)
+
+
+def _sets(docs: DataFrame, needed: DataFrame, row_id: str, text: str, same: DataFrame | None) -> DataFrame:
     """node and hashes (its set, packed) of the needed nodes (node, least_id)."""
     import pyarrow as pa
 
@@ -219,20 +264,27 @@ def _sets(docs: DataFrame, needed: DataFrame, row_id: str, text: str) -> DataFra
             pick = batch.column(0).filter(pa.array((sent.value[s >> 3] >> (7 - (s & 7)) & 1).astype(bool)))
             found = [h for h in shingle_sets(pick) if len(h)]
             keys = [set_key(h) for h in found]
-            yield pa.RecordBatch.from_pydict({"node": pa.array([k[0] for k in keys], pa.int64()), "hashes": pa.array([_narrow(h >> np.uint64(16), 6) for h in found], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"node": pa.array([k[0] for k in keys], pa.int64()), "check": pa.array([k[1] for k in keys], pa.int64()), "hashes": pa.array([_narrow(h, 8) for h in found], pa.binary())})
 
     slot = F.pmod(F.xxhash64(F.col(row_id).cast("long")), F.lit(1 << bits)).cast("int")
-    own = docs.where(F.col(row_id).isNotNull()).select(text, slot.alias("slot")).mapInArrow(sets, "node bigint, hashes binary")
+    own = docs.where(F.col(row_id).isNotNull()).select(text, slot.alias("slot")).mapInArrow(sets, "node bigint, check bigint, hashes binary")
+    own = (own if same is None else _apart(own, same)).drop("check")
     return shared.cut(own.join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, row_id: str, text: str) -> DataFrame:
+def _verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, row_id: str, text: str, same: DataFrame | None) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough."""
-    pairs = shared.cut(pairs.distinct(), "pairs")
+    # The end with more pairs is a: its set goes to as many tasks as its pairs fill, while that of b goes along with each of them.
+    ends = shared.cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    degree = ends.select(F.col("a").alias("end")).union(ends.select("b")).groupBy("end").agg(F.count("*").alias("pairs"))
+    known = ends.join(degree.toDF("a", "pairs_a"), "a").join(degree.toDF("b", "pairs_b"), "b")
+    turned = F.col("pairs_b") > F.col("pairs_a")
+    pairs = shared.cut(known.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b")), "pairs")
+    shared.forget(ends)
     sized = pairs.join(nodes.select(F.col("node").alias("b"), "n"), "b")
     slices = shared.cut(sized.groupBy("a").agg(F.ceil(F.greatest(F.count("*") / PARTNERS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("slices")), "slices")
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "least_id"), "node")
-    own = _sets(docs, needed, row_id, text)
+    own = _sets(docs, needed, row_id, text, same)
     left = slices.join(own.toDF("a", "hashes"), "a").select(F.col("a").alias("one"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice1"), "hashes")
     right = pairs.join(slices, "a").select(F.col("a").alias("many"), "b", F.pmod(F.hash("b"), F.col("slices")).alias("slice2"))
     right = right.join(own.toDF("b", "hashes"), "b").select("many", "slice2", "b", "hashes")
@@ -242,9 +294,9 @@ def _verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, row_id: str, te
 
         good = []
         if len(one):
-            x = _widen(one["hashes"].iloc[0], 6)
+            x = _widen(one["hashes"].iloc[0], 8)
             for b, data in zip(many["b"], many["hashes"], strict=True):
-                y = _widen(data, 6)
+                y = _widen(data, 8)
                 small, large = (x, y) if len(x) < len(y) else (y, x)
                 if 100 * len(small) >= PERCENT * len(large):
                     at = np.searchsorted(large, small)
@@ -256,7 +308,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, row_id: str, te
     return shared.cut(left.groupBy("one", "slice1").cogroup(right.groupBy("many", "slice2")).applyInPandas(check, "a bigint, b bigint"), "links")
 
 
-def _all_links(docs: DataFrame, comps: DataFrame, nodes: DataFrame, row_id: str, text: str) -> DataFrame:
+def _all_links(docs: DataFrame, comps: DataFrame, nodes: DataFrame, row_id: str, text: str, same: DataFrame | None) -> DataFrame:
     """node and n_links (how many other nodes it links with) of every node of comps.
 
     The two nodes of a pair have one link. A larger component is cut into blocks and each pair of blocks is a group of
@@ -269,13 +321,13 @@ def _all_links(docs: DataFrame, comps: DataFrame, nodes: DataFrame, row_id: str,
     inside = shared.cut(inside.join(shared.cut(sizes.select("component", "members", blocks.alias("blocks")), "sizes"), "component"), "inside")
     more = inside.where("members > 2")
     own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = more.join(_sets(docs, more.select("node", "least_id"), row_id, text), "node").select("component", "node", "hashes", own.alias("own"), other.alias("other"))
+    dealt = more.join(_sets(docs, more.select("node", "least_id"), row_id, text, same), "node").select("component", "node", "hashes", own.alias("own"), other.alias("other"))
     dealt = dealt.select("component", "node", "hashes", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
 
     def count(key, frame):
         import pandas as pd
 
-        sets = [_widen(d, 6) for d in frame["hashes"]]
+        sets = [_widen(d, 8) for d in frame["hashes"]]
         n = np.array([len(x) for x in sets])
         order = np.argsort(n, kind="stable")
         n, sets, home = n[order], [sets[i] for i in order], frame["own"].to_numpy()[order]
@@ -314,7 +366,8 @@ def join(docs: DataFrame, row_id: str = "doc_id", text: str = "text", links_too:
     rows may share ids (null for rows without shingles and for those with null ids that have no component).
     Null, empty and blank texts have no shingles and link with nothing. Rows with equal sets are one node, so
     copies cost nothing. Repeated ids are rows of their own. A row with a null id has no component unless a row
-    with an id has the same set. row_id has to be an integer. Other columns are ignored; empty tables give empty results.
+    with an id has the same set. row_id has to be an integer. Very long texts are read whole; ties do not matter, as a
+    component is the same whatever pairs connect it. Other columns are ignored; empty tables give empty results.
     """
     import pyarrow as pa
 
@@ -327,19 +380,23 @@ def join(docs: DataFrame, row_id: str = "doc_id", text: str = "text", links_too:
     bits = min(MOST_BITS, max(16, int(size / 48).bit_length()))
     buckets = 1 << max(8, min(MOST_BUCKETS, int(size / BUCKET_BYTES).bit_length()))
     hot_slices = max(16, buckets >> 4)
-    levels = spark.sparkContext.broadcast(_levels(docs, text, buckets, bits))
-    shift = 64 - bits
+    levels = spark.sparkContext.broadcast(_levels(docs, text, buckets, bits, size))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = shingle_sets(batch.column(1))
-            keys = [(*set_key(h), prefix(h, levels.value, shift)[2]) if len(h) else (None, None, None) for h in found]
+            keys = [(*set_key(h), prefix(h, levels.value)[2]) if len(h) else (None, None, None) for h in found]
             own = {name: pa.array([k[i] for k in keys], pa.int64()) for i, name in enumerate(("node", "check", "group"))}
             yield pa.RecordBatch.from_pydict({row_id: batch.column(0), "n": pa.array([len(h) for h in found], pa.int64())} | own | {m: batch.column(2 + i) for i, m in enumerate(more)})
 
     kind = docs.schema[row_id].dataType.simpleString()
     schema = f"`{row_id}` {kind}, n bigint, node bigint, check bigint, group bigint" + "".join(f", `{m}` {kinds[c]}" for c, m in zip(also, more, strict=True))
     all_rows = shared.cut(docs.mapInArrow(rows, schema), "rows")
+    # Two sets that share the first half of their key are told apart by the second: that with the least keeps the number.
+    same = all_rows.where("n > 0").groupBy("node").agg(F.min("check").alias("least"), F.max("check").alias("most")).where("least <> most")
+    same = shared.cut(same, "same") if same.limit(1).count() else None
+    if same is not None:
+        all_rows = shared.cut(_apart(all_rows, same), "rows")
     nodes = all_rows.where("n > 0").groupBy("node").agg(F.min(row_id).cast("long").alias("least_id"), F.first("n").alias("n"), F.first("group").alias("group"), F.count("*").alias("copies"))
     nodes = shared.cut(nodes.where("least_id IS NOT NULL"), "nodes")
     groups = shared.cut(nodes.groupBy("group").agg(F.min("node").alias("lead"), F.count("*").alias("members")), "groups")
@@ -366,7 +423,7 @@ def join(docs: DataFrame, row_id: str = "doc_id", text: str = "text", links_too:
         for batch in batches:
             for h in shingle_sets(batch.column(0)):
                 if len(h):
-                    own, level, key = prefix(h, table, shift)
+                    own, level, key = prefix(h, table)
                     p = np.flatnonzero(level > 0)  # level 0: no other document has it
                     if len(p):
                         held.append((own[p], np.full(len(p), key, np.int64), np.full(len(p), len(h), np.uint64), p.astype(np.uint64), level[p] >= HOT_LEVEL))
@@ -418,18 +475,18 @@ def join(docs: DataFrame, row_id: str = "doc_id", text: str = "text", links_too:
     first = pairs.join(lead.toDF("g1", "a"), "g1").join(lead.toDF("g2", "b"), "g2").select("a", "b")
     several = groups.where("members > 1")
     inside = nodes.join(several, "group").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    links = _verify(docs, first.union(inside), nodes, row_id, text)
+    links = _verify(docs, first.union(inside), nodes, row_id, text, same)
     comps = components(links)
 
     where = shared.cut(nodes.select("node", "n", "group").join(comps, "node", "left").select("node", "n", "group", F.coalesce("component", "node").alias("component")), "where")
     rest = _left_over(found, pairs, where, several)
     if rest is not None:
-        links = links.union(_verify(docs, rest, nodes, row_id, text))
+        links = links.union(_verify(docs, rest, nodes, row_id, text, same))
         comps = components(links)
     ids = nodes.join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least_id")
     ids = shared.cut(ids, "ids")
     least = shared.cut(ids.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("members")), "least")
-    degree = _all_links(docs, comps, nodes, row_id, text) if links_too else nodes.select("node", F.lit(0).alias("n_links"))
+    degree = _all_links(docs, comps, nodes, row_id, text, same) if links_too else nodes.select("node", F.lit(0).alias("n_links"))
     final = shared.cut(shared.look_up(ids, least, "component", "members", ids.count()).join(degree, "node", "left").select("node", "component", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "final")
     # The rows of a text with very many copies are dealt to several tasks; the number of such texts is bounded.
     most = shared.frequent(all_rows.count())

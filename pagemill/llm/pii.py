@@ -17,12 +17,13 @@ from . import shared
 MALE = "Mr|Sir|Herr|Monsieur|Señor|Sr|Don|Signor|श्री"
 FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|Doña|Signora|श्रीमती|सुश्री"
 NEUTRAL = "Dr|Prof"
+#: How issuers' tokens begin.
+_ISSUED = r"(?:sk-|rk-|(?:sk|pk|rk)_(?:live|test)_|gh[oprsu]_|github_pat_|glpat-|xox[abeprs]-|AKIA|ASIA|AIza|eyJ)"
 #: A word of a name: parts joined by apostrophes or hyphens, without a genitive's s; nothing that an entity could begin with is joined.
-_WORD = r"[\p{Lu}\p{Lo}][\p{L}\p{M}]*+(?:['’-](?!s(?![\p{L}\p{M}]))[\p{L}\p{M}]++(?![\p{N}@._+%-]))*+"
+_WORD = rf"[\p{{Lu}}\p{{Lo}}][\p{{L}}\p{{M}}]*+(?:['’-](?!s(?![\p{{L}}\p{{M}}])|{_ISSUED})[\p{{L}}\p{{M}}]++(?![\p{{N}}@._+%]|-(?!\p{{L}})))*+"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]{0,63}+@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,62})\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])"
 #: Key blocks, tokens by the prefixes that their issuers document, bare hexadecimal keys.
 BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:[A-Za-z0-9+/=\s:,.]++|-(?!----))*+-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
-_ISSUED = r"(?:sk-|rk-|(?:sk|pk|rk)_(?:live|test)_|gh[oprsu]_|github_pat_|glpat-|xox[abeprs]-|AKIA|ASIA|AIza|eyJ)"
 TOKEN = rf"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{{16}}|{_ISSUED}(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{{16,512}}(?:\.[A-Za-z0-9_-]{{4,2048}}){{0,2}}+)(?![A-Za-z0-9_-])"
 SECRET = r"(?<![A-Za-z0-9])(?=[a-f0-9]*[0-9])(?:[a-f0-9]{32,128}|[A-F0-9]{32,128})(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
@@ -125,18 +126,28 @@ def _number(h: Column, at: Column, size: int) -> Column:
     return F.conv(F.substr(h, at, F.lit(6)), 16, 10).cast("int") % size
 
 
+def _once(value: Column, f) -> Column:
+    """f(value) with the value bound: what a lambda names is worked out for each element otherwise."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _draw(secret: str) -> Column:
     """The surrogate of (kind, value) at attempt, in the form of value."""
+    kind = F.col("kind")
+    h = _hash(secret, F.when(kind.isin("male", "female", "given"), "given").otherwise(kind), F.col("value"), F.col("attempt").cast("string"))
+    return _once(h, lambda h: _once(F.translate(h, "abcdef", "258369"), lambda decimal: _drawn(h, decimal)))
+
+
+def _drawn(h: Column, decimal: Column) -> Column:
+    """_draw's surrogate from the hexadecimal digits of its hash, and the decimal ones."""
     kind, value = F.col("kind"), F.col("value")
-    h = _hash(secret, F.when(kind.isin("male", "female", "given"), "given").otherwise(kind), value, F.col("attempt").cast("string"))
-    decimal = F.translate(h, "abcdef", "258369")
     n = F.length(value)
     swapped = lambda text, salt: F.array_join(
         F.transform(
             F.split(text, r"(?!^)(?!\z)"),
-            lambda c, i: F.when(c.rlike("[0-9]"), F.substr(decimal, i % 240 + salt, F.lit(1)))
-            .when(c.rlike("[a-z]"), F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), _number(h, i % 240 + salt, 26) + 1, F.lit(1)))
-            .when(c.rlike("[A-Z]"), F.substr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _number(h, i % 240 + salt, 26) + 1, F.lit(1)))
+            lambda c, i: F.when(c.between("0", "9"), F.substr(decimal, i % 240 + salt, F.lit(1)))
+            .when(c.between("a", "z"), F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), _number(h, i % 240 + salt, 26) + 1, F.lit(1)))
+            .when(c.between("A", "Z"), F.substr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _number(h, i % 240 + salt, 26) + 1, F.lit(1)))
             .when(c.rlike(r"\p{IsCyrillic}"), F.substr(F.lit("абвгдежзиклмнопрстуфхцчшщэюя"), _number(h, i % 240 + salt, 28) + 1, F.lit(1)))
             .when(c.rlike(r"\p{IsDevanagari}"), F.substr(F.lit("कखगघचछजझटठडढणतथदधनपफबभमयरलवशसह"), _number(h, i % 240 + salt, 31) + 1, F.lit(1)))
             .when(c.rlike(r"\p{L}"), F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), _number(h, i % 240 + salt, 26) + 1, F.lit(1)))
@@ -293,7 +304,9 @@ def replace(docs: DataFrame, secret: str = "corpus-key", text: str = "text", cou
     met = parts.where(F.col("kind").isNull() & F.col("wide")).drop("kind").join(words.withColumnRenamed("as_name", "kind"), ["key", "value"], "left")
     parts = shared.cut(parts.where(F.col("kind").isNotNull() | ~F.col("wide")).unionByName(met), "pii-met")
     live = F.col("kind").isNotNull() & (F.col("kind") != "title")
-    table = surrogates(parts.where(live).select("kind", "value").distinct(), secret)
+    # One text can have very many entities: drawing them is dealt to all tasks.
+    entities = parts.where(live).select("kind", "value").distinct().repartition(docs.sparkSession.sparkContext.defaultParallelism, "kind", "value")
+    table = surrogates(entities, secret)
     joined = parts.join(table, ["kind", "value"], "left")
     new = F.when(F.col("surrogate").isNull(), F.col("form")).otherwise(_written(F.col("kind"), F.col("form"), F.col("surrogate")))
     pieces = joined.select("key", "h", "wide", "i", "j", new.alias("new"), F.col("kind").isNotNull().alias("found"))
