@@ -165,7 +165,8 @@ def distinct_hit_pages(spark, sf_dir):
 
 @query("""SELECT p_partkey, replace(lower(p_name), 'ring', 'ring') = lower(p_name) AS same, CASE WHEN position('ring' IN lower(p_name)) = 0 THEN p_name ELSE substr(p_name, 1, position('ring' IN lower(p_name)) - 1) || '<b>' || substr(p_name, position('ring' IN lower(p_name)), 4) || '</b>' || substr(p_name, position('ring' IN lower(p_name)) + 4) END AS bold FROM part""")
 def highlight_term(spark, sf_dir):
-    return _table(spark, sf_dir, "part").select("p_partkey", F.lit(True).alias("same"), snippets.highlight(F.col("p_name"), F.lit(WORD), [WORD]).alias("bold"))
+    bold = _table(spark, sf_dir, "part").select("p_partkey", "p_name", snippets.highlight(F.col("p_name"), F.lit(WORD), [WORD]).alias("bold"))
+    return bold.select("p_partkey", (F.regexp_replace("bold", "</?b>", "") == F.col("p_name")).alias("same"), "bold")
 
 
 @query(r"""SELECT doc_id FROM documents WHERE len(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: starts_with(x, 'tion'))) > 0 AND len(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: starts_with(x, 'ing'))) > 0""")
@@ -492,6 +493,10 @@ def roster(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "id bigint, document_id bigint, page_number int, category_id bigint, data map<string,string>, source_text string")
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 1), (2::BIGINT, 2)) t(record_id, page_number)")
+@query("SELECT c_custkey AS record_id, (c_custkey % 9 + 1)::INT AS page_number, CASE WHEN c_custkey % 3 = 0 THEN 900.0 ELSE 700.0 END::DOUBLE AS rank FROM customer WHERE c_custkey % 3 < 2")
 def devanagari_variants_search(spark, sf_dir):
-    return search.record_hits(roster(spark), _groups(spark, sf_dir), "राजेंद्र").select("record_id", "page_number")
+    """Every customer as a person of a roster: names that begin with one spelling, hold the other, or neither."""
+    k = F.col("c_custkey")
+    name = F.when(k % 3 == 0, F.concat(F.lit("राजेन्द्र सिंह "), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit("श्रीराजेंद्र "), k.cast("string"))).otherwise(F.concat(F.lit("शान्ति देवी "), k.cast("string")))
+    rows = _table(spark, sf_dir, "customer").select(k.alias("id"), F.lit(1).cast("long").alias("document_id"), (k % 9 + 1).cast("int").alias("page_number"), F.lit(None).cast("long").alias("category_id"), _map(name=name).alias("data"), F.lit("").alias("source_text"))
+    return search.record_hits(rows, _groups(spark, sf_dir), "राजेंद्र").select("record_id", "page_number", "rank")
