@@ -119,22 +119,42 @@ def _csv(path: Path, rows: DataFrame, names: list[str], title: str, records: Dat
             out.writerow([*[r[n] for n in names], "" if r.category == NONE else r.category, r.source_page])
 
 
+def _by_first(facts: DataFrame) -> list[Row]:
+    """Categories (category, n, first) by first appearance: a row for each."""
+    return facts.orderBy("first").collect()
+
+
+def json_head(records: DataFrame, facts: DataFrame, names: list[str], title: str) -> str:
+    head = {"name": title, "total_records": records.count(), "categories": [r.category for r in _by_first(facts) if r.category != NONE]}
+    return '{"document": ' + json.dumps(head, ensure_ascii=False) + ', "fields": ' + json.dumps([*names, "category", "source_page"], ensure_ascii=False) + ', "records": [\n'
+
+
+def markdown_head(facts: DataFrame, title: str) -> str:
+    counts = _by_first(facts)
+    contents = "".join(f"- [{c.category}](#{c.category.lower().replace(' ', '-')})\n" for c in counts)
+    return f"# {title}\n\n## Summary\n- **Total Records:** {sum(c.n for c in counts)}\n- **Total Categories:** {len(counts)}\n\n## Table of Contents\n{contents}"
+
+
+def html_head(title: str) -> str:
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><input placeholder="Filter" oninput="keep(this.value)">\n'
+
+
+def _facts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("category").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+
+
 def _json(path: Path, rows: DataFrame, names: list[str], title: str, records: DataFrame, categories: DataFrame) -> None:
-    found = [r[0] for r in rows.select("category").distinct().collect()]
     with path.open("w", encoding="utf-8") as f:
-        head = {"name": title, "total_records": records.count(), "categories": [c for c in found if c != NONE]}
-        f.write('{"document": ' + json.dumps(head, ensure_ascii=False) + ', "fields": ' + json.dumps([*names, "category", "source_page"], ensure_ascii=False) + ', "records": [')
+        f.write(json_head(records, _facts(rows), names, title))
         for i, r in enumerate(json_rows(records, categories).orderBy("id").toLocalIterator()):
-            f.write(", " * bool(i) + r.json)
+            f.write(", " * bool(i) + r.json + "\n")
         f.write("]}")
 
 
 def _markdown(path: Path, rows: DataFrame, names: list[str], title: str, records: DataFrame, categories: DataFrame) -> None:
-    counts = rows.groupBy("category").agg(F.count("*").alias("n"), F.min("id").alias("first")).orderBy("first").collect()
     columns = [*names, "category", "source_page"]
     with path.open("w", encoding="utf-8") as f:
-        f.write(f"# {title}\n\n## Summary\n- **Total Records:** {sum(c.n for c in counts)}\n- **Total Categories:** {len(counts)}\n\n## Table of Contents\n")
-        f.writelines(f"- [{c.category}](#{c.category.lower().replace(' ', '-')})\n" for c in counts)
+        f.write(markdown_head(_facts(rows), title))
         for name, n, own in _grouped(rows):
             f.write(f"\n## {name}\n_{n} records_\n\n| {' | '.join([*names, 'Category', 'Source Page'])} |\n| {' | '.join(['---'] * len(columns))} |\n")
             f.writelines("| " + " | ".join(r[c].replace("|", "\\|").replace("\n", " ") for c in columns) + " |\n" for r in own)
@@ -163,16 +183,18 @@ const rows=[...body.rows].sort((a,b)=>{const x=v(a),y=v(b);return n(x)&&n(y)?x-y
 </script>"""
 
 
+HTML_TAIL = _SCRIPT + "</body></html>"
+
+
 def _html(path: Path, rows: DataFrame, names: list[str], title: str, records: DataFrame, categories: DataFrame) -> None:
     columns, heads = [*names, "category", "source_page"], [*map(heading, names), "Category", "Source Page"]
     with path.open("w", encoding="utf-8") as f:
-        f.write(f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>')
-        f.write('<input placeholder="Filter" oninput="keep(this.value)">')
+        f.write(html_head(title))
         for name, _, own in _grouped(rows):
-            f.write(f"<h2>{html.escape(name)}</h2><table><thead><tr>{''.join(f'<th>{html.escape(h)}</th>' for h in heads)}</tr></thead><tbody>")
-            f.writelines("<tr>" + "".join(f"<td>{html.escape(r[c])}</td>" for c in columns) + "</tr>" for r in own)
-            f.write("</tbody></table>")
-        f.write(_SCRIPT + "</body></html>")
+            f.write(f"<h2>{html.escape(name)}</h2><table><thead><tr>{''.join(f'<th>{html.escape(h)}</th>' for h in heads)}</tr></thead><tbody>\n")
+            f.writelines("<tr>" + "".join(f"<td>{html.escape(r[c])}</td>" for c in columns) + "</tr>\n" for r in own)
+            f.write("</tbody></table>\n")
+        f.write(HTML_TAIL)
 
 
 def sheet_names(names: list[str]) -> list[str]:
@@ -249,7 +271,7 @@ FORMATS: dict[str, Callable] = {"csv": _csv, "json": _json, "markdown": _markdow
 
 
 def export(records: DataFrame, categories: DataFrame, path: str, kind: str, title: str = "All Records") -> str:
-    """One file on the driver; for very large exports write shaped() with Spark's own writers."""
+    """One file on the driver, streamed; parallel.write() has the executors write the same file."""
     if kind.lower() not in FORMATS:
         raise ValueError(f"unknown format {kind!r}")
     names = fields(records)

@@ -5,7 +5,7 @@ import pytest
 
 from pagemill.operators import relational
 from pagemill.plans.workspace import Workspace
-from pagemill.sinks import export
+from pagemill.sinks import export, parallel
 from pagemill.streaming import inbox
 
 RECORD = "id bigint, document_id bigint, page_number int, category_id bigint, data map<string,string>, source_text string"
@@ -39,6 +39,20 @@ def test_formats(tables, tmp_path, kind):
         assert text.startswith("# All Records") and "Neha \\| Kumari" in text
 
 
+@pytest.mark.parametrize("kind", ["csv", "json", "md", "txt", "html"])
+def test_files_written_in_parts(spark, tmp_path, kind, monkeypatch):
+    """Byte for byte what the driver streams, from many parts."""
+    monkeypatch.setattr(parallel, "PART_ROWS", 40)
+    odd = ['a "quoted", cell', "two\nlines", "<&'>", "x|y", "", None, "ठाकुर ", "\r"]
+    rows = [(i * 3, 1, i % 7, [10, 9, None][i % 3], {"name": f"Person {i * 37 % 100}", "roll_no": str(i), **({"note": odd[i % 8]} if i % 2 else {})}, "") for i in range(400)]
+    records, cats = spark.createDataFrame(rows, RECORD), spark.createDataFrame([(10, "Class & 10"), (9, "Class 9")], "id bigint, name string")
+    one = export.export(records, cats, str(tmp_path / "one"), kind)
+    many = parallel.write(records, cats, str(tmp_path / "many"), kind)
+    assert open(one, "rb").read() == open(many, "rb").read()
+    none = records.where("false")
+    assert open(export.export(none, cats, str(tmp_path / "e1"), kind), "rb").read() == open(parallel.write(none, cats, str(tmp_path / "e2"), kind), "rb").read()
+
+
 def test_sheets_have_fields_of_their_own(spark, tmp_path):
     rows = [(1, 1, 1, 10, {"name": "Rahul", "roll_no": "1"}, ""), (2, 1, 1, 9, {"name": "Neha", "village": "Rampur"}, "")]
     cats = spark.createDataFrame([(10, "Class 10"), (9, "Class 9")], "id bigint, name string")
