@@ -72,6 +72,17 @@ def card_fields(chunk: Column) -> Column:
     return F.map_filter(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), lambda k, v: F.coalesce(v, F.lit("")) != "")
 
 
+def begins(line: Column, before: Column) -> Column:
+    """Whether a card begins at a line: a serial and id line, a name label (unless such a line is before it) or a serial label."""
+    named = line.rlike(f"(?iuU)^{_NAME}")
+    return F.when(line.rlike(HEAD), True).when(named, before.isNull() | ~before.rlike(HEAD)).otherwise(line.rlike(f"(?iuU)^{_SERIAL}" + r"\d+"))
+
+
+def is_card(data: Column, cards: Column) -> Column:
+    """Whether a part of a page with so many of them is a card."""
+    return data["name"].isNotNull() | data["voter_id"].isNotNull() | ((cards > 1) & data["serial_no"].isNotNull())
+
+
 def chunks(text: Column) -> Column:
     """Texts of single cards: a card starts at a serial and id line, a name label (unless such a line is before it) or a serial label."""
     lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r]"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
@@ -92,8 +103,7 @@ def sequential(pages: DataFrame, text: str = "raw_text", keep: tuple[str, ...] =
     """One record for each card of each text."""
     each = pages.select(*keep, chunks(F.col(text)).alias("_chunks")).select(*keep, F.posexplode(F.transform("_chunks", lambda c: F.struct(c.alias("chunk"), F.size("_chunks").alias("cards")))).alias("card_no", "_c")).select(*keep, "card_no", "_c.*")
     out = each.withColumn("data", card_fields(F.col("chunk")))
-    found = F.col("data")["name"].isNotNull() | F.col("data")["voter_id"].isNotNull() | ((F.col("cards") > 1) & F.col("data")["serial_no"].isNotNull())
-    return out.where(found).select(*keep, "card_no", "data", T.normalize(F.substr(F.col("chunk"), F.lit(1), F.lit(200))).alias("source_text"))
+    return out.where(is_card(F.col("data"), F.col("cards"))).select(*keep, "card_no", "data", T.normalize(F.substr(F.col("chunk"), F.lit(1), F.lit(200))).alias("source_text"))
 
 
 def is_matrix(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import snippets
 from ..functions import text as T
-from ..operators import cards, categories, fulltext, layout, relational, search, tables
+from ..operators import cards, categories, fulltext, layout, longpages, relational, search, tables
 from ..sinks import export
 from ..sources import pages as sources
 from ..streaming import inbox
@@ -289,13 +289,27 @@ def pipe_tables(spark, sf_dir):
     return found.select("document_id", F.size("rows").cast("long").alias("n_rows"), F.size("headers").cast("long").alias("n_columns"), F.col("headers")[0].alias("first"))
 
 
-@query("SELECT c_nationkey::BIGINT AS document_id, 1 AS page_number, c_name AS name, 'R' || c_custkey AS relation_name, c_custkey::VARCHAR AS house_no, (18 + c_custkey % 60)::VARCHAR AS age, CASE WHEN c_custkey % 2 = 0 THEN 'पुरुष' ELSE 'महिला' END AS gender FROM customer")
-def cards_sequential(spark, sf_dir):
+_CARDS = "SELECT c_nationkey::BIGINT AS document_id, 1 AS page_number, c_name AS name, 'R' || c_custkey AS relation_name, c_custkey::VARCHAR AS house_no, (18 + c_custkey % 60)::VARCHAR AS age, CASE WHEN c_custkey % 2 = 0 THEN 'पुरुष' ELSE 'महिला' END AS gender FROM customer"
+
+
+def _card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page for each nation: its customers' cards, one after another."""
     k = F.col("c_custkey").cast("string")
     id_ = F.concat(F.lit("ABC"), F.lpad((F.col("c_custkey") % 9999999).cast("string"), 7, "0"))
     card = F.concat((F.col("c_custkey") % 9999).cast("string"), F.lit(" "), id_, F.lit("\nElector's Name : "), F.col("c_name"), F.lit("\nFather's Name : R"), k, F.lit("\nHouse No : "), k, F.lit("\nAge : "), (18 + F.col("c_custkey") % 60).cast("string"), F.lit(" Gender : "), F.when(F.col("c_custkey") % 2 == 0, "Male").otherwise("Female"))
-    pages = _table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("document_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", card.alias("t")))), lambda x: x["t"]), "\n").alias("raw_text"))
-    found = cards.sequential(pages.withColumn("page_number", F.lit(1)))
+    return _table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("document_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", card.alias("t")))), lambda x: x["t"]), "\n").alias("raw_text")).withColumn("page_number", F.lit(1))
+
+
+@query(_CARDS)
+def cards_sequential(spark, sf_dir):
+    found = cards.sequential(_card_pages(spark, sf_dir))
+    return found.select("document_id", "page_number", *[F.col("data")[c].alias(c) for c in ("name", "relation_name", "house_no", "age", "gender")])
+
+
+@query(_CARDS)
+def cards_by_line(spark, sf_dir):
+    """The same cards from lines in chunks."""
+    found = longpages.sequential(_card_pages(spark, sf_dir))
     return found.select("document_id", "page_number", *[F.col("data")[c].alias(c) for c in ("name", "relation_name", "house_no", "age", "gender")])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagemill import storage
 from pagemill.functions import variant
-from pagemill.operators import hierarchy, relational
+from pagemill.operators import cards, hierarchy, longpages, relational
 from pagemill.streaming import events, replay
 
 EVENT = "event_id bigint, ts timestamp, user_id bigint, value double"
@@ -121,3 +121,15 @@ def test_grid_in_long_form(spark):
     groups = spark.createDataFrame([(5, 1, "five")], "id bigint, document_id bigint, name string")
     got = [(r.id, r.category_name, r.key, r.value) for r in relational.grid_cells(records, groups, ["name"]).orderBy("id", "place").collect()]
     assert got == [(1, "", "name", "A"), (1, "", "b", ""), (1, "", "z", "1"), (2, "five", "name", ""), (2, "five", "q", "2"), (3, "", "name", "")]
+
+
+def test_cards_of_lines_in_chunks(spark, monkeypatch):
+    """Chunks of three lines find what the whole page's array does."""
+    monkeypatch.setattr(longpages, "CHUNK", 3)
+    rng = random.Random(6)
+    pieces = ["12 ABC1234567", "Elector's Name : Ram", "निर्वाचक का नाम : राम", "पिता का नाम : श्याम", "House No : 5", "Age : 30", "", "   ", "Serial No : 4", "plain text", "XYZ7654321"]
+    rows = [(d, p, rng.choice(["\n", "\r\n"]).join(rng.choice(pieces) for _ in range(rng.randrange(40)))) for d in range(12) for p in (1, 2)] + [(90, 1, None), (91, 1, ""), (92, 1, "ABC1234567 only")]
+    pages = spark.createDataFrame(rows, "document_id bigint, page_number int, raw_text string")
+    key = lambda r: (r.document_id, r.page_number, r.card_no, sorted(r.data.items()), r.source_text)
+    want = sorted(map(key, cards.sequential(pages).collect()))
+    assert sorted(map(key, longpages.sequential(pages).collect())) == want and len(want) > 40
