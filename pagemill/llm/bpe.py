@@ -146,8 +146,9 @@ def codec(path: str, pattern: str) -> Codec:
 def encode(docs: DataFrame, path: str, pattern: str, row_id: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
     """row_id, n_tokens, ids (array<int>, if ids is set), ids_sha256 and decoded_sha256 of each row's whole text.
 
-    Null texts count as empty: no tokens, and the hashes of nothing. Rows keep their number and order, repeated
-    ones too; other columns are ignored; an empty table gives an empty result. path is a file on every machine.
+    Null texts count as empty: no tokens, and the hashes of nothing. Very long texts are encoded whole. Rows keep their number
+    and order, repeated ones too; other columns are ignored, whatever they are called; an empty table gives an empty result. path
+    is a file on every machine.
     """
     import pyarrow as pa
 

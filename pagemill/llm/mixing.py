@@ -71,7 +71,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int
 
     rows: row_id, source, size, key, source_size, target, taken (words, repeats counted), stream_from (where
     the row begins in its source's stream) and shards (an array: shard, and the words that it takes of the row). Null sources form one source; null, empty and blank texts have size
-    0 and nothing is taken; repeated rows are rows of their own; an empty table gives empty results.
+    0 and nothing is taken; very long ones are counted whole, and may be taken in part; repeated rows are rows of their own; rows
+    alike in id and text are in any order, as what is taken of them is alike; an empty table gives empty results. Other columns
+    are ignored, whatever they are called.
     """
     rows = docs.select(F.col(row_id).alias("row_id"), F.col(source).cast("string").alias("source"), shared.words_of(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("content"))
     rows = shared.cut(rows.withColumn("key", shared.seeded_key(seed, F.col("row_id"), F.col("content"))), "mix")

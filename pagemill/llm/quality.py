@@ -160,7 +160,9 @@ def train_and_score(docs: DataFrame, labels: DataFrame, train: Column, label: st
 
     labels: row_id and label; train, a condition on labels' rows, says which may be learnt from. At most
     most_labels of them are, chosen by a hash of the id. Rows with null id or label teach nothing; an id with
-    several labels teaches their highest. Null and empty texts are scored too; repeated rows repeat.
+    several labels teaches their highest. Null and empty texts are scored too, very long ones by statistics of all of them;
+    repeated rows repeat; equal texts have equal scores; empty tables give empty results, and without labels every score is
+    a half. Other columns of docs and labels are ignored, whatever they are called.
     """
     stats = shared.cut(features(docs, row_id, text), "quality")
     known = labels.where(train & F.col(row_id).isNotNull() & F.col(label).isNotNull()).groupBy(row_id).agg(F.max(label).alias("label"))

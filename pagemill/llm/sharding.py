@@ -23,7 +23,8 @@ def interleave(docs: DataFrame, shards: int, seed: str = "shard", source: str =
     """One row for each row of docs: row_id, source, size, text_crc32, shard (from 0) and slot (gapless from 0 in its shard).
 
     Null and empty texts have size 16 (no bytes) and CRC-32 0; null sources form one source; repeated rows and
-    ids each keep a place of their own; an empty table gives an empty result; other columns are ignored.
+    ids each keep a place of their own; very long texts count whole; rows that tie in fraction are in order of their source,
+    then of their shuffled key; an empty table gives an empty result; other columns are ignored, whatever they are called.
     """
     rows = docs.select(
         F.col(row_id).alias("row_id"),

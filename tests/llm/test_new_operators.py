@@ -178,3 +178,12 @@ def test_collocations_against_brute_force(spark, least, shard, base, monkeypatch
     got = [tuple(r) for r in collocations.mine(table(spark, rows), top=20, least=least, keep=80).collect()]
     assert sorted(got) == sorted(plain_phrases(rows, least, 80, 20)) and got
     assert collocations.mine(table(spark, rows).where("false")).count() == 0
+
+
+def test_all_queries_are_registered():
+    """An import that fails inside the subpackage would leave its queries out without a word."""
+    import __spark_entry__
+
+    names, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+    assert sorted({int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()}) == list(range(1, 14)) and "pipeline" in names
+    assert {"op1_sharding", "op2_topk", "op4_mixing", "op11_merkle", "op12_collocations", "op13_contamination"} <= set(sql) and set(sql) <= set(names)
