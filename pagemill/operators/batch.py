@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -53,18 +53,18 @@ def whole_word_pattern(term: str) -> str:
 _automata: dict[str, tuple] = {}
 
 
-def _pairs(texts: DataFrame, key: str, queries: list, name: str) -> DataFrame:
-    """key and query_id of the rows whose text, or whose bare text for short and exact queries, holds a variant of a query.
-
-    texts: key, text, bare; both in lower case.
+def _met(rows: DataFrame, queries: list, name: str) -> DataFrame:
+    """rows with met: the queries that they may match, each with the place of its first variant in the row's text, or in its
+    bare text for short and exact queries. text and bare, both in lower case, are left out, and rows without such a query.
     """
     import pyarrow as pa
 
-    patterns: tuple[dict[str, list[int]], dict[str, list[int]]] = ({}, {})
+    patterns: tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]] = ({}, {})
     for q in queries:
-        for low in q.lows:
-            patterns[q.scope == "exact" or len(q.asked) <= 3].setdefault(low, []).append(q.query_id)
-    sent = texts.sparkSession.sparkContext.broadcast([(list(p), list(p.values())) for p in patterns])
+        for place, low in enumerate(q.lows):
+            patterns[q.scope == "exact" or len(q.asked) <= 3].setdefault(low, []).append((q.query_id, place))
+    sent = rows.sparkSession.sparkContext.broadcast([(list(p), list(p.values())) for p in patterns])
+    kept = [c for c in rows.columns if c not in ("text", "bare")]
 
     def compiled() -> list[tuple]:
         import ahocorasick
@@ -85,18 +85,26 @@ def _pairs(texts: DataFrame, key: str, queries: list, name: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = compiled()
         for batch in batches:
-            at, found = [], []
-            for i, row in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                own: set[int] = set()
-                for (automaton, ids), text in zip(both, row, strict=True):
+            at, ends, ids_, places = [], [0], [], []
+            for i in range(batch.num_rows):
+                own: dict[int, int] = {}
+                for (automaton, ids), text in zip(both, (batch.column("text")[i].as_py(), batch.column("bare")[i].as_py()), strict=True):
                     if automaton is not None and text:
                         for k in {k for _, k in automaton.iter(text)}:
-                            own.update(ids[k])
-                at += [i] * len(own)
-                found += own
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.int64())], names=[key, "query_id"])
-
-    return texts.select(key, "text", "bare").mapInArrow(run, f"{key} {texts.schema[key].dataType.simpleString()}, query_id bigint")
+                            for query, place in ids[k]:
+                                own[query] = min(place, own.get(query, place))
+                if own:
+                    at.append(i)
+                    ids_ += own
+                    places += own.values()
+                    ends.append(len(ids_))
+            pairs = pa.StructArray.from_arrays([pa.array(ids_, pa.int64()), pa.array(places, pa.int32())], names=["query_id", "place"])
+            rest = batch.select(kept).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], names=[*kept, "met"])
+
+    storage.small_batches(rows.sparkSession)
+    schema = rows.select(*kept, F.lit(None).cast("array<struct<query_id:bigint,place:int>>").alias("met")).schema
+    return rows.select(*kept, "text", "bare").mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- scores, with the variants as data
@@ -108,11 +116,24 @@ def _first(items: Column) -> Column:
     return F.get(F.filter(items, lambda x: x.isNotNull()), F.lit(0))
 
 
-def score(data: Column, source: Column, terms: Column, lows: Column, patterns: Column, asked: Column, scope: Column) -> Column:
-    """struct(score, at, label, term) of a record's best match, or null: search.score for a query in columns."""
+def _own(records: DataFrame) -> DataFrame:
+    """records with own: what queries are scored by, worked out once for each record and not for each of its queries."""
+
+    def entry(key: Column, value: Column) -> Column:
+        return F.struct(key.alias("key"), value.isNotNull().alias("known"), T.normalize(F.trim(value)).alias("value"), T.label_of(key).alias("label"))
+
+    data = F.col("data")
+    fields = {
+        "name": T.normalize(search._field(data, "name")), "relation": T.normalize(search._field(data, "relation_name", "relative_name")), "voter": search._field(data, "voter_id", "epic_no"), "house": T.normalize(search._field(data, "house_no")),
+        "entries": F.transform(F.map_entries(data), lambda e: entry(e["key"], e["value"])), "source": F.col("_source"), "bare": T.strip_labels(F.col("_source")),
+    }
+    return records.withColumn("_source", T.normalize(F.col("source_text"))).withColumn("own", F.struct(*[c.alias(k) for k, c in fields.items()])).drop("_source")
+
+
+def score(own: Column, terms: Column, lows: Column, patterns: Column, asked: Column, scope: Column) -> Column:
+    """struct(score, at, label, term) of a record's best match, or null: search.score for a query in columns, of a record's own."""
     n = F.size(terms)
-    name, relation = T.normalize(search._field(data, "name")), T.normalize(search._field(data, "relation_name", "relative_name"))
-    voter, house = search._field(data, "voter_id", "epic_no"), T.normalize(search._field(data, "house_no"))
+    name, relation, voter, house, entries = (own[k] for k in ("name", "relation", "voter", "house", "entries"))
 
     def hit(points: Column, at: Column, label: Column, term: Column) -> Column:
         return F.when(points > 0, F.struct(points.cast("double").alias("score"), at.cast("int").alias("at"), label.alias("label"), term.alias("term"))).cast(_HIT)
@@ -137,52 +158,45 @@ def score(data: Column, source: Column, terms: Column, lows: Column, patterns: C
     houses = tests(house, 3, [("equal", 600, "House No (मकान सटीक)"), ("part", 400, "House No (मकान)")])
 
     def entry(e: Column, i: Column) -> Column:
-        def bound(value: Column) -> Column:
+        def bound(low: Column) -> Column:
             def one(t: Column, j: Column) -> Column:
-                low, label = F.lower(value), T.label_of(e["key"])
                 equal, word = low == t, F.array_contains(F.split(low, " "), t)
                 points = F.when(equal, 650).when(word, 600).when(F.contains(low, t), 500)
-                shown = F.concat(label, F.lit(" ("), F.when(~equal & word, terms[j]).otherwise(value), F.lit(")"))
-                return F.when(value != "", hit(points, -(i * n) - (n * 4 + j), shown, terms[j]))
+                shown = F.concat(e["label"], F.lit(" ("), F.when(~equal & word, terms[j]).otherwise(e["value"]), F.lit(")"))
+                return F.when(e["value"] != "", hit(points, -(i * n) - (n * 4 + j), shown, terms[j]))
 
             return F.array_max(F.transform(lows, one))
 
-        return T.once(T.normalize(F.trim(e["value"])), bound)
+        return T.once(F.lower(e["value"]), bound)
 
-    others = F.transform(F.filter(F.map_entries(data), lambda e: ~e["key"].isin(*search.CHECKED) & e["value"].isNotNull()), entry)
+    others = F.transform(F.filter(entries, lambda e: ~e["key"].isin(*search.CHECKED) & e["known"]), entry)
     none = F.array().cast(f"array<{_HIT}>")
     best = F.array_max(F.concat(names, relations, voters, houses, F.coalesce(others, none)))
 
-    def content(raw: Column) -> Column:
-        def first(bare: Column) -> Column:
-            def one(t: Column, j: Column) -> Column:
-                own = hit(F.lit(250), F.lit(0), F.lit("Content (विवरण)"), terms[j])
-                rough = hit(F.lit(200), F.lit(0), F.lit("Template / Label"), terms[j])
-                return F.when(F.contains(F.lower(bare), t), own).when((F.length(asked) > 3) & F.contains(F.lower(raw), t), rough)
+    def content() -> Column:
+        def one(t: Column, j: Column) -> Column:
+            good = hit(F.lit(250), F.lit(0), F.lit("Content (विवरण)"), terms[j])
+            rough = hit(F.lit(200), F.lit(0), F.lit("Template / Label"), terms[j])
+            return F.when(F.contains(F.lower(own["bare"]), t), good).when((F.length(asked) > 3) & F.contains(F.lower(own["source"]), t), rough)
 
-            return _first(F.transform(lows, one))
+        return _first(F.transform(lows, one))
 
-        return T.once(T.strip_labels(raw), first)
+    def exact() -> Column:
+        def one(p: Column, j: Column) -> Column:
+            rows = [F.when((c != "") & F.regexp_like(c, p), hit(F.lit(k), F.lit(0), F.lit(label), terms[j])) for c, k, label in ((name, 950, "Name (सटीक शब्द)"), (voter, 850, "Voter ID (सटीक EPIC)"), (relation, 750, "Relative (सटीक शब्द)"))]
+            rest = F.filter(entries, lambda e: ~e["key"].isin("name", "voter_id", "epic_no", "relation_name", "relative_name") & F.regexp_like(e["value"], p))
+            value = F.get(rest, F.lit(0))
+            rows.append(F.when(value.isNotNull(), hit(F.lit(700), F.lit(0), F.concat(value["label"], F.lit(" (सटीक शब्द)")), terms[j])))
+            rows.append(F.when((own["bare"] != "") & F.regexp_like(own["bare"], p), hit(F.lit(600), F.lit(0), F.lit("Exact Word (सटीक शब्द)"), terms[j])))
+            return F.coalesce(*rows)
 
-    def exact(raw: Column) -> Column:
-        def bound(bare: Column) -> Column:
-            def one(p: Column, j: Column) -> Column:
-                rows = [F.when((c != "") & F.regexp_like(c, p), hit(F.lit(k), F.lit(0), F.lit(label), terms[j])) for c, k, label in ((name, 950, "Name (सटीक शब्द)"), (voter, 850, "Voter ID (सटीक EPIC)"), (relation, 750, "Relative (सटीक शब्द)"))]
-                rest = F.filter(F.map_entries(data), lambda e: ~e["key"].isin("name", "voter_id", "epic_no", "relation_name", "relative_name") & F.regexp_like(T.normalize(e["value"]), p))
-                value = F.get(rest, F.lit(0))
-                rows.append(F.when(value.isNotNull(), hit(F.lit(700), F.lit(0), F.concat(T.label_of(value["key"]), F.lit(" (सटीक शब्द)")), terms[j])))
-                rows.append(F.when((bare != "") & F.regexp_like(bare, p), hit(F.lit(600), F.lit(0), F.lit("Exact Word (सटीक शब्द)"), terms[j])))
-                return F.coalesce(*rows)
-
-            return _first(F.transform(patterns, one))
-
-        return T.once(T.strip_labels(raw), bound)
+        return _first(F.transform(patterns, one))
 
     return (
         F.when(scope == "voter_id", _first(tests(voter, 0, ids)))
-        .when(scope == "exact", T.once(T.normalize(source), exact))
+        .when(scope == "exact", exact())
         .when(scope == "name", F.array_max(F.concat(names, relations)))
-        .otherwise(F.coalesce(best, T.once(T.normalize(source), content)))
+        .otherwise(F.coalesce(best, content()))
     )
 
 
@@ -200,11 +214,19 @@ def _blocks(queries: DataFrame) -> Iterator[list]:
 
 
 def _searchable(records: DataFrame) -> DataFrame:
-    """All that a query can match of a record, in lower case: values and source, as they are and without labels."""
-    values = F.array_join(F.transform(F.map_values("data"), lambda v: T.normalize(F.trim(v))), "\x1f")
-    source = T.normalize(F.col("source_text"))
-    own = records.withColumn("text", F.lower(F.concat_ws("\x1f", F.coalesce(values, F.lit("")), source)))
-    return own.withColumn("bare", F.lower(F.concat_ws("\x1f", F.coalesce(values, F.lit("")), T.strip_labels(source))))
+    """records with own, and all that a query can match of it in lower case: values and source, as they are and without labels."""
+    own = _own(records)
+    values = F.coalesce(F.array_join(F.transform("own.entries", lambda e: F.when(e["known"], e["value"])), "\x1f"), F.lit(""))
+    return own.withColumn("text", F.lower(F.concat_ws("\x1f", values, "own.source"))).withColumn("bare", F.lower(F.concat_ws("\x1f", values, "own.bare")))
+
+
+def _hits(spark: SparkSession, schema: str, blocks: Iterator[DataFrame]) -> DataFrame:
+    """The hits of all blocks, each written when it is found: no plan grows with the blocks, and no hit is scored twice."""
+    path = storage.scratch(spark, "hits")
+    for found in blocks:
+        found.write.mode("append").parquet(path)
+    fs, at = storage.filesystem(spark, path)
+    return spark.read.schema(schema).parquet(path) if fs.exists(at(path)) else spark.createDataFrame([], schema)
 
 
 def record_hits(records: DataFrame, categories: DataFrame, queries: DataFrame, scope: str = "all") -> DataFrame:
@@ -214,18 +236,21 @@ def record_hits(records: DataFrame, categories: DataFrame, queries: DataFrame, s
     path = storage.scratch(spark, "queries")
     asked.write.parquet(path)
     asked = spark.read.schema(_QUERY).parquet(path)
-    own = T.composed(records, ("source_text",), ("data",))
-    out = None
-    for block in _blocks(asked):
-        pairs = _pairs(_searchable(own), "id", block, uuid.uuid4().hex)
-        met = own.join(pairs, "id").join(asked, "query_id")
-        hit = score(F.col("data"), F.col("source_text"), F.col("terms"), F.col("lows"), F.col("patterns"), F.col("asked"), F.col("scope"))
-        found = met.withColumn("hit", hit).where(F.col("hit").isNotNull())
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id bigint, record_id bigint, document_id bigint, page_number int, category_name string, rank double, match_field string, term string")
+    # Few bytes of records can meet many queries: they are dealt to all tasks.
+    dealt = records.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    own = _searchable(T.composed(dealt, ("source_text",), ("data",))).select(F.col("id").cast("long").alias("record_id"), "document_id", "page_number", "category_id", "own", "text", "bare")
+    hit = score(F.col("own"), F.col("terms"), F.col("lows"), F.col("patterns"), F.col("asked"), F.col("scope"))
+
+    def found(block: list) -> DataFrame:
+        each = _met(own, block, uuid.uuid4().hex).withColumn("query_id", F.explode("met.query_id")).drop("met")
+        # A block's queries, and they alone, are sent to all tasks.
+        met = each.join(F.broadcast(spark.createDataFrame(block, asked.schema)), "query_id")
+        return met.select("query_id", "record_id", "document_id", "page_number", "category_id", hit.alias("hit")).where(F.col("hit").isNotNull())
+
+    kinds = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in ("document_id", "page_number", "category_id"))
+    out = _hits(spark, f"query_id bigint, record_id bigint, {kinds}, hit {_HIT}", map(found, _blocks(asked)))
     named = relational.with_category(out, categories)
-    return named.select("query_id", F.col("id").cast("long").alias("record_id"), "document_id", "page_number", "category_name", F.col("hit.score").alias("rank"), F.col("hit.label").alias("match_field"), F.col("hit.term").alias("term"))
+    return named.select("query_id", "record_id", "document_id", "page_number", "category_name", F.col("hit.score").alias("rank"), F.col("hit.label").alias("match_field"), F.col("hit.term").alias("term"))
 
 
 def page_hits(pages: DataFrame, queries: DataFrame, scope: str = "all") -> DataFrame:
@@ -236,33 +261,34 @@ def page_hits(pages: DataFrame, queries: DataFrame, scope: str = "all") -> DataF
     asked = spark.read.schema(_QUERY).parquet(path)
     raw = F.coalesce(F.nullif(F.col("processed_text"), F.lit("")), F.col("raw_text"))
     own = T.composed(pages.select("document_id", "page_number", raw.alias("raw")), ("raw",)).withColumn("own", T.normalize(F.col("raw"))).withColumn("stripped", T.strip_labels(F.col("own")))
-    own = own.select(F.struct("document_id", "page_number").alias("page"), "own", "stripped")
-    out = None
-    for block in _blocks(asked):
-        texts = own.select("page", F.lower("own").alias("text"), F.lower("stripped").alias("bare"))
-        met = own.join(_pairs(texts, "page", block, uuid.uuid4().hex), "page").join(asked, "query_id")
-        bare = (F.col("scope") == "exact") | (F.length("asked") <= 3)
-        text = F.when(bare, F.col("stripped")).otherwise(F.col("own"))
-        exact = F.transform("patterns", lambda p, j: F.when(F.regexp_like(F.col("text"), p), F.col("terms")[j]))
-        part = F.transform("lows", lambda t, j: F.when(F.contains(F.lower("text"), t), F.col("terms")[j]))
-        found = met.withColumn("text", text).withColumn("term", F.when(F.col("scope") == "exact", _first(exact)).otherwise(_first(part))).where(F.col("term").isNotNull())
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id bigint, record_id bigint, document_id bigint, page_number int, category_name string, rank double, match_field string, term string")
+    own = own.select("document_id", "page_number", F.lower("own").alias("text"), F.lower("stripped").alias("bare"), "stripped")
     exact = F.col("scope") == "exact"
-    label = F.when(exact, "Exact Word (सटीक शब्द)").otherwise("Page Text (पेज विवरण)")
-    return out.select("query_id", F.lit(None).cast("long").alias("record_id"), "page.document_id", "page.page_number", F.lit("").alias("category_name"), F.when(exact, 150.0).otherwise(100.0).alias("rank"), label.alias("match_field"), "term")
+
+    def found(block: list) -> DataFrame:
+        texts = own if any(q.scope == "exact" for q in block) else own.withColumn("stripped", F.lit(""))
+        each = _met(texts, block, uuid.uuid4().hex).withColumn("m", F.explode("met")).select("document_id", "page_number", "stripped", "m.*")
+        met = each.join(F.broadcast(spark.createDataFrame(block, asked.schema)), "query_id")
+        whole = _first(F.transform("patterns", lambda p, j: F.when(F.regexp_like(F.col("stripped"), p), F.col("terms")[j])))
+        term = F.when(exact, whole).otherwise(F.get("terms", F.col("place")))
+        return met.select("query_id", "document_id", "page_number", exact.alias("exact"), term.alias("term")).where(F.col("term").isNotNull())
+
+    kinds = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in ("document_id", "page_number"))
+    out = _hits(spark, f"query_id bigint, {kinds}, exact boolean, term string", map(found, _blocks(asked)))
+    label = F.when(F.col("exact"), "Exact Word (सटीक शब्द)").otherwise("Page Text (पेज विवरण)")
+    return out.select("query_id", F.lit(None).cast("long").alias("record_id"), "document_id", "page_number", F.lit("").alias("category_name"), F.when(F.col("exact"), 150.0).otherwise(100.0).alias("rank"), label.alias("match_field"), "term")
 
 
 def search_all(records: DataFrame, pages: DataFrame, categories: DataFrame, queries: DataFrame, scope: str = "all", limit: int = 500) -> DataFrame:
     """Each query's first hits, in COLUMNS and result_no from 1: those of search.search, without its snippets.
 
     Hits of records come first to mind: a page counts where no record of it is a hit, and where the query has fewer
-    than limit hits of records.
+    than limit hits of records: only such queries are asked of the pages.
     """
     found = record_hits(records, categories, queries, scope)
     enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= limit)
-    rest = page_hits(pages, queries, scope).join(found.select("query_id", "document_id", "page_number").distinct(), ["query_id", "document_id", "page_number"], "left_anti").join(enough, "query_id", "left_anti")
+    few = found.join(enough, "query_id", "left_anti").select("query_id", "document_id", "page_number").distinct()
+    open_ = queries.withColumn("query_id", F.col("query_id").cast("long")).join(enough, "query_id", "left_anti")
+    rest = page_hits(pages, open_, scope).join(few, ["query_id", "document_id", "page_number"], "left_anti")
     order = ["page_number", F.desc("rank"), F.coalesce("record_id", F.lit(0)), "document_id"]
     # Only the first hits of records can be among the first of all.
     numbered = found.unionByName(rest).withColumn("result_no", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: Rows and bytes of text given to a Python worker at once.
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
+
 
 def filesystem(spark: SparkSession, path: str):
     """(file system of a path, constructor of its paths)."""
@@ -33,6 +36,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Small Arrow batches in rows and bytes from now on, because one row can hold a very long text."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
         fs, maker = filesystem(spark, path)

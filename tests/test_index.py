@@ -196,3 +196,11 @@ def test_results_are_numbered_within_pages(spark, stored):
     hits = search.record_hits(records, categories, "a")
     one = {(r.page_number, r.record_id): r.result_no for r in search.numbered(hits).collect()}
     assert one == {(r.page_number, r.record_id): r.result_no for r in search.number_all(hits).collect()} and len(one) > 3
+
+
+def test_hits_of_a_batch_are_scored_once_and_not_sent_to_all(spark, stored, monkeypatch):
+    monkeypatch.setattr(batch, "BLOCK", 3)
+    records, pages, categories = stored
+    found = batch.search_all(records, pages, categories, spark.createDataFrame(ASKED, "query_id bigint, query string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "regexp" not in plan.lower() and plan.count("Relation") < 12
