@@ -175,14 +175,15 @@ def match(index: DataFrame, query: str, category: str | None = None, document_id
     return hits.select(snippet.alias("text"), "page_number", "category_name", snippet.alias("context_snippet"), "record_id", F.lit(50.0).alias("rank"), F.lit(label).alias("match_field"), "document_id", rank.alias("bm25"))
 
 
-def first(index: DataFrame, query: str, limit: int, category: str | None = None, document_id: int | None = None) -> DataFrame:
-    """The first hits by page and rank, in the columns of a search's result; index: entries, or a stored postings.Index."""
+def first(index: DataFrame, query: str, limit: int | None, category: str | None = None, document_id: int | None = None) -> DataFrame:
+    """The first hits by page and rank (limit None: all), in the columns of a search's result; index: entries, or a stored postings.Index."""
     if not isinstance(index, DataFrame):
         return index.first(query, limit, category, document_id)
     found = match(index, query, category, document_id, "FTS" if category is None else "Category FTS")
     if "bm25" not in found.columns:
         return found.sparkSession.createDataFrame([], "text string, page_number int, category_name string, context_snippet string, record_id bigint, rank double, match_field string, document_id bigint")
-    return found.orderBy("page_number", "bm25", F.coalesce("record_id", F.lit(0)), "document_id").limit(limit).drop("bm25")
+    rows = found.orderBy("page_number", "bm25", F.coalesce("record_id", F.lit(0)), "document_id")
+    return (rows if limit is None else rows.limit(limit)).drop("bm25")
 
 
 def clear(index: DataFrame, document_id: int) -> DataFrame:

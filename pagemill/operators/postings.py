@@ -203,9 +203,10 @@ class Index:
         texts = self._read("entries", f"{_ENTRY}, text string").select("gen", "entry", "text")
         return hits.join(texts, ["gen", "entry"]).withColumn("snippet", _snippet("text", "hits"))
 
-    def first(self, query: str, limit: int, category: str | None = None, document_id: int | None = None) -> DataFrame:
-        """The first hits by page and rank, in the columns of a search's result; only their texts are read."""
-        top = self.match(query, category, document_id).orderBy("page_number", "bm25", F.coalesce("record_id", F.lit(0)), "document_id").limit(limit)
+    def first(self, query: str, limit: int | None, category: str | None = None, document_id: int | None = None) -> DataFrame:
+        """The first hits by page and rank (limit None: all), in the columns of a search's result; only their texts are read."""
+        top = self.match(query, category, document_id).orderBy("page_number", "bm25", F.coalesce("record_id", F.lit(0)), "document_id")
+        top = top if limit is None else top.limit(limit)
         label = "FTS" if category is None else "Category FTS"
         return self.shown(top).select(F.col("snippet").alias("text"), "page_number", "category_name", F.col("snippet").alias("context_snippet"), "record_id", F.lit(50.0).alias("rank"), F.lit(label).alias("match_field"), "document_id")
 

@@ -180,8 +180,9 @@ def page_hits(pages: DataFrame, query: str, scope: str = "all") -> DataFrame:
     return _shown_pages(_page_terms(pages, query, key), key) if query else _none(pages.sparkSession)
 
 
-def ordered(hits: DataFrame, limit: int) -> DataFrame:
-    return hits.orderBy("page_number", F.col("rank").desc(), F.coalesce("record_id", F.lit(0)), "document_id").limit(limit)
+def ordered(hits: DataFrame, limit: int | None) -> DataFrame:
+    rows = hits.orderBy("page_number", F.col("rank").desc(), F.coalesce("record_id", F.lit(0)), "document_id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def search(records: DataFrame, pages: DataFrame, categories: DataFrame, query: str, scope: str = "all", limit: int = 500, document_id: int | None = None, index: DataFrame | None = None) -> DataFrame:
@@ -213,8 +214,8 @@ def search(records: DataFrame, pages: DataFrame, categories: DataFrame, query: s
     return _none(spark) if hits is None else ordered(hits, limit)
 
 
-def search_in_category(records: DataFrame, categories: DataFrame, query: str, category_id, scope: str = "all", limit: int = 500, index: DataFrame | None = None) -> DataFrame:
-    """Hits among a category's records; if there are none, full-text hits with its name. An unknown category has none."""
+def search_in_category(records: DataFrame, categories: DataFrame, query: str, category_id, scope: str = "all", limit: int | None = 500, index: DataFrame | None = None) -> DataFrame:
+    """Hits among a category's records; if there are none, full-text hits with its name. An unknown category has none. limit None: all hits."""
     own = categories.where(F.col("id") == category_id).select("name").first()
     if own is None:
         return _none(records.sparkSession)

@@ -53,7 +53,7 @@ def category_fallback(spark, sf_dir):
     """No record of the category holds the words side by side; the index has them in some order."""
     parts, groups = _parts(spark, sf_dir), _groups(spark, sf_dir)
     index = fulltext.build(parts, _pages(spark, sf_dir), groups)
-    return search.find(parts, _pages(spark, sf_dir), groups, "econ small", category_id=2, index=index).select("record_id", "page_number", "rank", "match_field")
+    return search.search_in_category(parts, groups, "econ small", 2, limit=None, index=index).select("record_id", "page_number", "rank", "match_field")
 
 
 _SIZES = "d AS (SELECT DISTINCT p_size::BIGINT AS document_id FROM part)"

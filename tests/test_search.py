@@ -131,3 +131,12 @@ def test_category_search_and_its_fallback(spark):
     assert one("Anna", category_id=10)[0][0] == 1 and one("Anna", category_id=11) == [] and one("runner", category_id=99) == []
     assert one("ran runs", category_id=11) == [] and one("runned", category_id=11) == [(2, "Category FTS")]
     assert one("runned") == [(1, "FTS"), (2, "FTS")]
+
+
+def test_a_fallback_without_limit_gives_all_hits(spark):
+    records = spark.createDataFrame([(i, 1, 1, 5, {"name": "small box", "kind": "ECONOMY"}, "") for i in range(501)], "id bigint, document_id bigint, page_number int, category_id bigint, data map<string,string>, source_text string")
+    pages = spark.createDataFrame([], "document_id bigint, page_number int, raw_text string, processed_text string")
+    groups = spark.createDataFrame([(5, 1, "group")], "id bigint, document_id bigint, name string")
+    index = fulltext.build(records, pages, groups)
+    assert search.search_in_category(records, groups, "econ small", 5, limit=None, index=index).count() == 501
+    assert search.search_in_category(records, groups, "econ small", 5, index=index).count() == 500
