@@ -13,7 +13,7 @@ import math
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +21,10 @@ from .. import storage
 from ..functions.variants import index_terms
 from . import fulltext
 
-#: Postings in a shard, about; never more shards than MOST_SHARDS. Bytes of a row group, so that prefixes can leave most out.
-SHARD_ROWS, MOST_SHARDS, GROUP_BYTES = 5_000_000, 65_536, 8 << 20
+#: Postings in a shard, about, so few that a task sorts them in memory; never more shards than MOST_SHARDS. Bytes of a row group, so that prefixes can leave most out.
+SHARD_ROWS, MOST_SHARDS, GROUP_BYTES = 1_000_000, 65_536, 8 << 20
+#: Tokens whose postings a Python worker holds at once, besides those of one text.
+PART_TOKENS = 50_000
 #: Tokens of a snippet; points of a term's first and further occurrences, of a window that begins the text or a sentence.
 WINDOW, FIRST, MORE, TEXT_START, SENTENCE_START = 64, 1000, 1, 120, 100
 _ENTRY = "entry bigint, document_id bigint, page_number int, record_id bigint, category_name string, n_tokens int"
@@ -30,29 +32,45 @@ _POSTING = f"term string, tf int, positions array<int>, {_ENTRY}"
 
 
 def _tokenized(entries: DataFrame) -> DataFrame:
-    """A row for each term of an entry, and one without a term, for its length."""
-    import pyarrow as pa
+    """A row for each term of an entry, and one without a term, for its length and text."""
+    columns = ["entry", "document_id", "page_number", "record_id", "category_name"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms, counts, places, rows, sizes = [], [], [], [], []
-            for i, text in enumerate(batch.column(0).to_pylist()):
+            texts = batch.column(0)
+            terms, counts, flat, ends, rows, sizes, shown = [], [], [], [0], [], [], []
+
+            def part() -> pa.RecordBatch:
+                rest = batch.select(columns).take(pa.array(rows, pa.int64()))  # noqa: B023
+                places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))  # noqa: B023
+                whole = texts.take(pa.array(shown, pa.int64()))  # noqa: B023
+                return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int32()), places, *rest.columns, pa.array(sizes, pa.int32()), whole], names=["term", "tf", "positions", *columns, "n_tokens", "text"])  # noqa: B023
+
+            for i in range(batch.num_rows):
+                own = fulltext.fold(texts[i].as_py())
                 at: dict[str | None, list[int]] = {}
-                own = fulltext.fold(text)
                 for p, t in enumerate(own):
                     at.setdefault(t, []).append(p)
-                at[None] = []
+                for t, places in at.items():
+                    flat += places
+                    ends.append(len(flat))
+                    counts.append(len(places))
                 terms += at
-                counts += map(len, at.values())
-                places += at.values()
-                rows += [i] * len(at)
-                sizes += [len(own)] * len(at)
-            rest = pa.Table.from_batches([batch]).select(range(1, batch.num_columns)).take(pa.array(rows, pa.int64()))
-            own = pa.table({"term": pa.array(terms, pa.string()), "tf": pa.array(counts, pa.int32()), "positions": pa.array(places, pa.list_(pa.int32())), **{c: rest[c] for c in rest.column_names}, "n_tokens": pa.array(sizes, pa.int32())})
-            yield from own.combine_chunks().to_batches()
-
-    columns = ["entry", "document_id", "page_number", "record_id", "category_name"]
-    return entries.select("text", *columns).mapInArrow(run, _POSTING)
+                terms.append(None)
+                counts.append(0)
+                ends.append(len(flat))
+                rows += [i] * (len(at) + 1)
+                sizes += [len(own)] * (len(at) + 1)
+                shown += [None] * len(at) + [i]
+                # What has been found is handed on before it grows with the batch.
+                if len(flat) >= PART_TOKENS:
+                    yield part()
+                    terms, counts, flat, ends, rows, sizes, shown = [], [], [], [0], [], [], []
+            if rows:
+                yield part()
+
+    storage.small_batches(entries.sparkSession)
+    return entries.select("text", *columns).mapInArrow(run, f"{_POSTING}, text string")
 
 
 class Index:
@@ -113,19 +131,16 @@ class Index:
         g = found[-1] + 1 if found else 0
         here = lambda name: f"{self.path}/{name}/gen={g}"
         own = entries.select("text", F.col("document_id").cast("long"), F.col("page_number").cast("int"), F.col("record_id").cast("long"), "category_name")
-        raw, found_terms = storage.scratch(self.spark, "entries"), storage.scratch(self.spark, "terms")
-        own.withColumn("entry", F.monotonically_increasing_id()).write.parquet(raw)
-        texts = self.spark.read.parquet(raw)
-        _tokenized(texts).write.parquet(found_terms)
-        every = self.spark.read.parquet(found_terms)
-        sizes = every.where("term IS NULL").select("entry", "n_tokens")
-        texts.join(sizes, "entry").select(*[c.split()[0] for c in _ENTRY.split(", ")], "text").write.mode("overwrite").parquet(here("entries"))
+        found_terms = storage.scratch(self.spark, "terms")
+        _tokenized(own.withColumn("entry", F.monotonically_increasing_id())).write.parquet(found_terms)
+        every = self.spark.read.schema(f"{_POSTING}, text string").parquet(found_terms)
+        every.where("term IS NULL").select(*[c.split()[0] for c in _ENTRY.split(", ")], "text").write.mode("overwrite").parquet(here("entries"))
         held = every.where("term IS NULL").groupBy("document_id").agg(F.count("*").alias("entries"), F.sum("n_tokens").cast("long").alias("tokens"))
         if documents is not None:
             none = documents.select(F.col("document_id").cast("long")).distinct().join(held, "document_id", "left_anti")
             held = held.unionByName(none.select("document_id", F.lit(0).cast("long").alias("entries"), F.lit(0).cast("long").alias("tokens")))
         held.write.mode("overwrite").parquet(here("documents"))
-        rows = every.where("term IS NOT NULL")
+        rows = every.where("term IS NOT NULL").drop("text")
         shards = min(MOST_SHARDS, max(8, rows.count() // SHARD_ROWS))
         # Long lists of frequent terms are parted by entry.
         sorted_ = rows.repartitionByRange(shards, "term", "entry").sortWithinPartitions("term", "entry").withColumn("shard", F.spark_partition_id())
@@ -135,7 +150,6 @@ class Index:
         dictionary = written.groupBy("term").agg(F.count("*").alias("entries"), F.sum("tf").cast("long").alias("occurrences"))
         dictionary.repartitionByRange(max(1, shards // 8), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(here("terms"))
         self.spark.range(1).write.mode("overwrite").parquet(here("commits"))
-        storage.remove(self.spark, raw)
         storage.remove(self.spark, found_terms)
         return g
 
@@ -200,6 +214,7 @@ class Index:
 
     def shown(self, hits: DataFrame) -> DataFrame:
         """hits with snippet: what is in the best window of the entry's text, each hit in bold."""
+        storage.small_batches(self.spark)
         texts = self._read("entries", f"{_ENTRY}, text string").select("gen", "entry", "text")
         return hits.join(texts, ["gen", "entry"]).withColumn("snippet", _snippet("text", "hits"))
 
@@ -275,8 +290,9 @@ def snippet(text: str, hits: list[tuple[int, int]]) -> str:
 
 
 def _snippet(text: str, hits: str) -> Column:
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, places: pd.Series) -> pd.Series:
-        return pd.Series([snippet(t or "", [(h["place"], h["number"]) for h in own]) for t, own in zip(texts, places, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def run(texts: pa.Array, places: pa.Array) -> pa.Array:
+        # One text and its hits at a time.
+        return pa.array([snippet(t.as_py() or "", [(h["place"], h["number"]) for h in own.as_py()]) for t, own in zip(texts, places, strict=True)], pa.string())
 
     return run(F.col(text), F.col(hits))
