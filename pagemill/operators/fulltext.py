@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from .. import storage
 from ..functions import snippets
 from ..functions.variants import index_terms
 from . import relational
@@ -77,9 +80,9 @@ def stem(w: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
 
 
-#: Stems of the tokens that a worker has met, so that each different one is stemmed once; emptied when full.
+#: Stems of the tokens that a worker has met, so that each different one is seldom stemmed twice; emptied when full.
 _stems: dict[str, str] = {}
-MOST_STEMS = 1_000_000
+MOST_STEMS = 100_000
 _PLAIN_TOKEN, _TOKEN = re.compile("[a-z0-9]+"), re.compile(r"[^\W_]+")
 
 
@@ -92,14 +95,19 @@ def _stem(token: str) -> str:
     return found
 
 
-def fold(text: str) -> list[str]:
-    """Stemmed tokens: runs of letters and digits, without diacritics."""
+def _words(text: str | None) -> list[str]:
+    """Tokens before stemming: runs of letters and digits, without diacritics."""
     low = (text or "").lower()
     if low.isascii():
-        return [_stem(t) for t in _PLAIN_TOKEN.findall(low)]
+        return _PLAIN_TOKEN.findall(low)
     bare = "".join(" " if unicodedata.category(c)[0] == "M" and "ऀ" <= c <= "෿" else c for c in unicodedata.normalize("NFD", low))
     bare = "".join(c for c in bare if unicodedata.category(c) != "Mn")
-    return [_stem(t) for t in _TOKEN.findall(bare)]
+    return _TOKEN.findall(bare)
+
+
+def fold(text: str) -> list[str]:
+    """Stemmed tokens: runs of letters and digits, without diacritics."""
+    return [_stem(t) for t in _words(text)]
 
 
 def spans(text: str) -> list[tuple[int, int]]:
@@ -142,6 +150,7 @@ def build(records: DataFrame, pages: DataFrame, categories: DataFrame) -> DataFr
 
 def tokens(index: DataFrame) -> DataFrame:
     """The index with its stemmed tokens; write it once, search it often."""
+    storage.small_batches(index.sparkSession)
     return index.withColumn("tokens", _tokens("text"))
 
 
@@ -149,24 +158,61 @@ def tokens(index: DataFrame) -> DataFrame:
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
+def _counted(index: DataFrame, terms: list[str]) -> DataFrame:
+    """index with n (tokens of a text) and times (how many of them begin with each term); texts without one of the terms are left out."""
+    import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun: dict[str, tuple[int, ...]] = {}
+        for batch in batches:
+            sizes, times, at = [], [], batch.schema.get_field_index("text")
+            for text in batch.column(at):
+                words = Counter(_words(text.as_py()))
+                own = [0] * len(terms)
+                for w, k in words.items():
+                    met = begun.get(w)
+                    if met is None:
+                        if len(begun) >= MOST_STEMS:
+                            begun.clear()
+                        t = stem(w)
+                        met = begun[w] = tuple(i for i, term in enumerate(terms) if t.startswith(term))
+                    for i in met:
+                        own[i] += k
+                sizes.append(words.total())
+                times.append(own)
+            kept = pa.compute.if_else(pa.array([all(own) for own in times], pa.bool_()), batch.column(at), pa.scalar(None, batch.schema.field(at).type))
+            columns = [kept if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int32()), pa.array(times, pa.list_(pa.int32()))], names=[*batch.schema.names, "n", "times"])
+
+    spark, path = index.sparkSession, storage.scratch(index.sparkSession, "counted")
+    storage.small_batches(spark)
+    schema = index.select("*", F.lit(None).cast("int").alias("n"), F.lit(None).cast("array<int>").alias("times")).schema
+    index.mapInArrow(run, schema).write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def match(index: DataFrame, query: str, category: str | None = None, document_id: int | None = None, label: str = "FTS") -> DataFrame:
     """All hits, with bm25 (lower is better): the order in which first() cuts the hits of a page.
 
     A term counts as often as tokens begin with it; the statistics are those of the whole index.
     """
-    if "tokens" not in index.columns:
-        index = tokens(index)
     terms = list(dict.fromkeys(t for word in index_terms(query.rstrip("*")) for t in fold(word)))
     if not terms:
-        return index.limit(0)
-    times = [F.size(F.filter("tokens", lambda x: x.startswith(t))) for t in terms]  # noqa: B023
-    stats = index.select(F.size("tokens").alias("n"), *[c.alias(f"t{i}") for i, c in enumerate(times)])
+        return (index if "tokens" in index.columns else tokens(index)).limit(0)
+    if "tokens" in index.columns:
+        size, times = F.size("tokens"), [F.size(F.filter("tokens", lambda x: x.startswith(t))) for t in terms]  # noqa: B023
+    else:
+        # Each text is read once: what it has of the terms is written, and the texts of hits.
+        index = _counted(index, terms)
+        size, times = F.col("n"), [F.col("times")[i] for i in range(len(terms))]
+    stats = index.select(size.alias("n"), *[c.alias(f"t{i}") for i, c in enumerate(times)])
     stats = stats.agg(F.count("*"), F.avg("n"), *[F.count_if(F.col(f"t{i}") > 0) for i in range(len(terms))]).first()
     total, mean, held = stats[0], stats[1] or 1.0, stats[2:]
     rank = F.lit(0.0)
     for c, n in zip(times, held, strict=True):
         idf = max(math.log((total - n + 0.5) / (n + 0.5)), LEAST_IDF)
-        rank = rank - idf * c * (K1 + 1) / (c + K1 * (1 - B + B * F.size("tokens") / mean))
+        rank = rank - idf * c * (K1 + 1) / (c + K1 * (1 - B + B * size / mean))
     hits = index if category is None else index.where(F.col("category_name") == category)
     hits = hits if document_id is None else hits.where(F.col("document_id") == document_id)
     for c in times:

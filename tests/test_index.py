@@ -204,3 +204,17 @@ def test_hits_of_a_batch_are_scored_once_and_not_sent_to_all(spark, stored, monk
     found = batch.search_all(records, pages, categories, spark.createDataFrame(ASKED, "query_id bigint, query string"))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and "regexp" not in plan.lower() and plan.count("Relation") < 12
+
+
+def test_postings_are_handed_on_in_parts(spark, entries, index, monkeypatch):
+    monkeypatch.setattr(postings, "PART_TOKENS", 10)
+    small = postings.Index(spark, storage.scratch(spark, "index"))
+    small.write(entries)
+    rows = lambda i: sorted((r.term, r.tf, tuple(r.positions), r.document_id, r.page_number, r.record_id or 0, r.n_tokens) for r in i.postings([""]).collect())
+    assert rows(small) == rows(index) and rows_of(small.match("running tion")) == rows_of(index.match("running tion"))
+
+
+def test_full_text_reads_each_text_once(spark, entries):
+    found = fulltext.match(entries, "runs the")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "MapInArrow" not in plan and found.count() > 0
