@@ -38,45 +38,53 @@ def score(data: Column, source: Column, query: str, scope: str = "all") -> Colum
     terms, key = variants(query), scope_of(scope)
     name, relation = T.normalize(_field(data, "name")), T.normalize(_field(data, "relation_name", "relative_name"))
     voter, house = _field(data, "voter_id", "epic_no"), T.normalize(_field(data, "house_no"))
-    rules: list[Column] = []
+    rules: list[Column] = []  # arrays of hits, in order
+    made = 0
 
-    def rule(points: Column, label: Column | str, term: str) -> None:
+    def rule(points: Column, label: Column | str, term: str) -> Column:
+        nonlocal made
         label = F.lit(label) if isinstance(label, str) else label
-        rules.append(F.when(points > 0, F.struct(points.cast("double").alias("score"), F.lit(-len(rules)).alias("at"), label.alias("label"), F.lit(term).alias("term"))))
+        made += 1
+        return F.when(points > 0, F.struct(points.cast("double").alias("score"), F.lit(1 - made).alias("at"), label.alias("label"), F.lit(term).alias("term")))
 
     def tests(c: Column, steps: list[tuple[str, int, str]]) -> None:
-        low = F.lower(c)
-        for v in terms:
-            t = v.lower()
-            kinds = {"equal": low == t, "word": F.array_contains(F.split(low, " "), t), "prefix": low.startswith(t), "part": low.contains(t)}
-            points, label = None, None
-            for kind, n, name_ in steps:
-                points = F.when(kinds[kind], n) if points is None else points.when(kinds[kind], n)
-                label = F.when(kinds[kind], name_) if label is None else label.when(kinds[kind], name_)
-            rule(F.when(c != "", points), label, v)
+        def bound(low: Column) -> Column:
+            out = []
+            for v in terms:
+                t = v.lower()
+                kinds = {"equal": low == t, "word": F.array_contains(F.split(low, " "), t), "prefix": low.startswith(t), "part": low.contains(t)}
+                points, label = None, None
+                for kind, n, name_ in steps:
+                    points = F.when(kinds[kind], n) if points is None else points.when(kinds[kind], n)
+                    label = F.when(kinds[kind], name_) if label is None else label.when(kinds[kind], name_)
+                out.append(rule(points, label, v))
+            # Most texts hold no variant: one look at each of them tells.
+            return F.when((low != "") & _or([low.contains(v.lower()) for v in terms]), F.array(*out)).otherwise(F.array().cast("array<struct<score:double,at:int,label:string,term:string>>"))
+
+        rules.append(T.once(F.lower(c), bound))
 
     if key == "voter_id":
         tests(voter, [("equal", 1000, "Voter ID (सटीक EPIC)"), ("part", 800, "Voter ID (EPIC)")])
         # The first matching variant counts here, not the best.
-        hits = F.filter(F.array(*rules), lambda x: x.isNotNull())
+        hits = F.filter(F.concat(*rules), lambda x: x.isNotNull())
         return F.get(hits, F.lit(0))
     if key == "exact":
         bare = T.strip_labels(T.normalize(source))
         for v in terms:
             for c, n, label in ((name, 950, "Name (सटीक शब्द)"), (voter, 850, "Voter ID (सटीक EPIC)"), (relation, 750, "Relative (सटीक शब्द)")):
-                rule(F.when((c != "") & whole_word(c, v), n), label, v)
+                rules.append(rule(F.when((c != "") & whole_word(c, v), n), label, v))
             rest = F.filter(F.map_entries(data), lambda e: ~e["key"].isin("name", "voter_id", "epic_no", "relation_name", "relative_name") & whole_word(T.normalize(e["value"]), v))  # noqa: B023
             first = F.get(rest, F.lit(0))
-            rule(F.when(first.isNotNull(), 700), F.concat(T.label_of(first["key"]), F.lit(" (सटीक शब्द)")), v)
-            rule(F.when((bare != "") & whole_word(bare, v), 600), "Exact Word (सटीक शब्द)", v)
+            rules.append(rule(F.when(first.isNotNull(), 700), F.concat(T.label_of(first["key"]), F.lit(" (सटीक शब्द)")), v))
+            rules.append(rule(F.when((bare != "") & whole_word(bare, v), 600), "Exact Word (सटीक शब्द)", v))
         return F.get(F.filter(F.array(*rules), lambda x: x.isNotNull()), F.lit(0))
     tests(name, [("equal", 1000, "Name (नाम सटीक)"), ("word", 900, "Name (नाम शब्द)"), ("prefix", 850, "Name (नाम शुरुआत)"), ("part", 700, "Name (नाम अंश)")])
     tests(relation, [("equal", 650, "Relative (संबंधी शब्द)"), ("word", 650, "Relative (संबंधी शब्द)"), ("prefix", 600, "Relative (संबंधी शुरुआत)"), ("part", 500, "Relative (संबंधी)")])
     if key == "name":
-        return F.array_max(F.array(*rules))
+        return F.array_max(F.concat(*rules))
     tests(voter, [("equal", 950, "Voter ID (सटीक EPIC)"), ("part", 750, "Voter ID (EPIC)")])
     tests(house, [("equal", 600, "House No (मकान सटीक)"), ("part", 400, "House No (मकान)")])
-    fixed = len(rules)
+    fixed = made
 
     def entry(e: Column, i: Column) -> Column:
         value = T.normalize(F.trim(e["value"]))
@@ -90,7 +98,7 @@ def score(data: Column, source: Column, query: str, scope: str = "all") -> Colum
         return F.array_max(F.array(*out))
 
     others = F.transform(F.filter(F.map_entries(data), lambda e: ~e["key"].isin(*CHECKED) & e["value"].isNotNull()), entry)
-    best = F.array_max(F.concat(F.array(*rules), F.coalesce(others, F.array().cast("array<struct<score:double,at:int,label:string,term:string>>"))))
+    best = F.array_max(F.concat(*rules, F.coalesce(others, F.array().cast("array<struct<score:double,at:int,label:string,term:string>>"))))
     # Labels are taken out only of texts that hold all words of a variant, and once.
     rough = _or([_and([T.contains(source, w) for w in v.split()]) for v in terms])
 
@@ -114,7 +122,9 @@ def score(data: Column, source: Column, query: str, scope: str = "all") -> Colum
 def _scored(records: DataFrame, query: str, scope: str) -> DataFrame:
     """Records with a hit; query is clean and not empty."""
     records = T.composed(records, ("source_text",), ("data",))
-    return records.withColumn("hit", score(F.col("data"), F.col("source_text"), query, scope)).where(F.col("hit").isNotNull())
+    # Exploded, so that a filter on the hit does not work it out a second time; outer, as Spark would filter the array before.
+    hit = F.filter(F.array(score(F.col("data"), F.col("source_text"), query, scope)), lambda h: h.isNotNull())
+    return records.withColumn("hit", F.explode_outer(hit)).where(F.col("hit").isNotNull())
 
 
 def _shown(hit: DataFrame, categories: DataFrame, query: str) -> DataFrame:

@@ -140,3 +140,11 @@ def test_a_fallback_without_limit_gives_all_hits(spark):
     index = fulltext.build(records, pages, groups)
     assert search.search_in_category(records, groups, "econ small", 5, limit=None, index=index).count() == 501
     assert search.search_in_category(records, groups, "econ small", 5, index=index).count() == 500
+
+
+def test_a_record_is_scored_once(spark):
+    records = spark.createDataFrame([(1, 1, 1, None, {"name": "राजेन्द्र सिंह"}, "")], "id bigint, document_id bigint, page_number int, category_id bigint, data map<string,string>, source_text string")
+    groups = spark.createDataFrame([(5, 1, "group")], "id bigint, document_id bigint, name string")
+    found = search.record_hits(records, groups, "राजेंद्र").select("record_id", "rank")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("array_max(" in line for line in plan.splitlines()) == 1 and found.first()["rank"] == 900.0
