@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import storage
 from ..functions import text as T
 
 #: Words and labels of electoral rolls and registers, and the patterns of their fields.
@@ -102,8 +103,9 @@ def chunks(text: Column) -> Column:
 def sequential(pages: DataFrame, text: str = "raw_text", keep: tuple[str, ...] = ("document_id", "page_number")) -> DataFrame:
     """One record for each card of each text."""
     each = pages.select(*keep, chunks(F.col(text)).alias("_chunks")).select(*keep, F.posexplode(F.transform("_chunks", lambda c: F.struct(c.alias("chunk"), F.size("_chunks").alias("cards")))).alias("card_no", "_c")).select(*keep, "card_no", "_c.*")
-    out = each.withColumn("data", card_fields(F.col("chunk")))
-    return out.where(is_card(F.col("data"), F.col("cards"))).select(*keep, "card_no", "data", T.normalize(F.substr(F.col("chunk"), F.lit(1), F.lit(200))).alias("source_text"))
+    # Exploded, so that a filter does not work the fields out again for each that it names; outer, as Spark would filter the array before.
+    out = each.withColumn("data", F.explode_outer(F.filter(F.array(card_fields(F.col("chunk"))), lambda d: is_card(d, F.col("cards")))))
+    return out.where(F.col("data").isNotNull()).select(*keep, "card_no", "data", T.normalize(F.substr(F.col("chunk"), F.lit(1), F.lit(200))).alias("source_text"))
 
 
 def is_matrix(text: Column) -> Column:
@@ -147,6 +149,11 @@ def extract(pages: DataFrame, blocks: DataFrame | None = None, text: str = "raw_
     keys, columns = ["document_id", "page_number"], ["document_id", "page_number", "data", "source_text"]
     out = spatial(blocks).select(*columns) if blocks is not None else None
     for way in (matrix, sequential):
+        if out is not None:
+            # Cards found are written once: which pages have some, and the cards themselves, are read from there.
+            path, schema = storage.scratch(pages.sparkSession, "cards"), out.schema
+            out.write.parquet(path)
+            out = pages.sparkSession.read.schema(schema).parquet(path)
         found = way(pages if out is None else pages.join(out.select(*keys).distinct(), keys, "left_anti"), text).select(*columns)
         out = found if out is None else out.unionByName(found)
     return out

@@ -58,3 +58,10 @@ def test_categories(spark):
 def test_layout(spark):
     rows = layout.blocks(pages(spark, "Title\n\nbody " + "x" * 70)).collect()
     assert [(r.y0, r.block_type) for r in rows] == [(50.0, "heading"), (85.0, "text")]
+
+
+def test_the_fields_of_a_card_are_worked_out_once(spark):
+    pages = spark.createDataFrame([(1, 1, "Elector's Name : A\nHouse No : 1\nAge : 30 Gender : Male")], "document_id bigint, page_number int, raw_text string")
+    found = cards.sequential(pages)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("map_filter(" in line for line in plan.splitlines()) == 1 and found.first()["data"]["name"] == "A"
