@@ -3,7 +3,7 @@
 Relevance search: the variants of a block of queries are compiled into one automaton, which finds in time linear in the
 text which query's variants a record or page holds; only such pairs are scored, by the rules of search.score with the variants
 as data and not as part of the plan. Full-text search: the queries' prefixes meet the index's dictionary, the terms that they
-begin meet the postings, and the shards of these terms alone are read.
+begin meet the postings, and the shards of these terms alone are read; queries of the same prefixes are one.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from ..functions import text as T
 from ..functions.variants import clean, index_terms, scope_of, variants
 from . import fulltext, postings, relational, search
 
-#: Queries whose variants one automaton holds; more are answered in blocks, each with a pass of its own.
+#: Queries whose variants one automaton holds, and sets of prefixes sent to all tasks; more are answered in blocks, each with a pass of its own.
 BLOCK = 20_000
 _QUERY = "query_id bigint, asked string, scope string, terms array<string>, lows array<string>, patterns array<string>"
 COLUMNS = ["query_id", "record_id", "document_id", "page_number", "category_name", "rank", "match_field", "term"]
@@ -296,33 +296,60 @@ def search_all(records: DataFrame, pages: DataFrame, categories: DataFrame, quer
 
 
 def match_all(index: postings.Index, queries: DataFrame) -> DataFrame:
-    """query_id, gen, what an entry has, and bm25 of all full-text hits of all queries (query_id, query): Index.match for each."""
+    """query_id, gen, what an entry has, and bm25 of all full-text hits of all queries (query_id, query): Index.match for each.
+
+    Queries of the same prefixes are answered once. Entries are gathered once, with the prefixes that they hold; a block of
+    answers is sent to them, each met by its rarest prefix and tested there for the others, so that no pair is moved.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for key, query in f.itertuples(index=False):
-                terms = list(dict.fromkeys(t for word in index_terms((query or "").rstrip("*")) for t in fulltext.fold(word)))
-                rows += [(key, len(terms), i, t, len(t)) for i, t in enumerate(terms)]
-            yield pd.DataFrame(rows, columns=["query_id", "wanted", "number", "prefix", "size"])
+                terms = sorted({t for word in index_terms((query or "").rstrip("*")) for t in fulltext.fold(word)})
+                if terms:
+                    rows.append((key, terms))
+            yield pd.DataFrame(rows, columns=["query_id", "terms"])
 
     spark = index.spark
-    asked_at, met_at = storage.scratch(spark, "prefixes"), storage.scratch(spark, "met")
-    queries.select(F.col("query_id").cast("long"), "query").mapInPandas(run, "query_id bigint, wanted int, number int, prefix string, size int").write.parquet(asked_at)
-    asked = spark.read.parquet(asked_at)
+    asked_at, answers_at, met_at, held_at, planned_at = (storage.scratch(spark, name) for name in ("prefixes", "answers", "met", "held", "planned"))
+    queries.select(F.col("query_id").cast("long"), "query").mapInPandas(run, "query_id bigint, terms array<string>").write.parquet(asked_at)
+    asked = spark.read.schema("query_id bigint, terms array<string>").parquet(asked_at)
+    asked.select("terms").distinct().withColumn("answer", F.monotonically_increasing_id()).write.parquet(answers_at)
+    answers = spark.read.schema("terms array<string>, answer bigint").parquet(answers_at)
+    prefixes = answers.select("answer", F.explode("terms").alias("prefix"))
     # Each term of the dictionary meets the prefixes of the lengths that are asked for.
-    sizes = sorted(r[0] for r in asked.select("size").distinct().collect())  # lengths of words
+    sizes = sorted(r[0] for r in prefixes.select(F.length("prefix")).distinct().collect())  # lengths of words
     begun = index.terms().select("term").distinct().withColumn("prefix", F.explode(F.array(*[F.substr("term", F.lit(1), F.lit(n)) for n in sizes] or [F.lit(None).cast("string")])))
-    begun.distinct().join(asked.select("prefix").distinct(), "prefix").write.parquet(met_at)
+    begun.distinct().join(prefixes.select("prefix").distinct(), "prefix").write.parquet(met_at)
     met = spark.read.schema("prefix string, term string").parquet(met_at)
-    rows = index.postings_of(met.select("term").distinct()).join(met, "term").join(asked, "prefix")
     entry = ["gen", "entry", "document_id", "page_number", "record_id", "category_name", "n_tokens"]
+    # What an entry holds is moved once, to one place.
+    rows = index.postings_of(met.select("term").distinct()).join(met, "term").select(*entry, "prefix", "tf").repartition("gen", "entry")
+    each = rows.groupBy(*entry, "prefix").agg(F.sum("tf").alias("c"))
+    each.groupBy(*entry).agg(F.map_from_entries(F.collect_list(F.struct("prefix", "c"))).alias("found")).write.parquet(held_at)
+    kinds = ", ".join(f"{c} {each.schema[c].dataType.simpleString()}" for c in entry)
+    gathered = spark.read.schema(f"{kinds}, found map<string,bigint>").parquet(held_at)
     total, mean = index.lengths()
-    each = rows.groupBy("query_id", "wanted", "number", *entry).agg(F.sum("tf").alias("c"))
-    held = each.groupBy("query_id", "number").agg(F.count("*").alias("held"))
+    held = gathered.select(F.explode(F.map_keys("found")).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("held"))
     idf = F.greatest(F.log((F.lit(total) - F.col("held") + 0.5) / (F.col("held") + 0.5)), F.lit(fulltext.LEAST_IDF))
+    steps = F.sort_array(F.collect_list(F.struct("held", "prefix", idf.alias("idf"))))
+    # The rarest prefix comes first; an answer with a prefix that nothing holds is empty.
+    plans = prefixes.join(held, "prefix", "left").groupBy("answer").agg(steps.alias("steps"), F.count_if(F.col("held").isNull()).alias("lost")).where("lost = 0")
+    plans.select("answer", F.get("steps", F.lit(0))["prefix"].alias("prefix"), "steps").write.parquet(planned_at)
+    planned = spark.read.schema("answer bigint, prefix string, steps array<struct<held:bigint,prefix:string,idf:double>>").parquet(planned_at)
     k1, b = fulltext.K1, fulltext.B
-    part = -idf * F.col("c") * (k1 + 1) / (F.col("c") + k1 * (1 - b + b * F.col("n_tokens") / mean))
-    ranked = each.join(held, ["query_id", "number"]).withColumn("part", part)
-    out = ranked.groupBy("query_id", "wanted", *entry).agg(F.count("*").alias("n"), F.sum("part").alias("bm25")).where("n = wanted")
-    return out.drop("n", "wanted")
+    blocks = -(-planned.count() // BLOCK)
+
+    def part(step: Column) -> Column:
+        c = F.col("found")[step["prefix"]]
+        return -step["idf"] * c * (k1 + 1) / (c + k1 * (1 - b + b * F.col("n_tokens") / mean))
+
+    def block(i: int) -> DataFrame:
+        own = planned.where(F.pmod(F.xxhash64("answer"), F.lit(blocks)) == i)
+        pairs = gathered.withColumn("prefix", F.explode(F.map_keys("found"))).join(F.broadcast(own), "prefix")
+        # A prefix that the entry has not makes the sum null.
+        return pairs.select("answer", *entry, F.aggregate("steps", F.lit(0.0), lambda sum_, step: sum_ + part(step)).alias("bm25")).where(F.col("bm25").isNotNull())
+
+    hits = _hits(spark, f"answer bigint, {kinds}, bm25 double", map(block, range(blocks)))
+    return hits.join(asked.join(answers, "terms").select("answer", "query_id"), "answer").select("query_id", *entry, "bm25")

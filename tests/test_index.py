@@ -175,6 +175,30 @@ def test_a_batch_of_full_text_queries(spark, entries, index):
         assert sorted((r.document_id, r.page_number, r.record_id or 0, round(r.bm25, 9)) for r in found if r.query_id == k) == rows_of(index.match(q or "")), q
 
 
+def test_full_text_queries_of_the_same_prefixes_are_answered_once(spark, index):
+    """Nothing that is moved or read grows with such queries, but the queries and what they give."""
+    asked = [(k, ("w1 the", "The W1*", "the w1 the")[k % 3]) for k in range(300)] + [(300, "cafe")]
+    found = batch.match_all(index, spark.createDataFrame(asked, "query_id bigint, query string"))
+    _, rows = scans(found)
+    one, other = rows_of(index.match("w1 the")), rows_of(index.match("cafe"))
+    assert found.count() == 300 * len(one) + len(other) and len(one) > 3
+    assert [rows_of(found.where(f"query_id = {k}")) for k in (0, 1, 2, 299, 300)] == [one] * 4 + [other]
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString() and rows <= len(one) + len(other) + 301 + 2
+
+
+def test_blocks_of_full_text_queries_and_replaced_documents(spark, entries, index, monkeypatch):
+    index.write(spark.createDataFrame([("brand new words running", 1, 4, 77, "c9"), ("w1 w1 running w12 the", 2, 4, 78, "")], ENTRY))
+    asked = [(k, f"w{k} {w}") for k, w in enumerate(["the", "run", "zzz", "w", "w1 w2 w3", "cafe the tion", "brand", "कु"] * 2)]
+    queries = spark.createDataFrame(asked, "query_id bigint, query string")
+    keyed = lambda found: sorted((r.query_id, r.gen, r.entry, round(r.bm25, 9)) for r in found.collect())
+    whole = keyed(batch.match_all(index, queries))
+    monkeypatch.setattr(batch, "BLOCK", 3)
+    assert keyed(batch.match_all(index, queries)) == whole
+    for k, q in asked:
+        assert [r[1:] for r in whole if r[0] == k] == sorted((r.gen, r.entry, round(r.bm25, 9)) for r in index.match(q).collect()), q
+    assert batch.match_all(index, queries.where("false")).count() == 0
+
+
 def test_stored_texts_are_not_composed_again(spark, stored, tmp_path):
     """A table that was composed when it was written says so, and searches of it have no Python in their plans."""
     records, pages, categories = stored
