@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,55 @@ def test_progress_of_imports(spark):
     assert seen[2] == [(1, 1, "running"), (2, 1, "running"), (2, 1, "stalled")] and seen[9][-1] == (2, 0, "running")
 
 
+def plain_progress(chunks, wait, late):
+    """(batch, document, seen, failed, total, state) of each batch, a document at a time; at the end a batch without rows."""
+    out, held, mark = [], {}, datetime(1970, 1, 1)
+    for batch, rows in enumerate([*chunks, []]):
+        come = {r[0] for r in rows}
+        for d in come:
+            own = [r for r in rows if r[0] == d]
+            seen, failed, total, last = held.pop(d, (set(), set(), None, mark))
+            seen, failed = seen | {r[1] for r in own}, failed | {r[1] for r in own if r[3]}
+            total, last = max([total, *(r[2] for r in own)], key=lambda x: -1 if x is None else x), max(last, mark, *(r[4] for r in own))
+            over = total is not None and len(seen) >= total
+            out.append((batch, d, len(seen), len(failed), total or 0, "complete" if over else "running"))
+            if not over:
+                held[d] = seen, failed, total, last
+        for d in [d for d, (*_, last) in held.items() if d not in come and last + wait < mark]:
+            seen, failed, total, _ = held.pop(d)
+            out.append((batch, d, len(seen), len(failed), total or 0, "stalled"))
+        mark = max([mark, *(r[4] - late for r in rows)])
+    return sorted(out, key=str)
+
+
+def test_progress_is_kept_by_groups_of_documents(spark, monkeypatch):
+    """Calls and state follow the groups and not the documents, which are complete, stall and begin anew each for itself."""
+    monkeypatch.setattr(events, "GROUPS", 4)
+    rng, t = random.Random(6), datetime(2024, 1, 1)
+    totals = {d: rng.randrange(1, 5) for d in range(80)} | {None: 3, 2**60 + 1: 2, 2**60 + 2: 4}
+    chunks = []
+    for k in range(4):
+        rows = [(d, p, n if d != 5 or k > 1 else None, "x" if rng.random() < 0.3 else None, t + timedelta(hours=3 * k, minutes=rng.randrange(170))) for d, n in totals.items() if rng.random() < 0.5 for p in rng.sample(range(1, n + 1), rng.randrange(1, n + 1))]
+        chunks.append(rows + rng.sample(rows, 9))
+    schema = "document_id bigint, page_number int, total int, error string, ts timestamp"
+    path = replay.laid_down(spark.createDataFrame([(*r, k) for k, rows in enumerate(chunks) for r in rows], schema + ", chunk int"), "chunk")
+    out, log = storage.scratch(spark, "out"), events.BatchLog()
+    spark.streams.addListener(log)
+    try:
+        replay.run(spark, path, schema, lambda p: events.import_progress(p, "4 hours", "3 hours"), out, storage.scratch(spark, "checkpoint"), mode="update")
+    finally:
+        spark.streams.removeListener(log)
+    got = sorted(((r.batch, r.document_id, r.seen, r.failed, r.total, r.state) for r in replay.result(spark, out).collect()), key=str)
+    assert got == plain_progress(chunks, timedelta(hours=4), timedelta(hours=3))
+    assert {r[5] for r in got} == {"running", "complete", "stalled"} and 0 < max(b["state_rows"] for b in log.batches) <= 4
+
+
+def test_frames_are_pooled(monkeypatch):
+    monkeypatch.setattr(events, "POOL_ROWS", 5)
+    frames = [pd.DataFrame({"x": range(n)}) for n in (0, 2, 2, 0, 2, 9, 1, 0)]
+    assert [len(f) for f in events._pooled(iter(frames))] == [6, 9, 1] and list(events._pooled(iter([frames[0]]))) == []
+
+
 def test_trees_with_cycles_and_lost_parents(spark):
     rows = [(k, k - 1 if k else None, f"n{k}") for k in range(40)] + [(100, 5, "x"), (200, 201, "a"), (201, 202, "b"), (202, 200, "c"), (203, 202, "d"), (300, 999, "lost"), (301, 301, "self"), (None, 1, "none")]
     nodes = spark.createDataFrame(rows, "id bigint, parent_id bigint, name string")
