@@ -325,10 +325,11 @@ def match_all(index: postings.Index, queries: DataFrame) -> DataFrame:
     met = spark.read.schema("prefix string, term string").parquet(met_at)
     entry = ["gen", "entry", "document_id", "page_number", "record_id", "category_name", "n_tokens"]
     # What an entry holds is moved once, to one place.
-    rows = index.postings_of(met.select("term").distinct()).join(met, "term").select(*entry, "prefix", "tf").repartition("gen", "entry")
-    each = rows.groupBy(*entry, "prefix").agg(F.sum("tf").alias("c"))
-    each.groupBy(*entry).agg(F.map_from_entries(F.collect_list(F.struct("prefix", "c"))).alias("found")).write.parquet(held_at)
-    kinds = ", ".join(f"{c} {each.schema[c].dataType.simpleString()}" for c in entry)
+    rows = index.counts_of(met.select("term").distinct()).join(met, "term").select("gen", "entry", "prefix", "tf").repartition("gen", "entry")
+    each = rows.groupBy("gen", "entry", "prefix").agg(F.sum("tf").alias("c"))
+    whole = index.named(each.groupBy("gen", "entry").agg(F.map_from_entries(F.collect_list(F.struct("prefix", "c"))).alias("found"))).select(*entry, "found")
+    whole.write.parquet(held_at)
+    kinds = ", ".join(f"{c} {whole.schema[c].dataType.simpleString()}" for c in entry)
     gathered = spark.read.schema(f"{kinds}, found map<string,bigint>").parquet(held_at)
     total, mean = index.lengths()
     held = gathered.select(F.explode(F.map_keys("found")).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("held"))

@@ -242,3 +242,35 @@ def test_full_text_reads_each_text_once(spark, entries):
     found = fulltext.match(entries, "runs the")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "MapInArrow" not in plan and found.count() > 0
+
+
+@pytest.mark.parametrize(("tokens", "most"), [(1_000_000, 32_767), (300, 32_767), (1_000_000, 2)])
+def test_postings_lie_in_blocks(spark, entries, monkeypatch, tokens, most):
+    """Every place of every term, whatever the parts; a term has a row for each part, not for each entry, and what belongs to an entry is stored once."""
+    monkeypatch.setattr(postings, "PART_TOKENS", tokens)
+    monkeypatch.setattr(postings, "MOST_ENTRIES", most)
+    index = postings.Index(spark, storage.scratch(spark, "index"))
+    index.write(entries)
+    want = {}
+    for k, r in enumerate(entries.collect()):
+        for p, t in enumerate(fulltext.fold(r.text)):
+            want.setdefault((k, r.document_id, r.page_number, r.record_id, r.category_name, len(fulltext.fold(r.text)), t), []).append(p)
+    rows = index.postings([""]).collect()
+    assert sorted((repr((*key[1:], places)) for key, places in want.items())) == sorted(repr((r.document_id, r.page_number, r.record_id, r.category_name, r.n_tokens, r.term, list(r.positions))) for r in rows)
+    assert all(r.tf == len(r.positions) for r in rows) and {r.term: (r.entries, r.occurrences) for r in index.terms().collect()} == {t: (sum(r.term == t for r in rows), sum(r.tf for r in rows if r.term == t)) for t in {r.term for r in rows}}
+    stored = spark.read.parquet(f"{index.path}/postings")
+    assert not {"document_id", "record_id", "category_name", "n_tokens"} & set(stored.columns)
+    assert stored.count() < len(rows) / (10 if most > 2 and tokens > 300 else 1)
+
+
+def test_writing_an_index_leaves_no_shuffle_files(spark, entries):
+    files = lambda: {f.getName() for f in _files(spark) if f.getName().startswith("shuffle_")}
+    before, key = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, None)
+    postings.Index(spark, storage.scratch(spark, "index")).write(entries)
+    assert not files() - before and spark.conf.get(key, None) == old
+
+
+def _files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return [found.apply(i) for i in range(found.size())]
