@@ -253,8 +253,9 @@ def test_postings_lie_in_blocks(spark, entries, monkeypatch, tokens, most):
     index.write(entries)
     want = {}
     for k, r in enumerate(entries.collect()):
-        for p, t in enumerate(fulltext.fold(r.text)):
-            want.setdefault((k, r.document_id, r.page_number, r.record_id, r.category_name, len(fulltext.fold(r.text)), t), []).append(p)
+        own = fulltext.fold(r.text)
+        for p, t in enumerate(own):
+            want.setdefault((k, r.document_id, r.page_number, r.record_id, r.category_name, len(own), t), []).append(p)
     rows = index.postings([""]).collect()
     assert sorted((repr((*key[1:], places)) for key, places in want.items())) == sorted(repr((r.document_id, r.page_number, r.record_id, r.category_name, r.n_tokens, r.term, list(r.positions))) for r in rows)
     assert all(r.tf == len(r.positions) for r in rows) and {r.term: (r.entries, r.occurrences) for r in index.terms().collect()} == {t: (sum(r.term == t for r in rows), sum(r.tf for r in rows if r.term == t)) for t in {r.term for r in rows}}
